@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from cairngrid.llm.embedding_dedup import op2_pca_tiles
 from cairngrid.llm.simhash import op6_simhash
 
 QUERIES = {
+    "op2_pca_tiles": op2_pca_tiles,
     "op6_simhash": op6_simhash,
 }
 
