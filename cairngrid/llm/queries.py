@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from cairngrid.llm.embedding_dedup import op2_pca_tiles
+from cairngrid.llm.langid import op1_langid_ecoc
 from cairngrid.llm.simhash import op6_simhash
 
 QUERIES = {
+    "op1_langid_ecoc": op1_langid_ecoc,
     "op2_pca_tiles": op2_pca_tiles,
     "op6_simhash": op6_simhash,
 }
