@@ -5,10 +5,12 @@ from __future__ import annotations
 from cairngrid.llm.embedding_dedup import op2_pca_tiles
 from cairngrid.llm.langid import op1_langid_ecoc
 from cairngrid.llm.simhash import op6_simhash
+from cairngrid.llm.token_output import op5_token_orc
 
 QUERIES = {
     "op1_langid_ecoc": op1_langid_ecoc,
     "op2_pca_tiles": op2_pca_tiles,
+    "op5_token_orc": op5_token_orc,
     "op6_simhash": op6_simhash,
 }
 
