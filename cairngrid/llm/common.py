@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Ids that a filter may broadcast; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+BATCH = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +40,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back: columns can be read alone."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def append(df: DataFrame, inputs: list[str], outputs: str, make: Callable[[list[list]], list[pa.Array]]) -> DataFrame:
+    """``df`` with further columns, made in Python from batches of the columns ``inputs``.
+
+    ``outputs`` is their DDL; their names must not occur in ``df``. No join is needed to bring results to their rows.
+    """
+    new = T.StructType.fromDDL(outputs)
+    names = [*df.columns, *new.names]
+    at = [df.columns.index(c) for c in inputs]
+
+    def run(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, BATCH):
+                part = b.slice(start, BATCH)
+                yield pa.RecordBatch.from_arrays([*part.columns, *make([part.column(i).to_pylist() for i in at])], names=names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in the one-column frame ``gone``; a null id stays."""
+    gone = cut(gone.toDF("gone_id").where("gone_id is not null").distinct())
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Smallest reachable id for every id that occurs in ``edges`` (undirected, long columns ``a`` and ``b``).
 

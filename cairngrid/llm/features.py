@@ -64,3 +64,61 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
         w0, c0 = w, c
         w, c = wm - rate * (x.T @ g + ridge * wm), cm - rate * g.sum(axis=0)
     return w, c
+
+
+def words_of(text: str | None) -> set[str]:
+    """Distinct lower-case words without their outer punctuation."""
+    return {w.strip(".,;:!?\"'()[]*#%&$|") for w in (text or "").lower().split()}
+
+
+def choose_words(texts, y: np.ndarray, most: int = 1000, least_docs: int = 5) -> list[str]:
+    """The words whose presence tells the classes of ``y`` (n x k, 0 or 1) apart best by smoothed log-odds against chance; at most ``most``."""
+    seen: dict[str, np.ndarray] = {}
+    for t, row in zip(texts, y, strict=True):
+        for w in words_of(t):
+            seen[w] = seen.get(w, 0) + row
+    total = y.sum(axis=0)
+    words = sorted(w for w, c in seen.items() if c.sum() >= least_docs)
+    if not words:
+        return []
+    c = np.stack([seen[w] for w in words]).astype(float)
+    n, share = c.sum(axis=1, keepdims=True), total / total.sum()
+    z = np.abs(c - n * share) / np.sqrt(n * share * (1 - share) + 1)
+    return [words[i] for i in np.argsort(-z.max(axis=1), kind="stable")[:most]]
+
+
+def text_vectors(texts, words: dict[str, int], buckets: int = 1024) -> np.ndarray:
+    """Case-sensitive n-gram histogram (unit length) followed by a 0/1 column for each chosen word."""
+    x = np.zeros((len(texts), buckets + len(words)), np.float32)
+    x[:, :buckets] = matrix(texts, buckets, lower=False)
+    for k, t in enumerate(texts):
+        for w in words_of(t):
+            if (i := words.get(w)) is not None:
+                x[k, buckets + i] = 1
+    return x
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def fit_softmax(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Multinomial logistic regression by accelerated gradient descent; ``y`` is one-hot (n x k)."""
+    y = y.astype(np.float32)
+    n, k = y.shape
+    v = np.ones(x.shape[1], np.float32) / np.sqrt(x.shape[1])
+    for _ in range(20):
+        u = x.T @ (x @ v) / n + 1e-12
+        top = float(np.linalg.norm(u))
+        v = (u / top).astype(np.float32)
+    rate = 1 / (0.5 * (top + 1) + ridge)
+    w, c = np.zeros((x.shape[1], k), np.float32), np.log(y.mean(axis=0) + 1e-6).astype(np.float32)
+    w0, c0 = w, c
+    for t in range(steps):
+        m = t / (t + 3)
+        wm, cm = w + m * (w - w0), c + m * (c - c0)
+        g = (softmax(x @ wm + cm) - y) / n
+        w0, c0 = w, c
+        w, c = wm - rate * (x.T @ g + ridge * wm), cm - rate * g.sum(axis=0)
+    return w, c

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairngrid.llm import features
+from cairngrid.llm.common import append
 
 UNKNOWN = "und"
 MAX_TRAIN_ROWS = 4000
@@ -103,20 +104,26 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     an empty table gives an empty result. Only the text is an input.
     """
 
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH):
-                text = b.column(1).slice(at, BATCH).to_pylist()
-                ok = np.array([bool(model.languages) and has_letter(t) for t in text])
-                pred, score, close = [UNKNOWN] * len(text), np.zeros(len(text)), np.ones(len(text), bool)
-                if ok.any():
-                    best, p, gap = model.decode(features.matrix([t for t, k in zip(text, ok, strict=True) if k]))
-                    score[ok], close[ok] = p, gap < margin
-                    for k, i in zip(np.nonzero(ok)[0], best, strict=True):
-                        pred[k] = model.languages[i]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, BATCH), pa.array(pred), pa.array(score), pa.array(close)], names=["id", "lang_pred", "score", "ambiguous"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, lang_pred string, score double, ambiguous boolean")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = with_language(rows, model, "text", margin)
+    return out.select("id", F.col("pred_lang").alias("lang_pred"), F.col("pred_score").alias("score"), F.col("pred_ambiguous").alias("ambiguous"))
+
+
+def with_language(docs: DataFrame, model: Model, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+    """``docs`` plus pred_lang, pred_score and pred_ambiguous, as ``identify`` defines them; these names must be free."""
+
+    def make(columns):
+        text = columns[0]
+        ok = np.array([bool(model.languages) and has_letter(t) for t in text])
+        pred, score, close = [UNKNOWN] * len(text), np.zeros(len(text)), np.ones(len(text), bool)
+        if ok.any():
+            best, p, gap = model.decode(features.matrix([t for t, k in zip(text, ok, strict=True) if k]))
+            score[ok], close[ok] = p, gap < margin
+            for k, i in zip(np.nonzero(ok)[0], best, strict=True):
+                pred[k] = model.languages[i]
+        return [pa.array(pred), pa.array(score), pa.array(close)]
+
+    return append(docs, [text_col], "pred_lang string, pred_score double, pred_ambiguous boolean", make)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from cairngrid.llm.decontaminate import op3_inverted_index
 from cairngrid.llm.embedding_dedup import op2_pca_tiles
 from cairngrid.llm.langid import op1_langid_ecoc
+from cairngrid.llm.mixing import op4_soft_mixing
 from cairngrid.llm.simhash import op6_simhash
 from cairngrid.llm.token_output import op5_token_orc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_langid_ecoc": op1_langid_ecoc,
     "op2_pca_tiles": op2_pca_tiles,
+    "op3_inverted_index": op3_inverted_index,
+    "op4_soft_mixing": op4_soft_mixing,
     "op5_token_orc": op5_token_orc,
     "op6_simhash": op6_simhash,
 }
