@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cairngrid.llm.common import shared_dir
 
 END_ID = 1
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 BATCH = 64
 PIECE = 1 << 20
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
@@ -45,7 +45,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def _chunks(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
@@ -54,14 +54,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self._chunks(t) for t in texts]
-        memo = self.memo
-        new = list({w for p in parts for w in p if w not in memo})
+        memo, seen = self.memo, set().union(*parts)
+        new = list(seen - memo.keys())
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
-            new = list({w for p in parts for w in p})
+            new = list(seen)
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = e.ids
-        return [np.fromiter(chain.from_iterable(map(memo.__getitem__, p)), np.int32) for p in parts]
+            memo[w] = array("i", e.ids).tobytes()
+        return [np.frombuffer(b"".join(map(memo.__getitem__, p)), np.int32) for p in parts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
