@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from cairngrid.llm.decontaminate import op3_inverted_index
 from cairngrid.llm.embedding_dedup import op2_pca_tiles
+from cairngrid.llm.html_extract import op9_host_paths
 from cairngrid.llm.langid import op1_langid_ecoc
 from cairngrid.llm.mixing import op4_soft_mixing
 from cairngrid.llm.simhash import op6_simhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_soft_mixing": op4_soft_mixing,
     "op5_token_orc": op5_token_orc,
     "op6_simhash": op6_simhash,
+    "op9_host_paths": op9_host_paths,
 }
 
 ORACLE: dict[str, str] = {}
