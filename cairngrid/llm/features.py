@@ -7,6 +7,7 @@ import numpy as np
 BUCKETS = 4096
 ORDERS = (2, 3)
 CHUNK = 1 << 20
+HISTOGRAM_WEIGHT = 4
 
 
 def _buckets(b: np.ndarray, n: int, buckets: int) -> np.ndarray:
@@ -71,7 +72,7 @@ def words_of(text: str | None) -> set[str]:
     return {w.strip(".,;:!?\"'()[]*#%&$|") for w in (text or "").lower().split()}
 
 
-def choose_words(texts, y: np.ndarray, most: int = 1000, least_docs: int = 5) -> list[str]:
+def choose_words(texts, y: np.ndarray, most: int = 1000, least_docs: int = 5, least_z: float = 4) -> list[str]:
     """The words whose presence tells the classes of ``y`` (n x k, 0 or 1) apart best by smoothed log-odds against chance; at most ``most``."""
     seen: dict[str, np.ndarray] = {}
     for t, row in zip(texts, y, strict=True):
@@ -84,13 +85,14 @@ def choose_words(texts, y: np.ndarray, most: int = 1000, least_docs: int = 5) ->
     c = np.stack([seen[w] for w in words]).astype(float)
     n, share = c.sum(axis=1, keepdims=True), total / total.sum()
     z = np.abs(c - n * share) / np.sqrt(n * share * (1 - share) + 1)
-    return [words[i] for i in np.argsort(-z.max(axis=1), kind="stable")[:most]]
+    top = z.max(axis=1)
+    return [words[i] for i in np.argsort(-top, kind="stable")[:most] if top[i] >= least_z]
 
 
 def text_vectors(texts, words: dict[str, int], buckets: int = 1024) -> np.ndarray:
-    """Case-sensitive n-gram histogram (unit length) followed by a 0/1 column for each chosen word."""
+    """Case-sensitive n-gram histogram (of length HISTOGRAM_WEIGHT) followed by a 0/1 column for each chosen word."""
     x = np.zeros((len(texts), buckets + len(words)), np.float32)
-    x[:, :buckets] = matrix(texts, buckets, lower=False)
+    x[:, :buckets] = HISTOGRAM_WEIGHT * matrix(texts, buckets, lower=False)
     for k, t in enumerate(texts):
         for w in words_of(t):
             if (i := words.get(w)) is not None:
