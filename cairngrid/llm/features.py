@@ -89,15 +89,27 @@ def choose_words(texts, y: np.ndarray, most: int = 1000, least_docs: int = 5, le
     return [words[i] for i in np.argsort(-top, kind="stable")[:most] if top[i] >= least_z]
 
 
-def text_vectors(texts, words: dict[str, int], buckets: int = 1024) -> np.ndarray:
-    """Case-sensitive n-gram histogram (of length HISTOGRAM_WEIGHT) followed by a 0/1 column for each chosen word."""
-    x = np.zeros((len(texts), buckets + len(words)), np.float32)
-    x[:, :buckets] = HISTOGRAM_WEIGHT * matrix(texts, buckets, lower=False)
-    for k, t in enumerate(texts):
-        for w in words_of(t):
-            if (i := words.get(w)) is not None:
-                x[k, buckets + i] = 1
-    return x
+class Texts:
+    """What all text models need of a batch: its case-sensitive n-gram histograms (of length HISTOGRAM_WEIGHT) and word sets."""
+
+    def __init__(self, texts, buckets: int = 1024):
+        self.histograms = HISTOGRAM_WEIGHT * matrix(texts, buckets, lower=False)
+        self.words = [words_of(t) for t in texts]
+
+    def vectors(self, words: dict[str, int]) -> np.ndarray:
+        """The histogram followed by a 0/1 column for each chosen word."""
+        n = self.histograms.shape[1]
+        x = np.zeros((len(self.words), n + len(words)), np.float32)
+        x[:, :n] = self.histograms
+        known = words.keys()
+        for k, own in enumerate(self.words):
+            for w in own & known:
+                x[k, n + words[w]] = 1
+        return x
+
+
+def text_vectors(texts, words: dict[str, int]) -> np.ndarray:
+    return Texts(texts).vectors(words)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ from cairngrid.llm.embedding_dedup import op2_pca_tiles
 from cairngrid.llm.html_extract import op9_host_paths
 from cairngrid.llm.langid import op1_langid_ecoc
 from cairngrid.llm.mixing import op4_soft_mixing
+from cairngrid.llm.quality import op8_cotraining
 from cairngrid.llm.simhash import op6_simhash
 from cairngrid.llm.suffix_dedup import op7_suffix_cover
 from cairngrid.llm.token_output import op5_token_orc
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_token_orc": op5_token_orc,
     "op6_simhash": op6_simhash,
     "op7_suffix_cover": op7_suffix_cover,
+    "op8_cotraining": op8_cotraining,
     "op9_host_paths": op9_host_paths,
 }
 
