@@ -30,6 +30,9 @@ ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.
 #: and its runs of other signs are encoded apart by this tokenizer: cutting there changes no id.
 _PLAIN = re.compile("[\x00-\x08\x0e-\x1b\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ\t\n\r ]*")
 _RUNS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+|[^a-zA-ZÀ-ÖØ-öø-ÿ\t\n\r ]+").findall
+_WORD = re.compile("[a-zà-öø-ÿ]+")
+#: The byte-level tokenizer's signs for bytes without a printable one: the code points from 256 on, in byte order.
+_BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b < 256))}
 _SPACE = re.compile("[\t\n\r ]+")
 
 
@@ -59,7 +62,13 @@ class Encoder:
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
             new = list(seen)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        merge, other = self.tokenizer.model.tokenize, []
+        for w in new:
+            if _WORD.fullmatch(w):  # the normaliser and the splitter leave such a word as it is: only merging is left
+                memo[w] = array("i", [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
+            else:
+                other.append(w)
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             memo[w] = array("i", e.ids).tobytes()
         return [np.frombuffer(b"".join(map(memo.__getitem__, p)), np.int32) for p in parts]
 
