@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "q01_uniform_prior"
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from cairngrid.plans import surfaces  # noqa: F401
+from cairngrid.plans.base import ORACLE, QUERIES
+
+FLAGSHIP = "q10_mixture"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
