@@ -10,6 +10,7 @@ from cairngrid.llm.langid import op1_langid_ecoc
 from cairngrid.llm.mixing import op4_soft_mixing
 from cairngrid.llm.quality import op8_cotraining
 from cairngrid.llm.simhash import op6_simhash
+from cairngrid.llm.substring_dedup import op10_compact_windows
 from cairngrid.llm.suffix_dedup import op7_suffix_cover
 from cairngrid.llm.token_output import op5_token_orc
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op7_suffix_cover": op7_suffix_cover,
     "op8_cotraining": op8_cotraining,
     "op9_host_paths": op9_host_paths,
+    "op10_compact_windows": op10_compact_windows,
 }
 
 ORACLE: dict[str, str] = {}
