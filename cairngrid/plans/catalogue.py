@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairngrid.plans import surfaces  # noqa: F401
+from cairngrid.plans import surfaces, tracks_plans  # noqa: F401
 from cairngrid.plans.base import ORACLE, QUERIES
 
 FLAGSHIP = "q10_mixture"
