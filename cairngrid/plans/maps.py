@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairngrid.functions import spherical as sph
 from cairngrid.functions import text as txt
-from cairngrid.operators import trails
+from cairngrid.operators import searchmap, trails
 from cairngrid.plans.base import cells, literal, query, rounded, table
 from cairngrid.sources import importers as imp
 
@@ -226,3 +226,25 @@ def q76_import_gpx(spark, d):
     p, s = imp.import_gpx(literal(spark, "file string, text string", [("f", GPX)]))
     none = [F.lit(None).cast(k).alias(n) for n, k in (("x", "double"), ("y", "double"), ("t", "long"))]
     return p.select("source_id", "x", "y", "t").unionByName(s.select("source_id", *none))
+
+
+MAP = {"label": "EX-1", "lat": 51.2, "lng": -115.8, "kind": "IPP", "bearing": 90.0, "rings": [(25, 1.0), (50, 2.0), (75, 4.0), (95, 10.0)], "dispersion": [(50, 90.0), (75, 120.0)], "sectors": 8, "in_rings": [25, 50, 75], "source": "exercise"}
+
+
+@query("SELECT * FROM (VALUES ('planning point', 2, 1), ('distance rings', 5, 292), ('dispersion', 3, 48), ('segments', 25, 432)) AS t(folder, n, n_points)")
+def q56_search_map(spark, d):
+    m = searchmap.build_search_map(spark, MAP)
+    return m.groupBy("folder").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("coordinates"), F.lit(0))).alias("n_points"))
+
+
+@query()
+def q56b_geojson(spark, d):
+    return searchmap.to_geojson(searchmap.build_search_map(spark, MAP))
+
+
+AREAS = [("disc", [(-300.0, -300.0), (300.0, -300.0), (300.0, 300.0), (-300.0, 300.0)]), ("far", [(1200.0, 0.0), (1600.0, 0.0), (1600.0, 400.0), (1200.0, 400.0)]), ("crumb", [(900.0, 0.0), (940.0, 0.0), (940.0, 40.0), (900.0, 40.0)])]
+
+
+@query("SELECT * FROM (VALUES ('A-1', 'disc', 360000e0, 0e0), ('A-2', 'far', 160000e0, 1200e0)) AS t(name, geom_id, area_m2, nearness)")
+def q53b_areas_in_bands(spark, d):
+    return rounded(searchmap.areas_in_bands(spark, AREAS, [(0.0, 500.0), (500.0, 3000.0)]).select("name", "geom_id", "area_m2", "nearness"), 6)
