@@ -40,7 +40,7 @@ def test_posteriors_and_totals_on_the_table(spark):
     assert ok > 0.85
     tokens = out.agg(F.sum("n_tokens")).first()[0]
     good = out.agg(F.sum(F.col("rate") * F.col("n_tokens") * F.get("posterior", F.lit(0)))).first()[0]
-    assert abs(good / tokens - 0.95) < 0.02
+    assert abs(good / tokens - 0.93) < 0.01
     assert out.where("rate < 0 or copies < 0 or abs(copies - rate) > 1").count() == 0
 
 
