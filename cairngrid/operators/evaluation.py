@@ -95,3 +95,26 @@ class EvaluationRun:
         got = outcome()
         self.status, self.revealed_at = "revealed", self.revealed_at or now()
         return got
+
+#: Allowed changes of an evaluation run's status.
+TRANSITIONS = {("open", "open"), ("open", "locked"), ("locked", "locked"), ("locked", "revealed"), ("revealed", "revealed")}
+
+
+def transition_problems(changes: DataFrame, key: str = "run_id") -> DataFrame:
+    """(key, problem) of changes (old_status, new_status, old_metrics, new_metrics): a forbidden step, or metrics written twice."""
+    ok = F.concat_ws(">", "old_status", "new_status").isin([f"{a}>{b}" for a, b in sorted(TRANSITIONS)])
+    problem = F.when(~ok, F.concat(F.lit("from "), F.col("old_status"), F.lit(" to "), F.col("new_status"))).when(F.col("old_metrics").isNotNull() & ~F.col("old_metrics").eqNullSafe(F.col("new_metrics")), "metrics changed")
+    return changes.withColumn("problem", problem).where("problem is not null").select(key, "problem")
+
+
+def evaluation_package(tables: dict[str, DataFrame], incidents: DataFrame, cutoff: Column) -> DataFrame:
+    """(kind, incident_id, item_id, available_at) of all inputs available at their incident's ``cutoff``: one filtered union.
+
+    Each table has incident_id, item_id and available_at; the cutoff is a column of ``incidents``.
+    """
+    out = None
+    for kind, df in sorted(tables.items()):
+        one = df.select(F.lit(kind).alias("kind"), "incident_id", "item_id", "available_at")
+        out = one if out is None else out.unionByName(one)
+    limits = incidents.select("incident_id", cutoff.alias("cutoff_"))
+    return out.join(limits, "incident_id").where(F.col("available_at") <= F.col("cutoff_")).drop("cutoff_")

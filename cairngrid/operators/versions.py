@@ -183,3 +183,19 @@ class SurfaceStore:
 
     def heads(self, incident_id: str) -> DataFrame:
         return heads(self.records.where(F.col("incident_id") == incident_id))
+
+
+def domain_problems(records: DataFrame) -> DataFrame:
+    """(surface_id, problem) of records (surface_id, parent_id, incident_id, domain_id, domain_incident_id): a domain of another incident, or not the parent's."""
+    p = records.select(F.col("surface_id").alias("parent_id"), F.col("domain_id").alias("p_domain"))
+    j = records.join(p, "parent_id", "left")
+    checks = F.array_compact(F.array(F.when(F.col("domain_incident_id") != F.col("incident_id"), "domain of another incident"), F.when(F.col("domain_id") != F.col("p_domain"), "domain differs from parent's")))
+    return j.select("surface_id", F.explode(checks).alias("problem"))
+
+
+def changed_after_commit(old: DataFrame, new: DataFrame, key: str = "surface_id", mutable: str = "locked_at") -> DataFrame:
+    """(key, problem): rows of an append-only table that went, or changed in anything but ``mutable``, which may only be filled in once."""
+    cols = [c for c in old.columns if c not in (key, mutable)]
+    j = old.select(key, F.struct(*cols).alias("a"), F.col(mutable).alias("am")).join(new.select(key, F.struct(*cols).alias("b"), F.col(mutable).alias("bm"), F.lit(True).alias("there")), key, "left")
+    problem = F.when(F.col("there").isNull(), "deleted").when(~F.col("a").eqNullSafe(F.col("b")), "changed").when(F.col("am").isNotNull() & ~F.col("am").eqNullSafe(F.col("bm")), "lock changed")
+    return j.withColumn("problem", problem).where("problem is not null").select(key, "problem")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairngrid.functions import geometry as geo
-from cairngrid.operators import pod, security, tracks, versions
+from cairngrid.operators import evaluation, pod, security, tracks, versions
 from cairngrid.plans.base import literal, query, rounded, table
 
 
@@ -206,3 +206,42 @@ def q74_sealed_location(spark, d):
     key, aad = F.lit("0123456789abcdef0123456789abcdef").cast("binary"), F.col("c_custkey").cast("string").cast("binary")
     c = table(spark, d, "customer").select("c_custkey", F.base64(F.aes_encrypt(F.col("c_name").cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.lpad(F.hex("c_custkey"), 24, "0")), aad)).alias("sealed"))
     return c.select("c_custkey", security.open_location(F.col("sealed"), aad, key).alias("opened"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS surface_id, CASE WHEN o_orderkey > 0 THEN (o_orderkey - 1) // 3 END AS parent_id, o_custkey % 5 AS incident_id, o_custkey % 7 AS domain_id, o_custkey % 7 % 5 AS domain_incident_id FROM orders), j AS (SELECT o.*, p.domain_id AS pd FROM o LEFT JOIN o p ON o.parent_id = p.surface_id)
+SELECT surface_id, 'domain of another incident' AS problem FROM j WHERE domain_incident_id <> incident_id UNION ALL SELECT surface_id, 'domain differs from parent''s' FROM j WHERE domain_id <> pd""")
+def q77_surface_domain(spark, d):
+    c = F.col("o_custkey")
+    r = records(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("surface_id"), (c % 7).alias("domain_id"), (c % 7 % 5).alias("domain_incident_id")), "surface_id")
+    return versions.domain_problems(r)
+
+
+@query("""SELECT o_orderkey AS run_id, 'from ' || a || ' to ' || b AS problem FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'locked' ELSE 'revealed' END AS a, CASE o_orderkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'locked' ELSE 'revealed' END AS b FROM orders)
+WHERE NOT (a = b OR (a = 'open' AND b = 'locked') OR (a = 'locked' AND b = 'revealed'))""")
+def q78_evaluation_transition(spark, d):
+    k = F.col("o_orderkey")
+    old = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "locked").otherwise("revealed")
+    new = F.when(k % 3 == 0, "open").when(k % 3 == 1, "locked").otherwise("revealed")
+    none = F.lit(None).cast("string")
+    return evaluation.transition_problems(table(spark, d, "orders").select(k.alias("run_id"), old.alias("old_status"), new.alias("new_status"), none.alias("old_metrics"), none.alias("new_metrics")))
+
+
+@query("""SELECT 'clue' AS kind, user_id AS incident_id, event_id AS item_id FROM events JOIN customer ON user_id = c_custkey WHERE ts <= TIMESTAMP '2024-01-10' + c_nationkey * INTERVAL 1 DAY
+UNION ALL SELECT 'route', o_custkey, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate <= TIMESTAMP '2024-01-10' + c_nationkey * INTERVAL 1 DAY""")
+def q79_evaluation_package(spark, d):
+    e, o = table(spark, d, "events"), table(spark, d, "orders")
+    tables = {
+        "clue": e.select(F.col("user_id").alias("incident_id"), F.col("event_id").alias("item_id"), F.col("ts").cast("timestamp").alias("available_at")),
+        "route": o.select(F.col("o_custkey").alias("incident_id"), F.col("o_orderkey").alias("item_id"), F.col("o_orderdate").cast("timestamp").alias("available_at")),
+    }
+    cutoff = F.timestamp_millis(F.unix_millis(F.lit("2024-01-10").cast("timestamp")) + F.col("c_nationkey") * 86_400_000)
+    incidents = table(spark, d, "customer").withColumnRenamed("c_custkey", "incident_id")
+    return evaluation.evaluation_package(tables, incidents, cutoff).drop("available_at")
+
+
+@query("""SELECT p_partkey AS seg, coalesce(CASE WHEN p_size % 4 = 0 THEN p_size * 1e0 WHEN p_size % 4 = 1 THEN -1e0 END, 25e0) AS spacing, coalesce(CASE WHEN p_size % 4 = 0 THEN 'DOG' END, 'GROUND') AS resource FROM part WHERE coalesce(CASE WHEN p_size % 4 = 0 THEN p_size * 1e0 WHEN p_size % 4 = 1 THEN -1e0 END, 25e0) > 0""")
+def q43b_segment_plans(spark, d):
+    p = table(spark, d, "part")
+    k = F.col("p_size")
+    over = p.where((k % 4).isin(0, 1)).select(F.col("p_partkey").alias("seg"), F.when(k % 4 == 0, k.cast("double")).otherwise(-1.0).alias("spacing"), F.when(k % 4 == 0, "DOG").alias("resource"))
+    return pod.segment_plans(p.select(F.col("p_partkey").alias("seg")), literal(spark, "spacing double, resource string", [(25.0, "GROUND")]), over, "seg")
