@@ -367,7 +367,7 @@ def q38_achieved_pod(spark, d):
     return rounded(pod.achieved_pod(cells(spark, d), _walk(spark), grid(10_000), POLYGON, 20.0, 50.0))
 
 
-@query(f"WITH {ACHIEVED} SELECT count(*) AS cells, round(avg(coverage), 9) AS mean_coverage, round(avg(1e0 - exp(-coverage)), 9) AS mean_pod FROM ac WHERE in_assignment")
+@query(f"WITH {ACHIEVED} SELECT count(*) AS cells, coalesce(round(avg(coverage), 9), 0e0) AS mean_coverage, coalesce(round(avg(1e0 - exp(-coverage)), 9), 0e0) AS mean_pod FROM ac WHERE in_assignment")
 def q38b_pod_summary(spark, d):
     return rounded(pod.summarise(pod.achieved_pod(cells(spark, d), _walk(spark), grid(10_000), POLYGON, 20.0, 50.0)))
 
