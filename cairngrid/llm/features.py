@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 BUCKETS = 4096
@@ -74,15 +76,14 @@ def words_of(text: str | None) -> set[str]:
 
 def choose_words(texts, y: np.ndarray, most: int = 1000, least_docs: int = 5, least_z: float = 4) -> list[str]:
     """The words whose presence tells the classes of ``y`` (n x k, 0 or 1) apart best by smoothed log-odds against chance; at most ``most``."""
-    seen: dict[str, np.ndarray] = {}
+    seen = [Counter() for _ in range(y.shape[1])]
     for t, row in zip(texts, y, strict=True):
-        for w in words_of(t):
-            seen[w] = seen.get(w, 0) + row
+        seen[int(np.argmax(row))].update(words_of(t))
     total = y.sum(axis=0)
-    words = sorted(w for w, c in seen.items() if c.sum() >= least_docs)
+    words = sorted({w for own in seen for w in own if sum(o[w] for o in seen) >= least_docs})
     if not words:
         return []
-    c = np.stack([seen[w] for w in words]).astype(float)
+    c = np.array([[own[w] for own in seen] for w in words], float)
     n, share = c.sum(axis=1, keepdims=True), total / total.sum()
     z = np.abs(c - n * share) / np.sqrt(n * share * (1 - share) + 1)
     top = z.max(axis=1)
@@ -109,7 +110,9 @@ class Texts:
 
 
 def text_vectors(texts, words: dict[str, int]) -> np.ndarray:
-    return Texts(texts).vectors(words)
+    """Vectors of many texts, in batches: word sets are large."""
+    parts = [Texts(texts[k : k + 256]).vectors(words) for k in range(0, len(texts), 256)]
+    return np.concatenate(parts) if parts else Texts([]).vectors(words)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from cairngrid.llm import features
 from cairngrid.llm.common import append
 
 UNKNOWN = "und"
-MAX_TRAIN_ROWS = 4000
+MAX_TRAIN_ROWS = 2400
 MARGIN = 0.2
 BATCH = 256
 
@@ -86,8 +86,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1).slice(at, BATCH)], names=["x", "lang"])
 
     got = sorted((r.lang, bytes(r.x)) for r in sample.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(vectors, "x binary, lang string").toLocalIterator())
-    x = np.stack([np.frombuffer(v, np.float16) for _, v in got]).astype(np.float32)
     lang = np.searchsorted(languages, [k for k, _ in got])
+    x = np.empty((len(got), features.BUCKETS), np.float32)
+    for k in range(len(got)):
+        x[k], got[k] = np.frombuffer(got[k][1], np.float16), None
     codes = codebook(len(languages))
     want = codes[lang] > 0
     w, c = features.fit_logistic(x, want)

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from cairngrid.llm.common import shared_dir
 
 END_ID = 1
-MEMO_WORDS = 500_000
-BATCH = 64
+MEMO_WORDS = 400_000
+BATCH = 256
 PIECE = 1 << 20
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
@@ -40,7 +40,7 @@ class Encoder:
     """Encodes whole texts with one tokenizers file, looking repeated words up.
 
     The tokenizer drops white space and merges inside words only, so a text's ids are those of its
-    white-space-free chunks in order. Each worker keeps at most ``MEMO_WORDS`` of them.
+    white-space-free chunks in order. Each worker keeps about ``MEMO_WORDS`` of them.
     """
 
     def __init__(self, path: str):
@@ -49,6 +49,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _chunks(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
@@ -57,13 +58,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self._chunks(t) for t in texts]
-        memo, seen = self.memo, set().union(*parts)
-        new = list(seen - memo.keys())
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = list(seen)
+        seen = set().union(*parts)
+        if len(self.memo) > MEMO_WORDS // 2:  # the older half goes, what is still in use moves over word by word
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        new = seen - memo.keys()
+        known = new & older.keys()
+        for w in known:
+            memo[w] = older[w]
         merge, other = self.tokenizer.model.tokenize, []
-        for w in new:
+        for w in new - known:
             if _WORD.fullmatch(w):  # the normaliser and the splitter leave such a word as it is: only merging is left
                 memo[w] = array("i", [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
             else:
