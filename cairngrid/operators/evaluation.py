@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Keys that tell an outcome; a prefix match.
 OUTCOME_KEY = r"(?i)^(found|find|outcome|recovered|located_at)"
+_OUTCOME, _DECODER = re.compile(OUTCOME_KEY, re.ASCII), json.JSONDecoder(strict=False)
 
 
 def filter_available(items: DataFrame, cutoff: str | Column, column: str = "available_at") -> DataFrame:
@@ -27,20 +32,41 @@ def late_items(items: DataFrame, cutoff: str | Column, column: str = "available_
     return items.where(F.col(column).cast("timestamp") > at)
 
 
+def json_outcomes(text: str) -> list[str]:
+    """Paths of all object keys that tell an outcome, at any depth, as ``$.key`` and ``[i]``; none if the text is no JSON."""
+    try:
+        value, _ = _DECODER.raw_decode(text.lstrip())
+    except RecursionError:
+        raise ValueError("a payload is nested too deeply to be searched") from None
+    except ValueError:
+        return []
+    out, todo = [], [("$", value)]
+    while todo:
+        path, v = todo.pop()
+        if isinstance(v, dict):
+            out += [f"{path}.{k}" for k in v if _OUTCOME.match(k)]
+            todo += [(f"{path}.{k}", x) for k, x in v.items() if isinstance(x, (dict, list))]
+        else:
+            todo += [(f"{path}[{i}]", x) for i, x in enumerate(v) if isinstance(x, (dict, list))]
+    return [p.encode("utf-8", "replace").decode() for p in out]
+
+
 def outcome_keys(df: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, path) of object keys anywhere in a JSON payload that tell an outcome; payloads that are no JSON have none.
 
-    Keys are walked natively, one level per pass of a fixed depth of eight.
+    Objects and arrays are walked to any depth. Spark's parser, which also reads single quotes, writes the payload anew before.
     """
-    level = df.select(key, F.lit("$").alias("path"), F.col(payload).cast("string").alias("v"))
-    found = None
-    for _ in range(8):
-        keys = level.select(key, "path", "v", F.explode(F.json_object_keys("v")).alias("k")).withColumns({"p": F.concat("path", F.lit("."), "k"), "w": F.col("k")})
-        vals = keys.withColumn("child", F.expr("get_json_object(v, concat('$.', k))"))
-        hit = vals.where(F.col("k").rlike(OUTCOME_KEY)).select(key, F.col("p").alias("path"))
-        found = hit if found is None else found.unionByName(hit)
-        level = vals.where(F.ltrim("child").startswith("{")).select(key, F.col("p").alias("path"), F.col("child").alias("v"))
-    return found
+    text = F.col(payload).cast("string")
+    inner = F.when(text.rlike(r"^\s*[\[{]"), F.coalesce(F.get_json_object(text, "$"), text))
+
+    def run(batches):
+        for b in batches:
+            found = [json_outcomes(t) for t in b.column(1).to_pylist()]
+            at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([p for x in found for p in x], pa.string())], names=[key, "path"])
+
+    rows = df.select(key, inner.alias("v")).where("v is not null")
+    return rows.mapInArrow(run, T.StructType([df.select(key).schema[0], T.StructField("path", T.StringType())]))
 
 
 def case_metrics(surface: DataFrame, finds: DataFrame, cell_area_m2: float, floor: float = 1e-9, tops=(0.10, 0.25, 0.50)) -> DataFrame:

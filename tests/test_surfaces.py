@@ -142,3 +142,10 @@ def test_updates_keep_sums_and_order_does_not_matter(spark, masses, lrs, pods):
     ba = updates.apply_likelihood(updates.no_find_update(prior.drop("z"), pod_).drop("z"), field)
     assert p_of(ab) == pytest.approx(p_of(ba), abs=1e-12)
     assert sum(p_of(ab)) + ab.first().outside == pytest.approx(1, abs=1e-10)
+
+
+def test_outcome_keys_in_arrays_dotted_keys_and_deep_payloads(spark):
+    deep = '{"a":' * 10 + '{"found": 1}' + "}" * 10
+    rows = [(1, '{"items": [{"found_at": 1}, [{"x": {"Outcome": null}}]]}'), (2, '[{"find": 1}]'), (3, '{"a.b": {"located_at": 1}, "c[0]": {"found": 2}}'), (4, deep), (5, "found"), (6, None), (7, '{"ok": "found"}'), (8, "{'found': 1}"), (9, '"{\\"found\\": 1}"'), (10, '{"x": ' * 1500 + '{"found": 1}' + "}" * 1500)]
+    got = sorted((r.id, r.path) for r in evaluation.outcome_keys(spark.createDataFrame(rows, "id long, p string").repartition(2), "id", "p").collect())
+    assert got == [(1, "$.items[0].found_at"), (1, "$.items[1][0].x.Outcome"), (2, "$[0].find"), (3, "$.a.b.located_at"), (3, "$.c[0].found"), (4, "$" + ".a" * 10 + ".found"), (8, "$.found"), (10, "$" + ".x" * 1500 + ".found")]
