@@ -39,8 +39,13 @@ def q48_haversine(spark, d):
     return places(spark, d).select("id", F.round(sph.haversine(F.col("lat"), F.col("lng"), F.lit(51.2), F.lit(-115.8)), 4).alias("m"))
 
 
-def _explode(df, column):
-    return df.select("id", F.posexplode(column).alias("i", "p")).select("id", "i", F.round("p.lat", 6).alias("lat2"), F.round("p.lng", 6).alias("lng2"))
+def _all(df, column, *names):
+    """Points as the functions give them, with seven decimals; a second rounding, to six, would differ between engines at ties."""
+    return df.select("id", *names, F.posexplode(column).alias("i", "p")).select("id", *names, "i", F.col("p.lat").alias("lat2"), F.col("p.lng").alias("lng2"))
+
+
+def _explode(df, column, *names):
+    return _all(df, column, *names).withColumns({"lat2": F.round("lat2", 6), "lng2": F.round("lng2", 6)})
 
 
 RA, RO = _dest("lat", "lng", "(i % 72) * 5e0", "m")
@@ -51,6 +56,11 @@ def q49_ring_line(spark, d):
     return _explode(places(spark, d).where("id < 40"), sph.ring_line(F.col("lat"), F.col("lng"), F.col("m")))
 
 
+@query(f"WITH {PT}, k AS (SELECT unnest(range(73))::INTEGER AS i) SELECT id, i, floor({RA} * 1e7 + 0.5e0) / 1e7 AS lat2, floor({RO} * 1e7 + 0.5e0) / 1e7 AS lng2 FROM pt CROSS JOIN k")
+def q49b_all_ring_lines(spark, d):
+    return _all(places(spark, d), sph.ring_line(F.col("lat"), F.col("lng"), F.col("m")))
+
+
 WA, WO = _dest("lat", "lng", "bearing - 45e0 + 5e0 * (i - 1)", "m")
 
 
@@ -59,14 +69,28 @@ def q50_wedge(spark, d):
     return _explode(places(spark, d).where("id < 40"), sph.wedge_polygon(F.col("lat"), F.col("lng"), F.col("m"), F.col("bearing"), F.lit(90.0)))
 
 
+@query(f"WITH {PT}, k AS (SELECT unnest(range(21))::INTEGER AS i) SELECT id, i, floor((CASE WHEN i BETWEEN 1 AND 19 THEN {WA} ELSE lat END) * 1e7 + 0.5e0) / 1e7 AS lat2, floor((CASE WHEN i BETWEEN 1 AND 19 THEN {WO} ELSE lng END) * 1e7 + 0.5e0) / 1e7 AS lng2 FROM pt CROSS JOIN k")
+def q50b_all_wedges(spark, d):
+    return _all(places(spark, d), sph.wedge_polygon(F.col("lat"), F.col("lng"), F.col("m"), F.col("bearing"), F.lit(90.0)))
+
+
 SA, SO = _dest("lat", "lng", "s * 45e0 - 22.5e0 + 5e0 * (CASE WHEN i < 10 THEN i WHEN i < 20 THEN 19 - i ELSE 0 END)", "CASE WHEN i < 10 OR i = 20 THEN m ELSE m / 2e0 END")
 
 
+def _sectors(points, show):
+    s = points.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    poly = sph.sector_polygon(F.col("lat"), F.col("lng"), F.col("m") / 2, F.col("m"), F.col("s") * 45 - 22.5, F.col("s") * 45 + 22.5)
+    return show(s.withColumn("sector", sph.sector_name(F.col("s"), 8)), poly, "sector")
+
+
 @query(f"WITH {PT}, k AS (SELECT unnest(range(21))::INTEGER AS i), s AS (SELECT unnest(range(8))::INTEGER AS s) SELECT id, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][s + 1] AS sector, i, round(floor({SA} * 1e7 + 0.5e0) / 1e7, 6) AS lat2, round(floor({SO} * 1e7 + 0.5e0) / 1e7, 6) AS lng2 FROM pt CROSS JOIN k CROSS JOIN s WHERE id < 10")
 def q51_sectors(spark, d):
-    s = places(spark, d).where("id < 10").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    poly = sph.sector_polygon(F.col("lat"), F.col("lng"), F.col("m") / 2, F.col("m"), F.col("s") * 45 - 22.5, F.col("s") * 45 + 22.5)
-    return s.select("id", sph.sector_name(F.col("s"), 8).alias("sector"), F.posexplode(poly).alias("i", "p")).select("id", "sector", "i", F.round("p.lat", 6).alias("lat2"), F.round("p.lng", 6).alias("lng2"))
+    return _sectors(places(spark, d).where("id < 10"), _explode)
+
+
+@query(f"WITH {PT}, k AS (SELECT unnest(range(21))::INTEGER AS i), s AS (SELECT unnest(range(8))::INTEGER AS s) SELECT id, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][s + 1] AS sector, i, floor({SA} * 1e7 + 0.5e0) / 1e7 AS lat2, floor({SO} * 1e7 + 0.5e0) / 1e7 AS lng2 FROM pt CROSS JOIN k CROSS JOIN s")
+def q51c_all_sectors(spark, d):
+    return _sectors(places(spark, d), _all)
 
 
 BANDS = [("a", 0.0, 1000.0), ("a", 1000.0, 2000.0), ("a", 3000.0, 4000.0), ("b", 0.0, 500.0), ("b", 400.0, 450.0), ("c", 5.0, 6.0), ("c", 7.0, 8.0), ("c", 5.5, 7.0)]

@@ -39,3 +39,18 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert catalogue.FLAGSHIP in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize(("name", "rows"), [("q49b_all_ring_lines", 73), ("q50b_all_wedges", 21), ("q51c_all_sectors", 168)])
+def test_all_suppliers_are_computed_and_checked(spark, name, rows):
+    """At a size with more suppliers than the id limits of q49 to q51."""
+    sf, con = "/root/testdata/sf0.1", duckdb.connect()
+    con.execute(f"create view supplier as select * from read_parquet('{sf}/supplier.parquet')")
+    suppliers = con.execute("select count(*) from supplier").fetchone()[0]
+    df = catalogue.QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    got = sorted(tuple(shown(r[c]) for c in cols) for r in df.collect())
+    assert suppliers > 40 and len(got) == suppliers * rows
+    con.execute(catalogue.ORACLE[name])
+    names = [c[0] for c in con.description]
+    assert got == sorted(tuple(shown(r[names.index(c)]) for c in cols) for r in con.fetchall())
