@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Ids that a filter may broadcast; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of one key that a join may bring to one task; a key with more of them is broadcast.
+HOT_ROWS = 10_000
 BATCH = 256
 
 
@@ -47,29 +49,61 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, with as many underscores after it as it takes that no column name begins with it."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(wanted.lower()) for c in taken):
+        wanted += "_"
+    return wanted
+
+
 def append(df: DataFrame, inputs: list[str], outputs: str, make: Callable[[list[list]], list[pa.Array]]) -> DataFrame:
     """``df`` with further columns, made in Python from batches of the columns ``inputs``.
 
-    ``outputs`` is their DDL; their names must not occur in ``df``. No join is needed to bring results to their rows.
+    ``outputs`` is their DDL; a column of ``df`` with one of these names (upper or lower case) is read where it is an
+    input, and replaced in the result. No join is needed to bring results to their rows.
     """
     new = T.StructType.fromDDL(outputs)
-    names = [*df.columns, *new.names]
-    at = [df.columns.index(c) for c in inputs]
+    made = {n.lower() for n in new.names}
+    lower = [c.lower() for c in df.columns]
+    keep = [k for k, c in enumerate(lower) if c not in made]
+    at = [lower.index(c.lower()) for c in inputs]
+    names = [*(df.columns[k] for k in keep), *new.names]
 
     def run(batches):
         for b in batches:
             for start in range(0, b.num_rows, BATCH):
                 part = b.slice(start, BATCH)
-                yield pa.RecordBatch.from_arrays([*part.columns, *make([part.column(i).to_pylist() for i in at])], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *make([part.column(i).to_pylist() for i in at])], names=names)
+
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[k] for k in keep), *new.fields]))
+
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a row number of its own for every row, stored so that it is the same whenever it is read, and that column's name."""
+    name = free_name(docs.columns, "row_number")
+    return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
-def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in the one-column frame ``gone``; a null id stays."""
-    gone = cut(gone.toDF("gone_id").where("gone_id is not null").distinct())
+def without_rows(rows: DataFrame, number: str, gone: DataFrame) -> DataFrame:
+    """The rows whose number is not in the one-column frame ``gone``, without their numbers."""
+    gone = cut(gone.toDF(number).distinct())
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    return rows.join(F.broadcast(gone) if small else gone, number, "left_anti").drop(number)
+
+
+def join_named(rows: DataFrame, named: DataFrame, key: str, size: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with ``named`` (one row per ``key``; column ``size`` says how many rows have it).
+
+    Keys of more than ``hot`` rows are few, rows / hot at most: they are broadcast, so their rows stay where they are; the others are
+    joined by a shuffle. ``named`` should be cut. Past BROADCAST_IDS hot keys all go by the shuffle, where skewed partitions are split.
+    """
+    large = named.where(F.col(size) > hot)
+    n = large.limit(BROADCAST_IDS + 1).count()
+    if not 0 < n <= BROADCAST_IDS:
+        return rows.join(named, key)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(large), key).unionByName(rest.join(named.where(F.col(size) <= hot), key))
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from cairngrid.llm.decontaminate import op3_inverted_index
 from cairngrid.llm.embedding_dedup import op2_pca_tiles
 from cairngrid.llm.html_extract import op9_host_paths
@@ -14,8 +13,15 @@ from cairngrid.llm.substring_dedup import op10_compact_windows
 from cairngrid.llm.suffix_dedup import op7_suffix_cover
 from cairngrid.llm.token_output import op5_token_orc
 
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
     "op1_langid_ecoc": op1_langid_ecoc,
     "op2_pca_tiles": op2_pca_tiles,
     "op3_inverted_index": op3_inverted_index,
@@ -42,7 +48,13 @@ win AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i +
 ks AS (SELECT DISTINCT k FROM win), dg AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw CROSS JOIN ks WHERE len(w) >= k)),
 hit AS (SELECT dg.doc_id, dg.i, dg.k, win.item_id FROM dg JOIN win ON dg.k = win.k AND dg.s = win.s),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
-ids AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
-SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, coalesce(ids.n, 0)::BIGINT AS n_items, sha256(coalesce(ids.l, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
-FROM dw d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN ids ON d.doc_id = ids.doc_id""",
+ids AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY 1),
+post AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM dw), cnt AS (SELECT term, count(*) AS n FROM post GROUP BY 1),
+wp AS (SELECT item_id, w, i, unnest(w[i:i + least(len(w), 10) - 1]) AS term, generate_subscripts(w[i:i + least(len(w), 10) - 1], 1) AS p FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0)),
+rk AS (SELECT item_id, w, i, term, p, row_number() OVER (PARTITION BY item_id, w, i ORDER BY n, p, term) AS k FROM wp JOIN cnt USING (term)),
+pr AS (SELECT DISTINCT a.item_id, a.term AS ta, b.term AS tb, a.p - b.p AS gap FROM rk a JOIN rk b ON a.item_id IS NOT DISTINCT FROM b.item_id AND a.w = b.w AND a.i = b.i AND a.k = 1 AND b.k = 2),
+nr AS (SELECT DISTINCT x.doc_id, pr.item_id FROM pr JOIN post x ON x.term = pr.ta JOIN post y ON y.term = pr.tb AND y.doc_id = x.doc_id WHERE abs(x.pos - y.pos - pr.gap) <= 5 AND x.pos <> y.pos UNION SELECT doc_id, item_id FROM hit),
+near AS (SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n FROM nr GROUP BY 1)
+SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, coalesce(ids.n, 0)::BIGINT AS n_items, sha256(coalesce(ids.l, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated, coalesce(near.n, 0)::BIGINT AS n_near
+FROM dw d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN ids ON d.doc_id = ids.doc_id LEFT JOIN near ON d.doc_id = near.doc_id""",
 }

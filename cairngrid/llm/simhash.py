@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairngrid.llm.common import connected_components, cut
+from cairngrid.llm.common import connected_components, cut, join_named
 
 MAX_BITS = 3
 SEGMENT_BITS = 2
@@ -101,19 +101,20 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Near-duplicate class of every row: (id, fp, component_id).
 
     Rows link where their fingerprints differ by ``max_bits`` bits or fewer; component_id is the smallest
-    id reachable. Equal fingerprints meet as one class first (a grouped minimum), so thousands of copies
-    cost one row in the join. Defined results: null and wordless texts have fingerprint 0 and link with
-    one another; repeated rows and equal ids come back as often as they came, a null id keeps its fingerprint
-    and its component is that of its fingerprint's class; an empty table gives an empty result; other columns are
+    id reachable. Equal fingerprints meet as one class first (a grouped minimum), components are found on
+    fingerprints and named by their smallest id afterwards, so thousands of copies cost one row in the join and rows without an id
+    still link others. Defined results: null and wordless texts have fingerprint 0 and link with
+    one another; repeated rows and equal ids come back as often as they came; a null id stays null, and its component is that of its
+    fingerprint's class, null where all ids of a component are; an empty table gives an empty result; other columns are
     ignored.
     """
     rows = cut(fingerprints(docs, id_col, text_col, words))
-    classes = rows.groupBy("fp").agg(F.min("id").alias("rep"))
-    pairs = links(classes.select("fp"), max_bits)
-    found = cut(pairs.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select("ra", "rb"))
-    roots = connected_components(found, "ra", "rb")
-    named = classes.join(roots, classes.rep == roots.id, "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return rows.join(named, "fp").select("id", "fp", "component_id")
+    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
+    roots = connected_components(cut(links(classes.select("fp"), max_bits)), "a", "b").select(F.col("id").alias("fp"), F.col("component_id").alias("root"))
+    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = cut(rooted.join(least, "root").select("fp", "size", "component_id"))
+    return join_named(rows, named, "fp", "size").select("id", "fp", "component_id")
 
 
 def op6_simhash(spark, sf_dir):

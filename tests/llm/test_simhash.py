@@ -75,3 +75,20 @@ def test_classes_nulls_ties_and_odd_columns(spark):
 
 def test_empty_table(spark):
     assert simhash.simhash_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a, **k: docs.select("id", "fp"))
+    rows = [(1, 0), (None, 7), (2, 63), (None, 0x0FF1CE5ADD1E5), (None, 0x0FF1CE5ADD1E5)]
+    got = [(r.id, r.fp, r.component_id) for r in simhash.simhash_dedup(spark.createDataFrame(rows, "id long, fp long")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, 1), (None, 7, 1), (2, 63, 1), (None, 0x0FF1CE5ADD1E5, None), (None, 0x0FF1CE5ADD1E5, None)], key=str)
+
+
+def test_hot_fingerprints_are_broadcast_and_lose_nothing(spark):
+    from cairngrid.llm.common import join_named
+
+    rows = spark.createDataFrame([(i, i % 3) for i in range(300)] + [(1000, 7)], "id long, fp long")
+    named = spark.createDataFrame([(0, 100, 5), (1, 100, 6), (2, 100, 8), (7, 1, 9)], "fp long, size long, c long")
+    for hot in (10**6, 99, 0):
+        got = sorted((r.id, r.c) for r in join_named(rows, named, "fp", "size", hot).collect())
+        assert got == sorted([(i, [5, 6, 8][i % 3]) for i in range(300)] + [(1000, 9)])
