@@ -54,9 +54,9 @@ DOCS = [
 ITEMS = [(10, ITEM), (11, "tiny item"), (2, "the " * 11), (12, None), (13, "--"), (14, "never seen in any of these documents at all my friend"), (10, ITEM), (15, "né à là"), (None, "red barn")]
 
 
-@pytest.mark.parametrize("block", [200_000, 8])
+@pytest.mark.parametrize("block", [200_000, 7])
 def test_against_brute_force(spark, block):
-    assert run(spark, DOCS, ITEMS, block_terms=block) == brute(DOCS, ITEMS)
+    assert run(spark, DOCS, ITEMS, block_windows=block) == brute(DOCS, ITEMS)
 
 
 def test_table_against_brute_force(spark):
@@ -79,7 +79,7 @@ def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha gamma")], "item_id long, text string")
     win = dc.item_windows(items, "item_id", "text", 10)
     anchored = dc.rarest_terms(win, dc.term_counts(docs, win, "doc_id", "text"))
-    index = dc.build_index(docs, anchored, "doc_id", "text", 10)
+    index = dc.build_index(docs, anchored, "doc_id", "text")
     near = dc.proximity_matches(index, anchored, slop=3).join(index.where("head").select("row", "doc_id"), "row")
     assert sorted((r.doc_id, r.first_pos, r.second_pos) for r in near.collect()) == [(1, 0, 4), (3, 1, 0)]
     assert dc.phrase_matches(index, anchored).count() == 0
@@ -89,3 +89,34 @@ def test_no_python_in_the_plan(spark):
     sf = "/root/testdata/sf0.001"
     plan = dc.op3_inverted_index(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def brute_near(docs, items, slop, window=10):
+    """Items of which the two rarest occurring words of some window stand near their places."""
+    texts = [words(t) for _, t in docs]
+    n = {}
+    for w in texts:
+        for x in w:
+            n[x] = n.get(x, 0) + 1
+    out = [set() for _ in docs]
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            best = sorted((n[x], p, x) for p, x in enumerate(w[k : k + window]) if x in n)[:2]
+            for d, text in enumerate(texts):
+                at = [[q - p for q, x in enumerate(text) if x == y] for _, p, y in best]
+                if len(best) == 2 and any(abs(a - b) <= slop and a + best[0][1] != b + best[1][1] for a in at[0] for b in at[1]):
+                    out[d].add(i)
+    return out
+
+
+@pytest.mark.parametrize("block", [200_000, 7])
+def test_near_items_against_brute_force(spark, block):
+    docs = [*DOCS[:9], (20, ITEM.replace("lazy", "unheard")), (21, "fox far from any jumps over here " * 3), (22, "item then tiny")]
+    items = [(10, ITEM), (11, "tiny item"), (12, None), (14, "never seen in any of these documents at all my friend"), (16, "one whole new unheard-of passage: over the lazy")]
+    want = brute_near(docs, items, dc.SLOP)
+    exact = brute(docs, items)
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: set(r.near_ids) for r in dc.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_windows=block).collect()}
+    assert got == {k: {str(i) for i in w} for k, w in enumerate(want)}
+    assert "10" in got[9] and sum(r[4] for r in exact) < sum(map(bool, got.values()))
