@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairngrid.llm.common import append
+from cairngrid.llm.common import append, cut
 
 #: Hosts whose winning path is broadcast; more of them are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
@@ -27,106 +28,148 @@ DROP = frozenset("nav aside footer form button dialog menu label fieldset head".
 #: An open element that the start of another one ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body article section main div nav aside footer header form table ul ol dl td th".split())
-#: Words in class or id that mark what does not belong to the article.
-BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars rail widget widgets footer masthead topbar toolbar share sharing social related recommended recommendations "
-    "comment comments commentlist replies reply respond disqus discussion login search pagination pager skip hidden copyright".split()
+#: Words in class or id that mark what never belongs to the article.
+NEVER = frozenset(
+    "ad ads adv advert adverts advertisement adbox adsense sponsor sponsored cookie cookies consent gdpr popup modal newsletter subscribe subscription signup breadcrumb breadcrumbs pagination pager skip "
+    "comment comments commentlist replies reply respond disqus".split()
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>", re.S)
+#: Words that mark what seldom belongs to it: names of layouts and of topics hold them too, so an element that holds most of the text is kept all the same.
+SELDOM = frozenset(
+    "promo promotion banner notice notices notification overlay nav navbar navigation menu sidebar sidebars rail widget widgets footer masthead topbar toolbar share sharing social related recommended recommendations "
+    "discussion login search hidden copyright".split()
+)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>", re.S)
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-WORD = re.compile(r"[a-z]+")
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
+KEEP, WEAK, STRONG = 0, 1, 2
 
 
-def _label(tag: str, attrs: str) -> tuple[str, bool]:
-    """Generalised name of an element (digits count as one sign), and whether its class, id or role marks boilerplate."""
+def _label(tag: str, attrs: str) -> tuple[str, int]:
+    """Generalised name of an element (digits count as one sign), and how surely its class, id or role marks boilerplate."""
     if not attrs or attrs.isspace():
-        return tag, False
+        return tag, KEEP
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
     if not got:
-        return tag, False
+        return tag, KEEP
     names = [re.sub(r"\d+", "0", c) for c in got.get("class", "").split()]
     label = tag + "".join(f".{c}" for c in sorted(set(names)))
     if not names and got.get("id"):
         label += "#" + re.sub(r"\d+", "0", got["id"])
-    off = "hidden" in got or got.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
+    off = STRONG if "hidden" in got or got.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert") else KEEP
     for name in [*got.get("class", "").split(), got.get("id", "")]:
         words = [w.lower() for w in SPLIT.split(name) if w]
-        if not {"no", "has", "with", "without"} & set(words[:1]) and BOILERPLATE & set(words):
-            off = True
+        if not {"no", "has", "with", "without"} & set(words[:1]):
+            off = max(off, STRONG if NEVER & set(words) else WEAK if SELDOM & set(words) else KEEP)
     return label, off
 
 
 class Page:
-    """The elements of a page (parent, tag, label, dropped) and its runs of text (element, block, text, in a link)."""
+    """The elements of a page and its runs of text (element, block, text, in a link).
+
+    Per element: parent, tag, label, own mark, its container (the nearest block that is no paragraph or list, itself included), the nearest
+    article or main around it, and a hash of its path. Every list grows in page order; the work is in proportion to the page, however deep it nests.
+    """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.label, self.off = [-1], ["#"], ["#"], [False]
+        self.parent, self.tag, self.label, self.mark, self.container, self.article, self.hash = [-1], ["#"], ["#"], [KEEP], [0], [0], [0]
         self.runs: list[tuple[int, int, str, bool]] = []
-        stack, links, block, at, lower = [0], 0, 0, 0, None
-        for m in TAG.finditer(source):
-            if m.start() < at:
+        self.stack: list[int] = [0]
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.scopes: list[int] = [0]
+        self.links, block, at, lower, text_from = 0, 0, 0, None, 0
+        size = len(source)
+        while True:
+            start = source.find("<", at)
+            if start < 0:
+                break
+            if source.startswith("<!--", start):
+                self._text(block, source[text_from:start])
+                end = source.find("-->", start + 4)
+                at = text_from = size if end < 0 else end + 3
+                continue
+            m = TAG.match(source, start) or PLAIN_TAG.match(source, start)
+            if m is None:
+                at = start + 1
+                if source.find(">", at) < 0:  # no tag can end any more
+                    break
                 continue
-            if m.start() > at:
-                self._text(stack[-1], block, source[at : m.start()], links)
-            at = m.end()
-            if m[2] is None:
+            self._text(block, source[text_from:start])
+            at = text_from = m.end()
+            if m.lastindex is None or m[2] is None:
                 continue
             name = m[2].lower()
             if m[1]:
+                if name == "br":
+                    self.runs.append((self.stack[-1], block, "\n", self.links > 0))
                 if name in VOID:
-                    block += name == "br"
                     continue
-                if name in BLOCK:
-                    block += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        links -= sum(self.tag[e] == "a" for e in stack[k:])
-                        del stack[k:]
-                        break
-                    if self.tag[stack[k]] in SCOPE and name not in SCOPE:
-                        break
+                block += name in BLOCK
+                k = self.open[name][-1] if self.open.get(name) else -1
+                if k > 0 and (name in SCOPE or k >= self.scopes[-1]):
+                    self._close(k)
                 continue
             if name == "br":
-                self.runs.append((stack[-1], block, "\n", links > 0))
+                self.runs.append((self.stack[-1], block, "\n", self.links > 0))
                 continue
             if name in BLOCK:
                 block += 1
-                ends = ENDS.get(name, ()) or {"p"}
-                for k in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[k]]
-                    if t in ends or t == "p":
-                        links -= sum(self.tag[e] == "a" for e in stack[k:])
-                        del stack[k:]
-                        if t != "p":
-                            break
-                    elif t in SCOPE and t not in ends:
+                ends = ENDS.get(name, set()) | {"p"}
+                while True:
+                    k = max((self.open[t][-1] for t in ends if self.open.get(t)), default=-1)
+                    if k < 1 or k < self.scopes[-1]:
+                        break
+                    ended = self.tag[self.stack[k]]
+                    self._close(k)
+                    if ended != "p":
                         break
             if name in VOID:
                 continue
             if name in RAW:
-                lower = lower if lower is not None else source.lower() if len(source.lower()) == len(source) else source
+                lower = lower if lower is not None else source.lower() if len(source.lower()) == size else source
                 end = lower.find(f"</{name}", at)
                 if not m[3].endswith("/"):
-                    at = len(source) if end < 0 else (source.find(">", end) + 1 or len(source))
+                    at = text_from = size if end < 0 else (source.find(">", end) + 1 or size)
                 continue
-            label, off = _label(name, m[3])
-            above = stack[-1]
-            inside = any(self.tag[e] in ("article", "main") for e in stack)
-            off = name not in ("html", "body", "main") and (off or name in DROP or name == "header" and not inside)
-            self.parent.append(above)
-            self.tag.append(name)
-            self.label.append(label)
-            self.off.append(self.off[above] or off)
-            stack.append(len(self.tag) - 1)
-            links += name == "a"
-        if at < len(source):
-            self._text(stack[-1], block, source[at:], links)
-
-    def _text(self, element: int, block: int, text: str, links: int) -> None:
-        if not self.off[element]:
-            self.runs.append((element, block, text, links > 0))
+            self._start(name, m[3])
+        self._text(block, source[text_from:])
+
+    def _start(self, name: str, attrs: str) -> None:
+        label, off = _label(name, attrs)
+        above, e = self.stack[-1], len(self.tag)
+        inside = self.article[above]
+        if name in ("html", "body"):
+            off = KEEP
+        elif name in ("article", "main"):
+            # the first article around a text is named after topics; one inside another article may be a comment or a card
+            off = off if off == STRONG or name == "article" == self.tag[inside] else KEEP
+        elif name in DROP or name == "header" and not inside:
+            off = STRONG
+        self.parent.append(above)
+        self.tag.append(name)
+        self.label.append(label)
+        self.mark.append(off)
+        self.container.append(e if name in BLOCK and name not in LEAF else self.container[above])
+        self.article.append(e if name in ("article", "main") else inside)
+        self.hash.append(zlib.crc32(label.encode("utf-8", "surrogatepass"), self.hash[above]))
+        self.open.setdefault(name, []).append(len(self.stack))
+        if name in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(e)
+        self.links += name == "a"
+
+    def _close(self, k: int) -> None:
+        """End the element at place ``k`` of the stack and all in it."""
+        while len(self.stack) > k:
+            name = self.tag[self.stack.pop()]
+            self.open[name].pop()
+            self.links -= name == "a"
+            if name in SCOPE:
+                self.scopes.pop()
+
+    def _text(self, block: int, text: str) -> None:
+        if text:
+            self.runs.append((self.stack[-1], block, text, self.links > 0))
 
     def path(self, e: int) -> str:
         out = []
@@ -135,15 +178,71 @@ class Page:
             e = self.parent[e]
         return ">".join(out[::-1])
 
+    def at_path(self, path: str) -> set[int]:
+        """The elements at a path."""
+        h = 0
+        for part in path.split(">"):
+            h = zlib.crc32(part.encode("utf-8", "surrogatepass"), h)
+        last = path.rsplit(">", 1)[-1]
+        return {e for e in range(1, len(self.tag)) if self.hash[e] == h and self.label[e] == last and self.path(e) == path}
+
+    def kept(self, roots: set[int]) -> list[bool]:
+        """For every element whether its text belongs to the outermost of ``roots`` around it: no mark stands between the two.
+
+        Marks on and above a root do not count. A weak mark is lifted where the element holds more text outside links
+        than all that is unmarked below the root, and more than it has in links.
+        """
+        n = len(self.tag)
+        if not any(m == WEAK for m in self.mark):
+            out = [False] * n
+            for e in range(n):
+                out[e] = e in roots or e > 0 and not self.mark[e] and out[self.parent[e]]
+            return out
+        root, marked = [-1] * n, [-1] * n  # the outermost marked element between an element and its root, itself included
+        lifted: set[int] = set()
+        amount = [0] * n
+        linked = [0] * n
+        for e, _, text, link in self.runs:
+            size = len(text) if not text.isspace() else 0
+            (linked if link else amount)[e] += size
+        while True:
+            for e in range(n):
+                up = self.parent[e]
+                if up >= 0 and root[up] >= 0:
+                    root[e] = root[up]
+                    marked[e] = marked[up] if marked[up] >= 0 else e if self.mark[e] and e not in lifted else -1
+                else:
+                    root[e], marked[e] = (e if e in roots else -1), -1
+            free: dict[int, int] = {}
+            held: dict[int, list[int]] = {}
+            # what a marked element would bring in: its text, less that of marked elements in it
+            inner = [-1] * n
+            for e in range(n):
+                if root[e] < 0:
+                    continue
+                if marked[e] < 0:
+                    free[root[e]] = free.get(root[e], 0) + amount[e]
+                    continue
+                top = marked[e]
+                inner[e] = top if e == top else -1 if inner[self.parent[e]] < 0 or self.mark[e] and e not in lifted else top
+                if inner[e] == top:
+                    h = held.setdefault(top, [0, 0])
+                    h[0] += amount[e]
+                    h[1] += linked[e]
+            best = max((e for e in held if self.mark[e] == WEAK and held[e][0] > max(held[e][1], free.get(root[e], 0))), key=lambda e: held[e][0], default=-1)
+            if best < 0:
+                return [root[e] >= 0 and marked[e] < 0 for e in range(n)]
+            lifted.add(best)
+
     def best(self) -> tuple[int, float]:
         """The container with the highest score; -1 without any text."""
+        kept = self.kept({0})
         score: dict[int, float] = {}
         for e, _, text, link in self.runs:
             n = len(text.strip())
-            if not n or link:
+            if not n or link or not kept[e]:
                 continue
-            while e > 0 and (self.tag[e] not in BLOCK or self.tag[e] in LEAF):
-                e = self.parent[e]
+            e = self.container[e]
             score[e] = score.get(e, 0) + n
             if e > 0:
                 up = self.parent[e]
@@ -151,29 +250,15 @@ class Page:
         if not score:
             return -1, 0.0
         top = max(score, key=lambda e: (score[e], -e))
-        e = top
-        while e > 0:  # the article around the best section is the container
-            if self.tag[e] in ("article", "main"):
-                return e, score[top]
-            e = self.parent[e]
-        return top, score[top]
+        # the article around the best section is the container
+        return self.article[top] or top, score[top]
 
     def text(self, chosen: set[int]) -> str:
         """Blocks of the chosen elements, one per line."""
-        inside: dict[int, bool] = {}
-
-        def within(e: int) -> bool:
-            chain = []
-            while e >= 0 and e not in inside and e not in chosen:
-                chain.append(e)
-                e = self.parent[e]
-            v = e in chosen or (e >= 0 and inside[e])
-            inside.update(dict.fromkeys(chain, v))
-            return v
-
+        kept = self.kept(chosen)
         blocks: dict[int, list[str]] = {}
         for e, block, text, _ in self.runs:
-            if within(e) and not self.off[e]:
+            if kept[e]:
                 blocks.setdefault(block, []).append(text)
         lines = (" ".join(html.unescape("".join(x)).split()) for _, x in sorted(blocks.items()))
         return "\n".join(x for x in lines if x)
@@ -209,25 +294,24 @@ def winners(counted: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` plus ``main_path``, ``main_text`` and ``main_chars``; these names and ``main_host`` must be free.
+    """``pages`` plus ``main_path``, ``main_text`` and ``main_chars``; columns of these names, and ``main_host``, are replaced.
 
     A null or empty page, and one without text outside boilerplate, gives an empty text. Pages whose url is null or has no
     host vote together. Repeated rows come back as often as they came; an empty table gives an empty result.
     Blocks follow one another by one line break, white space inside is one space, nothing is capped.
     """
-    won = winners(votes(pages, url_col, html_col)).select(F.col("host").alias("main_host"), F.col("path").alias("main_path"))
-    few = won.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    pages = pages.drop("main_path", "main_text", "main_chars")
+    won = cut(winners(votes(pages, url_col, html_col)).select(F.col("host").alias("main_host"), F.col("path").alias("main_path")))
+    few = won.count() <= BROADCAST_HOSTS
     host = append(pages, [url_col], "main_host string", lambda c: [pa.array([host_of(u) for u in c[0]], pa.string())])
+    # beyond that, hosts of many pages are partitions that Spark splits as skewed
     rows = host.join(F.broadcast(won) if few else won, "main_host", "left").drop("main_host")
 
     def make(columns):
         texts = []
         for source, path in zip(*columns, strict=True):
             page = Page(source or "")
-            chosen = set()
-            if path is not None:
-                last = path.rsplit(">", 1)[-1]
-                chosen = {e for e in range(1, len(page.tag)) if page.label[e] == last and not page.off[e] and page.path(e) == path}
+            chosen = page.at_path(path) if path is not None else set()
             text = page.text(chosen) if chosen else ""
             if not text:
                 e, _ = page.best()

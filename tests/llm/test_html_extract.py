@@ -53,3 +53,39 @@ def test_host_votes_and_defined_cases(spark):
     assert [t for i, t in got if i == 9] == ["brief"]
     assert [t for i, t in got if i > 9] == ["", "", "kept", "kept"]
     assert hx.extract(df.limit(0)).count() == 0
+
+
+def test_names_of_layouts_and_topics_drop_no_article(spark):
+    body = "<h1>Title of it</h1><p>%s</p><p>%s</p>" % ("first paragraph of the article " * 4, "second paragraph, as long as that " * 4)
+    want = one(f"<div>{body}</div>")
+    assert want.startswith("Title of it\nfirst") and want.count("\n") == 2
+    for name in ("layout-with-sidebar", "content sidebar-right", "two-col-sidebar", "search-results", "share-economy", "main related"):
+        assert one(f'<body><nav><p>menu</p></nav><div class="{name}">{body}</div><footer><p>(c)</p></footer></body>') == want, name
+    assert one(f'<body><article class="post social-issues">{body}<div class="share"><p>Share it</p></div></article></body>') == want
+    half = body.split("</h1>")
+    assert one(f'<body><article>{half[0]}</h1><section id="notices-of-1912">{half[1]}</section></article></body>') == want
+    assert one(f'<body><div class="page related">{body}<div class="related"><p>Other</p></div><section class="comments"><p>{"a comment " * 90}</p></section></div></body>') == want
+
+
+def test_comments_and_notices_longer_than_the_article_go():
+    long = "words that do not belong here " * 30
+    assert one(f'<body><div id="cookie-consent"><p>{long}</p></div><div class="story"><p>Short text.</p></div><div class="comments"><p>{long}</p></div></body>') == "Short text."
+    assert one(f'<body><article><p>Short text.</p><div class="comments"><p>{long}</p></div></article><aside><p>{long}</p></aside></body>') == "Short text."
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    assert one("<div>" * 100_000 + "<p>t</p>") == "t"
+    assert time.time() - began < 3
+    for source in ("<b>" * 50_000 + "<p>t" * 2, "<p><table><tr><td>" * 20_000 + "t", "</p></li></div>" * 50_000 + "t", "<b>" * 30_000 + "</p>" * 30_000 + "t", "<a " * 50_000, "<!-- " * 50_000, '<a title="' * 20_001 + "<p>t</p>"):
+        began = time.time()
+        one(source)
+        assert time.time() - began < 5, source[:30]
+
+
+def test_clashing_names_are_replaced(spark):
+    df = spark.createDataFrame([("http://a/", "<p>kept</p>", "x", 1)], "url string, html string, main_text string, main_path int")
+    got = hx.extract(df).collect()
+    assert got[0].main_text == "kept" and got[0].asDict().keys() == {"url", "html", "main_path", "main_text", "main_chars"}
