@@ -7,6 +7,7 @@ Bloom filter on ``doc_id`` let readers skip stripes and row groups, and readers
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -26,6 +27,16 @@ BATCH = 256
 PIECE = 1 << 20
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
+#: The parts of a tokenizers file that the shortcuts below hold for, as its JSON states them; fixed values.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 #: Where a text holds nothing else than these letters, ASCII without an apostrophe, and plain white space, its runs of letters
 #: and its runs of other signs are encoded apart by this tokenizer: cutting there changes no id.
 _PLAIN = re.compile("[\x00-\x08\x0e-\x1b\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ\t\n\r ]*")
@@ -39,14 +50,16 @@ _SPACE = re.compile("[\t\n\r ]+")
 class Encoder:
     """Encodes whole texts with one tokenizers file, looking repeated words up.
 
-    The tokenizer drops white space and merges inside words only, so a text's ids are those of its
-    white-space-free chunks in order. Each worker keeps about ``MEMO_WORDS`` of them.
+    A tokenizer with the normaliser and the splitter below drops white space and merges inside words only, so a text's ids are those
+    of its white-space-free chunks in order. Each worker keeps about ``MEMO_WORDS`` of them. With any other file whole texts are encoded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        form = json.loads(self.tokenizer.to_str())
+        self.known = form["normalizer"] == NORMALIZER and form["pre_tokenizer"] == SPLITTER and form["post_processor"] is None and not form["model"].get("dropout")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -57,6 +70,8 @@ class Encoder:
         return [x for x in _SPACE.split(text) if x]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.known:
+            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         parts = [self._chunks(t) for t in texts]
         seen = set().union(*parts)
         if len(self.memo) > MEMO_WORDS // 2:  # the older half goes, what is still in use moves over word by word
@@ -107,7 +122,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 seq += n
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    placed = rows.repartitionByRange("doc_id", F.hash("text")).sortWithinPartitions("doc_id", "text")
+    # ranges and files have one order: id, hash of the text, text
+    placed = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return placed.mapInArrow(run, "doc_id long, seq long, ids array<int>").withColumn("part", F.spark_partition_id())
 
 
@@ -148,7 +164,7 @@ def token_output(docs: DataFrame, tokenizer_path: str | None = None, id_col: str
     """Write the token files, read them back and describe every document: (doc_id, start, n_tokens, ids_crc32).
 
     A null or empty text is the end id alone. Rows without an id come first; rows with the same id stand in
-    the order of their texts, so repeated rows are stored as often as they came. An empty table writes
+    the order of a hash of their texts, so repeated rows are stored as often as they came. An empty table writes
     no document. Other columns are ignored, whatever their names. Without ``path`` the files go below the shared checkpoint folder.
     """
     spark = docs.sparkSession

@@ -71,6 +71,21 @@ def test_defined_cases(spark, tmp_path):
     rows = [(3, "b", 1, "x"), (3, "a", 2, "x"), (3, "a", 2, "x"), (None, None, 3, "y"), (-5, "", 4, None), (9, "w " * 5000, 5, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, seq int, part string")
     got = sorted(map(tuple, to.token_output(df, PATH).select(F.coalesce("doc_id", F.lit(-99)), "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
-    want = brute([(-99, None), (-5, ""), (3, "a"), (3, "a"), (3, "b"), (9, "w " * 5000)])
+    same = [r.text for r in df.where("doc_id = 3").orderBy(F.xxhash64("text")).collect()]
+    want = brute([(-99, None), (-5, ""), *[(3, t) for t in same], (9, "w " * 5000)])
     assert got == want
     assert to.token_output(df.limit(0), PATH).count() == 0
+
+
+def test_rows_of_one_id_keep_their_order_over_ranges(spark):
+    rows = [(1, f"text number {k}") for k in range(3000)] + [(0, "first"), (2, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in to.token_output(df, PATH).collect()), key=lambda r: r[1])
+    order = [(r.doc_id, r.text) for r in df.orderBy("doc_id", F.xxhash64("text")).collect()]
+    assert got == brute(order)
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    enc = to.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Hello  World's\n\nend", "", "  lead", "é ñ"]
+    assert not enc.known and [x.tolist() for x in enc.encode(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
