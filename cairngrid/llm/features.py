@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+BATCH = 256
 BUCKETS = 4096
 ORDERS = (2, 3)
 CHUNK = 1 << 20
@@ -74,20 +79,31 @@ def words_of(text: str | None) -> set[str]:
     return {w.strip(".,;:!?\"'()[]*#%&$|") for w in (text or "").lower().split()}
 
 
-def choose_words(texts, y: np.ndarray, most: int = 1000, least_docs: int = 5, least_z: float = 4) -> list[str]:
-    """The words whose presence tells the classes of ``y`` (n x k, 0 or 1) apart best by smoothed log-odds against chance; at most ``most``."""
-    seen = [Counter() for _ in range(y.shape[1])]
-    for t, row in zip(texts, y, strict=True):
-        seen[int(np.argmax(row))].update(words_of(t))
-    total = y.sum(axis=0)
-    words = sorted({w for own in seen for w in own if sum(o[w] for o in seen) >= least_docs})
-    if not words:
+def choose_words(rows: DataFrame, most: int = 1000, least_docs: int = 5, least_z: float = 4) -> list[str]:
+    """The words whose presence tells the classes of ``rows`` (text, class) apart best by their deviation from chance; at most ``most``.
+
+    Words are counted per batch of texts in the executors and added up in Spark; only the chosen ones reach the driver.
+    """
+    total = {r[0]: r[1] for r in rows.groupBy("class").count().collect()}
+    n_all = sum(total.values())
+
+    def run(batches):
+        for b in batches:
+            seen: dict[str, Counter] = {}
+            for c, t in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), strict=True):
+                seen.setdefault(c, Counter()).update(words_of(t))
+            out = [(c, w, n) for c, own in seen.items() for w, n in own.items()]
+            cols = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["class", "word", "n"])
+
+    if len(total) < 2:
         return []
-    c = np.array([[own[w] for own in seen] for w in words], float)
-    n, share = c.sum(axis=1, keepdims=True), total / total.sum()
-    z = np.abs(c - n * share) / np.sqrt(n * share * (1 - share) + 1)
-    top = z.max(axis=1)
-    return [words[i] for i in np.argsort(-top, kind="stable")[:most] if top[i] >= least_z]
+    by_class = rows.select("class", "text").mapInArrow(run, "class string, word string, n long").groupBy("word").agg(*[F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"c{k}") for k, c in enumerate(total)])
+    n = sum((F.col(f"c{k}") for k in range(len(total))), F.lit(0))
+    shares = [v / n_all for v in total.values()]
+    z = [F.abs(F.col(f"c{k}") - F.col("n") * s) / F.sqrt(F.col("n") * s * (1 - s) + 1) for k, s in enumerate(shares)]
+    best = by_class.withColumn("n", n).where(F.col("n") >= least_docs).select("word", F.greatest(*z).alias("z")).where(F.col("z") >= least_z)
+    return [r.word for r in best.orderBy(F.desc("z"), "word").limit(most).collect()]
 
 
 class Texts:
@@ -111,10 +127,33 @@ class Texts:
 
 def text_vectors(texts, words: dict[str, int]) -> np.ndarray:
     """Vectors of many texts, in batches: word sets are large."""
-    parts = [Texts(texts[k : k + 256]).vectors(words) for k in range(0, len(texts), 256)]
+    parts = [Texts(texts[k : k + BATCH]).vectors(words) for k in range(0, len(texts), BATCH)]
     return np.concatenate(parts) if parts else Texts([]).vectors(words)
 
 
+def sampled_vectors(rows: DataFrame, words: dict[str, int], most: int) -> tuple[list[tuple], np.ndarray]:
+    """The columns of ``rows`` but ``text``, and the vectors of their texts (half precision on the way), of at most ``most`` rows, in the order of the columns.
+
+    Vectors are made in the executors, so no text reaches the driver.
+    """
+    others = [f for f in rows.schema.fields if f.name != "text"]
+
+    def run(batches):
+        for b in batches:
+            text = b.column(0)
+            for at in range(0, b.num_rows, BATCH):
+                x = Texts(text.slice(at, BATCH).to_pylist()).vectors(words).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, BATCH) for k in range(1, b.num_columns)), pa.array([v.tobytes() for v in x], pa.binary())], names=[*(f.name for f in others), "x"])
+
+    made = rows.select("text", *[f.name for f in others]).mapInArrow(run, T.StructType([*others, T.StructField("x", T.BinaryType())]))
+    got = [(tuple(r)[:-1], bytes(r.x)) for r in made.limit(most).toLocalIterator()]
+    got.sort(key=lambda g: (repr(g[0]), g[1]))
+    x = np.zeros((len(got), 1024 + len(words)), np.float32)
+    for k, (_, v) in enumerate(got):
+        x[k] = np.frombuffer(v, np.float16)
+    return [g for g, _ in got], x
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)

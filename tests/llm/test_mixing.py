@@ -11,7 +11,7 @@ def projected(n, p, target, steps=20000):
     m = (p * n[:, None]).T @ p
     r, g = np.ones(len(n)), np.linalg.pinv(m)
     for _ in range(steps):
-        r = np.clip(r - p @ g @ ((r * n) @ p - target), 0, mixing.MAX_RATE)
+        r = np.maximum(r - p @ g @ ((r * n) @ p - target), 0)
     return r
 
 
@@ -22,14 +22,18 @@ def test_rates_meet_targets_and_brute_force(spark):
     df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "mix_tokens long, mix_p array<double>").coalesce(2).cache()
     weigh = np.linalg.pinv((p * n[:, None]).T @ p)
     off = lambda s: (s - target) @ weigh @ (s - target)
-    steps, got = mixing.fit_rates(df, target)
-    r = mixing._rates(p, steps, mixing.MAX_RATE)
+    fit = mixing.fit_rates(df, target)
+    r, got = mixing._rates(p, fit.steps), fit.totals
     want = projected(n, p, target)
     assert (r >= 0).all() and np.allclose((r * n) @ p, got)
     assert off(got) <= off((want * n) @ p) + 0.01 * off(n @ p)
     feasible = np.array([0.4, 0.35, 0.25]) * n.sum()
-    _, got = mixing.fit_rates(df, feasible)
-    assert np.abs(got - feasible).sum() <= 1e-5 * n.sum()
+    fit = mixing.fit_rates(df, feasible, tolerance=1e-6)
+    assert fit.converged and np.abs(fit.totals - feasible).sum() <= 1e-5 * n.sum()
+    rare = 30 * feasible  # rates beyond any fixed bound
+    fit = mixing.fit_rates(df, rare)
+    assert fit.converged and np.abs(fit.totals - rare).sum() <= 2e-4 * rare.sum() and mixing._rates(p, fit.steps).max() > 20
+    assert not mixing.fit_rates(df, target, max_steps=1).converged
 
 
 def test_posteriors_and_totals_on_the_table(spark):
@@ -40,7 +44,7 @@ def test_posteriors_and_totals_on_the_table(spark):
     assert ok > 0.85
     tokens = out.agg(F.sum("n_tokens")).first()[0]
     good = out.agg(F.sum(F.col("rate") * F.col("n_tokens") * F.get("posterior", F.lit(0)))).first()[0]
-    assert abs(good / tokens - 0.93) < 0.01
+    assert abs(good / tokens - mixing.TARGETS["good"]) < 0.001
     assert out.where("rate < 0 or copies < 0 or abs(copies - rate) > 1").count() == 0
 
 
@@ -60,3 +64,14 @@ def test_defined_cases(spark):
     assert len(got) == 5 and all(r.mix_rate >= 0 for r in got)
     assert sorted(r.mix_tokens for r in got) == [0, 0, 3, 3, 9000]
     assert mixing.mix(docs.limit(0), labels, {"good": 1}).count() == 0
+
+
+def test_targets_change_the_mix_and_what_is_reached_is_told(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), mixing.labelled(spark.read.parquet(f"{SF}/labels.parquet"))
+    out = mixing.mixture(docs.withColumn("mix_rate", F.lit("x")), labels, mixing.TARGETS)
+    assert out.converged and all(abs(out.attained[d] - v) < 2e-4 * sum(out.wanted.values()) for d, v in out.wanted.items())
+    known = out.rows.join(labels, "doc_id").groupBy("domain").agg(F.avg("mix_rate")).collect()
+    rate = {r[0]: r[1] for r in known}
+    assert rate["good"] > 1 and rate["junk"] < 0.4 and rate["toxic"] < 0.3
+    with __import__("pytest").warns(UserWarning):
+        mixing.mix(docs, labels, {"good": 1, "toxic": 0}, max_steps=1)

@@ -23,14 +23,40 @@ def test_held_out_quality_and_toxicity(spark):
     assert sum(map(sum, models["quality"].added)) > 0
 
 
-def test_views_teach_each_other():
+def test_views_teach_each_other(spark):
     rnd = np.random.default_rng(0)
     y = rnd.integers(0, 2, 900)
-    texts = [("fine good words " if k else "bad junk noise ") * 3 + str(rnd.integers(99)) for k in y]
-    metas = [("a" if k else "b", "en", 50) for k in y]
-    m = quality.cotrain(texts[:60], metas[:60], y[:60], texts[60:600], metas[60:600])
-    p, t, v = m.scores(quality.features.text_vectors(texts[600:], m.words), quality.meta_vectors(metas[600:]))
-    assert all(auc(x, y[600:]) > 0.99 for x in (p, t, v)) and m.added[0][0] > 0
+    rows = [(i, ("fine good words " if k else "bad junk noise ") * 3 + str(rnd.integers(99)), "a" if k else "b", "en", 50) for i, k in enumerate(y.tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, k) for i, k in enumerate(y.tolist()) if i < 60], "doc_id long, quality int")
+    m = quality.train(docs.where("doc_id < 600"), labels, F.col("quality") == 1)
+    p, t, v = m.scores(quality.features.text_vectors([r[1] for r in rows[600:]], m.words), quality.meta_vectors([r[2:] for r in rows[600:]]))
+    assert all(auc(x, y[600:]) > 0.99 for x in (p, t, v)) and min(m.added[0]) > 0
+
+
+def test_a_round_takes_the_surest_of_all_unlabelled_rows(spark):
+    """Scores and picks against plain numpy over the whole pool."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("k"), "text", F.col("source").alias("m0"), F.col("lang").alias("m1"), F.col("n_chars").alias("m2")).where("text is not null")
+    docs = docs.withColumn("key", F.xxhash64("text", "m0", "m1", "m2"))
+    words = {"the": 0, "und": 1}
+    rnd = np.random.default_rng(1)
+    views = {"q": ((rnd.normal(size=(1026, 1)).astype(np.float32), np.zeros(1, np.float32)), (rnd.normal(size=(quality.META_BUCKETS, 1)).astype(np.float32), np.ones(1, np.float32)))}
+    scored = quality.pool_scores(docs, words, views).cache()
+    rows = docs.collect()
+    x = quality.features.text_vectors([r.text for r in rows], words)
+    want = {r.k: float(p) for r, p in zip(rows, quality._prob(x, *views["q"][0]), strict=True)}
+    got = {r.k: r.q_t for r in scored.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-5 for k, v in want.items())
+    key = {r.k: r.key for r in rows}
+    top = {}
+    for k, v in got.items():
+        if v >= 0.7:
+            top[key[k]] = max(top.get(key[k], 0), round(v, 3))
+    picked = [r.key for r in quality.surest(scored, "q_t", 1, 25, 0.7, None).collect()]
+    least = sorted(top.values(), reverse=True)[min(25, len(top)) - 1]
+    assert len(set(picked)) == len(picked) == min(25, len(top)) and min(top[k] for k in picked) == least
+    gone = spark.createDataFrame([(k,) for k in picked], "key long")
+    assert not set(picked) & {r.key for r in quality.surest(scored, "q_t", 1, 25, 0.7, gone).collect()}
 
 
 def test_defined_cases(spark):
