@@ -20,6 +20,7 @@ from cairngrid.llm.common import append
 
 UNKNOWN = "und"
 MAX_TRAIN_ROWS = 2400
+SPARE = 2
 MARGIN = 0.2
 BATCH = 256
 
@@ -67,7 +68,8 @@ class Model:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fit the bit classifiers on a bounded sample of the labelled rows: at most about ``max_rows`` in all, spread evenly over the languages.
 
-    Language counts cover all labelled rows; the sample is drawn by a hash of the id, so it is the same on every run.
+    Language counts cover all labelled rows; the sample is drawn by a hash of id and text, so it is the same on every run. Rows that are alike in both
+    are drawn together or not at all; ``SPARE`` times the bound is never passed.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     count = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
@@ -76,7 +78,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         return Model([], np.ones((0, 1)), np.zeros((features.BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
     each = max(1, max_rows // len(languages))
     share = F.create_map(*[v for k in languages for v in (F.lit(k), F.lit(min(1.0, each / count[k])))])
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < share[F.col(lang_col).cast("string")])
 
     def vectors(batches):
@@ -85,7 +87,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 x = features.matrix(b.column(0).slice(at, BATCH).to_pylist()).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1).slice(at, BATCH)], names=["x", "lang"])
 
-    got = sorted((r.lang, bytes(r.x)) for r in sample.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(vectors, "x binary, lang string").toLocalIterator())
+    got = sorted((r.lang, bytes(r.x)) for r in sample.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(vectors, "x binary, lang string").limit(SPARE * max_rows).toLocalIterator())
     lang = np.searchsorted(languages, [k for k, _ in got])
     x = np.empty((len(got), features.BUCKETS), np.float32)
     for k in range(len(got)):
@@ -111,8 +113,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return out.select("id", F.col("pred_lang").alias("lang_pred"), F.col("pred_score").alias("score"), F.col("pred_ambiguous").alias("ambiguous"))
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """``docs`` plus pred_lang, pred_score and pred_ambiguous, as ``identify`` defines them; these names must be free."""
+def with_language(docs: DataFrame, model: Model, text_col: str = "text", margin: float = MARGIN, prefix: str = "pred_") -> DataFrame:
+    """``docs`` plus pred_lang, pred_score and pred_ambiguous, as ``identify`` defines them; columns of these names are replaced, unless another prefix is given."""
 
     def make(columns):
         text = columns[0]
@@ -125,7 +127,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", margin:
                 pred[k] = model.languages[i]
         return [pa.array(pred), pa.array(score), pa.array(close)]
 
-    return append(docs, [text_col], "pred_lang string, pred_score double, pred_ambiguous boolean", make)
+    return append(docs, [text_col], f"{prefix}lang string, {prefix}score double, {prefix}ambiguous boolean", make)
 
 
 def held_out(id_col: str = "doc_id"):

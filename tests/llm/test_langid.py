@@ -42,3 +42,19 @@ def test_defined_cases(spark):
     assert {r.lang_pred for r in langid.identify(rows, none).collect()} == {"und"}
     one = langid.train(train.where("lang = 'en'"))
     assert {r.lang_pred for r in langid.identify(rows.where("doc_id = 4"), one).collect()} == {"en"}
+
+
+def test_decoding_against_brute_force():
+    rnd = np.random.default_rng(6)
+    for k in (1, 2, 3, 5, 9):
+        codes = langid.codebook(k)
+        b = codes.shape[1]
+        m = langid.Model([f"l{i}" for i in range(k)], codes, rnd.normal(size=(12, b)), rnd.normal(size=b), rnd.uniform(0.1, 2, b))
+        x = rnd.normal(size=(50, 12))
+        best, p, gap = m.decode(x)
+        for row, i, q, g in zip(x, best, p, gap, strict=True):
+            f = row @ m.weights + m.bias
+            loss = [sum(w * np.log1p(np.exp(-c * v)) for w, c, v in zip(m.bit_weight, code, f, strict=True)) for code in codes]
+            order = sorted(range(k), key=lambda j: loss[j])
+            assert order[0] == i and np.isclose(q, np.exp(-loss[i]) / sum(np.exp(-v) for v in loss))
+            assert np.isclose(g, loss[order[1]] - loss[i]) if k > 1 else np.isinf(g)

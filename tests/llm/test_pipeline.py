@@ -75,6 +75,23 @@ def test_repeated_ids_leave_one(spark):
     assert Counter(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == {1: 1, 2: 1}
 
 
+def test_rows_with_equal_or_no_ids_are_judged_by_their_own_texts(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_number string, pred_lang string, mix_rate string"
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    long = " ".join(f"w{k * k % 97}" for k in range(300))
+    rows = [(1, "one two three four"), (1, "one two three four"), (1, long), (None, long + " tail"), (None, "quite another text stands here"), (None, "and a third one without an id"), (2, item), (None, "so " + item), (2, "a clean text with a dirty twin id")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, "x", "y", "z") for r in rows], schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    clean = corpus_pipeline.drop_contaminated(spark, kept, SF)
+    assert kept.columns == clean.columns == docs.columns
+    texts = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert texts[1, "one two three four"] == 1 and texts[1, long] == 1 and (None, long + " tail") not in texts
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter({k: n for k, n in texts.items() if item not in k[1]})
+    assert {(None, rows[4][1]), (None, rows[5][1]), (2, rows[8][1])} <= texts.keys()
+    for f in (corpus_pipeline.identify_language, corpus_pipeline.mix_domains):
+        assert f(spark, docs, SF).columns == docs.columns
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.lit(False))
     for _, f in corpus_pipeline.STAGES:
