@@ -12,33 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngrid.llm import decontaminate, langid, mixing, simhash, token_output
-from cairngrid.llm.common import shared_dir, table, without_ids
+from cairngrid.llm.common import free_name, numbered, shared_dir, table, without_rows
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of which no language can be told: a null text, or one without a letter."""
-    model = langid.train(docs.where(~langid.held_out()))
-    return langid.with_language(docs, model).where(F.col("pred_lang") != langid.UNKNOWN).select(docs.columns)
+    model, prefix = langid.train(docs.where(~langid.held_out())), free_name(docs.columns, "pred_")
+    return langid.with_language(docs, model, prefix=prefix).where(F.col(f"{prefix}lang") != langid.UNKNOWN).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays; of rows with the same id, one."""
-    found = simhash.simhash_dedup(docs)
-    kept = without_ids(docs, "doc_id", found.where("id <> component_id").select("id"))
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Of every group of near copies one row stays: that of the smallest id (rows without one come last), then of the smallest text hash.
+
+    Rows are told apart by a number of their own, so rows that share an id, or have none, are judged each by its text.
+    """
+    rows, number = numbered(docs)
+    found = simhash.simhash_dedup(rows, id_col=number)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(number).alias("id"))
+    groups = found.join(rows.select(F.col(number).alias("id"), order.alias("place")), "id")
+    best = groups.groupBy("component_id").agg(F.min("place")["id"].alias("id"))
+    return without_rows(rows, number, found.select("id").join(best.select("id"), "id", "left_anti"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, "doc_id", found.where("contaminated").select("doc_id"))
+    """Rows that hold a window of a benchmark item go, each judged by its own text."""
+    rows, number = numbered(docs)
+    found = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=number, slop=None)
+    return without_rows(rows, number, found.where("contaminated").select("doc_id"))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as their fitted rate says."""
-    out = mixing.mix(docs, mixing.labelled(table(spark, sf_dir, "labels")), mixing.TARGETS)
-    return out.where("mix_copies > 0").withColumn("mix_n", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(docs.columns)
+    prefix = free_name(docs.columns, "mix_")
+    out = mixing.mix(docs, mixing.labelled(table(spark, sf_dir, "labels")), mixing.TARGETS, prefix=prefix)
+    copies = F.col(f"{prefix}copies").cast("int")
+    return out.where(copies > 0).withColumn(f"{prefix}n", F.explode(F.sequence(F.lit(1), copies))).select(docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
