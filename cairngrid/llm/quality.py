@@ -172,7 +172,6 @@ def train_all(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], id
     learners = {name: _learner(y[:, i], xt, xm) for i, name in enumerate(targets)}
     live = {name: v for name, v in learners.items() if v}
     added: dict[str, list[tuple[int, int]]] = {name: [] for name in live}
-    free = view.join(known.select("k"), "k", "left_anti")
     taken: dict[tuple[str, str], set[int]] = {(name, v): set() for name in live for v in "tm"}
     for _ in range(rounds if live else 0):
         scored = stored(pool_scores(view, words, {name: v.views() for name, v in live.items()}).join(known.select("k"), "k", "left_anti"))
@@ -189,7 +188,8 @@ def train_all(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], id
         if not picks:
             break
         keys = spark.createDataFrame([(k,) for k in sorted({p[0] for p in picks})], "key long")
-        rows = free.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("text", "m0", "m1", "m2")])
+        # whatever row holds a picked content will do, so no text moves before the picks are found
+        rows = view.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("text", "m0", "m1", "m2")])
         found, vectors = features.sampled_vectors(rows.select("text", "key", "m0", "m1", "m2"), words, len(picks))
         place = {g[0]: i for i, g in enumerate(found)}
         metas = meta_vectors([g[1:4] for g in found])
