@@ -118,5 +118,13 @@ def tiles_for(points: DataFrame, key: str, tile_lat: float, tile_lng: float, sou
     return rows.select(key, "i", j.alias("j")).select(key, F.concat_ws("_", "i", "j").alias("tile"))
 
 
+def inside_coverage(lat: Column, lng: Column, regions: list[tuple[float, float, float, float]]) -> Column:
+    """Whether a point lies in some region (south, west, north, east), borders included."""
+    out = F.lit(False)
+    for south, west, north, east in regions:
+        out = out | (lat.between(south, north) & lng.between(west, east))
+    return out
+
+
 def format_latlng(lat: Column, lng: Column, digits: int = 5) -> Column:
     return F.format_string(f"%.{digits}f, %.{digits}f", lat, lng)

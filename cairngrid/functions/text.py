@@ -64,15 +64,19 @@ _HEALTH = re.compile(rf"\b(?:{'|'.join(HEALTH_WORDS)})\b", _A | re.I)
 _COMMON = frozenset(COMMON_WORDS)
 
 
-def redact_text(text: str | None) -> tuple[str | None, int, int, int, int]:
-    """(text, phones, e-mails, names, health words): contact details, then names, then health words are replaced."""
+def redact_text(text: str | None, strict: bool = False) -> tuple[str | None, int, int, int, int]:
+    """(text, phones, e-mails, names, health words): contact details, then names, then health words are replaced.
+
+    A capitalised word that also stands in lower case in the text as given counts as an ordinary word, even if only an e-mail address
+    holds it; ``strict`` looks at the text without contact details and titled names, so an address does not shield its owner's name.
+    """
     if text is None:
         return None, 0, 0, 0, 0
-    usual = set(_RE["lower"].findall(text))
+    given = text
     text, mails = _RE["email"].subn("[contact]", text)
     text, phones = _RE["phone"].subn("[contact]", text)
     text, names = _RE["titled"].subn("[person]", text)
-    runs = 0
+    usual, runs = set(_RE["lower"].findall(text if strict else given)), 0
 
     def name(m: re.Match) -> str:
         nonlocal runs
@@ -86,13 +90,13 @@ def redact_text(text: str | None) -> tuple[str | None, int, int, int, int]:
     return text, phones, mails, names + runs, health
 
 
-def redact(df: DataFrame, key: str, text: str) -> DataFrame:
+def redact(df: DataFrame, key: str, text: str, strict: bool = False) -> DataFrame:
     """(key, text, phone, email, name, health); names need a look at each run of words, so batches go through Arrow."""
     kind = dict(df.dtypes)[key]
 
     def run(batches):
         for pdf in batches:
-            got = [redact_text(t) for t in pdf["t"]]
+            got = [redact_text(t, strict) for t in pdf["t"]]
             yield pd.DataFrame({key: pdf[key], "text": [g[0] for g in got], **{n: [g[i] for g in got] for i, n in enumerate(("phone", "email", "name", "health"), 1)}})
 
     return df.select(key, F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, text string, phone int, email int, name int, health int")
@@ -123,11 +127,16 @@ def read_local(text: Column) -> dict[str, Column]:
 
 
 def parse_reply(text: str) -> tuple[dict, list[str]]:
-    """(fields, discarded names) of a reader's JSON reply, fenced or not: allowed keys with valid values; half a point is dropped."""
-    m = re.search(r"```(?:json)?\s*(.*?)```", text, re.S)
-    raw = json.loads(m[1] if m else text)
+    """(fields, discarded names) of a reader's JSON reply, fenced or not: allowed keys with valid values; half a point is dropped.
+
+    A reply that is no JSON, or no object, has no fields and says so among the discarded names.
+    """
+    try:
+        raw = json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", text.strip()))
+    except (ValueError, RecursionError):
+        return {}, ["(reply was not JSON)"]
     if not isinstance(raw, dict):
-        raise ValueError("the reply is no object")
+        return {}, ["(reply was not an object)"]
     num = lambda lo, hi: lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and lo <= v <= hi
     checks = dict(zip(REPLY_KEYS, (num(-90, 90), num(-180, 180), ("IPP", "LKP", "PLS").__contains__, num(0, 360), SUBJECTS.__contains__, ("mountainous", "flat").__contains__), strict=True))
     out, gone = {}, []
@@ -142,6 +151,38 @@ def parse_reply(text: str) -> tuple[dict, list[str]]:
     return out, gone
 
 
+def _filled(field: dict, name: str, kind: str):
+    v = field.get(name)
+    return float(v) if v is not None and kind == "double" else v
+
+
+REPLY_DDL = "lat double, lng double, pointKind string, travelBearingDeg double, subjectCategory string, terrain string, discarded array<string>"
+
+
+def parse_replies(df: DataFrame, key: str, reply: str) -> DataFrame:
+    """(key, lat, lng, pointKind, travelBearingDeg, subjectCategory, terrain, discarded) for a column of replies; a null reply is no JSON. No reply fails the job."""
+    kind = dict(df.dtypes)[key]
+    names = [(n, k) for n, k in (c.strip().split(" ", 1) for c in REPLY_DDL.split(",")) if n != "discarded"]
+
+    def run(batches):
+        for pdf in batches:
+            got = [parse_reply(t or "") for t in pdf["t"]]
+            yield pd.DataFrame({key: pdf[key], **{n: pd.Series([_filled(f, n, k) for f, _ in got], dtype="float64" if k == "double" else "object") for n, k in names}, "discarded": [g for _, g in got]})
+
+    return df.select(key, F.col(reply).alias("t")).mapInPandas(run, f"{key} {kind}, {REPLY_DDL}")
+
+
+def read_incidents(df: DataFrame, key: str, text: str, enabled: bool = True) -> DataFrame:
+    """(key, sent, phone, email, name, health, lat, lng, point_kind, bearing, category, terrain): redacted first, then read by patterns from what is left.
+
+    A reader that is switched off is refused before anything is read.
+    """
+    if not enabled:
+        raise ValueError("the reader is switched off")
+    clean = redact(df, key, text).withColumnRenamed("text", "sent")
+    return clean.select(key, "sent", "phone", "email", "name", "health", *[c.alias(n) for n, c in read_local(F.col("sent")).items()])
+
+
 _AXIS = re.compile(r"^\s*([NSEW])?\s*(-)?\s*(\d{1,3}(?:\.\d+)?)\s*[°d]?\s*(?:(\d{1,2}(?:\.\d+)?)\s*['′m]?\s*(?:(\d{1,2}(?:\.\d+)?)\s*(?:\"|″|''|s)?\s*)?)?([NSEW])?\s*$", re.I)
 _UTM = re.compile(r"^(?:zone\s*)?(\d{1,2})\s*([C-HJ-NP-X])?\s*,?\s*(\d{6}(?:\.\d+)?)\s*(?:m?\s*E)?\s*,?\s*(\d{7}(?:\.\d+)?)\s*(?:m?\s*N)?$", re.I)
 _A_WGS, _F_WGS, _K0 = 6_378_137.0, 1 / 298.257223563, 0.9996

@@ -12,8 +12,18 @@ SEARCH_OBJECTS = ("responsive", "unresponsive", "clue")
 
 # The invented sweep widths of the built-in exercise (resource, vegetation, slope, metres for a responsive subject).
 EXERCISE_SWEEP_WIDTHS = [
-    ("GROUND", "open", "any", 40.0),
-    ("GROUND", "open", "steep", 30.0),
+    ("GROUND", "open", "any", 60.0),
+    ("GROUND", "light", "any", 40.0),
+    ("GROUND", "moderate", "any", 20.0),
+    ("GROUND", "dense", "any", 10.0),
+    ("DOG_TRAIL", "open", "any", 100.0),
+    ("DOG_TRAIL", "light", "any", 80.0),
+    ("DOG_TRAIL", "moderate", "any", 60.0),
+    ("DOG_TRAIL", "dense", "any", 40.0),
+    ("AIR", "open", "any", 200.0),
+    ("AIR", "light", "any", 100.0),
+    ("AIR", "moderate", "any", 40.0),
+    ("AIR", "dense", "any", 10.0),
 ]
 
 

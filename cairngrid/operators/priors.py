@@ -73,25 +73,33 @@ def distance_ring_prior(spark: SparkSession, cells: DataFrame, point: tuple[floa
     """(cell_id, p, outside) from annuli (inner, outer, prob) around an uncertain point.
 
     Each offset of the point counts its rings' cells; a ring's probability spreads over its analytic area, at most all
-    of it over its unmasked cells, and what falls off the grid or on no valid cell goes outside. Offsets are a list of at
-    most 49 rows and are broadcast; counts per (offset, ring) are a partial aggregate of at most 49 x rings rows.
+    of it over its unmasked cells, and what falls off the grid or on no valid cell goes outside. The offsets, 49 at most, are an array
+    inside each cell's row: the counts per (offset, ring) are a partial aggregate of at most 49 x rings rows, their shares come back as one
+    broadcast row, and no cell is shuffled.
     """
-    area = cell_size * cell_size
-    offs = spark.createDataFrame([(k, float(point[0] + x), float(point[1] + y), w) for k, (x, y, w) in enumerate(gaussian_offsets(sigma, cell_size))], "off int, ox double, oy double, w double")
-    d = distance(F.col("cx"), F.col("cy"), F.col("ox"), F.col("oy"))
-    ring = F.lit(None).cast("int")
-    for k in range(len(rings) - 1, -1, -1):
-        ring = F.when(F.col("d") < rings[k][1], k).otherwise(ring)
+    area, k = cell_size * cell_size, len(rings)
+    offsets = gaussian_offsets(sigma, cell_size)
+
+    points = F.array(*[F.struct(F.lit(float(point[0] + x)).alias("x"), F.lit(float(point[1] + y)).alias("y")) for x, y, _ in offsets])
+
+    def slot(o: Column, n: Column) -> Column:
+        """offset * rings + ring of a cell, null beyond the last ring."""
+        d = distance(F.col("cx"), F.col("cy"), o["x"], o["y"])
+        out = F.lit(None).cast("int")
+        for r in range(k - 1, -1, -1):
+            out = F.when(d < rings[r][1], n * k + r).otherwise(out)
+        return out
+
     valid = F.coalesce(mask, F.lit(False)) if mask is not None else F.lit(True)
-    placed = cells.select("cell_id", "cx", "cy", valid.alias("valid")).crossJoin(F.broadcast(offs)).withColumn("d", d).withColumn("ring", ring).where("ring is not null")
-    table = spark.createDataFrame([(k, float(p), math.pi * (o * o - i * i)) for k, (i, o, p) in enumerate(rings)], "ring int, prob double, annulus double")
-    count = placed.groupBy("off", "ring").agg(F.sum(F.col("valid").cast("long")).alias("nv"), F.sum((~F.col("valid")).cast("long")).alias("nm")).join(F.broadcast(table), "ring")
+    placed = cells.select("cell_id", valid.alias("valid"), F.transform(points, slot).alias("slots"))
+    table = spark.createDataFrame([(n * k + r, float(w), float(p), math.pi * (o * o - i * i)) for n, (_, _, w) in enumerate(offsets) for r, (i, o, p) in enumerate(rings)], "slot int, w double, prob double, annulus double")
+    each = placed.select("valid", F.explode("slots").alias("slot")).where("slot is not null")
+    count = each.groupBy("slot").agg(F.sum(F.col("valid").cast("long")).alias("nv"), F.sum((~F.col("valid")).cast("long")).alias("nm")).join(F.broadcast(table), "slot")
     usable = F.greatest(F.col("annulus") - F.col("nm") * area, F.col("nv") * area)
-    share = count.where("nv > 0").select("off", "ring", (F.col("prob") * F.least(1 / F.col("nv"), area / usable)).alias("share"))
-    got = placed.where("valid").join(F.broadcast(share), ["off", "ring"]).groupBy("cell_id").agg(F.sum(F.col("w") * F.col("share")).alias("p"))
-    full = cells.select("cell_id").join(got, "cell_id", "left").select("cell_id", F.coalesce("p", F.lit(0.0)).alias("p"))
-    out = full.agg(F.greatest(F.lit(0.0), 1 - F.sum("p")).alias("outside"))
-    return full.crossJoin(F.broadcast(out))
+    share = count.where("nv > 0").select("slot", "nv", (F.col("w") * F.col("prob") * F.least(1 / F.col("nv"), area / usable)).alias("share"))
+    one = share.agg(F.map_from_entries(F.collect_list(F.struct("slot", "share"))).alias("shares"), F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum(F.col("share") * F.col("nv")), F.lit(0.0))).alias("outside"))
+    p = F.aggregate("slots", F.lit(0.0), lambda total, s: total + F.coalesce(F.col("shares")[s], F.lit(0.0)))
+    return placed.crossJoin(F.broadcast(one)).select("cell_id", F.when(F.col("valid"), p).otherwise(0.0).alias("p"), "outside")
 
 
 def route_corridor(cells: DataFrame, route: list[tuple[float, float]], decay: float, buffer: float, outside: float, mask: Column | None = None, by: list[str] = ()) -> DataFrame:
@@ -105,7 +113,10 @@ def route_corridor(cells: DataFrame, route: list[tuple[float, float]], decay: fl
 
 
 def mixture(components: list[tuple[str, float, DataFrame]]) -> DataFrame:
-    """(cell_id, p, outside, contributions map<component, p>) of weighted surfaces (id, weight, surface)."""
+    """(cell_id, p, outside, contributions map<component, p>) of weighted surfaces (id, weight, surface).
+
+    All components must have the same cells, each once; a cell that one of them lacks raises an error.
+    """
     ids, weights = [i for i, *_ in components], [w for _, w, _ in components]
     if len(set(ids)) != len(ids) or any(not w >= 0 for w in weights) or abs(sum(weights) - 1) > 1e-10:
         raise ValueError("components need unique ids and nonnegative weights that sum to 1")
@@ -113,7 +124,9 @@ def mixture(components: list[tuple[str, float, DataFrame]]) -> DataFrame:
     for i, w, s in components:
         r = s.select(F.lit(i).alias("component"), "cell_id", (F.col("p") * w).alias("p"), (F.col("outside") * w).alias("outside"))
         rows = r if rows is None else rows.unionByName(r)
-    return rows.groupBy("cell_id").agg(F.sum("p").alias("p"), F.sum("outside").alias("outside"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("component", "p")))).alias("contributions"))
+    both = rows.groupBy("cell_id").agg(F.sum("p").alias("p"), F.sum("outside").alias("outside"), F.array_sort(F.collect_list(F.struct("component", "p"))).alias("c"))
+    whole = F.size("c") == len(components)
+    return both.select("cell_id", F.when(whole, F.col("p")).otherwise(F.raise_error(F.lit("components must be surfaces of the same grid")).cast("double")).alias("p"), "outside", F.map_from_entries("c").alias("contributions"))
 
 
 def route_weighted_prior(corridor: DataFrame, background: DataFrame, confidence: float) -> DataFrame:

@@ -47,6 +47,38 @@ def secured_inputs(inputs: DataFrame, incidents: DataFrame, members: DataFrame,
     return rows.drop("cutoff_", *[c for c in HIDDEN if c in inputs.columns])
 
 
+def incident_detail(incidents: DataFrame, inputs: dict[str, tuple[DataFrame, bool]], members: DataFrame, user_id, role: str | None, full_timeline: bool = False) -> DataFrame:
+    """(incident_id, kind, item_id, available_at, details) of the incidents a user may read: one package of all input tables.
+
+    ``inputs`` maps a kind to (rows with incident_id, item_id and, if timed, available_at; whether it is timed). Timed inputs are cut at the
+    incident's cutoff unless a privileged role asks for the full timeline; for other roles the cut stays. ``details`` are the rest of the row as JSON,
+    without hidden columns, so no outcome field is reachable. One filtered union of equi-joins on the incident.
+    """
+    visible = readable_incidents(incidents, members, user_id, role).select("incident_id", F.col("cutoff").alias("cutoff_"))
+    out = None
+    for kind, (df, timed) in sorted(inputs.items()):
+        rest = [c for c in df.columns if c not in ("incident_id", "item_id", "available_at", *HIDDEN)]
+        at = F.col("available_at").cast("timestamp") if timed else F.lit(None).cast("timestamp")
+        one = df.select("incident_id", F.lit(kind).alias("kind"), F.col("item_id").cast("string").alias("item_id"), at.alias("available_at"), (F.to_json(F.struct(*rest)) if rest else F.lit("{}")).alias("details"))
+        out = one if out is None else out.unionByName(one)
+    rows = out.join(visible, "incident_id")
+    if not full_timeline or role not in PRIVILEGED:
+        rows = rows.where(F.col("available_at").isNull() | (F.col("available_at") <= F.col("cutoff_")))
+    return rows.drop("cutoff_")
+
+
+def listed_by(df: DataFrame, keys: list[str], value: str, order: list[str], separator: str = ",") -> DataFrame:
+    """(keys, n, listed): the values of a key joined in the given order; nulls are left out."""
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).cast("string").alias("v_"))))).alias("all_"))
+    return rows.select(*keys, F.size("all_").cast("long").alias("n"), F.array_join(F.transform("all_", lambda r: r["v_"]), separator).alias("listed"))
+
+
+def with_member(array: Column, value: Column) -> Column:
+    """The array with ``value`` at its end, unless it is in it already; a null array counts as empty."""
+    known = F.coalesce(array, F.array().cast("array<string>"))
+    return F.when(F.array_contains(known, value), known).otherwise(F.array_append(known, value))
+
+
 def missing_baselines(runs: DataFrame, surfaces: DataFrame) -> DataFrame:
     """(run_id, surface_id): baselines (array of ids) that are no surface of the run's incident."""
     each = runs.select("run_id", "incident_id", F.explode("baselines").alias("surface_id"))

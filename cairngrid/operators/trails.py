@@ -125,18 +125,20 @@ def corridor_cells(cells: DataFrame, lines: DataFrame, half_width: float, key: s
 def cost_distance(cells: DataFrame, start: DataFrame, cols: int, cell_size: float, by: str = "grid_id") -> DataFrame:
     """(by, cell_id, cost) from start cells over cells (by, cell_id, mult): 8 neighbours, a step costs its length times the mean multiplier.
 
-    A negative, null or infinite multiplier cannot be entered; from a start of infinite cost nothing is reached. Shortest
+    A negative, null or infinite multiplier cannot be entered; from a start of infinite cost, or without one, nothing is reached. Shortest
     paths need a queue, so a grid is one group; grids run in parallel.
     """
 
     def walk(key, pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            raise ValueError("a start lies outside the grid")
         ids = pdf["cell_id"].to_numpy()
         n = int(ids.max()) + 1
         mult = np.full(n, np.nan)
         mult[ids] = pdf["mult"].to_numpy(float)
         best = np.full(n, np.inf)
         heap = []
-        for s in starts["cell_id"].tolist():
+        for s in starts["cell_id"].tolist() if len(starts) else []:
             if not 0 <= s < n:
                 raise ValueError("a start lies outside the grid")
             if mult[s] < np.inf:
@@ -159,4 +161,5 @@ def cost_distance(cells: DataFrame, start: DataFrame, cols: int, cell_size: floa
         return pd.DataFrame({by: key[0], "cell_id": ids, "cost": best[ids]})
 
     kind = dict(cells.dtypes)[by]
+    start = start.toDF(*start.columns).select(*[F.expr(f"coalesce({c}, {c})").alias(c) for c in (by, "cell_id")])  # may stem from ``cells``
     return cells.groupBy(by).cogroup(start.groupBy(by)).applyInPandas(walk, f"{by} {kind}, cell_id long, cost double")

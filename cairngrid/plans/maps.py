@@ -40,57 +40,58 @@ def q48_haversine(spark, d):
 
 
 def _all(df, column, *names):
-    """Points as the functions give them, with seven decimals; a second rounding, to six, would differ between engines at ties."""
+    """Points as the functions give them, with seven decimals."""
     return df.select("id", *names, F.posexplode(column).alias("i", "p")).select("id", *names, "i", F.col("p.lat").alias("lat2"), F.col("p.lng").alias("lng2"))
 
 
-def _explode(df, column, *names):
-    return _all(df, column, *names).withColumns({"lat2": F.round("lat2", 6), "lng2": F.round("lng2", 6)})
+RA, RO = _dest("lat", "lng", "(i % 72) * 5e0", "m")
 
 
-RA, RO = _dest("lat", "lng", "(i % 72) * 5e0", "m")
+RING_LINES = f"WITH {PT}, k AS (SELECT unnest(range(73))::INTEGER AS i) SELECT id, i, floor({RA} * 1e7 + 0.5e0) / 1e7 AS lat2, floor({RO} * 1e7 + 0.5e0) / 1e7 AS lng2 FROM pt CROSS JOIN k"
 
 
-@query(f"WITH {PT}, k AS (SELECT unnest(range(73))::INTEGER AS i) SELECT id, i, round(floor({RA} * 1e7 + 0.5e0) / 1e7, 6) AS lat2, round(floor({RO} * 1e7 + 0.5e0) / 1e7, 6) AS lng2 FROM pt CROSS JOIN k WHERE id < 40")
+@query(RING_LINES)
 def q49_ring_line(spark, d):
-    return _explode(places(spark, d).where("id < 40"), sph.ring_line(F.col("lat"), F.col("lng"), F.col("m")))
+    return _all(places(spark, d), sph.ring_line(F.col("lat"), F.col("lng"), F.col("m")))
 
 
-@query(f"WITH {PT}, k AS (SELECT unnest(range(73))::INTEGER AS i) SELECT id, i, floor({RA} * 1e7 + 0.5e0) / 1e7 AS lat2, floor({RO} * 1e7 + 0.5e0) / 1e7 AS lng2 FROM pt CROSS JOIN k")
+@query(RING_LINES)
 def q49b_all_ring_lines(spark, d):
-    return _all(places(spark, d), sph.ring_line(F.col("lat"), F.col("lng"), F.col("m")))
+    return q49_ring_line(spark, d)
 
 
 WA, WO = _dest("lat", "lng", "bearing - 45e0 + 5e0 * (i - 1)", "m")
 
 
-@query(f"WITH {PT}, k AS (SELECT unnest(range(21))::INTEGER AS i) SELECT id, i, round(floor((CASE WHEN i BETWEEN 1 AND 19 THEN {WA} ELSE lat END) * 1e7 + 0.5e0) / 1e7, 6) AS lat2, round(floor((CASE WHEN i BETWEEN 1 AND 19 THEN {WO} ELSE lng END) * 1e7 + 0.5e0) / 1e7, 6) AS lng2 FROM pt CROSS JOIN k WHERE id < 40")
+WEDGES = f"WITH {PT}, k AS (SELECT unnest(range(21))::INTEGER AS i) SELECT id, i, floor((CASE WHEN i BETWEEN 1 AND 19 THEN {WA} ELSE lat END) * 1e7 + 0.5e0) / 1e7 AS lat2, floor((CASE WHEN i BETWEEN 1 AND 19 THEN {WO} ELSE lng END) * 1e7 + 0.5e0) / 1e7 AS lng2 FROM pt CROSS JOIN k"
+
+
+@query(WEDGES)
 def q50_wedge(spark, d):
-    return _explode(places(spark, d).where("id < 40"), sph.wedge_polygon(F.col("lat"), F.col("lng"), F.col("m"), F.col("bearing"), F.lit(90.0)))
+    return _all(places(spark, d), sph.wedge_polygon(F.col("lat"), F.col("lng"), F.col("m"), F.col("bearing"), F.lit(90.0)))
 
 
-@query(f"WITH {PT}, k AS (SELECT unnest(range(21))::INTEGER AS i) SELECT id, i, floor((CASE WHEN i BETWEEN 1 AND 19 THEN {WA} ELSE lat END) * 1e7 + 0.5e0) / 1e7 AS lat2, floor((CASE WHEN i BETWEEN 1 AND 19 THEN {WO} ELSE lng END) * 1e7 + 0.5e0) / 1e7 AS lng2 FROM pt CROSS JOIN k")
+@query(WEDGES)
 def q50b_all_wedges(spark, d):
-    return _all(places(spark, d), sph.wedge_polygon(F.col("lat"), F.col("lng"), F.col("m"), F.col("bearing"), F.lit(90.0)))
+    return q50_wedge(spark, d)
 
 
 SA, SO = _dest("lat", "lng", "s * 45e0 - 22.5e0 + 5e0 * (CASE WHEN i < 10 THEN i WHEN i < 20 THEN 19 - i ELSE 0 END)", "CASE WHEN i < 10 OR i = 20 THEN m ELSE m / 2e0 END")
 
 
-def _sectors(points, show):
-    s = points.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    poly = sph.sector_polygon(F.col("lat"), F.col("lng"), F.col("m") / 2, F.col("m"), F.col("s") * 45 - 22.5, F.col("s") * 45 + 22.5)
-    return show(s.withColumn("sector", sph.sector_name(F.col("s"), 8)), poly, "sector")
+SECTORS = f"WITH {PT}, k AS (SELECT unnest(range(21))::INTEGER AS i), s AS (SELECT unnest(range(8))::INTEGER AS s) SELECT id, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][s + 1] AS sector, i, floor({SA} * 1e7 + 0.5e0) / 1e7 AS lat2, floor({SO} * 1e7 + 0.5e0) / 1e7 AS lng2 FROM pt CROSS JOIN k CROSS JOIN s"
 
 
-@query(f"WITH {PT}, k AS (SELECT unnest(range(21))::INTEGER AS i), s AS (SELECT unnest(range(8))::INTEGER AS s) SELECT id, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][s + 1] AS sector, i, round(floor({SA} * 1e7 + 0.5e0) / 1e7, 6) AS lat2, round(floor({SO} * 1e7 + 0.5e0) / 1e7, 6) AS lng2 FROM pt CROSS JOIN k CROSS JOIN s WHERE id < 10")
+@query(SECTORS)
 def q51_sectors(spark, d):
-    return _sectors(places(spark, d).where("id < 10"), _explode)
+    s = places(spark, d).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    poly = sph.sector_polygon(F.col("lat"), F.col("lng"), F.col("m") / 2, F.col("m"), F.col("s") * 45 - 22.5, F.col("s") * 45 + 22.5)
+    return _all(s.withColumn("sector", sph.sector_name(F.col("s"), 8)), poly, "sector")
 
 
-@query(f"WITH {PT}, k AS (SELECT unnest(range(21))::INTEGER AS i), s AS (SELECT unnest(range(8))::INTEGER AS s) SELECT id, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][s + 1] AS sector, i, floor({SA} * 1e7 + 0.5e0) / 1e7 AS lat2, floor({SO} * 1e7 + 0.5e0) / 1e7 AS lng2 FROM pt CROSS JOIN k CROSS JOIN s")
+@query(SECTORS)
 def q51c_all_sectors(spark, d):
-    return _sectors(places(spark, d), _all)
+    return q51_sectors(spark, d)
 
 
 BANDS = [("a", 0.0, 1000.0), ("a", 1000.0, 2000.0), ("a", 3000.0, 4000.0), ("b", 0.0, 500.0), ("b", 400.0, 450.0), ("c", 5.0, 6.0), ("c", 7.0, 8.0), ("c", 5.5, 7.0)]
@@ -126,7 +127,7 @@ def q54_split_evenly(spark, d):
 @query()
 def q55_join_lines(spark, d):
     k = F.col("s_suppkey")
-    ends = table(spark, d, "supplier").select(F.lit("f").alias("file"), k.alias("line_id"), F.explode(F.array(F.struct(F.lit(0).alias("seq"), (k % 60 * 10.0).alias("x")), F.struct(F.lit(1).alias("seq"), ((k + 1) % 60 * 10.0).alias("x")))).alias("e")).select("file", "line_id", "e.seq", "e.x", F.lit(0.0).alias("y"))
+    ends = table(spark, d, "supplier").select((k % 7).alias("file"), k.alias("line_id"), F.explode(F.array(F.struct(F.lit(0).alias("seq"), (k % 60 * 10.0).alias("x")), F.struct(F.lit(1).alias("seq"), ((k + 1) % 60 * 10.0).alias("x")))).alias("e")).select("file", "line_id", "e.seq", "e.x", F.lit(0.0).alias("y"))
     return trails.join_lines(ends, "file")
 
 
@@ -226,8 +227,9 @@ def q62_label_clean(spark, d):
 
 @query()
 def q12_cost_distance(spark, d):
-    c = cells(spark, d).select(F.lit(1).alias("grid_id"), "cell_id", F.when(F.col("p_size") < 48, F.col("p_size") / 10.0).alias("mult"))
-    start = literal(spark, "grid_id int, cell_id long", [(1, 0)])
+    """Grids of 500 cells, each its own group, from its first cell."""
+    c = cells(spark, d).select(F.floor(F.col("cell_id") / 500).alias("grid_id"), (F.col("cell_id") % 500).alias("cell_id"), F.when(F.col("p_size") < 48, F.col("p_size") / 10.0).alias("mult"))
+    start = c.where("cell_id = 0").select("grid_id", "cell_id")
     return rounded(trails.cost_distance(c, start, 50, 100.0))
 
 

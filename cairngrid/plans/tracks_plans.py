@@ -108,10 +108,13 @@ SEGMENT = "sg AS (SELECT p_partkey AS seg, 'GROUND' AS resource, CASE WHEN p_siz
 FOUND = f"{SWEEP}, {SEGMENT}, lk AS (SELECT sg.*, (SELECT responsive FROM sw WHERE sw.resource = sg.resource AND sw.vegetation = sg.vegetation AND (sw.slope = sg.slope OR sw.slope = 'any') ORDER BY (sw.slope <> sg.slope), sw.seq LIMIT 1) AS responsive FROM sg)"
 
 
+STEEP_ROWS = [("GROUND", "open", "any", 40.0), ("GROUND", "open", "steep", 30.0)]
+
+
 def segments(spark, d):
     p = table(spark, d, "part")
     s = p.select(F.col("p_partkey").alias("seg"), F.lit("GROUND").alias("resource"), F.when(F.col("p_size") % 5 == 0, "forest").otherwise("open").alias("vegetation"), F.when(F.col("p_size") % 3 == 0, "steep").otherwise("flat").alias("slope"), (F.col("p_size") + 5.0).alias("spacing"))
-    return pod.lookup_sweep_width(s, pod.sweep_table(spark), "seg")
+    return pod.lookup_sweep_width(s, pod.sweep_table(spark, STEEP_ROWS), "seg")
 
 
 @query(f"""WITH {FOUND}, o(object, share) AS (VALUES ('responsive', 1e0), ('unresponsive', 0.5e0), ('clue', 0.25e0)), c AS (SELECT seg, object, responsive * share / spacing AS coverage FROM lk CROSS JOIN o)

@@ -107,7 +107,7 @@ def test_length_is_conserved(spark):
 
 def test_segment_pod_classes(spark):
     s = spark.createDataFrame([(1, "GROUND", "open", "flat", 20.0), (2, "GROUND", "swamp", "flat", 20.0)], "seg int, resource string, vegetation string, slope string, spacing double")
-    got = {(r.seg, r.object): (r.pod, r["class"]) for r in pod.planned_segment_pod(pod.lookup_sweep_width(s, pod.sweep_table(spark), "seg"), "seg").collect()}
+    got = {(r.seg, r.object): (r.pod, r["class"]) for r in pod.planned_segment_pod(pod.lookup_sweep_width(s, pod.sweep_table(spark, [("GROUND", "open", "any", 40.0), ("GROUND", "open", "steep", 30.0)]), "seg"), "seg").collect()}
     assert [round(got[1, o][0], 4) for o in pod.SEARCH_OBJECTS] == [0.8647, 0.6321, 0.3935]
     assert [got[1, o][1] for o in pod.SEARCH_OBJECTS] == ["HIGH", "MEDIUM", "LOW"] and got[2, "clue"] == (None, None)
 
