@@ -1,18 +1,20 @@
-"""Exact removal of long repeated byte strings by sorting suffixes sampled at a content-defined cover.
-
-A suffix array over every byte of the corpus moves many times the corpus through shuffles. This operator keeps the shape
-of the difference-cover algorithm (sort sampled tuples, name them, merge the remaining suffixes through the
-sample, compare neighbours in the sorted order) but takes the cover from the content instead of from
-positions modulo 3: of all GRAM-byte grams inside a window of ``length`` bytes, the one with the smallest hash
-is the window's owner, so equal windows have their owner at the same place.
-
-1. Sampled tuples: consecutive window starts with one owner form a unit, named by the owner's gram and by all bytes its
-   windows cover. Sorted by these names, every unit but the first of its name only repeats earlier windows.
-2. Remaining suffixes: where one gram owns units of different names, the windows of the first unit of each
-   name are named themselves, sorted, and compared with their neighbours; all but the first of a name repeat.
-3. The removed windows' bytes are united per document.
-
-Names are pairs of 64-bit hashes. Positions are (document, byte) packed into a long, so "earlier" is an integer comparison.
+"""Exact removal of long repeated byte strings by a distributed difference cover.
+
+Only the order of the first ``length`` bytes of suffixes matters here, so a cover modulo ``v`` with v close to ``length`` takes the place of the
+cover modulo 3: for any two positions i and j some shift below v brings both into the sample, and equal strings of ``length`` bytes at i and j then
+have equal tuples of ``length - v + 1`` bytes at the two sampled positions.
+
+1. Sampled tuples: the tuples at all positions of the cover are named and sorted. A name that occurs once is settled: none of the
+   windows that rest on it alone repeats. Only the others go on.
+2. Names of names: the windows (suffixes cut after ``length`` bytes) that hold a repeated tuple are taken in units of consecutive starts, which the
+   smallest gram in each window marks off, and a unit is named by its gram and all bytes its windows cover. Sorted by these names, every unit
+   but the first of its name only repeats earlier windows.
+3. Remaining suffixes: where one gram owns units of different names, the windows of the first unit of each
+   name are named themselves, merged and sorted; neighbours of equal prefix are compared, all but the first repeat.
+4. The removed windows' bytes are united per document.
+
+Names are 64-bit hashes of the bytes, in pairs where they decide (gram with unit name, gram with window). Names of step 1 only leave things out: there, few bits
+are sent, and a collision costs work, not bytes. Positions are (document, byte) packed into a long, so "earlier" is an integer comparison.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairngrid.llm.common import stored
+from cairngrid.llm.common import cut, join_named, stored
 
 LENGTH = 100
 GRAM = 32
 PIECE = 1 << 20
+#: Sampled tuples that meet in one bucket, about.
+BUCKET = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOW = np.uint64((1 << 21) - 1)
@@ -142,21 +146,197 @@ def _repeats(*names: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
-def _all_units(docs: DataFrame, bits: int, length: int) -> DataFrame:
-    """(again, gram, name, pos, len) of every unit; ``again``: an equal unit stands earlier in the same piece."""
+def difference_cover(v: int) -> list[int]:
+    """Residues such that every difference modulo ``v`` occurs between two of them: a perfect difference set where one exists, else a greedy cover."""
+    k = next((k for k in range(2, 40) if k * (k - 1) + 1 == v), 0)
+
+    def extend(found: list[int], used: set[int]) -> list[int] | None:
+        if len(found) == k:
+            return found
+        for x in range(found[-1] + 1, v):
+            new = {(x - y) % v for y in found} | {(y - x) % v for y in found}
+            if len(new) == 2 * len(found) and not new & used and (got := extend([*found, x], used | new)):
+                return got
+        return None
+
+    if k and k < 10 and (got := extend([0, 1], {1, v - 1})):
+        return got
+    found, missing = [0], set(range(1, v))
+    while missing:
+        x = max(range(1, v), key=lambda x: len(missing & {d for y in found for d in ((x - y) % v, (y - x) % v)}))
+        missing -= {d for y in found for d in ((x - y) % v, (y - x) % v)}
+        found.append(x)
+    return sorted(found)
+
+
+def cover_modulus(length: int) -> int:
+    """The largest k(k - 1) + 1 up to 0.6 of the length: longer tuples than that would hardly be rarer."""
+    return max(k * (k - 1) + 1 for k in range(2, 10) if k * (k - 1) + 1 <= max(3, 0.6 * length))
+
+
+def _sampled(lengths: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, byte in the part) of the cover's positions, in order, for parts of documents at the given offsets; parts shorter than ``length`` have no window."""
+    v = cover_modulus(length)
+    member = np.zeros(v, bool)
+    member[difference_cover(v)] = True
+    count = np.where(lengths >= length, lengths - (length - v), 0)
+    part = np.repeat(np.arange(len(lengths)), count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    keep = np.flatnonzero(member[(at + offsets[part]) % v])
+    return part[keep], at[keep]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Ascending numbers as 16-bit differences, or as they are where one does not fit."""
+    d = np.diff(x, prepend=0)
+    return b"d" + d.astype("<u2").tobytes() if not len(d) or d.max() < 1 << 16 else b"w" + x.astype("<u4").tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(b, "<u2", offset=1), dtype=np.int64) if b[:1] == b"d" else np.frombuffer(b, "<u4", offset=1).astype(np.int64)
+
+
+def _tuples(docs: DataFrame, bits: int, length: int, buckets: int) -> DataFrame:
+    """(bucket, piece, names, samples, parts): per piece of text and bucket of names, 32 bits of each tuple's name and its number in the piece.
+
+    A name that a piece holds several times goes out once, and its samples are told as repeated at once, so a hot tuple costs one entry per piece. A row
+    without a bucket lists the piece's parts (document, offset, length).
+    """
+    width = length - cover_modulus(length) + 1
+
+    def run(batches):
+        for b in batches:
+            for raw, _, number, offset, first in _pieces(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), length):
+                lengths = np.diff(np.append(first, len(raw)))
+                part, at = _sampled(lengths, offset, length)
+                if not len(at):
+                    continue
+                start = first[part] + at
+                name = _name(_sums(raw), start, start + width)
+                order = np.argsort(name, kind="stable")
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = name[order][1:] != name[order][:-1]
+                alone = np.append(fresh[1:], True) & fresh
+                piece = int((number[0] << bits) + offset[0])
+                again, sent = np.sort(order[~alone]), order[fresh]
+                bucket = ((name[sent] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                by = np.lexsort((sent, bucket))
+                sent, bucket = sent[by], bucket[by]
+                edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+                low = (name[sent] & np.uint64(0xFFFFFFFF)).astype("<u4")
+                groups = list(zip(edge[:-1], edge[1:], strict=True))
+                parts = [{"n": int(n), "s": int(s), "len": int(k)} for n, s, k in zip(number, offset, lengths, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([*(int(bucket[x]) for x, _ in groups), None], pa.int32()),
+                        pa.array([piece] * (len(groups) + 1), pa.int64()),
+                        pa.array([*(low[x:y].tobytes() for x, y in groups), None], pa.binary()),
+                        pa.array([*(_packed(sent[x:y]) for x, y in groups), _packed(again)], pa.binary()),
+                        pa.array([None] * len(groups) + [parts], _PARTS),
+                    ],
+                    names=["bucket", "piece", "names", "samples", "parts"],
+                )
+
+    return docs.select("n", "text").mapInArrow(run, "bucket int, piece long, names binary, samples binary, parts array<struct<n:long,s:long,len:long>>")
+
+
+_PARTS = pa.list_(pa.struct([("n", pa.int64()), ("s", pa.int64()), ("len", pa.int64())]))
+
+
+def _repeated_tuples(tuples: DataFrame) -> DataFrame:
+    """(piece, samples, parts): of every bucket the samples whose name another piece has too."""
 
     def run(batches):
+        held: list[tuple] = []
+        bucket = None
         for b in batches:
-            for raw, ends, number, offset, first in _pieces(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), length):
+            for k, piece, names, samples, parts in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                if k != bucket and held:
+                    yield settle(held)
+                    held = []
+                bucket = k
+                if k is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([samples], pa.binary()), pa.array([parts], _PARTS)], names=["piece", "samples", "parts"])
+                else:
+                    held.append((piece, np.frombuffer(names, "<u4"), samples))
+        if held:
+            yield settle(held)
+
+    def settle(held):
+        name = np.concatenate([x for _, x, _ in held])
+        order = np.argsort(name, kind="stable")
+        same = name[order][1:] == name[order][:-1]
+        again = np.zeros(len(name), bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        edge, pieces, samples = np.cumsum([0, *(len(x) for _, x, _ in held)]), [], []
+        for (piece, _, packed), x, y in zip(held, edge[:-1], edge[1:], strict=True):
+            if again[x:y].any():
+                pieces.append(piece)
+                samples.append(_packed(_unpacked(packed)[again[x:y]]))
+        return pa.RecordBatch.from_arrays([pa.array(pieces, pa.int64()), pa.array(samples, pa.binary()), pa.nulls(len(pieces), _PARTS)], names=["piece", "samples", "parts"])
+
+    deal = F.coalesce(F.col("bucket").cast("long"), F.xxhash64("piece"))
+    return tuples.withColumn("deal", deal).repartition("deal").sortWithinPartitions("bucket").drop("deal").mapInArrow(run, "piece long, samples binary, parts array<struct<n:long,s:long,len:long>>")
+
+
+def candidate_marks(docs: DataFrame, bits: int, length: int) -> DataFrame:
+    """(n, marks): per document the places of its repeated sampled tuples, packed; documents without any are left out."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    v = cover_modulus(length)
+    buckets = max(16, -(-total * len(difference_cover(v)) // (v * BUCKET)))
+    found = _repeated_tuples(_tuples(docs, bits, length, int(buckets)))
+    listed = found.groupBy("piece").agg(F.collect_list("samples").alias("samples"), F.max("parts").alias("parts"))
+
+    def run(batches):
+        for b in batches:
+            numbers, marks = [], []
+            for samples, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = np.unique(np.concatenate([_unpacked(x) for x in samples]))
+                if not len(at):
+                    continue
+                part, byte = _sampled(np.array([p["len"] for p in parts]), np.array([p["s"] for p in parts]), length)
+                part, byte = part[at], byte[at]
+                edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+                for x, y in zip(edge[:-1], edge[1:], strict=True):
+                    p = parts[part[x]]
+                    numbers.append(p["n"])
+                    marks.append(_packed(byte[x:y] + p["s"]))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(marks, pa.binary())], names=["n", "marks"])
+
+    parts = stored(listed.select("samples", "parts").mapInArrow(run, "n long, marks binary"))
+    return parts.groupBy("n").agg(F.collect_list("marks").alias("marks"))
+
+
+def _all_units(marked: DataFrame, bits: int, length: int) -> DataFrame:
+    """(again, gram, name, pos, len) of every unit with a window that holds a repeated sampled tuple; rows: n, text, marks. ``again``: an equal unit stands earlier in the same piece."""
+    v = cover_modulus(length)
+
+    def run(batches):
+        for b in batches:
+            numbers = b.column(0).to_pylist()
+            marks = dict(zip(numbers, b.column(2).to_pylist(), strict=True))
+            for raw, ends, number, offset, first in _pieces(numbers, (x.as_py() for x in b.column(1)), length):
                 lo, hi, gram, name = units(raw, ends, length)
                 if not len(lo):
                     continue
                 part = np.searchsorted(first, lo, side="right") - 1
+                held = np.zeros(len(raw) + 1, np.int64)  # prefix sums: marked bytes of the piece
+                size = np.diff(np.append(first, len(raw)))
+                for n, s, f, k in zip(number.tolist(), offset.tolist(), first.tolist(), size.tolist(), strict=True):
+                    for m in marks[n]:
+                        at = _unpacked(m) - s
+                        held[1 + f + at[(at >= 0) & (at < k)]] = 1
+                np.cumsum(held, out=held)
+                keep = np.flatnonzero(held[np.minimum(hi + v, len(raw))] > held[lo])  # a sample in reach of some window start
+                lo, hi, gram, name, part = (x[keep] for x in (lo, hi, gram, name, part))
+                if not len(lo):
+                    continue
                 pos = (number[part] << bits) + offset[part] + lo - first[part]
                 again = _repeats(gram, name, pos=pos) if len(pos) > 1 else np.zeros(len(pos), bool)
                 yield pa.RecordBatch.from_arrays([pa.array(again), pa.array(gram.view(np.int64)), pa.array(name.view(np.int64)), pa.array(pos), pa.array((hi - lo + 1).astype(np.int32))], names=["again", "gram", "name", "pos", "len"])
 
-    return docs.select("n", "text").mapInArrow(run, "again boolean, gram long, name long, pos long, len int")
+    return marked.select("n", "text", "marks").mapInArrow(run, "again boolean, gram long, name long, pos long, len int")
 
 
 def _windows(rows: DataFrame, bits: int, length: int) -> DataFrame:
@@ -225,25 +405,26 @@ def _release(spark) -> None:
 
 
 def repeated_spans(docs: DataFrame, bits: int, length: int) -> DataFrame:
-    """(n, at, len): runs of window starts of document n whose window also starts earlier."""
+    """(n, runs, starts): window starts of document n whose window also starts earlier, in runs and one by one."""
     place = lambda: (F.shiftright("pos", bits).alias("n"), F.col("pos").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("at"))
+    marks = stored(candidate_marks(docs, bits, length))
+    _release(docs.sparkSession)
     # equal rows of one piece are dealt out by position instead of by name, so a hot name does not meet in one task
-    spread = lambda: F.when(F.col("again"), F.col("pos")).otherwise(F.col("gram"))
-    group = W.partitionBy("again", "key")
-    ordered = _all_units(docs, bits, length).withColumn("key", spread())
-    before = F.lag("name").over(group.orderBy("name", "pos"))
-    seen = ordered.withColumn("first", ~F.col("again") & ~F.coalesce(before == F.col("name"), F.lit(False)))
-    seen = seen.withColumn("several", F.min("name").over(group) != F.max("name").over(group)).where("not first or several")
-    marked = stored(seen.select(*place(), "len", "gram", "first"))
+    spread = F.when(F.col("again"), F.col("pos")).otherwise(F.col("name"))
+    order = F.row_number().over(W.partitionBy("again", "key", "gram").orderBy("pos"))
+    seen = _all_units(docs.join(marks, "n"), bits, length).withColumn("key", spread).withColumn("first", ~F.col("again") & (order == 1))
+    seen = stored(seen.select("pos", "len", "gram", "name", "first"))
     _release(docs.sparkSession)
-    listed = marked.where("first").groupBy("n").agg(F.collect_list(F.struct("at", "len", "gram")).alias("units"))
+    firsts = seen.where("first")
+    grams = cut(firsts.groupBy("gram").agg(F.min("name").alias("a"), F.max("name").alias("b"), F.count("*").alias("size")).where("a <> b").select("gram", "size"))
+    listed = join_named(firsts, grams, "gram", "size").select(*place(), "len", "gram").groupBy("n").agg(F.collect_list(F.struct("at", "len", "gram")).alias("units"))
     windows = _windows(docs.join(listed, "n").select("n", "text", "units"), bits, length)
     key = F.when(F.col("again"), F.col("pos")).otherwise(F.col("name"))
     rank = F.row_number().over(W.partitionBy("again", "key", "gram").orderBy("pos"))
     rest = windows.withColumn("key", key).withColumn("rank", rank).where("again or rank > 1").select(*place())
     single = stored(rest.groupBy("n").agg(F.collect_list("at").alias("starts")))
     _release(docs.sparkSession)
-    return marked.where("not first").groupBy("n").agg(F.collect_list(F.struct("at", "len")).alias("runs")).join(single, "n", "full")
+    return seen.where("not first").select(*place(), "len").groupBy("n").agg(F.collect_list(F.struct("at", "len")).alias("runs")).join(single, "n", "full")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
