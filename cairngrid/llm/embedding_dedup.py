@@ -5,11 +5,13 @@ vectors are compared pairwise; inside a pair of tiles the products of the leadin
 up first, what the remaining dimensions can add is bounded by the product of the two suffix norms
 (Cauchy-Schwarz), and rows, columns and in the end the whole tile are given up as soon as the cosine
 cannot reach the threshold. A coarse grid over the leading axes, whose cells are at least as wide as the
-largest distance of two linked unit vectors, leaves out pairs of tiles that lie too far apart.
+largest distance of two linked unit vectors, leaves out pairs of tiles that lie too far apart: a vector stays in its own cell
+and visits the earlier neighbour cells that it can reach, whose visitors share tiles whatever cell they come from.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairngrid.llm.common import connected_components, cut
+from cairngrid.llm.common import BROADCAST_IDS, connected_components, cut, join_named
 
 THRESHOLD = 0.9
 TILE_ROWS = 4096
@@ -90,6 +92,28 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray,
     return rows[:0], cols[:0]
 
 
+def cells_of(y: np.ndarray, width: float) -> tuple[np.ndarray, list[list[int]]]:
+    """Per row of leading coordinates its grid cell, and the earlier ones (lexicographically) of the neighbour cells within ``width`` of it.
+
+    Two vectors at most ``width`` apart share a cell, or the one in the later cell visits the other's. Cells are named by a 64-bit hash; names that
+    collide only cost comparisons.
+    """
+    c = np.floor(y / width).astype(np.int64)
+    low = y / width - c
+    back = low**2, (1 - low) ** 2
+    factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)[: c.shape[1]]
+    name = lambda k: (k.astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64).view(np.int64)
+    near: list[list[int]] = [[] for _ in range(len(y))]
+    for step in itertools.product((-1, 0, 1), repeat=c.shape[1]):
+        if step >= (0,) * c.shape[1]:
+            continue
+        far = sum((back[0] if s < 0 else back[1])[:, k] for k, s in enumerate(step) if s)
+        at = np.nonzero(far <= 1 + 1e-9)[0]
+        for k, v in zip(at.tolist(), name(c[at] + np.array(step)).tolist(), strict=True):
+            near[k].append(v)
+    return name(c), near
+
+
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels after joining the classes of ``i`` and ``j``; a label is the smallest index of its class."""
     while len(i):
@@ -109,6 +133,8 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _compare(axes: dict[int, np.ndarray], threshold: float, group: pa.Table) -> pa.Table:
     """Links between the two tiles of a group: per vector their number, counted by copies, and one root per local class."""
     x, side = _matrix(group.column("vec")), group.column("side").to_numpy()
+    if group.column("kind")[0].as_py() == "x" and len(np.unique(side)) < 2:  # no visitor, or no one at home, in this pair of tiles
+        return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
     ids, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
     u, _ = _unit(x)
     y = u @ axes[x.shape[1]]
@@ -156,35 +182,39 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         for b in batches:
             col = b.column(b.schema.get_field_index("vec"))
             size = pa.compute.list_value_length(col).to_numpy(zero_copy_only=False)
-            cells = [""] * len(size)
+            cell, visits = np.zeros(len(size), np.int64), [[] for _ in size]
             for d in np.unique(size):
                 at = np.nonzero(size == d)[0]
                 u, _ = _unit(_matrix(col.take(pa.array(at))))
-                c = np.floor(u @ axes[int(d)][:, :GRID_AXES] / width).astype(int)
-                for k, row in zip(at, c.tolist(), strict=True):
-                    cells[k] = ",".join(map(str, [int(d), *row]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.string())], names=[*b.schema.names, "cell"])
-
-    placed = cut(classes.mapInArrow(place, "vec array<double>, rep long, copies long, cell string"))
-    # the grid has a fixed number of cells per dimension, at most (2 / width + 2) ** GRID_AXES
-    sizes = {tuple(map(int, r.cell.split(","))): -(-r["count"] // tile_rows) for r in placed.groupBy("cell").count().collect()}
-    text = lambda c: ",".join(map(str, c))
-    near = [(text(p), text(q), sizes[p], sizes[q]) for p in sizes for q in sizes if p <= q and p[0] == q[0] and len(p) == len(q) and all(abs(s - t) <= 1 for s, t in zip(p[1:], q[1:], strict=True))]
-    spark = vectors.sparkSession
-    pairs = spark.createDataFrame(near, "p string, q string, np int, nq int")
-    chunk = spark.createDataFrame([(text(c), n) for c, n in sizes.items()], "cell string, chunks int")
-    tiles = placed.join(F.broadcast(chunk), "cell").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    one, two = F.least("chunk", "other"), F.greatest("chunk", "other")
-    within = tiles.join(F.broadcast(pairs.where("p = q")), F.col("cell") == F.col("p")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("p", one.alias("i"), "q", two.alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "rep", "copies", "vec")
-    first = tiles.join(F.broadcast(pairs.where("p <> q")), F.col("cell") == F.col("p")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("p", F.col("chunk").alias("i"), "q", F.col("other").alias("j"), F.lit(0).alias("side"), "rep", "copies", "vec")
-    second = tiles.join(F.broadcast(pairs.where("p <> q")), F.col("cell") == F.col("q")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("np") - 1))).select("p", F.col("other").alias("i"), "q", F.col("chunk").alias("j"), F.lit(1).alias("side"), "rep", "copies", "vec")
-    work = within.unionByName(first).unionByName(second)
-    found = cut(work.groupBy("p", "i", "q", "j").applyInArrow(lambda t: _compare(axes, threshold, t), "id long, n long, root long"))
+                y = u @ axes[int(d)][:, :GRID_AXES]
+                own, near = cells_of(y, width)
+                cell[at] = own
+                for k, v in zip(at, near, strict=True):
+                    visits[k] = v
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size.astype(np.int32)), pa.array(cell), pa.array(visits, pa.list_(pa.int64()))], names=[*b.schema.names, "d", "cell", "visits"])
+
+    placed = cut(classes.mapInArrow(place, "vec array<double>, rep long, copies long, d int, cell long, visits array<long>"))
+    chunks = lambda n: F.ceil(F.col(n) / tile_rows).cast("int")
+    guests = placed.select("d", F.explode("visits").alias("cell"))
+    tiles = placed.groupBy("d", "cell").agg(F.count("*").alias("home")).join(guests.groupBy("d", "cell").agg(F.count("*").alias("guest")), ["d", "cell"], "left")
+    tiles = cut(tiles.select("d", "cell", chunks("home").alias("homes"), F.coalesce(chunks("guest"), F.lit(0)).alias("guests")))
+    few = tiles.count() <= BROADCAST_IDS
+    at_home = lambda rows: rows.join(F.broadcast(tiles) if few else tiles, ["d", "cell"])
+    among = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = at_home(placed.drop("visits")).withColumn("tile", among("homes"))
+    one, two = F.least("tile", "other"), F.greatest("tile", "other")
+    within = home.withColumn("other", each("homes")).select("d", "cell", F.lit("w").alias("kind"), one.alias("i"), two.alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "rep", "copies", "vec")
+    hosts = home.where("guests > 0").withColumn("other", each("guests")).select("d", "cell", F.lit("x").alias("kind"), F.col("tile").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "rep", "copies", "vec")
+    visiting = at_home(placed.drop("cell").withColumn("cell", F.explode("visits"))).withColumn("tile", among("guests")).withColumn("other", each("homes"))
+    visiting = visiting.select("d", "cell", F.lit("x").alias("kind"), F.col("other").alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"), "rep", "copies", "vec")
+    work = within.unionByName(hosts).unionByName(visiting)
+    found = cut(work.groupBy("d", "cell", "kind", "i", "j").applyInArrow(lambda t: _compare(axes, threshold, t), "id long, n long, root long"))
     roots = connected_components(found, "id", "root").withColumnRenamed("id", "rep")
     counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
-    named = classes.join(counts, "rep", "left").join(roots, "rep", "left").select("vec", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    named = cut(classes.join(counts, "rep", "left").join(roots, "rep", "left").select("vec", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")))
     alone = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    out = rows.where("fine").join(named, "vec").select("id", "n_links", "component_id").unionByName(alone)
+    out = join_named(rows.where("fine"), named, "vec", "copies").select("id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("id") == F.col("component_id"))
 
 

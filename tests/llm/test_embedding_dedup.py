@@ -61,3 +61,27 @@ def test_bound_prunes_nothing_that_links():
     i, j = ed.linked(x, x, 0.6)
     p, q = np.nonzero(x @ x.T >= 0.6 - ed.SLACK)
     assert sorted(zip(i, j, strict=True)) == sorted(zip(p, q, strict=True))
+
+
+def test_linked_vectors_share_a_cell():
+    rnd = np.random.default_rng(4)
+    for axes in (1, 2, 4):
+        y = rnd.uniform(-1, 1, (300, axes))
+        own, near = ed.cells_of(y, 0.3)
+        for i in range(300):
+            for j in range(i):
+                if ((y[i] - y[j]) ** 2).sum() <= 0.09:
+                    assert own[i] == own[j] or own[i] in near[j] or own[j] in near[i]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.999])
+def test_other_thresholds_and_hot_vectors(spark, monkeypatch, threshold):
+    from cairngrid.llm import common
+
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(6, 8))
+    rows = [(k, (base[k % 6] + rnd.normal(size=8) * (0.02 if k % 2 else 0.4)).astype(np.float32).tolist()) for k in range(80)] + [(100 + k, [1.0] * 8) for k in range(60)]
+    want = brute(rows, threshold)
+    assert run(spark, rows, threshold=threshold, tile_rows=9) == want
+    monkeypatch.setattr(common.join_named, "__defaults__", (10,))
+    assert run(spark, rows, threshold=threshold) == want
