@@ -10,10 +10,11 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairngrid.operators.surface import checkpointed, running_before
+
 #: Keys that tell an outcome; a prefix match.
 OUTCOME_KEY = r"(?i)^(found|find|outcome|recovered|located_at)"
 _OUTCOME, _DECODER = re.compile(OUTCOME_KEY, re.ASCII), json.JSONDecoder(strict=False)
@@ -75,9 +76,9 @@ def case_metrics(surface: DataFrame, finds: DataFrame, cell_area_m2: float, floo
     rank is (higher + (ties - 1) / 2) / n and capture (higher + ties) / n, from counts of equal probabilities, not of cells
     one by one; the top masses hold max(1, round half up) cells.
     """
+    surface = checkpointed(surface)
     dist = surface.groupBy("p").agg(F.count("*").alias("ties"))
-    w = W.orderBy(F.desc("p"))
-    levels = dist.withColumn("higher", F.coalesce(F.sum("ties").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    levels = running_before(dist, [], [F.desc("p")], "ties", "higher")
     n = surface.agg(F.count("*").alias("n"), F.max("outside").alias("outside_p"))
     top = levels.crossJoin(F.broadcast(n)).agg(*[F.sum(F.col("p") * F.greatest(F.lit(0), F.least("ties", F.greatest(F.lit(1), F.floor(F.col("n") * f + 0.5)) - F.col("higher")))).alias(f"top{round(f * 100)}") for f in tops])
     j = finds.join(surface.select("cell_id", "p"), "cell_id", "left").join(levels, "p", "left").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(top))

@@ -6,7 +6,10 @@ thin set of rows, so the sums behind a normalisation are partial aggregates and
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-10
@@ -54,3 +57,27 @@ def densities(surface: DataFrame, cell_area: float) -> DataFrame:
 def in_domain_probability(surface: DataFrame, by: list[str] = ()) -> DataFrame:
     agg = F.sum("p").alias("in_domain")
     return surface.groupBy(*by).agg(agg) if by else surface.agg(agg)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once, in the checkpoint folder that the session names (``spark.checkpoint.dir``); a temporary one only in local sessions without it."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairngrid-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def running_before(df: DataFrame, by: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows before each one in the given order, per key.
+
+    Rows are dealt out in ranges of keys and order, summed within their range, and the ranges' totals (one row each) are carried on: a
+    single surface does not meet in one task.
+    """
+    ranges = checkpointed(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("range_", F.spark_partition_id()))
+    totals = ranges.groupBy(*by, "range_").agg(F.sum(value).alias("sum_"))
+    carried = F.sum("sum_").over(W.partitionBy(*by).orderBy("range_").rowsBetween(W.unboundedPreceding, -1))
+    base = totals.select(*by, "range_", F.coalesce(carried, F.lit(0)).alias("base_"))
+    inside = F.sum(value).over(W.partitionBy(*by, "range_").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return ranges.withColumn("in_", F.coalesce(inside, F.lit(0))).join(F.broadcast(base), [*by, "range_"]).withColumn(name, F.col("base_") + F.col("in_")).drop("range_", "in_", "base_")

@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairngrid.functions.geometry import distance
-from cairngrid.operators.surface import _with_sums, normalize
+from cairngrid.operators.surface import _with_sums, checkpointed, normalize, running_before
 
 EXTREME_SPREAD = 100.0
 
@@ -140,12 +139,14 @@ def sensitivity(prior: DataFrame, kernel: DataFrame, reliability: float, relevan
     return normalize(j.withColumns({"mass": F.col("p") * F.col("lr"), "outside_mass": F.col("outside") * (1 - F.col("q"))}), ["variant"])
 
 
-def highest_density(surface: DataFrame, level: float, by: list[str]) -> DataFrame:
+def highest_density(surface: DataFrame, level: float | Column, by: list[str]) -> DataFrame:
     """The smallest set of most probable cells of each surface that reaches ``level``; empty where a surface never does.
 
-    Ties go to the smaller cell id. A surface is one window partition; many surfaces run in parallel.
+    A level may be a column of the keys. Ties go to the smaller cell id. Cells are summed in ranges, so neither many surfaces nor one large one meet in one task.
     """
-    w = W.partitionBy(*by).orderBy(F.desc("p"), "cell_id")
-    before = F.coalesce(F.sum("p").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    total = F.sum("p").over(W.partitionBy(*by))
-    return surface.withColumns({"before": before, "total": total}).where((F.col("before") < level) & (F.col("total") >= level)).drop("total")
+    by, level = list(by), level if isinstance(level, Column) else F.lit(float(level))
+    surface = checkpointed(surface)
+    totals = surface.groupBy(*by).agg(F.sum("p").alias("total_"))
+    enough = totals.where(F.col("total_") >= level).select(*by)
+    rows = surface.join(enough, by) if by else surface.crossJoin(F.broadcast(enough.select(F.lit(True).alias("ok_")))).drop("ok_")
+    return running_before(rows, by, [F.desc("p"), F.asc("cell_id")], "p", "before").where(F.col("before") < level)

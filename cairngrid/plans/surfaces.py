@@ -292,11 +292,7 @@ def q24_sensitivity(spark, d):
 def q25_hpd(spark, d):
     levels = literal(spark, "level double", [(0.5,), (0.7,)])
     s = mixed(spark, d).select("cell_id", "p").crossJoin(F.broadcast(levels))
-    out = None
-    for v in (0.5, 0.7):
-        one = updates.highest_density(s.where(F.col("level") == v), v, ["level"]).select("level", "cell_id", "p")
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("p", F.round("p", 9))
+    return updates.highest_density(s, F.col("level"), ["level"]).select("level", "cell_id", F.round("p", 9).alias("p"))
 
 
 @query(f"""WITH {MIX}, r AS (SELECT cell_id, round(p, 7) AS p, round(outside, 7) AS outside FROM mix), f AS (SELECT s_suppkey AS find_id, CASE WHEN s_suppkey % 10 = 0 THEN -1 ELSE s_suppkey * 7 % 2000 END AS cell_id FROM supplier),
