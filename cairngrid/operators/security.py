@@ -19,6 +19,13 @@ def current_role(users: DataFrame, roles: DataFrame, user_id) -> str | None:
     return row[0] if row else None
 
 
+def active_roles(users: DataFrame, roles: DataFrame) -> DataFrame:
+    """(user_id, role) of all active users whose role is enabled; the table of roles is a handful of rows."""
+    enabled = roles.where("enabled").select("role")
+    few = enabled.limit(1001).count() <= 1000
+    return users.where("active").join(F.broadcast(enabled) if few else enabled, "role").select("user_id", "role")
+
+
 def readable_incidents(incidents: DataFrame, members: DataFrame, user_id, role: str | None) -> DataFrame:
     if role is None:
         return incidents.where(F.lit(False))
