@@ -19,6 +19,7 @@ are sent, and a collision costs work, not bytes. Positions are (document, byte)
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
 
@@ -146,6 +147,7 @@ def _repeats(*names: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.cache
 def difference_cover(v: int) -> list[int]:
     """Residues such that every difference modulo ``v`` occurs between two of them: a perfect difference set where one exists, else a greedy cover."""
     k = next((k for k in range(2, 40) if k * (k - 1) + 1 == v), 0)
