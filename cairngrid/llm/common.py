@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,10 +81,32 @@ def append(df: DataFrame, inputs: list[str], outputs: str, make: Callable[[list[
     return df.mapInArrow(run, T.StructType([*(df.schema.fields[k] for k in keep), *new.fields]))
 
 
+def plain_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is all rows of the Parquet files of one path and nothing else."""
+    files = docs.inputFiles()
+    if not files or "_metadata" in (c.lower() for c in docs.columns):
+        return False
+    first = files[0].removeprefix("file://")  # as a path is given to the reader
+    try:
+        return any(docs.sameSemantics(docs.sparkSession.read.parquet(r)) for r in [*[first] * (len(files) == 1), first.rsplit("/", 1)[0]])
+    except (PySparkException, Py4JJavaError):  # the folder is no single table
+        return False
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a row number of its own for every row, stored so that it is the same whenever it is read, and that column's name."""
+    """``docs`` with a row number of its own for every row, the same whenever it is read, and that column's name.
+
+    Rows of plain Parquet files are numbered by file and place in the file, without a copy; anything else is numbered and stored.
+    """
     name = free_name(docs.columns, "row_number")
-    return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
+    if not plain_scan(docs):
+        return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
+    file = f"{name}_file"
+    placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(name))
+    paths = sorted(r[0] for r in placed.select(file).distinct().collect())  # one per file
+    numbers = docs.sparkSession.createDataFrame([(p, k) for k, p in enumerate(paths)], f"{file} string, {name}_base long")
+    number = F.shiftleft(f"{name}_base", 40).bitwiseOR(F.col(name))
+    return placed.join(F.broadcast(numbers), file).select(*docs.columns, number.alias(name)), name
 
 
 def without_rows(rows: DataFrame, number: str, gone: DataFrame) -> DataFrame:

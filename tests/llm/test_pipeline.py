@@ -97,3 +97,20 @@ def test_empty_documents(spark):
     for _, f in corpus_pipeline.STAGES:
         out = f(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_row_numbers_are_those_of_the_files_or_stored(spark, tmp_path):
+    from cairngrid.llm.common import numbered, plain_scan
+
+    path = str(tmp_path / "d")
+    spark.range(1000).selectExpr("id % 7 as doc_id", "cast(id as string) as text", "'x' as row_number").repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    one = f"{SF}/documents.parquet"
+    assert plain_scan(docs) and plain_scan(spark.read.parquet(one))
+    for other in (docs.limit(10), docs.where("doc_id = 1"), docs.withColumn("z", F.explode(F.array(F.lit(1), F.lit(2)))), docs.union(docs), docs.sample(0.5), spark.createDataFrame([(1, "a")], "doc_id long, text string")):
+        assert not plain_scan(other)
+        rows, number = numbered(other)
+        assert rows.select(number).distinct().count() == rows.count()
+    rows, number = numbered(docs)
+    first = {r[number]: r.text for r in rows.collect()}
+    assert len(first) == 1000 and first == {r[number]: r.text for r in rows.repartition(3).collect()} and number != "row_number"
