@@ -168,3 +168,34 @@ def line_legs(spark: SparkSession, line: list[tuple[float, float]], **keys) -> D
     rows = [(*keys.values(), i, float(a[0]), float(a[1]), float(b[0]), float(b[1])) for i, (a, b) in enumerate(zip(line, line[1:], strict=False))]
     kinds = ", ".join(f"{k} string" for k in keys)
     return spark.createDataFrame(rows, f"{kinds}{', ' if keys else ''}leg_no int, ax double, ay double, bx double, by double")
+
+
+def ring_area(ring: Column) -> Column:
+    """Signed shoelace area of a closed array<struct<x,y>>: positive where it runs counter-clockwise."""
+    terms = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2
+
+
+def label_point(ring: Column) -> Column:
+    """Where to put a closed ring's title, as struct<x,y>: the middle of the widest run (the first of equal ones) across its middle row; its first vertex if no edge crosses that row."""
+    ys = F.transform(ring, lambda p: p["y"])
+    row = (F.array_min(ys) + F.array_max(ys)) / 2
+    sides = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda p, q: F.when((p["y"] > row) != (q["y"] > row), p["x"] + (row - p["y"]) * (q["x"] - p["x"]) / (q["y"] - p["y"])))
+    xs = F.array_sort(F.array_compact(sides))
+    pairs = F.filter(xs, lambda x, i: i % 2 == 0)
+    runs = F.transform(pairs, lambda x, i: F.struct((F.get(xs, 2 * i + 1) - x).alias("width"), (-i).alias("order"), ((x + F.get(xs, 2 * i + 1)) / 2).alias("x")))
+    best = F.array_max(F.filter(runs, lambda r: r["width"].isNotNull()))
+    first = F.get(ring, F.lit(0))
+    return F.when(best.isNull(), F.struct(first["x"].alias("x"), first["y"].alias("y"))).otherwise(F.struct(best["x"].alias("x"), row.alias("y")))
+
+
+def nice_distance(m: Column) -> Column:
+    """The largest of 1, 2 and 5 times a power of ten that is not above ``m``."""
+    p = F.pow(F.lit(10.0), F.floor(F.log10(m)))
+    return F.when(5 * p <= m, 5 * p).when(2 * p <= m, 2 * p).otherwise(p)
+
+
+def feature_kind(geometry: Column, title: Column, cls: Column) -> Column:
+    """ring, wedge, trail, area or sector of a map feature; null for points and what has no geometry."""
+    t = F.coalesce(title, F.lit(""))
+    return F.when(geometry == "LineString", "ring").when(geometry == "Polygon", F.when(F.coalesce(cls != "Assignment", F.lit(True)), "wedge").when(t.startswith("T-"), "trail").when(t.startswith("A-"), "area").otherwise("sector"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from cairngrid.functions import geometry as geo
+from cairngrid.functions import terrain
 from cairngrid.functions import text as txt
 from cairngrid.operators import security, versions
-from cairngrid.plans.base import query, rounded, table
+from cairngrid.plans.base import CELLS, cells, query, rounded, table
 from cairngrid.sources import importers as imp
 from cairngrid.streaming import feeds
 
@@ -87,3 +89,37 @@ def q91_surface_codec(spark, d):
         return pd.DataFrame([(pdf["incident_id"].iloc[0], len(again), round(float(again.sum()), 6), 8 * (len(again) + (rest == 0.25)))], columns=["incident_id", "n", "total", "n_bytes"])
 
     return table(spark, d, "supplier").select(F.col("s_nationkey").alias("incident_id"), F.col("s_acctbal").alias("v")).groupBy("incident_id").applyInPandas(run, "incident_id int, n long, total double, n_bytes long")
+
+
+def _hash_sql(i: str, j: str) -> str:
+    h = f"xor((({i}) * 374761393::HUGEINT + ({j}) * 668265263::HUGEINT) % 4294967296, 1540483477::HUGEINT)"
+    m = f"((xor({h}, ({h}) // 8192)) * 1274126177::HUGEINT) % 4294967296"
+    return f"(xor({m}, ({m}) // 65536)::DOUBLE / 4294967295e0)"
+
+
+@query(f"""WITH {CELLS}, n AS (SELECT cell_id, cx, cy, cx / 900e0 AS x, cy / 900e0 AS y, floor(cx / 900e0)::BIGINT AS i, floor(cy / 900e0)::BIGINT AS j FROM cells),
+c AS (SELECT *, {_hash_sql("i", "j")} AS a, {_hash_sql("i + 1", "j")} AS b, {_hash_sql("i", "j + 1")} AS c, {_hash_sql("i + 1", "j + 1")} AS d, (x - i) * (x - i) * (3 - 2 * (x - i)) AS u, (y - j) * (y - j) * (3 - 2 * (y - j)) AS v FROM n)
+SELECT cell_id, round(a + (b - a) * u + (c - a) * v + (a - b - c + d) * u * v, 9) AS noise, ((cx - 4550) / 420) * ((cx - 4550) / 420) + ((cy - 3650) / 300) * ((cy - 3650) / 300) > 1 AS land FROM c""")
+def q92_exercise_terrain(spark, d):
+    x, y = F.col("cx"), F.col("cy")
+    return cells(spark, d).select("cell_id", F.round(terrain.value_noise(x / 900, y / 900), 9).alias("noise"), terrain.land_mask(x, y).alias("land"))
+
+
+@query("SELECT s_suppkey AS id, 100e0 * (1 + s_suppkey % 3) + s_suppkey AS x, 250e0 * (1 + s_suppkey % 3) AS y, 180000e0 * (1 + s_suppkey % 3) * (1 + s_suppkey % 3) AS area_m2 FROM supplier")
+def q93_label_points(spark, d):
+    k = F.col("s_suppkey")
+    shape = [(0, 0), (600, 0), (600, 200), (200, 200), (200, 500), (0, 500), (0, 0)]
+    size = (1 + k % 3).cast("double")
+    ring = F.array(*[F.struct((F.lit(float(x)) * size + k).alias("x"), (F.lit(float(y)) * size).alias("y")) for x, y in shape])
+    out = table(spark, d, "supplier").select(k.alias("id"), geo.label_point(ring).alias("p"), geo.ring_area(ring).alias("area_m2"))
+    return rounded(out.select("id", "p.x", "p.y", "area_m2"), 6)
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN v >= 5 * p THEN 5 * p WHEN v >= 2 * p THEN 2 * p ELSE p END AS nice, CASE p_size % 6 WHEN 0 THEN 'ring' WHEN 1 THEN NULL WHEN 2 THEN 'wedge' WHEN 3 THEN 'trail' WHEN 4 THEN 'area' ELSE 'sector' END AS kind
+FROM (SELECT *, p_retailprice * p_size + 1e0 AS v, pow(10e0, floor(log10(p_retailprice * p_size + 1e0))) AS p FROM part)""")
+def q94_preview_helpers(spark, d):
+    s = F.col("p_size") % 6
+    geometry = F.when(s == 0, "LineString").when(s == 1, "Point").otherwise("Polygon")
+    title = F.when(s == 3, "T-1").when(s == 4, "A-2").when(s == 5, "S25 N")
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), geo.nice_distance(F.col("p_retailprice") * F.col("p_size") + 1.0).alias("nice"), geo.feature_kind(geometry, title, F.when(s > 2, "Assignment")).alias("kind"))
