@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairngrid.functions import geometry as geo
 from cairngrid.functions import terrain
 from cairngrid.functions import text as txt
-from cairngrid.operators import security, versions
+from cairngrid.operators import requests, security, versions
 from cairngrid.plans.base import CELLS, cells, query, rounded, table
 from cairngrid.sources import importers as imp
 from cairngrid.streaming import feeds
@@ -123,3 +123,20 @@ def q94_preview_helpers(spark, d):
     title = F.when(s == 3, "T-1").when(s == 4, "A-2").when(s == 5, "S25 N")
     p = table(spark, d, "part")
     return p.select(F.col("p_partkey").alias("id"), geo.nice_distance(F.col("p_retailprice") * F.col("p_size") + 1.0).alias("nice"), geo.feature_kind(geometry, title, F.when(s > 2, "Assignment")).alias("kind"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, ['prior', 'clue_update', 'manual_adjustment', 'other'][o_orderkey % 4 + 1] AS kind, o_orderkey % 3 = 0 AS parent, o_orderkey % 5 <> 0 AS why, o_orderkey % 7 <> 0 AS evidence FROM orders)
+SELECT k AS id, 'parentSurfaceId' AS path FROM o WHERE kind <> 'other' AND (kind = 'prior') = parent UNION ALL SELECT k, 'surfaceType' FROM o WHERE kind = 'other' UNION ALL SELECT k, 'normalizationConstant' FROM o WHERE k % 11 = 0
+UNION ALL SELECT k, 'rationale' FROM o WHERE kind IN ('clue_update', 'manual_adjustment') AND NOT why UNION ALL SELECT k, 'evidence' FROM o WHERE kind = 'clue_update' AND NOT evidence UNION ALL SELECT k, 'adjustment' FROM o WHERE kind = 'manual_adjustment' AND NOT why""")
+def q95_commit_requests(spark, d):
+    k = F.col("o_orderkey")
+    guid = F.format_string("00000000-0000-0000-0000-%012d", k)
+    kind = F.element_at(F.array(*map(F.lit, ("prior", "clue_update", "manual_adjustment", "other"))), (k % 4 + 1).cast("int"))
+    body = F.to_json(
+        F.struct(
+            guid.alias("searchDomainId"), F.when(k % 3 == 0, guid).alias("parentSurfaceId"), kind.alias("surfaceType"), F.repeat(F.lit("A"), F.lit(24)).alias("valuesBase64"), F.when(k % 11 == 0, 0.0).otherwise(0.5).alias("normalizationConstant"),
+            F.struct(F.lit("core").alias("component"), F.lit("1").alias("version")).alias("modelVersion"), F.when(k % 5 != 0, "a reason of some length").alias("rationale"),
+            F.when(k % 7 != 0, F.struct(F.lit("clue").alias("evidenceType"), guid.alias("evidenceId"), F.lit("kernel").alias("method"), F.lit("0123456789").alias("previewHash"))).alias("evidence"), F.struct(F.lit("factors").alias("method")).alias("adjustment"),
+        )
+    )
+    return requests.commit_problems(table(spark, d, "orders").select(k.alias("id"), body.alias("body")), "id", "body")

@@ -102,3 +102,17 @@ def test_full_timeline_is_for_privileged_roles(spark):
     see = lambda role, full: security.incident_detail(i, {"clue": (clue, True), "subject": (clue.select("incident_id", "item_id"), False)}, m, "u", role, full)
     assert see("trainee", True).count() == 3 and see("evaluator", True).count() == 4 and see("evaluator", False).count() == 3 and see(None, True).count() == 0
     assert "restricted" not in "".join(r.details for r in see("evaluator", True).collect())
+
+
+def test_request_bodies(spark):
+    from cairngrid.operators import requests
+
+    guid = "0000000a-0000-0000-0000-00000000000b"
+    good = '{"searchDomainId":"%s","parentSurfaceId":null,"surfaceType":"prior","valuesBase64":"AAAAAAAAAAAAAAAA","normalizationConstant":1,"modelVersion":{"component":"c","version":"1"}}' % guid
+    rows = [(1, good), (2, "[]"), (3, None), (4, good.replace('"prior"', '"search_update"')), (5, good.replace("AAAAAAAAAAAAAAAA", "AA").replace(guid, "x")), (6, "{")]
+    got = {}
+    for r in requests.commit_problems(spark.createDataFrame(rows, "id int, b string"), "id", "b").collect():
+        got.setdefault(r.id, []).append(r.path)
+    assert 1 not in got and got[2] == got[3] == ["body"] and got[4] == ["evidence", "parentSurfaceId", "rationale"] and got[5] == ["searchDomainId", "valuesBase64"] and len(got[6]) > 3
+    back = spark.createDataFrame([(1, '{"headSurfaceId":"%s","targetSurfaceId":"%s","rationale":"  ten signs  "}' % (guid, guid)), (2, '{"rationale":"short"}')], "id int, b string")
+    assert [(r.id, r.path) for r in requests.rollback_problems(back, "id", "b").orderBy("id", "path").collect()] == [(1, "rationale"), (2, "headSurfaceId"), (2, "rationale"), (2, "targetSurfaceId")]
