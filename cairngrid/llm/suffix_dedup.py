@@ -34,8 +34,9 @@ from cairngrid.llm.common import cut, join_named, stored
 LENGTH = 100
 GRAM = 32
 PIECE = 1 << 20
-#: Sampled tuples that meet in one bucket, about.
+#: Sampled tuples that meet in one bucket, at most about; and the least number of buckets, so that partitions hold about equally many.
 BUCKET = 1 << 21
+LEAST_BUCKETS = 256
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOW = np.uint64((1 << 21) - 1)
@@ -286,7 +287,7 @@ def candidate_marks(docs: DataFrame, bits: int, length: int) -> DataFrame:
     """(n, marks): per document the places of its repeated sampled tuples, packed; documents without any are left out."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     v = cover_modulus(length)
-    buckets = max(16, -(-total * len(difference_cover(v)) // (v * BUCKET)))
+    buckets = max(LEAST_BUCKETS, -(-total * len(difference_cover(v)) // (v * BUCKET)))
     found = _repeated_tuples(_tuples(docs, bits, length, int(buckets)))
     listed = found.groupBy("piece").agg(F.collect_list("samples").alias("samples"), F.max("parts").alias("parts"))
 
