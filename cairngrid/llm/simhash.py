@@ -52,8 +52,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long) for every row; null or wordless text has fingerprint 0."""
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x, words) for x in b.column(1).to_pylist()], pa.int64())], names=["id", "fp"])
+        for b in batches:  # one text at a time: a batch of long ones is large
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x.as_py(), words) for x in b.column(1)], pa.int64())], names=["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
