@@ -6,6 +6,7 @@ from cairngrid.llm.decontaminate import op3_inverted_index
 from cairngrid.llm.embedding_dedup import op2_pca_tiles
 from cairngrid.llm.html_extract import op9_host_paths
 from cairngrid.llm.langid import op1_langid_ecoc
+from cairngrid.llm.line_dedup import op11_line_bitmaps
 from cairngrid.llm.mixing import op4_soft_mixing
 from cairngrid.llm.quality import op8_cotraining
 from cairngrid.llm.simhash import op6_simhash
@@ -32,6 +33,7 @@ QUERIES = {
     "op8_cotraining": op8_cotraining,
     "op9_host_paths": op9_host_paths,
     "op10_compact_windows": op10_compact_windows,
+    "op11_line_bitmaps": op11_line_bitmaps,
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -57,4 +59,9 @@ nr AS (SELECT DISTINCT x.doc_id, pr.item_id FROM pr JOIN post x ON x.term = pr.t
 near AS (SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n FROM nr GROUP BY 1)
 SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, coalesce(ids.n, 0)::BIGINT AS n_items, sha256(coalesce(ids.l, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated, coalesce(near.n, 0)::BIGINT AS n_near
 FROM dw d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN ids ON d.doc_id = ids.doc_id LEFT JOIN near ON d.doc_id = near.doc_id""",
+    "op11_line_bitmaps": """WITH k AS (SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+x AS (SELECT k.*, coalesce(k.doc_id <> f.first, false) AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM x GROUP BY doc_id""",
 }
