@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from cairngrid.llm.collocations import op13_weighted_ngrams
 from cairngrid.llm.decontaminate import op3_inverted_index
 from cairngrid.llm.embedding_dedup import op2_pca_tiles
 from cairngrid.llm.html_extract import op9_host_paths
 from cairngrid.llm.langid import op1_langid_ecoc
+from cairngrid.llm.lexical_search import op12_impact_shards
 from cairngrid.llm.line_dedup import op11_line_bitmaps
 from cairngrid.llm.mixing import op4_soft_mixing
 from cairngrid.llm.quality import op8_cotraining
@@ -34,6 +36,8 @@ QUERIES = {
     "op9_host_paths": op9_host_paths,
     "op10_compact_windows": op10_compact_windows,
     "op11_line_bitmaps": op11_line_bitmaps,
+    "op12_impact_shards": op12_impact_shards,
+    "op13_weighted_ngrams": op13_weighted_ngrams,
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -64,4 +68,24 @@ FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (S
 f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
 x AS (SELECT k.*, coalesce(k.doc_id <> f.first, false) AS gone FROM k LEFT JOIN f ON k.key = f.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM x GROUP BY doc_id""",
+    "op12_impact_shards": r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT count(*)::BIGINT AS nd, sum(len(w))::BIGINT AS nl FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+q AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
+s AS (SELECT q.item_id, p.doc_id, sum(q.times * floor(1000 * ln((2 * c.nd + 2) / (2 * f.df + 1)))::BIGINT * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * c.nd) // c.nl))))::BIGINT AS score FROM q JOIN f ON q.term = f.term JOIN p ON p.term = q.term CROSS JOIN c GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20""",
+    "op13_weighted_ngrams": r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w, m FROM (SELECT lang, piece, count(*) AS m FROM p GROUP BY ALL)),
+t AS (SELECT lang, sum(m * len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, m FROM (SELECT lang, w, m, k, unnest(range(1, len(w) - k + 2)) AS i FROM w CROSS JOIN (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, sum(m)::BIGINT AS f FROM g GROUP BY ALL HAVING sum(m) >= 100),
+c AS (SELECT f.lang, f.k, phrase, f AS a, n, string_split(phrase, ' ') AS w FROM f JOIN t ON f.lang = t.lang WHERE f.k > 1),
+x AS (SELECT lang, k, phrase, a, n, i, array_to_string(w[1:i], ' ') AS p, array_to_string(w[i + 1:], ' ') AS q FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+s AS (SELECT x.lang, x.phrase, x.k, a, n, i, l.f AS l, r.f AS r, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM x JOIN f l ON l.lang = x.lang AND l.phrase = x.p JOIN f r ON r.lang = x.lang AND r.phrase = x.q),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+y AS (SELECT DISTINCT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, a AS f FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM c))),
+z AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.lang = b.lang AND y.phrase = b.phrase AND 100 * y.f >= 100 * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z QUALIFY rank <= 2000""",
 }
