@@ -26,7 +26,9 @@ def search_preview(prior: DataFrame, cells: DataFrame, points: DataFrame, grid:
     (and within ``clip_buffer`` of it), and the prior updated by what was not found.
     """
     done = pod.achieved_pod(cells, walked_legs(points, max_speed, max_gap_s), grid, outline, sweep_width, clip_buffer)
-    after = updates.no_find_update(prior, done).select("cell_id", F.col("p").alias("posterior"), "outside", "z")
+    # exp(-coverage) is 1 - pod, which itself rounds to 0 where coverage is large
+    missed = prior.select("cell_id").join(done.select("cell_id", "coverage"), "cell_id", "left").select("cell_id", F.exp(-F.coalesce("coverage", F.lit(0.0))).alias("lr"))
+    after = updates.apply_likelihood(prior, missed).select("cell_id", F.col("p").alias("posterior"), "outside", "z")
     before = prior.select("cell_id", F.col("p").alias("prior"))
     return done.select("cell_id", "coverage", "pod").join(before, "cell_id").join(after, "cell_id")
 

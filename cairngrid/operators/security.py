@@ -58,7 +58,7 @@ def incident_detail(incidents: DataFrame, inputs: dict[str, tuple[DataFrame, boo
     """(incident_id, kind, item_id, available_at, details) of the incidents a user may read: one package of all input tables.
 
     ``inputs`` maps a kind to (rows with incident_id, item_id and, if timed, available_at; whether it is timed). Timed inputs are cut at the
-    incident's cutoff unless a privileged role asks for the full timeline; for other roles the cut stays. ``details`` are the rest of the row as JSON,
+    incident's cutoff unless a privileged role asks for the full timeline; for other roles the cut stays, and a timed input without a time is not shown. ``details`` are the rest of the row as JSON,
     without hidden columns, so no outcome field is reachable. One filtered union of equi-joins on the incident.
     """
     visible = readable_incidents(incidents, members, user_id, role).select("incident_id", F.col("cutoff").alias("cutoff_"))
@@ -66,12 +66,12 @@ def incident_detail(incidents: DataFrame, inputs: dict[str, tuple[DataFrame, boo
     for kind, (df, timed) in sorted(inputs.items()):
         rest = [c for c in df.columns if c not in ("incident_id", "item_id", "available_at", *HIDDEN)]
         at = F.col("available_at").cast("timestamp") if timed else F.lit(None).cast("timestamp")
-        one = df.select("incident_id", F.lit(kind).alias("kind"), F.col("item_id").cast("string").alias("item_id"), at.alias("available_at"), (F.to_json(F.struct(*rest)) if rest else F.lit("{}")).alias("details"))
+        one = df.select(F.lit(timed).alias("timed_"), "incident_id", F.lit(kind).alias("kind"), F.col("item_id").cast("string").alias("item_id"), at.alias("available_at"), (F.to_json(F.struct(*rest)) if rest else F.lit("{}")).alias("details"))
         out = one if out is None else out.unionByName(one)
     rows = out.join(visible, "incident_id")
     if not full_timeline or role not in PRIVILEGED:
-        rows = rows.where(F.col("available_at").isNull() | (F.col("available_at") <= F.col("cutoff_")))
-    return rows.drop("cutoff_")
+        rows = rows.where(~F.col("timed_") | (F.col("available_at") <= F.col("cutoff_")))
+    return rows.drop("cutoff_", "timed_")
 
 
 def listed_by(df: DataFrame, keys: list[str], value: str, order: list[str], separator: str = ",") -> DataFrame:

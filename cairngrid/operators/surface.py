@@ -28,7 +28,7 @@ def normalize(masses: DataFrame, by: list[str] = (), mass: str = "mass", outside
     Negative or non-finite masses, and a z that is not positive and finite, raise an error.
     """
     by = list(by)
-    bad = F.isnan(mass) | F.col(mass).isNull() | (F.col(mass) < 0) | (F.abs(mass) == float("inf")) | F.isnan(outside) | (F.col(outside) < 0) | (F.abs(outside) == float("inf"))
+    bad = F.isnan(mass) | F.col(mass).isNull() | (F.col(mass) < 0) | (F.abs(mass) == float("inf")) | F.isnan(outside) | F.col(outside).isNull() | (F.col(outside) < 0) | (F.abs(outside) == float("inf"))
     s = _with_sums(masses, by, z_=F.sum(mass) + F.max(outside), bad_=F.max(bad.cast("int")))
     z = F.when((F.col("bad_") == 1) | ~((F.col("z_") > 0) & (F.col("z_") < float("inf"))), F.raise_error(F.lit("masses must be finite and nonnegative with a positive sum")).cast("double")).otherwise(F.col("z_"))
     return s.withColumn("z", z).select(*by, "cell_id", (F.col(mass) / F.col("z")).alias("p"), (F.col(outside) / F.col("z")).alias("outside"), "z")

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairngrid.operators.chains import chain_order
+from cairngrid.operators.surface import checkpointed
+
 EPS = 1e-9
 
 
@@ -68,42 +71,32 @@ def split_evenly(lines: DataFrame, target: float, key: str = "line_id") -> DataF
 
 
 def join_lines(lines: DataFrame, group: str, tolerance: float = 1.0, key: str = "line_id") -> DataFrame:
-    """(group, joined, seq, x, y): lines of a group joined where exactly two ends meet, up to a loop.
+    """(group, joined, seq, x, y): lines of a group (a file) joined where exactly two ends meet, up to a loop; ``joined`` is the smallest line of each.
 
-    Growth is greedy in line order, at a line's end first and then at its start, so a group (one file) is one task.
+    A joined line runs the way its smallest line runs; a loop starts there. Where two lines meet, the point of the one nearer to the smallest line
+    is kept. Each line is a node once in either direction and follows the line that it leads into; chains are ordered by pointer doubling,
+    so a file or a joined line of any length is spread over tasks.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([key, "seq"], kind="stable")
-        lines = [list(zip(g["x"], g["y"], strict=True)) for _, g in pdf.groupby(key, sort=True)]
-        spot = lambda p: (math.floor(p[0] / tolerance + 0.5), math.floor(p[1] / tolerance + 0.5))
-        ends: dict = {}
-        for i, ln in enumerate(lines):
-            for p in (ln[0], ln[-1]):
-                ends.setdefault(spot(p), []).append(i)
-        used, out = [False] * len(lines), []
-
-        def following(p):
-            at = ends[spot(p)]
-            free = [i for i in at if not used[i]]
-            return free[0] if len(at) == 2 and free else None
-
-        for i, ln in enumerate(lines):
-            if used[i]:
-                continue
-            used[i], cur = True, list(ln)
-            for _ in range(2):  # the end, then (reversed) the start
-                while (k := following(cur[-1])) is not None:
-                    used[k] = True
-                    nxt = lines[k] if spot(lines[k][0]) == spot(cur[-1]) else lines[k][::-1]
-                    cur += nxt[1:]
-                cur.reverse()
-            out.append(cur)
-        rows = [(pdf[group].iloc[0], j, s, x, y) for j, ln in enumerate(out) for s, (x, y) in enumerate(ln)]
-        return pd.DataFrame(rows, columns=[group, "joined", "seq", "x", "y"])
-
-    kind = dict(lines.dtypes)[group]
-    return lines.groupBy(group).applyInPandas(walk, f"{group} {kind}, joined int, seq int, x double, y double")
+    spot = lambda p: F.struct(F.floor(p["x"] / tolerance + 0.5).alias("u"), F.floor(p["y"] / tolerance + 0.5).alias("v"))
+    at = F.struct("seq", "x", "y")
+    ends = checkpointed(lines.groupBy(F.col(group).alias("g"), F.col(key).alias("line")).agg(F.min_by(at, "seq").alias("a"), F.max_by(at, "seq").alias("b"), F.count("*").alias("n")))
+    tips = ends.select("g", "line", "n", F.explode(F.array(F.struct(F.lit(0).alias("end"), spot(F.col("a")).alias("spot")), F.struct(F.lit(1).alias("end"), spot(F.col("b")).alias("spot")))).alias("e")).select("g", "line", "n", "e.*")
+    tip = F.struct("line", "end", "n")
+    pairs = tips.groupBy("g", "spot").agg(F.count("*").alias("k"), F.min(tip).alias("p"), F.max(tip).alias("q")).where("k = 2 and p.line <> q.line")
+    # a line is left through end 1 and entered through end 0 as it runs (way 0), the other way round when reversed (way 1)
+    both = pairs.select("g", F.explode(F.array(F.struct(F.col("p").alias("from"), F.col("q").alias("to")), F.struct(F.col("q").alias("from"), F.col("p").alias("to")))).alias("m")).select("g", "m.*")
+    node = lambda line, way: F.struct(F.col("g"), F.col(line).alias("line"), way.alias("way"))
+    before = both.select(node("to.line", F.col("to.end")).alias("node"), node("from.line", 1 - F.col("from.end")).alias("prev"), (F.col("from.n") - 1).alias("step"))
+    nodes = ends.select("g", "line", F.explode(F.array(F.lit(0), F.lit(1))).alias("way")).select(node("line", F.col("way")).alias("node"))
+    order = checkpointed(chain_order(nodes.join(before, "node", "left")))
+    # of a chain and its reverse the one counts that holds its smallest line as it runs
+    first = order.groupBy("head").agg(F.min_by(F.struct("node", "far"), "node").alias("s")).where("s.node.way = 0")
+    placed = order.join(first, "head").select(F.col("node.g").alias(group), F.col("node.line").alias(key), F.col("node.way").alias("way"), "far", F.col("s.node.line").alias("joined"), F.col("s.far").alias("start"))
+    p = lines.join(placed, [group, key]).join(ends.select(F.col("g").alias(group), F.col("line").alias(key), "n", F.col("a.seq").alias("lo"), F.col("b.seq").alias("hi")), [group, key])
+    k = F.when(F.col("way") == 0, F.row_number().over(W.partitionBy(group, key).orderBy("seq")) - 1).otherwise(F.row_number().over(W.partitionBy(group, key).orderBy(F.desc("seq"))) - 1)
+    p = p.withColumn("k", k)
+    kept = (F.col("far") == F.col("start")) | ((F.col("far") > F.col("start")) & (F.col("k") > 0)) | ((F.col("far") < F.col("start")) & (F.col("k") < F.col("n") - 1))
+    return p.where(kept).select(group, "joined", (F.col("far") + F.col("k")).cast("long").alias("seq"), "x", "y")
 
 
 def corridor_cells(cells: DataFrame, lines: DataFrame, half_width: float, key: str = "line_id") -> DataFrame:
@@ -122,44 +115,80 @@ def corridor_cells(cells: DataFrame, lines: DataFrame, half_width: float, key: s
     return c.join(e, ["sx", "sy"]).where(d <= half_width).select(key, "cell_id").distinct()
 
 
-def cost_distance(cells: DataFrame, start: DataFrame, cols: int, cell_size: float, by: str = "grid_id") -> DataFrame:
+def _relax(mult: np.ndarray, cost: np.ndarray, own: np.ndarray, seeds: list[int], cell_size: float) -> None:
+    """Lower ``cost`` of the cells ``own`` of a window (its rows one after the other), starting from the cells ``seeds``."""
+    width = int(math.isqrt(len(mult)))
+    steps = [(a * width + b, cell_size * (math.sqrt(2) if a and b else 1.0)) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    m, best, free = mult.tolist(), cost.tolist(), (own & (mult >= 0) & (mult < np.inf)).tolist()
+    heap = [(best[i], i) for i in seeds]
+    heapq.heapify(heap)
+    while heap:
+        d, i = heapq.heappop(heap)
+        if d > best[i]:
+            continue
+        for step, length in steps:
+            k = i + step
+            if 0 <= k < len(m) and free[k]:
+                v = d + length * (m[i] + m[k]) / 2
+                if v < best[k]:
+                    best[k] = v
+                    heapq.heappush(heap, (v, k))
+    cost[:] = best
+
+
+def cost_distance(cells: DataFrame, start: DataFrame, cols: int, cell_size: float, by: str = "grid_id", tile: int = 128) -> DataFrame:
     """(by, cell_id, cost) from start cells over cells (by, cell_id, mult): 8 neighbours, a step costs its length times the mean multiplier.
 
-    A negative, null or infinite multiplier cannot be entered; from a start of infinite cost, or without one, nothing is reached. Shortest
-    paths need a queue, so a grid is one group; grids run in parallel.
+    A negative, null or infinite multiplier cannot be entered; from a start of infinite cost, or without one, nothing is reached. A grid is cut into
+    tiles of ``tile`` cells a side, one row each. A tile that hears of lower costs at its edge settles its own cells with a queue and
+    tells its neighbours which of its edge cells became cheaper, until nobody has news; only tiles with news are worked on.
     """
-
-    def walk(key, pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            raise ValueError("a start lies outside the grid")
-        ids = pdf["cell_id"].to_numpy()
-        n = int(ids.max()) + 1
-        mult = np.full(n, np.nan)
-        mult[ids] = pdf["mult"].to_numpy(float)
-        best = np.full(n, np.inf)
-        heap = []
-        for s in starts["cell_id"].tolist() if len(starts) else []:
-            if not 0 <= s < n:
-                raise ValueError("a start lies outside the grid")
-            if mult[s] < np.inf:
-                best[s] = 0.0
-                heap.append((0.0, s))
-        heapq.heapify(heap)
-        while heap:
-            d, i = heapq.heappop(heap)
-            if d > best[i]:
-                continue
-            r, c = divmod(i, cols)
-            for a in (-1, 0, 1):
-                for b in (-1, 0, 1):
-                    k = (r + a) * cols + c + b
-                    if (a or b) and 0 <= c + b < cols and 0 <= k < n and 0 <= mult[k] < np.inf:
-                        v = d + cell_size * (math.sqrt(2) if a and b else 1.0) * (mult[i] + mult[k]) / 2
-                        if v < best[k]:
-                            best[k] = v
-                            heapq.heappush(heap, (v, k))
-        return pd.DataFrame({by: key[0], "cell_id": ids, "cost": best[ids]})
-
-    kind = dict(cells.dtypes)[by]
-    start = start.toDF(*start.columns).select(*[F.expr(f"coalesce({c}, {c})").alias(c) for c in (by, "cell_id")])  # may stem from ``cells``
-    return cells.groupBy(by).cogroup(start.groupBy(by)).applyInPandas(walk, f"{by} {kind}, cell_id long, cost double")
+    keys = [by, "ty", "tx"]
+    row, col = F.floor(F.col("cell_id") / cols), F.col("cell_id") % cols
+    place = {"ty": F.floor(row / tile).cast("int"), "tx": F.floor(col / tile).cast("int")}
+    whole = cells.select(by, F.col("cell_id").cast("long").alias("cell_id"), F.col("mult").cast("double").alias("mult")).withColumns(place)
+    each = F.array_sort(F.collect_list(F.struct("cell_id", "mult")))
+    state = whole.groupBy(*keys).agg(each.alias("c")).select(*keys, F.col("c.cell_id").alias("ids"), F.col("c.mult").alias("mult"), F.transform("c", lambda x: F.lit(float("inf"))).alias("cost"), F.lit(None).cast("array<struct<cell_id:bigint,mult:double,cost:double>>").alias("news"))
+    state = checkpointed(state)
+    last = state.groupBy(F.col(by).alias("g_")).agg(F.max(F.array_max("ids")).alias("last"))
+    asked = start.toDF(*start.columns).select(*[F.expr(f"coalesce({c}, {c})").alias(c) for c in (by, "cell_id")]).join(last, F.col(by) == F.col("g_"), "left")  # may stem from ``cells``
+    inside = F.when(F.col("last").isNull() | (F.col("cell_id") < 0) | (F.col("cell_id") > F.col("last")), F.raise_error(F.lit("a start lies outside the grid")).cast("bigint")).otherwise(F.col("cell_id").cast("long"))
+    first = asked.select(by, inside.alias("cell_id"), F.lit(None).cast("double").alias("mult"), F.lit(0.0).alias("cost")).withColumns(place)
+    heard = lambda rows: rows.groupBy(*keys).agg(F.collect_list(F.struct("cell_id", "mult", "cost")).alias("heard"))
+    schema = state.schema
+
+    def settle(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                ty, tx, width = int(r.ty), int(r.tx), tile + 2
+                spot = lambda ids, ty=ty, tx=tx, width=width: (ids // cols - ty * tile + 1) * width + ids % cols - tx * tile + 1
+                mult, cost, own = np.full(width * width, np.nan), np.full(width * width, np.inf), np.zeros(width * width, bool)
+                ids = np.asarray(r.ids, np.int64)
+                mine = spot(ids)
+                mult[mine], cost[mine], own[mine] = np.array(r.mult, float), np.asarray(r.cost, float), True
+                told = spot(np.array([h["cell_id"] for h in r.heard], np.int64))
+                value, around = np.array([h["cost"] for h in r.heard], float), np.array([h["mult"] for h in r.heard], float)
+                beside = ~own[told] & ~np.isnan(around)
+                mult[told[beside]] = around[beside]
+                ok = mult[told] < np.inf
+                before = cost[mine]
+                np.minimum.at(cost, told[ok], value[ok])
+                _relax(mult, cost, own, np.unique(told[ok]).tolist(), cell_size)
+                y, x = ids // cols - ty * tile, ids % cols - tx * tile
+                edge = (cost[mine] < before) & ((y == 0) | (x == 0) | (y == tile - 1) | (x == tile - 1))
+                news = [{"cell_id": int(i), "mult": float(m), "cost": float(c)} for i, m, c in zip(ids[edge], mult[mine][edge], cost[mine][edge], strict=True)]
+                out.append((r[0], ty, tx, r.ids, r.mult, cost[mine], news))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    messages = heard(first)
+    while True:
+        worked = state.join(messages, keys).select(*state.columns, "heard").mapInPandas(settle, schema)
+        state = checkpointed(state.join(messages, keys, "left_anti").withColumn("news", F.lit(None).cast(schema["news"].dataType)).unionByName(worked))
+        said = state.where(F.size("news") > 0).select(*keys, F.explode("news").alias("n")).select(F.col(by), F.col("ty").alias("y0"), F.col("tx").alias("x0"), "n.*")
+        around = F.array_distinct(F.array(*[F.struct(F.floor((row + a) / tile).cast("int").alias("ty"), F.floor((col + b) / tile).cast("int").alias("tx")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+        sent = said.withColumn("t", F.explode(around)).select(by, "cell_id", "mult", "cost", "t.*", "y0", "x0").where("ty <> y0 or tx <> x0").drop("y0", "x0")
+        if sent.isEmpty():
+            break
+        messages = heard(sent)
+    return state.select(by, F.explode(F.arrays_zip("ids", "cost")).alias("c")).select(by, F.col("c.ids").alias("cell_id"), F.col("c.cost").alias("cost"))

@@ -124,11 +124,24 @@ def q54_split_evenly(spark, d):
     return rounded(trails.split_evenly(trail_lines(spark, d), 2000.0).select("line_id", "piece", "length"), 6)
 
 
-@query()
+@query("""WITH RECURSIVE sp AS (SELECT s_suppkey AS k, s_suppkey * 7919 % 10007 AS line, CASE s_suppkey % 100 WHEN 57 THEN s_suppkey - 29 WHEN 89 THEN 1000000 + s_suppkey WHEN 99 THEN s_suppkey - 9 ELSE s_suppkey + 1 END AS b FROM supplier),
+ln AS (SELECT line, CASE WHEN k % 3 = 0 THEN list_reverse(p) ELSE p END AS p FROM (SELECT *, CASE WHEN k % 2 = 0 THEN [{'x': k * 10e0, 'y': 0e0}, {'x': k * 10e0 + 4, 'y': 3e0}, {'x': b * 10e0, 'y': 0e0}] ELSE [{'x': k * 10e0, 'y': 0e0}, {'x': b * 10e0, 'y': 0e0}] END AS p FROM sp)),
+tip AS (SELECT line, 0 AS e, p[1] AS s FROM ln UNION ALL SELECT line, 1, p[-1] FROM ln),
+two AS (SELECT s FROM tip GROUP BY s HAVING count(*) = 2 AND count(DISTINCT line) = 2),
+nx AS (SELECT f.line, 1 - f.e AS way, t.line AS nline, t.e AS nway FROM tip f JOIN two USING (s) JOIN tip t ON t.s = f.s AND t.line <> f.line),
+wk AS (SELECT line AS start, d AS dir, 0 AS i, line, d AS way FROM ln CROSS JOIN (VALUES (0), (1)) v(d) UNION ALL SELECT w.start, w.dir, w.i + 1, nx.nline, nx.nway FROM wk w JOIN nx ON nx.line = w.line AND nx.way = w.way WHERE nx.nline <> w.start),
+ok AS (SELECT start FROM wk GROUP BY start HAVING min(line) = start),
+ch AS (SELECT start, i AS pos, line, way FROM wk JOIN ok USING (start) WHERE dir = 0 UNION ALL SELECT b.start, -b.i, b.line, 1 - b.way FROM wk b JOIN ok USING (start) WHERE b.dir = 1 AND b.i > 0 AND NOT EXISTS (SELECT 1 FROM wk f WHERE f.start = b.start AND f.dir = 0 AND f.line = b.line)),
+pl AS (SELECT start, pos, CASE WHEN way = 1 THEN list_reverse(p) ELSE p END AS p, len(p) AS n, coalesce(sum(len(p) - 1) OVER (PARTITION BY start ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS far FROM ch JOIN ln ON ln.line = ch.line),
+pp AS (SELECT start, pos, n, far, unnest(p) AS q, generate_subscripts(p, 1) - 1 AS k FROM pl)
+SELECT 'all' AS file, start AS joined, (far + k)::BIGINT AS seq, q.x AS x, q.y AS y FROM pp WHERE pos = 0 OR (pos > 0 AND k > 0) OR (pos < 0 AND k < n - 1)""")
 def q55_join_lines(spark, d):
-    k = F.col("s_suppkey")
-    ends = table(spark, d, "supplier").select((k % 7).alias("file"), k.alias("line_id"), F.explode(F.array(F.struct(F.lit(0).alias("seq"), (k % 60 * 10.0).alias("x")), F.struct(F.lit(1).alias("seq"), ((k + 1) % 60 * 10.0).alias("x")))).alias("e")).select("file", "line_id", "e.seq", "e.x", F.lit(0.0).alias("y"))
-    return trails.join_lines(ends, "file")
+    """All suppliers as the lines of one file: long paths, reversed lines, a junction and a loop in every hundred."""
+    k, spot = F.col("s_suppkey"), lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(y).alias("y"))
+    b = F.when(k % 100 == 57, k - 29).when(k % 100 == 89, 1_000_000 + k).when(k % 100 == 99, k - 9).otherwise(k + 1)
+    p = F.when(k % 2 == 0, F.array(spot(k * 10, 0.0), spot(k * 10 + 4, 3.0), spot(b * 10, 0.0))).otherwise(F.array(spot(k * 10, 0.0), spot(b * 10, 0.0)))
+    lines = table(spark, d, "supplier").select(F.lit("all").alias("file"), (k * 7919 % 10007).alias("line_id"), F.posexplode(F.when(k % 3 == 0, F.reverse(p)).otherwise(p)).alias("seq", "p"))
+    return trails.join_lines(lines.select("file", "line_id", "seq", "p.*"), "file")
 
 
 @query(f"""WITH {TL} SELECT DISTINCT line_id, p_partkey AS cell_id FROM part CROSS JOIN le WHERE (SELECT sqrt(pow((p_partkey % 50 + 0.5e0)*100 - (x0 + t*(x-x0)), 2) + pow((p_partkey // 50 + 0.5e0)*100 - (y0 + t*(y-y0)), 2)) FROM (SELECT greatest(0e0, least(1e0, (((p_partkey % 50 + 0.5e0)*100 - x0)*(x-x0) + ((p_partkey // 50 + 0.5e0)*100 - y0)*(y-y0)) / (len*len))) AS t)) <= 150e0""")
@@ -225,12 +238,16 @@ def q62_label_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", imp.clean_label(F.col("text")).alias("label"))
 
 
-@query()
+@query("""WITH RECURSIVE nb AS (SELECT * FROM (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) t(a,b)),
+m AS (SELECT p_partkey AS cell_id, CASE WHEN p_size < 48 THEN p_size / 10e0 END AS mult FROM part),
+e AS (SELECT x.cell_id AS i, y.cell_id AS k, 100e0 * (CASE WHEN a <> 0 AND b <> 0 THEN sqrt(2e0) ELSE 1e0 END) * (x.mult + y.mult) / 2 AS w FROM m x CROSS JOIN nb JOIN m y ON y.cell_id = x.cell_id + a * 50 + b AND x.cell_id % 50 + b BETWEEN 0 AND 49 WHERE x.mult IS NOT NULL AND y.mult IS NOT NULL),
+r(cell_id, cost) USING KEY (cell_id) AS (SELECT min(cell_id), 0e0 FROM m WHERE mult IS NOT NULL UNION SELECT e.k, min(r.cost + e.w) FROM r JOIN e ON e.i = r.cell_id LEFT JOIN recurring.r AS o ON o.cell_id = e.k WHERE o.cost IS NULL OR r.cost + e.w < o.cost GROUP BY e.k)
+SELECT m.cell_id, round(coalesce(r.cost, 'inf'::DOUBLE), 9) AS cost FROM m LEFT JOIN r ON m.cell_id = r.cell_id""")
 def q12_cost_distance(spark, d):
-    """Grids of 500 cells, each its own group, from its first cell."""
-    c = cells(spark, d).select(F.floor(F.col("cell_id") / 500).alias("grid_id"), (F.col("cell_id") % 500).alias("cell_id"), F.when(F.col("p_size") < 48, F.col("p_size") / 10.0).alias("mult"))
-    start = c.where("cell_id = 0").select("grid_id", "cell_id")
-    return rounded(trails.cost_distance(c, start, 50, 100.0))
+    """The whole part raster as one grid in tiles of 32 cells a side, from its first cell that can be entered."""
+    c = cells(spark, d).select(F.lit(0).alias("grid_id"), "cell_id", F.when(F.col("p_size") < 48, F.col("p_size") / 10.0).alias("mult"))
+    start = c.where("mult is not null").groupBy("grid_id").agg(F.min("cell_id").alias("cell_id"))
+    return rounded(trails.cost_distance(c, start, 50, 100.0, tile=32).select("cell_id", "cost"))
 
 
 GEOJSON = '{"type":"FeatureCollection","features":[{"id":"f0","type":"Feature","geometry":null,"properties":{"class":"Folder","title":"x"}},{"id":"a1","type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[0,0],[1,0],[1,1],[0,0]]]},"properties":{"class":"Assignment","letter":"A","number":"7","title":"north   side"}},{"id":"h","type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[9,0],[9,9]],[[1,1],[2,1],[2,2]]]},"properties":{}},{"id":"t","type":"Feature","geometry":{"type":"LineString","coordinates":[[0,0,5,1700000000000],[1,1,5,1700000060000]]},"properties":{"class":"Track"}},{"id":"u","type":"Feature","geometry":{"type":"LineString","coordinates":[[0,0],[1,1]]},"properties":{}},{"id":"m","type":"Feature","geometry":{"type":"Point","coordinates":[0,0]},"properties":{"class":"Marker"}}]}'

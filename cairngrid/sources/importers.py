@@ -101,12 +101,12 @@ def import_trails(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = F.concat(F.regexp_extract_all("text", F.lit(r"(?s)<trkseg\b[^>]*>(.*?)</trkseg>"), F.lit(1)), F.regexp_extract_all("text", F.lit(r"(?s)<rte\b[^>]*>(.*?)</rte>"), F.lit(1)))
     attr = lambda p, n: F.regexp_extract(p, rf"\b{n}\s*=\s*[\"']([^\"']*)[\"']", 1).try_cast("double")
     pts = F.filter(F.transform(F.regexp_extract_all("body", F.lit(r"(<(?:trkpt|rtept)\b[^>]*>)"), F.lit(1)), lambda p: F.struct(attr(p, "lon").alias("lng"), attr(p, "lat").alias("lat"))), lambda p: p["lng"].isNotNull() & p["lat"].isNotNull())
-    a = gpx.select("file", F.posexplode(blocks).alias("line", "body")).select("file", "line", pts.alias("points"))
+    a = gpx.select("file", F.posexplode(blocks).alias("line", "body")).select("file", F.col("line").cast("long").alias("line"), pts.alias("points"))
     doc = files.where(sniff(F.col("text")) == "geojson").select("file", F.from_json("text", COLLECTION).alias("c"))
     geoms = doc.select("file", F.posexplode(F.when(F.col("c.features").isNotNull(), F.transform("c.features", lambda f: f["geometry"])).otherwise(F.array("c.geometry"))).alias("i", "g")).where("g is not null")
     multi = F.when(F.col("g.type") == "LineString", F.array(F.from_json("g.coordinates", "array<array<double>>"))).when(F.col("g.type") == "MultiLineString", F.from_json("g.coordinates", "array<array<array<double>>>"))
     lines = geoms.where(F.col("g.type").isin("LineString", "MultiLineString")).select("file", "i", F.posexplode(multi).alias("k", "c"))
-    lines = lines.select("file", (F.col("i") * 100_000 + F.col("k")).cast("int").alias("line"), F.filter(F.transform("c", lambda p: F.struct(F.get(p, F.lit(0)).alias("lng"), F.get(p, F.lit(1)).alias("lat"))), lambda p: p["lng"].isNotNull() & p["lat"].isNotNull()).alias("points"))
+    lines = lines.select("file", (F.col("i").cast("long") * (1 << 31) + F.col("k")).alias("line"), F.filter(F.transform("c", lambda p: F.struct(F.get(p, F.lit(0)).alias("lng"), F.get(p, F.lit(1)).alias("lat"))), lambda p: p["lng"].isNotNull() & p["lat"].isNotNull()).alias("points"))
     every = a.unionByName(lines)
     other = geoms.where(~F.col("g.type").isin("LineString", "MultiLineString")).select("file")
     skipped = every.where(F.size("points") < 2).select("file").unionByName(other).groupBy("file").agg(F.count("*").alias("skipped"))

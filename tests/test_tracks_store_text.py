@@ -62,7 +62,7 @@ def test_join_lines(spark):
     rows = [("f", 1, 0, 0.0), ("f", 1, 1, 10.0), ("f", 2, 0, 20.0), ("f", 2, 1, 10.0), ("f", 3, 0, 50.0), ("f", 3, 1, 60.0)]
     df = spark.createDataFrame(rows, "file string, line_id int, seq int, x double").withColumn("y", F.lit(0.0))
     got = trails.join_lines(df, "file").orderBy("joined", "seq").collect()
-    assert [(r.joined, r.x) for r in got] == [(0, 0.0), (0, 10.0), (0, 20.0), (1, 50.0), (1, 60.0)]
+    assert [(r.joined, r.x) for r in got] == [(1, 0.0), (1, 10.0), (1, 20.0), (3, 50.0), (3, 60.0)]
 
 
 def test_store(spark, tmp_path):
