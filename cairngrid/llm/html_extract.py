@@ -21,14 +21,17 @@ from cairngrid.llm.common import append, cut
 BROADCAST_HOSTS = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object canvas select".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr tbody thead tfoot table ul ol dl figcaption figure summary details address center".split())
-DROP = frozenset("nav aside footer form button dialog menu label fieldset head".split())
+DROP = frozenset("nav aside footer button dialog menu head".split())
+#: Seldom part of the article, but some sites wrap whole pages in them.
+WRAP = frozenset("form fieldset".split())
 #: An open element that the start of another one ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body article section main div nav aside footer header form table ul ol dl td th".split())
-#: Words in class or id that mark what never belongs to the article.
+#: Words in class or id that name what never belongs to the article, where a name ends in one of them or in a word of PARTS: ``post-comments``, ``comments_area``.
+#: In other names (``comments-open``, ``ad-free``, ``reply-to-critics``) they may tell a state or a topic.
 NEVER = frozenset(
     "ad ads adv advert adverts advertisement adbox adsense sponsor sponsored cookie cookies consent gdpr popup modal newsletter subscribe subscription signup breadcrumb breadcrumbs pagination pager skip "
     "comment comments commentlist replies reply respond disqus".split()
@@ -38,6 +41,11 @@ SELDOM = frozenset(
     "promo promotion banner notice notices notification overlay nav navbar navigation menu sidebar sidebars rail widget widgets footer masthead topbar toolbar share sharing social related recommended recommendations "
     "discussion login search hidden copyright".split()
 )
+PARTS = frozenset("area banner bar block body box button container footer form group header holder inner item items label link list message meta outer panel placeholder row section slot thread title top bottom unit widget wrap wrapper left right text".split())
+#: Letters outside links that an element marked weakly must hold before its mark is lifted.
+LIFT = 200
+#: Share of a page's longer runs of text that its container must hold; a run counts from so many letters on.
+SHARE, LONG = 0.75, 40
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>", re.S)
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -60,7 +68,8 @@ def _label(tag: str, attrs: str) -> tuple[str, int]:
     for name in [*got.get("class", "").split(), got.get("id", "")]:
         words = [w.lower() for w in SPLIT.split(name) if w]
         if not {"no", "has", "with", "without"} & set(words[:1]):
-            off = max(off, STRONG if NEVER & set(words) else WEAK if SELDOM & set(words) else KEEP)
+            never = NEVER & set(words)
+            off = max(off, STRONG if never and words[-1] in NEVER | PARTS else WEAK if never or SELDOM & set(words) else KEEP)
     return label, off
 
 
@@ -145,6 +154,10 @@ class Page:
             off = off if off == STRONG or name == "article" == self.tag[inside] else KEEP
         elif name in DROP or name == "header" and not inside:
             off = STRONG
+        elif name in WRAP:
+            off = max(off, WEAK)
+        elif name == "label" and not self.open.get("p") and (self.open.get("form") or self.open.get("fieldset")):
+            off = STRONG
         self.parent.append(above)
         self.tag.append(name)
         self.label.append(label)
@@ -190,7 +203,7 @@ class Page:
         """For every element whether its text belongs to the outermost of ``roots`` around it: no mark stands between the two.
 
         Marks on and above a root do not count. A weak mark is lifted where the element holds more text outside links
-        than all that is unmarked below the root, and more than it has in links.
+        than all that is unmarked below the root, more than it has in links, and LIFT letters at least.
         """
         n = len(self.tag)
         if not any(m == WEAK for m in self.mark):
@@ -229,29 +242,38 @@ class Page:
                     h = held.setdefault(top, [0, 0])
                     h[0] += amount[e]
                     h[1] += linked[e]
-            best = max((e for e in held if self.mark[e] == WEAK and held[e][0] > max(held[e][1], free.get(root[e], 0))), key=lambda e: held[e][0], default=-1)
+            best = max((e for e in held if self.mark[e] == WEAK and held[e][0] > max(held[e][1], free.get(root[e], 0), LIFT - 1)), key=lambda e: held[e][0], default=-1)
             if best < 0:
                 return [root[e] >= 0 and marked[e] < 0 for e in range(n)]
             lifted.add(best)
 
     def best(self) -> tuple[int, float]:
-        """The container with the highest score; -1 without any text."""
+        """The container with the highest score, or the smallest around it that holds most of the longer text; -1 without any text.
+
+        Where no text stands outside links, that in links counts.
+        """
         kept = self.kept({0})
+        runs = [(self.container[e], len(text.strip()), link) for e, _, text, link in self.runs if kept[e] and not text.isspace()]
+        runs = [(e, n) for e, n, link in runs if not link] or [(e, n) for e, n, _ in runs]
         score: dict[int, float] = {}
-        for e, _, text, link in self.runs:
-            n = len(text.strip())
-            if not n or link or not kept[e]:
-                continue
-            e = self.container[e]
+        total = [0] * len(self.tag)
+        for e, n in runs:
             score[e] = score.get(e, 0) + n
+            if n >= LONG:
+                total[e] += n
             if e > 0:
                 up = self.parent[e]
                 score[up] = score.get(up, 0) + n / 2
         if not score:
             return -1, 0.0
-        top = max(score, key=lambda e: (score[e], -e))
+        best = max(score, key=lambda e: (score[e], -e))
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parent[e]] += total[e]
         # the article around the best section is the container
-        return self.article[top] or top, score[top]
+        top = self.article[best] or best
+        while top > 0 and total[top] < SHARE * total[0]:
+            top = self.parent[top]
+        return top, score[best]
 
     def text(self, chosen: set[int]) -> str:
         """Blocks of the chosen elements, one per line."""

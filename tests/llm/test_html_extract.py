@@ -89,3 +89,49 @@ def test_clashing_names_are_replaced(spark):
     df = spark.createDataFrame([("http://a/", "<p>kept</p>", "x", 1)], "url string, html string, main_text string, main_path int")
     got = hx.extract(df).collect()
     assert got[0].main_text == "kept" and got[0].asDict().keys() == {"url", "html", "main_path", "main_text", "main_chars"}
+
+
+SENTENCES = [f"Sentence {k} of the article tells what happened in the year {1800 + k}." for k in range(12)]
+
+
+def test_names_that_tell_a_state_or_a_topic_drop_no_article(spark):
+    """An article of twelve blocks keeps them all; its comments, menus and forms go."""
+    body = "<h1>Heading</h1>" + "".join(f"<p>{x}</p>" for x in SENTENCES)
+    want = "\n".join(["Heading", *SENTENCES])
+    rest = '<div class="comments"><p>A reader says so.</p></div>'
+    frame = '<html><body class="%s"><nav><a href="/">Home</a> menu</nav>%s<aside><p>Elsewhere</p></aside><footer><p>(c)</p></footer></body></html>'
+    cases = {
+        "form": f'<form id="aspnetForm"><div id="main">{body}</div>{rest}</form>',
+        "comments-open": f'<article class="post comments-open">{body}{rest}</article>',
+        "comments-enabled": f'<div class="post comments-enabled">{body}</div>{rest}',
+        "ad-free": f'<div class="ad-free layout">{body}{rest}</div>',
+        "subscriber": f'<div class="subscriber-content">{body}</div>{rest}',
+        "skip-content": f'<a class="skip-link" href="#c">Skip</a><div class="skip-content">{body}</div>{rest}',
+        "modal-open": f'<div class="modal-open page">{body}</div>{rest}',
+        "topic": f'<article class="reply-to-critics">{body}</article>{rest}',
+        "fieldset": f"<div><fieldset>{body}</fieldset></div>{rest}",
+        "post-comments": f'<div class="story">{body}</div><div class="post-comments"><p>A reader says so, and so on.</p></div><div id="comments_area"><p>Me too.</p></div>',
+    }
+    for name, html_text in cases.items():
+        assert one(frame % ("x", html_text)) == want, name
+        assert one(frame % (name, html_text)) == want, name
+    pages = [(k, f"http://host{k % 2}/{k}", frame % ("x", x)) for k, x in enumerate([*cases.values()] * 2)]
+    got = hx.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.main_text for r in got} == {want}
+
+
+def test_inline_math_and_labels_stay_and_those_of_forms_go():
+    page = "<div><p>Let <math><mi>x</mi></math> be <label>a prime</label>.</p><p>%s</p><form><label>Your mail</label><input></form></div>" % SENTENCES[0]
+    assert one(page) == f"Let x be a prime.\n{SENTENCES[0]}"
+
+
+def test_text_in_several_cells_and_articles_of_links():
+    cell = lambda name, part: f'<div class="{name}"><div class="c">{"".join(f"<p>{x}</p>" for x in part)}</div></div>'
+    page = f'<body><nav>menu</nav><div class="w">{cell("upper", SENTENCES[:7])}{cell("lower", SENTENCES[7:])}</div><footer>(c)</footer></body>'
+    assert one(page) == "\n".join(SENTENCES)
+    links = "".join(f'<p><a href="/{k}">{x}</a></p>' for k, x in enumerate(SENTENCES))
+    assert one(f"<body><nav><a href='/'>Home</a></nav><article>{links}</article></body>") == "\n".join(SENTENCES)
+
+
+def test_pages_without_an_article_are_empty():
+    assert one('<body><nav><p>menu</p></nav><div class="cookie-banner"><p>We use cookies. They are good. Please agree to all of them now.</p></div><form><label>Search</label><p>Find it</p></form><div class="comments"><p>First! A long comment follows here, and it is long.</p></div><footer><p>(c) 2024 A Company</p></footer></body>') == ""
