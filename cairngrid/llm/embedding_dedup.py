@@ -135,7 +135,7 @@ def _compare(axes: dict[int, np.ndarray], threshold: float, group: pa.Table) ->
     x, side = _matrix(group.column("vec")), group.column("side").to_numpy()
     if group.column("kind")[0].as_py() == "x" and len(np.unique(side)) < 2:  # no visitor, or no one at home, in this pair of tiles
         return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-    ids, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
+    ids, copies = group.column("no").to_numpy(), group.column("copies").to_numpy()
     u, _ = _unit(x)
     y = u @ axes[x.shape[1]]
     order = np.lexsort((ids, side))
@@ -174,7 +174,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     all_rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     fine = F.col("id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = all_rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    classes = cut(rows.where("fine").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    # classes have a number of their own: different vectors may share an id
+    classes = cut(rows.where("fine").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("no", F.monotonically_increasing_id()))
     axes = principal_axes(classes)
     width = math.sqrt(2 - 2 * threshold) + 1e-6
 
@@ -193,26 +194,27 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                     visits[k] = v
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size.astype(np.int32)), pa.array(cell), pa.array(visits, pa.list_(pa.int64()))], names=[*b.schema.names, "d", "cell", "visits"])
 
-    placed = cut(classes.mapInArrow(place, "vec array<double>, rep long, copies long, d int, cell long, visits array<long>"))
+    placed = cut(classes.select("vec", "no", "copies").mapInArrow(place, "vec array<double>, no long, copies long, d int, cell long, visits array<long>"))
     chunks = lambda n: F.ceil(F.col(n) / tile_rows).cast("int")
     guests = placed.select("d", F.explode("visits").alias("cell"))
     tiles = placed.groupBy("d", "cell").agg(F.count("*").alias("home")).join(guests.groupBy("d", "cell").agg(F.count("*").alias("guest")), ["d", "cell"], "left")
     tiles = cut(tiles.select("d", "cell", chunks("home").alias("homes"), F.coalesce(chunks("guest"), F.lit(0)).alias("guests")))
     few = tiles.count() <= BROADCAST_IDS
     at_home = lambda rows: rows.join(F.broadcast(tiles) if few else tiles, ["d", "cell"])
-    among = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    among = lambda n: F.pmod(F.xxhash64("no"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     home = at_home(placed.drop("visits")).withColumn("tile", among("homes"))
     one, two = F.least("tile", "other"), F.greatest("tile", "other")
-    within = home.withColumn("other", each("homes")).select("d", "cell", F.lit("w").alias("kind"), one.alias("i"), two.alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "rep", "copies", "vec")
-    hosts = home.where("guests > 0").withColumn("other", each("guests")).select("d", "cell", F.lit("x").alias("kind"), F.col("tile").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "rep", "copies", "vec")
+    within = home.withColumn("other", each("homes")).select("d", "cell", F.lit("w").alias("kind"), one.alias("i"), two.alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "no", "copies", "vec")
+    hosts = home.where("guests > 0").withColumn("other", each("guests")).select("d", "cell", F.lit("x").alias("kind"), F.col("tile").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "no", "copies", "vec")
     visiting = at_home(placed.drop("cell").withColumn("cell", F.explode("visits"))).withColumn("tile", among("guests")).withColumn("other", each("homes"))
-    visiting = visiting.select("d", "cell", F.lit("x").alias("kind"), F.col("other").alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"), "rep", "copies", "vec")
+    visiting = visiting.select("d", "cell", F.lit("x").alias("kind"), F.col("other").alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"), "no", "copies", "vec")
     work = within.unionByName(hosts).unionByName(visiting)
     found = cut(work.groupBy("d", "cell", "kind", "i", "j").applyInArrow(lambda t: _compare(axes, threshold, t), "id long, n long, root long"))
-    roots = connected_components(found, "id", "root").withColumnRenamed("id", "rep")
-    counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
-    named = cut(classes.join(counts, "rep", "left").join(roots, "rep", "left").select("vec", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")))
+    roots = connected_components(found, "id", "root").select(F.col("id").alias("no"), F.col("component_id").alias("root"))
+    counts = found.groupBy(F.col("id").alias("no")).agg(F.sum("n").alias("n"))
+    rooted = cut(classes.join(counts, "no", "left").join(roots, "no", "left").select("vec", "rep", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "no").alias("root")))
+    named = cut(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("vec", "copies", "n_links", "component_id"))
     alone = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = join_named(rows.where("fine"), named, "vec", "copies").select("id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("id") == F.col("component_id"))

@@ -85,3 +85,10 @@ def test_other_thresholds_and_hot_vectors(spark, monkeypatch, threshold):
     assert run(spark, rows, threshold=threshold, tile_rows=9) == want
     monkeypatch.setattr(common.join_named, "__defaults__", (10,))
     assert run(spark, rows, threshold=threshold) == want
+
+
+def test_different_vectors_of_one_id(spark):
+    """Rows that share an id are vectors of their own: one's links are not the other's."""
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 0.0, 1.0]), (3, [0.0, 0.0, 1.0]), (3, [0.0, 1.0, 0.1])]
+    assert run(spark, rows) == brute(rows, 0.9)
+    assert sorted(n for i, n, _ in run(spark, rows) if i == 1) == [1, 1]
