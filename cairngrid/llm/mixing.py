@@ -50,10 +50,10 @@ class DomainModel:
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> DomainModel:
     """Fit domain posteriors on about ``max_rows`` labelled documents, drawn by a hash of the id, and never more than ``SPARE`` times as many.
 
-    ``labels`` has ``id_col`` and ``domain``; rows with a null or unknown domain, or without a text, are left out. Without
-    any labelled document every posterior is uniform.
+    ``labels`` has ``id_col`` and ``domain``; rows with a null or unknown domain, or without a text, are left out, and an
+    id with several domains counts as the first of them in order. Without any labelled document every posterior is uniform.
     """
-    known = labels.select(F.col(id_col).alias("label_id"), "domain").where(F.col("domain").isin(domains)).dropDuplicates(["label_id"])
+    known = labels.select(F.col(id_col).alias("label_id"), "domain").where(F.col("domain").isin(domains)).groupBy("label_id").agg(F.min("domain").alias("domain"))
     n = known.count()
     draw = F.pmod(F.xxhash64(F.col("label_id").cast("string"), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.where(draw < max_rows / n) if n > max_rows else known

@@ -9,6 +9,7 @@ neither, and the calibrated views are combined into one score for every document
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from dataclasses import dataclass
 from functools import reduce
@@ -150,12 +151,13 @@ def surest(scored: DataFrame, column: str, label: int, most: int, sure: float, t
 def train_all(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", meta_cols=META, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, sure: float = SURE, per_round: int = PER_ROUND) -> dict[str, Model | None]:
     """Co-train one model per named target on about ``max_labelled`` labelled documents, drawn by a hash of the id, and on all unlabelled ones.
 
-    A target is a boolean over the columns of ``labels``; rows where all are null, and null texts, are left out. In each round both
+    A target is a boolean over the columns of ``labels``; rows where all are null, and null texts, are left out; an id with
+    several labels counts with the lowest of each target. In each round both
     views score every unlabelled document, and each hands the other its ``per_round`` surest ones. None for a target whose labels hold one class only.
     """
     spark = docs.sparkSession
     named = [label.cast("double").alias(f"y{i}") for i, label in enumerate(targets.values())]
-    known = cut(labels.select(F.col(id_col).alias("k"), *named).where(F.col("k").isNotNull() & F.coalesce(*[f"y{i}" for i in range(len(named))]).isNotNull()).dropDuplicates(["k"]))
+    known = cut(labels.select(F.col(id_col).alias("k"), *named).where(F.col("k").isNotNull() & F.coalesce(*[f"y{i}" for i in range(len(named))]).isNotNull()).groupBy("k").agg(*[F.min(f"y{i}").alias(f"y{i}") for i in range(len(named))]))
     n = known.count()
     draw = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("labelled")), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(draw < max_labelled / n) if n > max_labelled else known
@@ -202,6 +204,10 @@ def train_all(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], id
                 new[name][pupil] += 1
         for name in live:
             added[name].append((new[name]["m"], new[name]["t"]))
+    for name, handed in added.items():
+        for view, k in (("metadata", 0), ("text", 1)):
+            if not sum(n[k] for n in handed):
+                warnings.warn(f"{name}: the {view} view was handed no pseudo-label, since the other was never sure enough", stacklevel=2)
     return {name: v and v.model(words, added[name]) for name, v in learners.items()}
 
 

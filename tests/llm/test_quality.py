@@ -65,3 +65,20 @@ def test_defined_cases(spark):
     got = quality.quality_filter(docs, labels).collect()
     assert len(got) == 4 and {r.quality_score for r in got} == {0.5}
     assert quality.quality_filter(docs.limit(0), labels).count() == 0
+
+
+def test_ids_with_two_labels_and_views_that_are_never_sure(spark):
+    """Scores do not depend on the order of rows that label one id twice; a view that gets no pseudo-label is told."""
+    import warnings
+
+    docs = spark.createDataFrame([(i, ("fine words of prose " if i % 2 else "junk junk click here ") * 5, "en", "s", 100) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(i, i % 2, 0) for i in range(40)] + [(i, 1 - i % 2, 0) for i in range(6)]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, quality int, toxic int").coalesce(1)
+    scores = []
+    for r in (rows, rows[::-1]):
+        with warnings.catch_warnings(record=True) as told:
+            warnings.simplefilter("always")
+            model = quality.train(docs, frame(r), F.col("quality") == 1, sure=1.0)
+        assert sum("no pseudo-label" in str(w.message) for w in told) == 2
+        scores.append([x.q_score for x in quality.score(docs, {"q": model}).orderBy("doc_id").collect()])
+    assert scores[0] == scores[1]
