@@ -41,6 +41,20 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.withColumn("gx", F.explode(F.sequence("gx0", "gx1"))).withColumn("gy", F.explode(F.sequence("gy0", "gy1")))
 
 
+def _along_squares(df: DataFrame, side: float, reach: float) -> DataFrame:
+    """Segments (x0, y0, x1, y1) in the squares that they cross within ``reach`` of the origin, column by column."""
+    kept = lambda v: F.greatest(F.lit(-reach), F.least(F.lit(reach), v))
+    box = _cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), side, reach)
+    df = df.withColumn("gx", F.explode(F.sequence(box["gx0"], box["gx1"])))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    flat = F.abs(dx) < 1e-9
+    y = lambda x: F.when(flat, F.col("y0")).otherwise(F.col("y0") + (x - F.col("x0")) * dy / dx)
+    ya = F.when(flat, F.col("y0")).otherwise(y(F.greatest(F.least("x0", "x1"), F.col("gx") * side)))
+    yb = F.when(flat, F.col("y1")).otherwise(y(F.least(F.greatest("x0", "x1"), (F.col("gx") + 1) * side)))
+    low, high = F.floor(kept(F.least(ya, yb) - 1e-6) / side), F.floor(kept(F.greatest(ya, yb) + 1e-6) / side)
+    return df.withColumn("gy", F.explode(F.sequence(low, high)))
+
+
 def _walk_rings(starts: list, ends: list, points: list) -> list[np.ndarray]:
     """Rings of one shape: an element's end is the start of exactly one other."""
     at = {s: k for k, s in enumerate(starts)}
@@ -241,15 +255,13 @@ def areas_in_bands(polygons: DataFrame, bands: list[tuple[float, float]], key: s
 
     table = spark.createDataFrame(circles, "circle int, radius double, way int")
     sides = table.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SIDES - 1)))).withColumns({"a": _corner(F.col("radius"), F.col("k")), "b": _corner(F.col("radius"), F.col("k") + 1)})
-    sides = sides.withColumns(_cells(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"), side)).withColumnsRenamed({"gx0": "sx", "gy0": "sy"})
-    sides = sides.withColumn("gx", F.explode(F.sequence("sx", "gx1"))).withColumn("gy", F.explode(F.sequence("sy", "gy1"))).select("circle", "k", "a", "b", "sx", "sy", "gx", "gy")
-    spread = _spread(edges.withColumns(_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), side, reach + side)))
-    met = spread.join(F.broadcast(sides), ["gx", "gy"]).where((F.col("gx") == F.greatest("gx0", "sx")) & (F.col("gy") == F.greatest("gy0", "sy")))
+    sides = _spread(sides.withColumns(_cells(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"), side))).select("circle", "k", "a", "b", "gx", "gy")
+    met = _along_squares(edges, side, reach + side).join(F.broadcast(sides), ["gx", "gy"])
     dx, dy, ex, ey = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
     d = dx * ey - dy * ex
     met = met.withColumns({"t": F.try_divide((F.col("a.x") - F.col("x0")) * ey - (F.col("a.y") - F.col("y0")) * ex, d), "u": F.try_divide((F.col("a.x") - F.col("x0")) * dy - (F.col("a.y") - F.col("y0")) * dx, d)})
     met = met.where("t > 0 and t < 1 and u >= 0 and u < 1").select(key, "ring", "edge", "t", "circle", (F.col("k") + F.col("u")).alias("s"), F.concat_ws(".", F.lit("x"), "circle", "k", "ring", "edge").alias("node"))
-    met = checkpointed(met)
+    met = checkpointed(met.dropDuplicates([key, "node"]))  # a pair may share several squares
 
     cuts = met.groupBy(key, "ring", "edge").agg(F.array_sort(F.collect_list(F.struct("t", "node"))).alias("cuts"))
     corner = lambda c: F.concat_ws(".", F.lit("v"), "ring", c)

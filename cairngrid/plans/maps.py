@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairngrid.functions import spherical as sph
 from cairngrid.functions import text as txt
-from cairngrid.operators import searchmap, trails
+from cairngrid.operators import outlines, searchmap, trails
 from cairngrid.plans.base import cells, literal, query, rounded, table
 from cairngrid.sources import importers as imp
 
@@ -55,11 +55,6 @@ def q49_ring_line(spark, d):
     return _all(places(spark, d), sph.ring_line(F.col("lat"), F.col("lng"), F.col("m")))
 
 
-@query(RING_LINES)
-def q49b_all_ring_lines(spark, d):
-    return q49_ring_line(spark, d)
-
-
 WA, WO = _dest("lat", "lng", "bearing - 45e0 + 5e0 * (i - 1)", "m")
 
 
@@ -71,11 +66,6 @@ def q50_wedge(spark, d):
     return _all(places(spark, d), sph.wedge_polygon(F.col("lat"), F.col("lng"), F.col("m"), F.col("bearing"), F.lit(90.0)))
 
 
-@query(WEDGES)
-def q50b_all_wedges(spark, d):
-    return q50_wedge(spark, d)
-
-
 SA, SO = _dest("lat", "lng", "s * 45e0 - 22.5e0 + 5e0 * (CASE WHEN i < 10 THEN i WHEN i < 20 THEN 19 - i ELSE 0 END)", "CASE WHEN i < 10 OR i = 20 THEN m ELSE m / 2e0 END")
 
 
@@ -89,19 +79,15 @@ def q51_sectors(spark, d):
     return _all(s.withColumn("sector", sph.sector_name(F.col("s"), 8)), poly, "sector")
 
 
-@query(SECTORS)
-def q51c_all_sectors(spark, d):
-    return q51_sectors(spark, d)
-
+BAND_SQL = "bd AS (SELECT s_nationkey AS k, s_suppkey * 37 % 500 * 10e0 AS a, s_suppkey * 37 % 500 * 10e0 + 100 + s_suppkey % 7 * 200 AS b FROM supplier)"
 
-BANDS = [("a", 0.0, 1000.0), ("a", 1000.0, 2000.0), ("a", 3000.0, 4000.0), ("b", 0.0, 500.0), ("b", 400.0, 450.0), ("c", 5.0, 6.0), ("c", 7.0, 8.0), ("c", 5.5, 7.0)]
-BAND_SQL = "bd(k, a, b) AS (VALUES " + ", ".join(f"('{k}', {a}e0, {b}e0)" for k, a, b in BANDS) + ")"
 
-
-@query(f"WITH {BAND_SQL}, f AS (SELECT *, CASE WHEN coalesce(a > max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN 1 ELSE 0 END AS n FROM bd), g AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY a, b) AS r FROM f) SELECT k AS key, min(a) AS inner_m, max(b) AS outer_m FROM g GROUP BY k, r")
+@query(f"WITH {BAND_SQL}, f AS (SELECT *, CASE WHEN coalesce(a > max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN 1 ELSE 0 END AS n FROM bd), g AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS r FROM f) SELECT k AS key, min(a) AS inner_m, max(b) AS outer_m FROM g GROUP BY k, r")
 def q52_merge_bands(spark, d):
-    out = sph.merge_bands(literal(spark, "key string, inner double, outer double", BANDS), "key")
-    return out.withColumnsRenamed({"inner": "inner_m", "outer": "outer_m"})
+    """The suppliers of a nation as bands."""
+    k = F.col("s_suppkey")
+    bands = table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), (k * 37 % 500 * 10.0).alias("inner"), (k * 37 % 500 * 10.0 + 100 + k % 7 * 200).alias("outer"))
+    return sph.merge_bands(bands, "key").withColumnsRenamed({"inner": "inner_m", "outer": "outer_m"})
 
 
 def trail_lines(spark, d):
@@ -144,23 +130,32 @@ def q55_join_lines(spark, d):
     return trails.join_lines(lines.select("file", "line_id", "seq", "p.*"), "file")
 
 
-@query(f"""WITH {TL} SELECT DISTINCT line_id, p_partkey AS cell_id FROM part CROSS JOIN le WHERE (SELECT sqrt(pow((p_partkey % 50 + 0.5e0)*100 - (x0 + t*(x-x0)), 2) + pow((p_partkey // 50 + 0.5e0)*100 - (y0 + t*(y-y0)), 2)) FROM (SELECT greatest(0e0, least(1e0, (((p_partkey % 50 + 0.5e0)*100 - x0)*(x-x0) + ((p_partkey // 50 + 0.5e0)*100 - y0)*(y-y0)) / (len*len))) AS t)) <= 150e0""")
+CORRIDORS = f"""WITH {TL} SELECT DISTINCT line_id, p_partkey AS cell_id FROM part CROSS JOIN le WHERE (SELECT sqrt(pow((p_partkey % 50 + 0.5e0)*100 - (x0 + t*(x-x0)), 2) + pow((p_partkey // 50 + 0.5e0)*100 - (y0 + t*(y-y0)), 2)) FROM (SELECT greatest(0e0, least(1e0, (((p_partkey % 50 + 0.5e0)*100 - x0)*(x-x0) + ((p_partkey // 50 + 0.5e0)*100 - y0)*(y-y0)) / (len*len))) AS t)) <= 150e0"""
+
+
+@query(CORRIDORS)
 def q55b_corridor_cells(spark, d):
     return trails.corridor_cells(cells(spark, d), trail_lines(spark, d), 150.0)
 
 
+@query(CORRIDORS)
+def q55c_corridor_outlines(spark, d):
+    """The cells inside the outlines of the same corridors, drawn to a millimetre."""
+    rings = outlines.corridor_outlines(trail_lines(spark, d), 150.0, tolerance=0.001)
+    return outlines.in_rings(cells(spark, d), rings, "line_id", "cell_id", "cx", "cy")
+
+
 @query(f"WITH {PT}, b AS (SELECT id, lat, lng, degrees((m + 6000e0) / {sph.RADIUS}e0) AS dl, degrees((m + 6000e0) / ({sph.RADIUS}e0 * cos(radians(lat)))) AS dg FROM pt), i AS (SELECT *, unnest(range(floor((lat - dl - 40e0) / 0.25e0)::BIGINT, floor((lat + dl - 40e0) / 0.25e0)::BIGINT + 1)) AS i FROM b), j AS (SELECT *, unnest(range(floor((lng - dg + 130e0) / 0.4e0)::BIGINT, floor((lng + dg + 130e0) / 0.4e0)::BIGINT + 1)) AS j FROM i) SELECT id, i || '_' || j AS tile FROM j")
 def q57_tiles_for(spark, d):
     return sph.tiles_for(places(spark, d).withColumn("radius_m", F.col("m")), "id", 0.25, 0.4, 40.0, -130.0)
 
 
-RING_ROWS = [("a", 25, 1.0), ("a", 50, 2.0), ("a", 75, 4.0), ("a", 95, 10.0), ("b", 25, 0.5), ("b", 95, 3.0)]
-
-
-@query("WITH r(key, percent, distance) AS (VALUES " + ", ".join(f"('{k}', {p}, {v}e0)" for k, p, v in RING_ROWS) + "), w AS (SELECT *, lag(distance, 1, 0e0) OVER (PARTITION BY key ORDER BY percent) AS inner_m FROM r) SELECT key, percent, inner_m, distance AS outer_m FROM w WHERE percent IN (50, 95)")
+@query("WITH r AS (SELECT p_partkey // 4 AS key, [25, 50, 75, 95][p_partkey % 4 + 1] AS percent, (p_partkey % 4 + 1) * 6e0 + p_size / 10e0 AS distance FROM part), w AS (SELECT *, lag(distance, 1, 0e0) OVER (PARTITION BY key ORDER BY percent) AS inner_m FROM r) SELECT key, percent, round(inner_m, 9) AS inner_m, round(distance, 9) AS outer_m FROM w WHERE percent IN (50, 95)")
 def q52b_bands_for(spark, d):
-    out = sph.bands_for(literal(spark, "key string, percent int, distance double", RING_ROWS), "key", [50, 95])
-    return out.withColumnsRenamed({"inner": "inner_m", "outer": "outer_m"})
+    """Four parts each as the rings of one table."""
+    k = F.col("p_partkey")
+    rings = table(spark, d, "part").select(F.floor(k / 4).alias("key"), F.element_at(F.array(*map(F.lit, (25, 50, 75, 95))), (k % 4 + 1).cast("int")).alias("percent"), ((k % 4 + 1) * 6.0 + F.col("p_size") / 10.0).alias("distance"))
+    return rounded(sph.bands_for(rings, "key", [50, 95]).withColumnsRenamed({"inner": "inner_m", "outer": "outer_m"}))
 
 
 @query(f"WITH {PT} SELECT id, CASE WHEN m / 1000 < 10 THEN rtrim(rtrim(printf('%.2f', m / 1000), '0'), '.') ELSE regexp_replace(printf('%.1f', m / 1000), '\\.0$', '') END AS km FROM pt")
@@ -169,12 +164,11 @@ def q51b_format_km(spark, d):
 
 
 CSV = ["category,terrain,n,ring25,ring50,ring75,ring95,disp25,disp50,disp75,disp95", "# note", "Hiker,mountainous,50,1,2,3,5,,,,", "hiker,,20,0.5,1,2,4,10,20,30,40", "", "child,flat,7,0.2,0.4,0.8,1.5"]
-BAD = ["hiker,flat,1,1,2,3", "skier,flat,2,3,2,4,5", "camper,any,3,1,2,3,4,5,,,", "child,any,1,1,2,3,4", "child,any,1,1,2,3,4"]
 ENTRY_SQL = "be(category, terrain, ring25, ring95) AS (VALUES ('hiker', 'mountainous', 1.609e0, 8.047e0), ('hiker', 'any', 0.805e0, 6.437e0), ('child', 'flat', 0.322e0, 2.414e0))"
 
 
 def csv_lines(spark):
-    rows = [("good", i + 1, x) for i, x in enumerate(CSV)] + [("bad", i + 1, x) for i, x in enumerate(BAD)]
+    rows = [("good", i + 1, x) for i, x in enumerate(CSV)]
     return literal(spark, "file string, line_no int, line string", rows)
 
 
@@ -210,24 +204,6 @@ def q60_local_reader(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", f["category"].alias("category"), f["terrain"].alias("terrain"))
 
 
-NOTES = [(1, "Hiker last seen at 51.2034, -115.6120, heading north-east from the ridge. LKP"), (2, "Two skiers, bearing 215.5 degrees, 45.123 S 170.456 E"), (3, "Child walking towards the NW on flat farmland"), (4, None), (5, "travelling west-southwest; IPP 50.100 N 116.200 W")]
-
-
-@query("SELECT * FROM (VALUES (1, 51.2034e0, -115.612e0, 'LKP', 45e0, 'hiker', 'mountainous'), (2, -45.123e0, 170.456e0, NULL, 215.5e0, NULL, NULL), (3, NULL, NULL, NULL, 315e0, 'child', 'flat'), (4, NULL, NULL, NULL, NULL, NULL, NULL), (5, 50.1e0, -116.2e0, 'IPP', 247.5e0, NULL, NULL)) AS t(id, lat, lng, point_kind, bearing, category, terrain)")
-def q60b_reader_fields(spark, d):
-    df = literal(spark, "id int, t string", NOTES)
-    return df.select("id", *[c.alias(n) for n, c in txt.read_local(F.col("t")).items()])
-
-
-COORDS = [(1, "51.2034, -115.6120"), (2, "N51 12.204 W115 36.720"), (3, "51 12 12.24 N, 115 36 43.2 W"), (4, "-115.612 51.2034"), (5, "nowhere"), (6, "31N 500000 0000000"), (7, "91, 10"), (8, "")]
-
-
-@query("SELECT * FROM (VALUES (1, 51.2034e0, -115.612e0, 'decimal'), (2, 51.2034e0, -115.612e0, 'degrees-minutes'), (3, 51.2034e0, -115.612e0, 'degrees-minutes-seconds'), (4, 51.2034e0, -115.612e0, 'decimal'), (5, NULL, NULL, NULL), (6, 0e0, 3e0, 'utm'), (7, 10e0, 91e0, 'decimal'), (8, NULL, NULL, NULL)) AS t(id, lat, lng, format)")
-def q58_coord_parse(spark, d):
-    out = txt.parse_coordinates(literal(spark, "id int, t string", COORDS), "id", "t")
-    return rounded(out.select("id", "lat", "lng", "format"), 7)
-
-
 @query("SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(url), '\\.docx$') THEN 'docx' WHEN regexp_matches(lower(url), '\\.(txt|md|csv|json|eml|log|rtf)$') THEN 'text' ELSE 'unsupported' END AS kind FROM pages")
 def q61_doc_kind(spark, d):
     return table(spark, d, "pages").select("page_id", imp.doc_kind(F.col("url")).alias("kind"))
@@ -250,44 +226,91 @@ def q12_cost_distance(spark, d):
     return rounded(trails.cost_distance(c, start, 50, 100.0, tile=32).select("cell_id", "cost"))
 
 
-GEOJSON = '{"type":"FeatureCollection","features":[{"id":"f0","type":"Feature","geometry":null,"properties":{"class":"Folder","title":"x"}},{"id":"a1","type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[0,0],[1,0],[1,1],[0,0]]]},"properties":{"class":"Assignment","letter":"A","number":"7","title":"north   side"}},{"id":"h","type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[9,0],[9,9]],[[1,1],[2,1],[2,2]]]},"properties":{}},{"id":"t","type":"Feature","geometry":{"type":"LineString","coordinates":[[0,0,5,1700000000000],[1,1,5,1700000060000]]},"properties":{"class":"Track"}},{"id":"u","type":"Feature","geometry":{"type":"LineString","coordinates":[[0,0],[1,1]]},"properties":{}},{"id":"m","type":"Feature","geometry":{"type":"Point","coordinates":[0,0]},"properties":{"class":"Marker"}}]}'
-
-
-@query("SELECT * FROM (VALUES ('a1', 'assignment', 'A7 north side', 3), ('h', 'skipped', 'polygon with holes', NULL), ('t', 'track', NULL, 2), ('u', 'skipped', 'line without times', NULL), ('m', 'skipped', 'not an assignment or a track', NULL)) AS t(source_id, kind, note, n)")
-def q75_import_geojson(spark, d):
-    a, t, s = imp.import_geojson(literal(spark, "file string, text string", [("f", GEOJSON)]))
-    rows = a.select("source_id", F.lit("assignment").alias("kind"), F.col("label").alias("note"), F.size("points").alias("n"))
-    rows = rows.unionByName(t.groupBy("source_id").agg(F.count("*").cast("int").alias("n")).select("source_id", F.lit("track").alias("kind"), F.lit(None).cast("string").alias("note"), "n"))
-    return rows.unionByName(s.select("source_id", F.lit("skipped").alias("kind"), F.col("reason").alias("note"), F.lit(None).cast("int").alias("n")))
-
-
-GPX = '<gpx><trk><trkseg><trkpt lat="1" lon="2"><time>2024-01-01T00:00:00Z</time></trkpt><trkpt lat="1.1" lon="2"><time>2024-01-01T00:01:00Z</time></trkpt></trkseg><trkseg><trkpt lat="x" lon="2"><time>2024-01-01T00:00:00Z</time></trkpt></trkseg></trk></gpx>'
-
-
-@query("SELECT * FROM (VALUES ('trkseg 0', 2e0, 1e0, 1704067200000), ('trkseg 0', 2e0, 1.1e0, 1704067260000), ('trkseg 1', NULL, NULL, NULL)) AS t(source_id, x, y, t)")
-def q76_import_gpx(spark, d):
-    p, s = imp.import_gpx(literal(spark, "file string, text string", [("f", GPX)]))
-    none = [F.lit(None).cast(k).alias(n) for n, k in (("x", "double"), ("y", "double"), ("t", "long"))]
-    return p.select("source_id", "x", "y", "t").unionByName(s.select("source_id", *none))
-
-
-MAP = {"label": "EX-1", "lat": 51.2, "lng": -115.8, "kind": "IPP", "bearing": 90.0, "rings": [(25, 1.0), (50, 2.0), (75, 4.0), (95, 10.0)], "dispersion": [(50, 90.0), (75, 120.0)], "sectors": 8, "in_rings": [25, 50, 75], "source": "exercise"}
-
-
-@query("SELECT * FROM (VALUES ('planning point', 2, 1), ('distance rings', 5, 292), ('dispersion', 3, 48), ('segments', 25, 432)) AS t(folder, n, n_points)")
+FOLDER_ROWS = ", ".join(f"({i}, '{t}', '{u}')" for i, (t, u) in enumerate(searchmap.FOLDERS.items()))
+KM = lambda e: f"CASE WHEN {e} < 10 THEN rtrim(rtrim(printf('%.2f', {e}), '0'), '.') ELSE regexp_replace(printf('%.1f', {e}), '\\.0$', '') END"
+NUM = lambda e: f"regexp_replace(({e})::VARCHAR, '\\.0$', '')"
+MAPS = f"""fo(no, folder, fid) AS (VALUES {FOLDER_ROWS}),
+rq AS (SELECT s_suppkey AS id, 45e0 + s_suppkey % 20 * 0.5e0 AS lat, -120e0 + s_suppkey % 1000 * 0.125e0 AS lng, s_suppkey * 37 % 360 * 1e0 AS brg, 1e0 + s_suppkey % 13 * 0.25e0 AS base, [4, 8, 12, 16][s_suppkey % 4 + 1] AS sec, CASE WHEN s_suppkey % 2 = 0 THEN [25, 50, 75] ELSE [50] END AS bands, ['IPP', 'LKP', 'PLS'][s_suppkey % 3 + 1] AS kind FROM supplier),
+rg AS (SELECT rq.*, i, [25, 50, 75, 95][i] AS pct, base * [1, 2, 4, 10][i] AS km, CASE WHEN i = 1 THEN 0e0 ELSE base * [1, 2, 4, 10][i - 1] END AS km0 FROM rq CROSS JOIN (SELECT unnest(range(1, 5)) AS i)),
+sd AS (SELECT id, sha256('{{"dispersion":[{{"angleDeg":90,"percent":50}},{{"angleDeg":120,"percent":75}}],"dispersionSource":"exercise","label":"EX-' || id || '","planningPoint":{{"kind":"' || kind || '","lat":' || {NUM("lat")} || ',"lng":' || {NUM("lng")} || '}},"ringSource":"exercise","rings":[' ||
+ (SELECT string_agg('{{"distanceKm":' || {NUM("g.km")} || ',"percent":' || g.pct || '}}', ',' ORDER BY g.i) FROM rg g WHERE g.id = rq.id) || '],"segments":{{"inRings":[' || array_to_string(bands, ',') || '],"sectors":' || sec || '}},"travelBearingDeg":' || {NUM("brg")} || '}}') AS seed FROM rq),
+ft AS (SELECT id, no, folder, fid, NULL AS key, 'Folder' AS class, folder AS title, NULL::DOUBLE AS m, NULL::DOUBLE AS bearing, 0 AS n FROM rq CROSS JOIN fo
+ UNION ALL SELECT id, 8, '{searchmap.POINTS}', NULL, 'planning-point', 'Marker', kind, 0e0, 0e0, 1 FROM rq
+ UNION ALL SELECT id, 8 + i, '{searchmap.RANGES}', NULL, 'ring:' || pct, 'Shape', pct || '% ' || {KM("km")} || ' km', km * 1000, 0e0, 73 FROM rg
+ UNION ALL SELECT id, 11 + i, '{searchmap.RANGES}', NULL, 'wedge:' || pct, 'Shape', pct || '% dispersion ' || a || '°', km * 1000, brg - a / 2e0, a // 5 + 3 FROM (SELECT *, CASE i WHEN 2 THEN 90 ELSE 120 END AS a FROM rg WHERE i IN (2, 3))
+ UNION ALL SELECT id, 14 + row_number() OVER (PARTITION BY id ORDER BY i, k), '{searchmap.SEGMENTS}', NULL, 'segment:' || t, 'Assignment', t, km * 1000, k * 360e0 / sec - 180e0 / sec, (ceil(72e0 / sec)::INTEGER + 1) * CASE WHEN i = 1 THEN 1 ELSE 2 END + CASE WHEN i = 1 THEN 2 ELSE 1 END
+ FROM (SELECT *, 'R' || i || '-' || CASE sec WHEN 8 THEN ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][k + 1] WHEN 4 THEN ['N', 'E', 'S', 'W'][k + 1] ELSE 'S' || (k + 1) END AS t FROM (SELECT *, unnest(range(sec)) AS k FROM rg WHERE list_contains(bands, pct)))),
+fh AS (SELECT ft.*, sha256('"' || seed || ':' || key || '"') AS h FROM ft JOIN sd ON ft.id = sd.id)"""
+
+
+def map_requests(spark, d):
+    """One request for a search map per supplier."""
+    k, pick = F.col("s_suppkey"), lambda v, i: F.element_at(F.array(*[F.lit(x) for x in v]), (i + 1).cast("int"))
+    base = 1.0 + k % 13 * 0.25
+    rings = F.array(*[F.struct(F.lit(p).alias("percent"), (base * m).alias("km")) for p, m in ((25, 1), (50, 2), (75, 4), (95, 10))])
+    wedges = F.array(*[F.struct(F.lit(p).alias("percent"), F.lit(a).alias("degrees")) for p, a in ((50, 90), (75, 120))])
+    return table(spark, d, "supplier").select(
+        k.alias("request_id"), F.concat(F.lit("EX-"), k.cast("string")).alias("label"), pick(["IPP", "LKP", "PLS"], k % 3).alias("kind"), (45.0 + k % 20 * 0.5).alias("lat"), (-120.0 + k % 1000 * 0.125).alias("lng"),
+        (k * 37 % 360).cast("double").alias("bearing"), rings.alias("rings"), F.lit("exercise").alias("ring_source"), wedges.alias("dispersion"), F.lit("exercise").alias("dispersion_source"),
+        pick([4, 8, 12, 16], k % 4).alias("sectors"), F.when(k % 2 == 0, F.array(F.lit(25), F.lit(50), F.lit(75))).otherwise(F.array(F.lit(50))).alias("in_rings"),
+    )
+
+
+@query(f"""WITH {MAPS} SELECT id AS request_id, no::BIGINT AS no, coalesce(fid, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-8' || substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS id, folder, class, title, n::INTEGER AS n_points FROM fh""")
 def q56_search_map(spark, d):
-    m = searchmap.build_search_map(spark, MAP)
-    return m.groupBy("folder").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("coordinates"), F.lit(0))).alias("n_points"))
+    """Every feature of the suppliers' search maps, with its id and the number of its points."""
+    m = searchmap.search_maps(map_requests(spark, d))
+    return m.select("request_id", "no", "id", "folder", "class", "title", F.coalesce(F.size(F.get("coordinates", F.lit(0))), F.lit(0)).alias("n_points"))
 
 
-@query()
-def q56b_geojson(spark, d):
-    return searchmap.to_geojson(searchmap.build_search_map(spark, MAP))
-
+MA, MO = _dest("lat", "lng", "bearing", "m")
 
-AREAS = [("disc", [(-300.0, -300.0), (300.0, -300.0), (300.0, 300.0), (-300.0, 300.0)]), ("far", [(1200.0, 0.0), (1600.0, 0.0), (1600.0, 400.0), (1200.0, 400.0)]), ("crumb", [(900.0, 0.0), (940.0, 0.0), (940.0, 40.0), (900.0, 40.0)])]
 
-
-@query("SELECT * FROM (VALUES ('A-1', 'disc', 360000e0, 0e0), ('A-2', 'far', 160000e0, 1200e0)) AS t(name, geom_id, area_m2, nearness)")
+@query(f"""WITH {MAPS} SELECT ft.id AS request_id, no::BIGINT AS no, title, class, CASE WHEN class = 'Assignment' THEN 'GROUND' END AS resource, CASE WHEN class <> 'Folder' THEN (SELECT fid FROM fo WHERE fo.folder = ft.folder) END AS folder_id,
+CASE WHEN m > 0 THEN floor({MA} * 1e7 + 0.5e0) / 1e7 WHEN m = 0 THEN lat END AS lat, CASE WHEN m > 0 THEN floor({MO} * 1e7 + 0.5e0) / 1e7 WHEN m = 0 THEN lng END AS lng FROM ft JOIN rq ON ft.id = rq.id""")
+def q56b_geojson(spark, d):
+    """The suppliers' search maps as GeoJSON text, read again: some properties and a first point on each outer arc."""
+    m = searchmap.to_geojson(searchmap.search_maps(map_requests(spark, d)))
+    f = lambda path: F.get_json_object("value", f"$.{path}")
+    ring = F.when(f("geometry.type") == "Polygon", f("geometry.coordinates[0]")).when(f("geometry.type") == "LineString", f("geometry.coordinates")).when(f("geometry.type") == "Point", F.concat(F.lit("["), f("geometry.coordinates"), F.lit("]")))
+    at = F.when(f("properties.title").contains("dispersion") & (f("geometry.type") == "Polygon"), 1).otherwise(0)
+    p = F.get(F.from_json(ring, "array<array<double>>"), at)
+    return m.select("request_id", "no", f("properties.title").alias("title"), f("properties.class").alias("class"), f("properties.resourceType").alias("resource"), f("properties.folderId").alias("folder_id"), F.get(p, F.lit(1)).alias("lat"), F.get(p, F.lit(0)).alias("lng"))
+
+
+@query("""SELECT p_partkey AS request_id, array_to_string(list_filter([CASE WHEN p_size > 40 THEN 'planning point must be a valid latitude and longitude' END, CASE WHEN p_size % 5 = 0 THEN 'label looks like a person''s name; use a place and date instead' END,
+CASE WHEN p_partkey % 3 = 0 THEN 'ring source is required: name the table and subject category the distances come from' END, CASE WHEN p_partkey % 4 = 1 THEN 'ring 2: percent and distance must both increase' END, CASE WHEN p_partkey % 7 = 0 THEN 'segments: sectors must be 4, 8, 12 or 16' END,
+CASE WHEN p_size % 2 = 0 THEN 'segments: there is no 60% ring band' END, CASE WHEN p_size < 5 THEN 'trails: corridor half-width must be 5 to 1000 m' END], lambda x: x IS NOT NULL), '; ') AS problems FROM part""")
+def q56c_map_problems(spark, d):
+    k, n, none = F.col("p_partkey"), F.col("p_size"), F.lit(None)
+    rings = F.array(F.struct(F.lit(25).alias("percent"), F.lit(1.0).alias("km")), F.struct(F.lit(50).alias("percent"), F.when(k % 4 == 1, 1.0).otherwise(2.0).alias("km")))
+    requests = table(spark, d, "part").select(
+        k.alias("request_id"), F.when(n % 5 == 0, "Jane Doe").otherwise("Mirror Lake 1").alias("label"), F.lit("LKP").alias("kind"), (n * 2.2).alias("lat"), F.lit(10.0).alias("lng"), rings.alias("rings"), F.when(k % 3 != 0, "table").alias("ring_source"),
+        F.when(k % 7 == 0, 5).otherwise(8).alias("sectors"), F.array(F.lit(25), F.when(n % 2 == 0, 60).otherwise(50)).alias("in_rings"), F.array(F.lit(50)).alias("trail_rings"), n.cast("double").alias("half_width"), F.lit(1000.0).alias("piece_length"), none.cast("double").alias("bearing"),
+    )
+    return searchmap.map_problems(requests).select("request_id", F.array_join("problems", "; ").alias("problems"))
+
+
+@query("""WITH sp AS (SELECT s_suppkey AS id, s_suppkey * 37 % 1600 - 800e0 AS cx, s_suppkey * 53 % 1600 - 800e0 AS cy, 200e0 + s_suppkey * 7 % 700 AS h, s_suppkey % 3 = 0 AS lake FROM supplier),
+rg AS (SELECT id, 1e0 AS w, [{'x': cx - h, 'y': cy - h}, {'x': cx + h, 'y': cy - h / 2}, {'x': cx + h, 'y': cy + h}, {'x': cx - h / 2, 'y': cy + h}] AS p FROM sp UNION ALL SELECT id, -1e0, [{'x': cx - h / 5, 'y': cy - h / 5}, {'x': cx + h / 5, 'y': cy - h / 5}, {'x': cx + h / 5, 'y': cy + h / 5}, {'x': cx - h / 5, 'y': cy + h / 5}] FROM sp WHERE lake),
+ed AS (SELECT id, w, i, p[i].x AS ax, p[i].y AS ay, p[i % 4 + 1].x AS ex, p[i % 4 + 1].y AS ey FROM (SELECT *, unnest(range(1, 5)) AS i FROM rg)),
+ray AS (SELECT k, 2 * pi() * k / 720 + 1.7e-8 AS f FROM (SELECT unnest(range(720)) AS k)),
+tc AS (SELECT id, w, i, ax, ay, ex, ey, -(ax * sin(f) - ay * cos(f)) / ((ex - ax) * sin(f) - (ey - ay) * cos(f)) AS t FROM ed CROSS JOIN ray WHERE (ax * sin(f) - ay * cos(f)) * (ex * sin(f) - ey * cos(f)) < 0),
+ts AS (SELECT * FROM tc UNION ALL SELECT *, 0e0 FROM ed UNION ALL SELECT *, 1e0 FROM ed),
+sg AS (SELECT *, lead(t) OVER (PARTITION BY id, w, i ORDER BY t) AS t2 FROM ts),
+pq AS (SELECT id, w, ax + (ex - ax) * t AS px, ay + (ey - ay) * t AS py, ax + (ex - ax) * t2 AS qx, ay + (ey - ay) * t2 AS qy FROM sg WHERE t2 > t),
+wd AS (SELECT *, 2 * pi() / 720 * (floor((atan2(py + qy, px + qx) - 1.7e-8) / (2 * pi() / 720)) + 0.5e0) + 1.7e-8 AS m FROM pq),
+cr AS (SELECT id, w, px, py, qx, qy, r, s, r * cos(pi() / 720) AS a, px * cos(m) + py * sin(m) AS np, qx * cos(m) + qy * sin(m) AS nq FROM wd CROSS JOIN (VALUES (350e0, 1e0), (600e0, -1e0), (1000e0, 1e0)) c(r, s)),
+ar AS (SELECT id, w, s, CASE WHEN np <= a AND nq <= a THEN px * qy - qx * py WHEN np >= a AND nq >= a THEN (px * qy - qx * py) * (a / np) * (a / nq)
+ WHEN np < a THEN (px * yy - xx * py) + (xx * qy - qx * yy) * (a / nq) ELSE (px * yy - xx * py) * (a / np) + (xx * qy - qx * yy) END / 2 AS v
+ FROM (SELECT *, px + (qx - px) * (a - np) / nullif(nq - np, 0) AS xx, py + (qy - py) * (a - np) / nullif(nq - np, 0) AS yy FROM cr))
+SELECT id AS geom_id, round(sum(w * s * v), 1) AS area_m2 FROM ar GROUP BY id HAVING sum(w * s * v) > 0.05e0""")
 def q53b_areas_in_bands(spark, d):
-    return rounded(searchmap.areas_in_bands(spark, AREAS, [(0.0, 500.0), (500.0, 3000.0)]).select("name", "geom_id", "area_m2", "nearness"), 6)
+    """The suppliers' four-sided areas, some with a lake, in two bands: the areas of all parts, worked out in SQL as integrals over the sides of the circles."""
+    k, spot = F.col("s_suppkey"), lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    cx, cy, h = k * 37 % 1600 - 800.0, k * 53 % 1600 - 800.0, 200.0 + k * 7 % 700
+    outer = F.array(spot(cx - h, cy - h), spot(cx + h, cy - h / 2), spot(cx + h, cy + h), spot(cx - h / 2, cy + h))
+    lake = F.array(*[spot(cx + a * h / 5, cy + b * h / 5) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    rings = table(spark, d, "supplier").select(k.alias("geom_id"), F.posexplode(F.when(k % 3 == 0, F.array(outer, lake)).otherwise(F.array(outer))).alias("ring", "p"))
+    areas = outlines.areas_in_bands(rings.select("geom_id", "ring", F.posexplode("p").alias("seq", "q")).select("geom_id", "ring", "seq", "q.*"), [(600.0, 1000.0), (0.0, 350.0)], crumb_m2=0.0)
+    return rounded(areas.groupBy("geom_id").agg(F.sum("area_m2").alias("area_m2")).where("area_m2 > 0.05"), 1)

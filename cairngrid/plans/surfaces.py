@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairngrid.functions import geometry as geo
@@ -117,13 +118,15 @@ def q06_ring_prior_sigma(spark, d):
     return rounded(rings(spark, d, 150.0))
 
 
-TABLES = [("a", 0, 200.0, 0.5, 1000.0), ("a", 1, 400.0, 0.9, 1000.0), ("b", 0, 200.0, 0.5, None), ("b", 1, 150.0, 0.4, None), ("c", 0, 100.0, 1.0, None), ("d", 0, 100.0, 0.7, 90.0)]
-TABLE_SQL = "rt(table_id, seq, distance_m, cumulative, tail_m) AS (VALUES " + ", ".join(f"('{a}', {b}, {_n(c)}, {_n(e)}, {'NULL' if t is None else _n(t)})" for a, b, c, e, t in TABLES) + ")"
+TABLE_SQL = "rt AS (SELECT p_partkey // 4 AS table_id, p_partkey % 4 AS seq, 500e0 * (p_partkey % 4 + 1) + p_size * 30 AS distance_m, CASE WHEN p_size > 45 THEN 1.2e0 ELSE 0.24e0 * (p_partkey % 4 + 1) END AS cumulative, CASE WHEN p_size % 4 > 0 THEN 2000e0 + p_size * 60 END AS tail_m FROM part)"
 TABLE_STEPS = "st AS (SELECT *, lag(distance_m, 1, 0e0) OVER w AS d0, lag(cumulative, 1, 0e0) OVER w AS c0, lead(seq) OVER w IS NULL AS is_last FROM rt WINDOW w AS (PARTITION BY table_id ORDER BY seq))"
 
 
-def _tables(spark):
-    return literal(spark, "table_id string, seq int, distance_m double, cumulative double, tail_m double", TABLES)
+def _tables(spark, d):
+    """Four parts each as the rings of one table."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    step = k % 4 + 1
+    return table(spark, d, "part").select(F.floor(k / 4).alias("table_id"), (k % 4).alias("seq"), (500.0 * step + n * 30).alias("distance_m"), F.when(n > 45, 1.2).otherwise(0.24 * step).alias("cumulative"), F.when(n % 4 > 0, 2000.0 + n * 60).alias("tail_m"))
 
 
 @query(f"""WITH {TABLE_SQL}, {TABLE_STEPS}
@@ -132,14 +135,14 @@ UNION ALL SELECT table_id, seq, 'cumulative probability decreases or exceeds 1'
 UNION ALL SELECT table_id, seq, 'no tail distance' FROM st WHERE is_last AND cumulative < 1 - 1e-10 AND tail_m IS NULL
 UNION ALL SELECT table_id, seq, 'tail inside last ring' FROM st WHERE is_last AND tail_m <= distance_m""")
 def q07_ring_table_validate(spark, d):
-    return priors.validate_ring_table(_tables(spark))
+    return priors.validate_ring_table(_tables(spark, d))
 
 
 @query(f"""WITH {TABLE_SQL}, {TABLE_STEPS}
 SELECT table_id, round(d0, 9) AS inner_m, round(distance_m, 9) AS outer_m, round(cumulative - c0, 9) AS prob FROM st
 UNION ALL SELECT table_id, round(distance_m, 9), round(tail_m, 9), round(1 - cumulative, 9) FROM st WHERE is_last AND cumulative < 1 - 1e-10 AND tail_m IS NOT NULL""")
 def q07b_rings_from_table(spark, d):
-    return rounded(priors.rings_from_table(_tables(spark)).withColumnsRenamed({"inner": "inner_m", "outer": "outer_m"}))
+    return rounded(priors.rings_from_table(_tables(spark, d)).withColumnsRenamed({"inner": "inner_m", "outer": "outer_m"}))
 
 
 @query(f"WITH {CELLS}, {CORRIDOR} SELECT cell_id, round(p, 9) AS p, round(outside, 9) AS outside FROM cor")
@@ -349,9 +352,17 @@ def _walk(spark):
     return geo.line_legs(spark, WALK)
 
 
-@query(f"WITH {LENGTHS} SELECT cell_id, round(length, 6) AS length FROM lc")
+@query("""WITH tl AS (SELECT s_suppkey // 10 AS line_id, s_suppkey % 10 AS seq, s_suppkey * 7919 % 6000 - 500e0 AS x, s_suppkey * 104729 % 6000 - 500e0 AS y FROM supplier), legs AS (SELECT line_id, x AS ex, y AS ey, lag(x) OVER w AS ax, lag(y) OVER w AS ay FROM tl WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
+lg AS (SELECT *, sqrt((ex-ax)*(ex-ax)+(ey-ay)*(ey-ay)) AS len FROM legs WHERE ax IS NOT NULL), pn AS (SELECT *, greatest(1, ceil(len / 25e0))::BIGINT AS n FROM lg WHERE len > 0),
+pc AS (SELECT line_id, len / n AS part, ax + (ex-ax) * ((k + 0.5e0) / n) AS x, ay + (ey-ay) * ((k + 0.5e0) / n) AS y FROM (SELECT *, unnest(range(n)) AS k FROM pn))
+SELECT line_id, (floor(y / 100e0) * 50 + floor(x / 100e0))::BIGINT AS cell_id, round(sum(part), 6) AS length FROM pc WHERE x >= 0 AND x < 5000e0 AND y >= 0 AND y < 1000000e0 GROUP BY ALL""")
 def q37_rasterize_line(spark, d):
-    return geo.rasterize_legs(_walk(spark), grid(10_000), []).withColumn("length", F.round("length", 6))
+    """The lengths of the suppliers' lines in every cell."""
+    k = F.col("s_suppkey")
+    w = W.partitionBy("line_id").orderBy("seq")
+    points = table(spark, d, "supplier").select(F.floor(k / 10).alias("line_id"), (k % 10).alias("seq"), (k * 7919 % 6000 - 500.0).alias("bx"), (k * 104729 % 6000 - 500.0).alias("by"))
+    legs = points.withColumns({"ax": F.lag("bx").over(w), "ay": F.lag("by").over(w)}).where("ax is not null")
+    return geo.rasterize_legs(legs, grid(10_000), ["line_id"]).withColumn("length", F.round("length", 6))
 
 
 EDGE = f"({_line_sql(POLYGON + POLYGON[:1])})"
