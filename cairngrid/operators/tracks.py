@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairngrid.operators.surface import checkpointed
+
 MAX_GAP_S = 120.0
 MAX_SPEED = 4.0
 STATIONARY_SPEED = 0.15
@@ -47,23 +48,53 @@ def assess_tracks(points: DataFrame, max_gap_s: float = MAX_GAP_S, max_speed: fl
 def clean_tracks(points: DataFrame, max_speed: float = MAX_SPEED) -> DataFrame:
     """Points that follow the last kept point forward in time and not too fast.
 
-    The comparison is with the last *kept* point, so a track is walked in order: one group per track, in Arrow batches.
+    The comparison is with the last *kept* point, so it runs in order; a track of any length is still spread over tasks. Points are dealt out in ranges of
+    track and order and every range is walked at once, as if the track that goes on in it began there. Then each range is told the point kept
+    last before it (one per range on the driver), and those that had assumed another are walked again, until none has; a few points
+    after a boundary both walks keep the same ones, so this mostly takes one more round over few rows.
     """
     names = ["track_id", "seq", "x", "y", "t"]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        keep, last = [], None
-        for x, y, t in zip(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["t"].to_numpy(), strict=True):
-            dt = None if last is None else (t - last[2]) / 1000.0
-            ok = last is None or dt > 0 and ((x - last[0]) ** 2 + (y - last[1]) ** 2) ** 0.5 / dt <= max_speed
-            keep.append(ok)
-            if ok:
-                last = (x, y, t)
-        return pdf[keep]
-
     rows = points.select(*names)
-    return rows.groupBy("track_id").applyInPandas(walk, rows.schema)
+    ranges = checkpointed(rows.repartitionByRange("track_id", "seq").sortWithinPartitions("track_id", "seq").withColumn("range_", F.spark_partition_id()))
+    schema = ranges.withColumn("kept", F.lit(True)).schema
+
+    def walk(before: dict[int, tuple]):
+        def run(frames):
+            track, last = None, None
+            for k, pdf in enumerate(f for f in frames if len(f)):
+                ids, keep = pdf["track_id"].tolist(), []
+                if not k and (told := before.get(int(pdf["range_"].iloc[0]))):
+                    track, last = told[0], told[1:]
+                for i, x, y, t in zip(ids, pdf["x"].tolist(), pdf["y"].tolist(), pdf["t"].tolist(), strict=True):
+                    if i != track:
+                        track, last = i, None
+                    dt = None if last is None else (t - last[2]) / 1000.0
+                    ok = last is None or dt > 0 and ((x - last[0]) ** 2 + (y - last[1]) ** 2) ** 0.5 / dt <= max_speed
+                    keep.append(ok)
+                    if ok:
+                        last = (x, y, t)
+                pdf["kept"] = keep
+                yield pdf
+
+        return run
+
+    done, assumed = checkpointed(ranges.mapInPandas(walk({}), schema)), {}
+    while True:
+        place = F.struct("track_id", "seq")
+        kept = F.when(F.col("kept"), F.struct("track_id", "x", "y", "t"))
+        ends = done.groupBy("range_").agg(F.min("track_id").alias("first"), F.max("track_id").alias("last"), F.max_by(kept, F.when(F.col("kept"), place)).alias("p")).orderBy("range_").collect()  # one row per range
+        before, carried = {}, None
+        for r in ends:
+            if carried and carried[0] == r["first"]:
+                before[r["range_"]] = carried
+            own = tuple(r["p"]) if r["p"] else None
+            # where nothing of the last track is kept, the point from before still counts
+            carried = own if own and own[0] == r["last"] else carried if carried and carried[0] == r["last"] else None
+        wrong = [r for r in {*before, *assumed} if before.get(r) != assumed.get(r)]
+        if not wrong:
+            return done.where("kept").select(*names)
+        again = ranges.where(F.col("range_").isin(wrong)).mapInPandas(walk(before), schema)
+        done, assumed = checkpointed(done.where(~F.col("range_").isin(wrong)).unionByName(again)), before
 
 
 def split_at_gaps(points: DataFrame, max_gap_s: float = MAX_GAP_S) -> DataFrame:
@@ -74,53 +105,56 @@ def split_at_gaps(points: DataFrame, max_gap_s: float = MAX_GAP_S) -> DataFrame:
     return flagged.withColumn("n_", n).where("n_ >= 2").select("track_id", "part", "seq", "x", "y", "t")
 
 
-def classify(points: DataFrame, half_window_ms: int = 30_000) -> DataFrame:
-    """Points with ``speed`` between the first and last point within the half window, and ``kind``."""
-    w = W.partitionBy("track_id").orderBy("t").rangeBetween(-half_window_ms, half_window_ms)
+def classify(points: DataFrame, half_window_ms: int = 30_000, stretch_ms: int = 3_600_000) -> DataFrame:
+    """Points with ``speed`` between the first and last point within the half window, and ``kind``.
+
+    A track is cut into stretches of time that also see the points up to a half window beyond their ends, so a long one is spread over tasks.
+    """
+    at = lambda shift: F.floor((F.col("t") + shift) / stretch_ms)
+    seen = points.withColumns({"own_": at(0), "stretch_": F.explode(F.array_distinct(F.array(at(-half_window_ms), at(0), at(half_window_ms))))})
+    w = W.partitionBy("track_id", "stretch_").orderBy("t").rangeBetween(-half_window_ms, half_window_ms)
     p = F.struct("x", "y", "t")
-    s = points.withColumns({"a": F.min_by(p, F.struct("t", "seq")).over(w), "b": F.max_by(p, F.struct("t", "seq")).over(w)})
+    s = seen.withColumns({"a": F.min_by(p, F.struct("t", "seq")).over(w), "b": F.max_by(p, F.struct("t", "seq")).over(w)}).where("own_ = stretch_")
     dx, dy, dt = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"), (F.col("b.t") - F.col("a.t")) / 1000.0
     s = s.withColumn("speed", F.coalesce(F.try_divide(F.sqrt(dx * dx + dy * dy), dt), F.lit(0.0)))
     kind = F.when(F.col("speed") < STATIONARY_SPEED, "stationary").when(F.col("speed") > VEHICLE_SPEED, "vehicle").otherwise("foot")
-    return s.withColumn("kind", kind).drop("a", "b")
+    return s.withColumn("kind", kind).drop("a", "b", "own_", "stretch_")
+
+
+def _runs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Neighbouring rows (track_id, kind, from_seq, to_seq, t0, t1, n) of one kind as one row, per ``by``."""
+    w = W.partitionBy(*by).orderBy("from_seq")
+    new = (~F.col("kind").eqNullSafe(F.lag("kind").over(w))).cast("int")
+    numbered = rows.withColumn("new_", new).withColumn("run_", F.sum("new_").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    ends = [F.min("from_seq").alias("from_seq"), F.max("to_seq").alias("to_seq"), F.min_by("t0", "from_seq").alias("t0"), F.max_by("t1", "to_seq").alias("t1"), F.sum("n").alias("n")]
+    return numbered.groupBy(*by, "run_").agg(F.first("kind").alias("kind"), *ends).drop("run_")
 
 
 def segment_tracks(points: DataFrame, min_run_s: float = MIN_RUN_S) -> DataFrame:
     """(track_id, segment, kind, from_seq, to_seq, n, seconds) of runs of movement.
 
-    Runs of one kind are formed; a short run that is not on foot becomes foot; then, in order, a short run on foot between two
-    others takes the kind before it; neighbours of one kind merge; a segment has two points at least. The second rule sees
-    earlier changes, so tracks are walked in order, one group per track.
+    Runs of one kind are formed; a short run that is not on foot becomes foot; then a short run on foot between two others takes the kind
+    before it (its neighbours are not on foot, so no such change depends on another); neighbours of one kind merge; a segment has two points at least. A run
+    lasts until the next one's first point. Points are put into runs within ranges of their track; only runs meet by track.
     """
-    schema = "track_id long, segment int, kind string, from_seq long, to_seq long, n int, seconds double"
-
-    def merge(runs):
-        out = []
-        for r in runs:
-            if out and out[-1][0] == r[0]:
-                out[-1][2] = r[2]
-            else:
-                out.append(list(r))
-        return out
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        kind, t, seq = pdf["kind"].tolist(), pdf["t"].tolist(), pdf["seq"].tolist()
-        last = len(t) - 1
-        length = lambda r: (t[min(r[2] + 1, last)] - t[r[1]]) / 1000.0
-        runs = merge([(k, i, i) for i, k in enumerate(kind)])
-        for r in runs:
-            if r[0] != "foot" and length(r) < min_run_s:
-                r[0] = "foot"
-        runs = merge(runs)
-        for i in range(1, len(runs) - 1):
-            if runs[i][0] == "foot" and length(runs[i]) < min_run_s and runs[i - 1][0] != "foot" and runs[i + 1][0] != "foot":
-                runs[i][0] = runs[i - 1][0]
-        runs = [r for r in merge(runs) if r[2] > r[1]]
-        return pd.DataFrame([(pdf["track_id"].iloc[0], i, r[0], seq[r[1]], seq[r[2]], r[2] - r[1] + 1, length(r)) for i, r in enumerate(runs)], columns=["track_id", "segment", "kind", "from_seq", "to_seq", "n", "seconds"])
-
-    rows = classify(points).select("track_id", "seq", "t", "kind")
-    return rows.groupBy("track_id").applyInPandas(walk, schema)
+    rows = classify(points).select("track_id", F.col("seq").cast("long").alias("from_seq"), F.col("seq").cast("long").alias("to_seq"), F.col("t").alias("t0"), F.col("t").alias("t1"), "kind", F.lit(1).alias("n"))
+    ranges = checkpointed(rows.repartitionByRange("track_id", "from_seq").withColumn("range_", F.spark_partition_id()))
+    w = W.partitionBy("track_id").orderBy("from_seq")
+    seconds = (F.coalesce(F.lead("t0").over(w), "t1") - F.col("t0")) / 1000.0
+    runs = _runs(_runs(ranges, ["track_id", "range_"]), ["track_id"]).withColumn("s", seconds)
+    short = F.col("s") < min_run_s
+    runs = _runs(runs.withColumn("kind", F.when(short, "foot").otherwise(F.col("kind"))), ["track_id"]).withColumns({"s": seconds, "before": F.lag("kind").over(w), "after": F.lead("kind").over(w)})
+    between = (F.col("kind") == "foot") & short & F.col("before").isNotNull() & F.col("after").isNotNull()
+    runs = _runs(runs.withColumn("kind", F.when(between, F.col("before")).otherwise(F.col("kind"))), ["track_id"]).withColumn("seconds", seconds).where("n >= 2")
+    return runs.select(F.col("track_id").cast("long").alias("track_id"), (F.row_number().over(w) - 1).cast("int").alias("segment"), "kind", "from_seq", "to_seq", F.col("n").cast("int").alias("n"), "seconds")
+
+
+def track_reports(points: DataFrame, max_gap_s: float = MAX_GAP_S, max_speed: float = MAX_SPEED, min_run_s: float = MIN_RUN_S) -> DataFrame:
+    """One row per track: the assessment of what was recorded, median speed and aircraft flag of the cleaned points, and their segments in order."""
+    clean = checkpointed(clean_tracks(points, max_speed))
+    parts = segment_tracks(clean, min_run_s).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("segment", "kind", "from_seq", "to_seq", "n", "seconds"))).alias("segments"))
+    report = assess_tracks(points, max_gap_s, max_speed).join(median_speed(clean), "track_id", "left").join(parts, "track_id", "left")
+    return report.withColumn("segments", F.coalesce("segments", F.array().cast(parts.schema["segments"].dataType)))
 
 
 def median_speed(points: DataFrame) -> DataFrame:
