@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from cairngrid.functions import spherical as sph
 from cairngrid.functions.geometry import Grid
-from cairngrid.operators import pod, tracks, trails, updates
+from cairngrid.operators import outlines, pod, tracks, trails, updates
+from cairngrid.operators.surface import running_before
 
 
 def walked_legs(points: DataFrame, max_speed: float, max_gap_s: float) -> DataFrame:
@@ -41,7 +42,30 @@ def trail_corridors(cells: DataFrame, lines: DataFrame, bands: list[tuple[float,
     """
     if not 5 <= half_width <= 1000:
         raise ValueError("the half width must be 5 to 1000 m")
-    spark = cells.sparkSession
+    named, parts = _pieces(lines, bands, piece_length, key)
+    walked = _piece_lines(parts, named, key)
+    return named, trails.corridor_cells(cells, walked, half_width, "name")
+
+
+def trail_segments(lines: DataFrame, bands: list[tuple[float, float]], piece_length: float, half_width: float, group: str, key: str = "line_id", tolerance: float = 1.0) -> DataFrame:
+    """(name, key, band, part, piece, length, rings): the corridors of trails as outlines, outer ring first, for a search map.
+
+    Trails of a ``group`` (a file) that meet end to end are joined first, within ``tolerance``; ``key`` is then the smallest line of each.
+    """
+    if not 5 <= half_width <= 1000:
+        raise ValueError("the half width must be 5 to 1000 m")
+    if not 100 <= piece_length <= 20_000:
+        raise ValueError("the piece length must be 100 m to 20 km")
+    joined = trails.join_lines(lines, group, tolerance, key).select(F.struct(group, F.col("joined").alias("line")).alias(key), "seq", "x", "y")
+    named, parts = _pieces(joined, bands, piece_length, key)
+    outlines_ = outlines.corridor_outlines(_piece_lines(parts, named, key), half_width, "name")
+    rings = outlines_.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "points"))), lambda r: r["points"]).alias("rings"))
+    return named.join(rings, "name").select("name", F.col(f"{key}.{group}").alias(group), F.col(f"{key}.line").alias(key), "band", "part", "piece", "length", "rings")
+
+
+def _pieces(lines: DataFrame, bands: list[tuple[float, float]], piece_length: float, key: str) -> tuple[DataFrame, DataFrame]:
+    """(named pieces with their ends, parts of the lines inside the merged bands)."""
+    spark = lines.sparkSession
     merged = sph.merge_bands(spark.createDataFrame([("b", float(i), float(o)) for i, o in bands], "key string, inner double, outer double"), "key").orderBy("inner").collect()  # as many rows as bands were asked for
     parts = None
     for b, m in enumerate(merged):
@@ -49,10 +73,9 @@ def trail_corridors(cells: DataFrame, lines: DataFrame, bands: list[tuple[float,
         parts = one if parts is None else parts.unionByName(one)
     place = F.struct(F.col(key), "band", "part")
     pieces = trails.split_evenly(parts.select(place.alias("place"), "seq", "x", "y"), piece_length, "place")
-    order = F.row_number().over(W.orderBy("place", "piece"))  # as many rows as named corridors on one map
-    named = pieces.select(F.concat(F.lit("T-"), order.cast("string")).alias("name"), F.col(f"place.{key}").alias(key), "place.band", "place.part", "piece", "length", "x0", "y0", "x1", "y1")
-    walked = _piece_lines(parts, named, key)
-    return named, trails.corridor_cells(cells, walked, half_width, "name")
+    numbered = running_before(pieces.withColumn("one", F.lit(1)), [], [F.col("place"), F.col("piece")], "one", "before")
+    named = numbered.select(F.concat(F.lit("T-"), (F.col("before") + 1).cast("string")).alias("name"), F.col(f"place.{key}").alias(key), "place.band", "place.part", "piece", "length", "x0", "y0", "x1", "y1")
+    return named, parts
 
 
 def _piece_lines(parts: DataFrame, named: DataFrame, key: str) -> DataFrame:

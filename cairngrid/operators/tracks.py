@@ -110,8 +110,9 @@ def classify(points: DataFrame, half_window_ms: int = 30_000, stretch_ms: int =
 
     A track is cut into stretches of time that also see the points up to a half window beyond their ends, so a long one is spread over tasks.
     """
-    at = lambda shift: F.floor((F.col("t") + shift) / stretch_ms)
-    seen = points.withColumns({"own_": at(0), "stretch_": F.explode(F.array_distinct(F.array(at(-half_window_ms), at(0), at(half_window_ms))))})
+    size = max(stretch_ms, 4 * half_window_ms)  # so that most points are seen once
+    at = lambda shift: F.floor((F.col("t") + shift) / size)
+    seen = points.withColumns({"own_": at(0), "stretch_": F.explode(F.sequence(at(-half_window_ms), at(half_window_ms)))})
     w = W.partitionBy("track_id", "stretch_").orderBy("t").rangeBetween(-half_window_ms, half_window_ms)
     p = F.struct("x", "y", "t")
     s = seen.withColumns({"a": F.min_by(p, F.struct("t", "seq")).over(w), "b": F.max_by(p, F.struct("t", "seq")).over(w)}).where("own_ = stretch_")
@@ -130,14 +131,14 @@ def _runs(rows: DataFrame, by: list[str]) -> DataFrame:
     return numbered.groupBy(*by, "run_").agg(F.first("kind").alias("kind"), *ends).drop("run_")
 
 
-def segment_tracks(points: DataFrame, min_run_s: float = MIN_RUN_S) -> DataFrame:
+def segment_tracks(points: DataFrame, min_run_s: float = MIN_RUN_S, half_window_ms: int = 30_000) -> DataFrame:
     """(track_id, segment, kind, from_seq, to_seq, n, seconds) of runs of movement.
 
     Runs of one kind are formed; a short run that is not on foot becomes foot; then a short run on foot between two others takes the kind
     before it (its neighbours are not on foot, so no such change depends on another); neighbours of one kind merge; a segment has two points at least. A run
     lasts until the next one's first point. Points are put into runs within ranges of their track; only runs meet by track.
     """
-    rows = classify(points).select("track_id", F.col("seq").cast("long").alias("from_seq"), F.col("seq").cast("long").alias("to_seq"), F.col("t").alias("t0"), F.col("t").alias("t1"), "kind", F.lit(1).alias("n"))
+    rows = classify(points, half_window_ms).select("track_id", F.col("seq").cast("long").alias("from_seq"), F.col("seq").cast("long").alias("to_seq"), F.col("t").alias("t0"), F.col("t").alias("t1"), "kind", F.lit(1).alias("n"))
     ranges = checkpointed(rows.repartitionByRange("track_id", "from_seq").withColumn("range_", F.spark_partition_id()))
     w = W.partitionBy("track_id").orderBy("from_seq")
     seconds = (F.coalesce(F.lead("t0").over(w), "t1") - F.col("t0")) / 1000.0

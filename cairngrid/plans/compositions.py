@@ -115,7 +115,17 @@ def q83_search_preview(spark, d):
     return rounded(preview.search_preview(S.uniform(spark, d), cells(spark, d), p, grid(10_000), S.POLYGON, 20.0, 50.0, tracks_plans.SPEED, tracks_plans.GAP))
 
 
-@query()
+BANDED = ", ".join(maps.CLIP("lg WHERE x0 IS NOT NULL", f"b{i}", a, b) for i, (a, b) in enumerate([(0.0, 1500.0), (2000.0, 2600.0)]))
+
+
+@query(f"""WITH {maps.TL}, {BANDED}, pt AS (SELECT 0 AS band, line_id, part, i, ax, ay, ex, ey FROM b0 UNION ALL SELECT 1, line_id, part, i, ax, ay, ex, ey FROM b1), ln AS (SELECT *, sqrt((ex-ax)*(ex-ax) + (ey-ay)*(ey-ay)) AS len FROM pt),
+cu AS (SELECT *, sum(len) OVER (PARTITION BY line_id, band, part ORDER BY i) AS upto, sum(len) OVER (PARTITION BY line_id, band, part) AS total FROM ln), ct AS (SELECT line_id, band, part, max(total) AS total, greatest(1, floor(max(total) / 800e0 + 0.5e0))::BIGINT AS n FROM cu GROUP BY ALL),
+pc AS (SELECT *, unnest(range(1, n + 1)) AS piece FROM ct), nm AS (SELECT *, total / n AS length, 'T-' || row_number() OVER (ORDER BY line_id, band, part, piece) AS name FROM pc),
+lo AS (SELECT nm.name, ax, ay, ex, ey, len, greatest(upto - len, (piece - 1) * length) - (upto - len) AS f0, least(upto, piece * length) - (upto - len) AS f1 FROM nm JOIN cu ON cu.line_id = nm.line_id AND cu.band = nm.band AND cu.part = nm.part),
+sb AS (SELECT name, ax + (ex-ax)*f0/len AS x0, ay + (ey-ay)*f0/len AS y0, ax + (ex-ax)*f1/len AS x1, ay + (ey-ay)*f1/len AS y1 FROM lo WHERE f1 > f0),
+ce AS (SELECT p_partkey AS cell_id, (p_partkey % 50 + 0.5e0) * 100 AS cx, (p_partkey // 50 + 0.5e0) * 100 AS cy FROM part),
+hit AS (SELECT DISTINCT name, cell_id FROM (SELECT *, greatest(0e0, least(1e0, ((cx-x0)*(x1-x0) + (cy-y0)*(y1-y0)) / ((x1-x0)*(x1-x0) + (y1-y0)*(y1-y0)))) AS t FROM sb JOIN ce ON cx BETWEEN least(x0, x1) - 150 AND greatest(x0, x1) + 150 AND cy BETWEEN least(y0, y1) - 150 AND greatest(y0, y1) + 150) WHERE sqrt(pow(cx - x0 - t*(x1-x0), 2) + pow(cy - y0 - t*(y1-y0), 2)) <= 150e0)
+SELECT nm.name, line_id, band, piece::INTEGER AS piece, round(length, 6) AS length, count(cell_id) AS n_cells FROM nm LEFT JOIN hit ON hit.name = nm.name GROUP BY ALL""")
 def q84_trail_corridors(spark, d):
     """Clipped, split and named pieces of the suppliers' trails with the number of cells in each corridor."""
     named, members = preview.trail_corridors(cells(spark, d), maps.trail_lines(spark, d), [(0.0, 1200.0), (1000.0, 1500.0), (2000.0, 2600.0)], 800.0, 150.0)

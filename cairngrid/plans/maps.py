@@ -99,7 +99,14 @@ def trail_lines(spark, d):
 TL = "tl AS (SELECT s_suppkey // 10 AS line_id, s_suppkey % 10 AS seq, s_suppkey * 7919 % 6000 - 3000e0 AS x, s_suppkey * 104729 % 6000 - 3000e0 AS y FROM supplier), lg AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM tl WINDOW w AS (PARTITION BY line_id ORDER BY seq)), le AS (SELECT *, sqrt((x-x0)*(x-x0)+(y-y0)*(y-y0)) AS len FROM lg WHERE x0 IS NOT NULL)"
 
 
-@query()
+CLIP = lambda src, name, inner, outer: f"""{name}e AS (SELECT line_id, seq - 1 AS leg, x0, y0, x - x0 AS dx, y - y0 AS dy FROM {src}), {name}q AS (SELECT *, dx*dx + dy*dy AS a, x0*dx + y0*dy AS b, x0*x0 + y0*y0 AS c FROM {name}e),
+{name}t AS (SELECT *, list_sort(list_distinct([0e0, 1e0] || list_filter([{", ".join(f"CASE WHEN a > 0 AND b*b - a*(c - {r}e0*{r}e0) > 0 THEN (-b {s} sqrt(b*b - a*(c - {r}e0*{r}e0))) / a END" for r in ([inner] * (inner > 0) + [outer]) for s in "-+")}], lambda v: v > 0 AND v < 1))) AS t FROM {name}q),
+{name}p AS (SELECT line_id, leg, k, x0 + dx*ta AS ax, y0 + dy*ta AS ay, x0 + dx*tb AS ex, y0 + dy*tb AS ey, sqrt(pow(x0 + dx*(ta + tb)/2, 2) + pow(y0 + dy*(ta + tb)/2, 2)) BETWEEN {inner}e0 AND {outer}e0 AS ok FROM (SELECT *, t[k] AS ta, t[k + 1] AS tb FROM (SELECT *, unnest(range(1, len(t))) AS k FROM {name}t))),
+{name}n AS (SELECT *, CASE WHEN ok AND NOT coalesce(lag(ok) OVER (PARTITION BY line_id ORDER BY leg, k), false) THEN 1 ELSE 0 END AS nw FROM {name}p), {name}r AS (SELECT *, sum(nw) OVER (PARTITION BY line_id ORDER BY leg, k) AS part FROM {name}n),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY line_id, part ORDER BY leg, k) AS i FROM {name}r WHERE ok AND sqrt((ex-ax)*(ex-ax) + (ey-ay)*(ey-ay)) > 1e-9)"""
+
+
+@query(f"""WITH {TL}, {CLIP("lg WHERE x0 IS NOT NULL", "cl", 1000.0, 2500.0)} SELECT line_id, part::BIGINT AS part, 0 AS seq, round(ax, 6) AS x, round(ay, 6) AS y FROM cl WHERE i = 1 UNION ALL SELECT line_id, part::BIGINT, i::INTEGER, round(ex, 6), round(ey, 6) FROM cl""")
 def q53_clip_band(spark, d):
     return rounded(trails.clip_to_band(trail_lines(spark, d), 1000.0, 2500.0), 6)
 

@@ -48,17 +48,32 @@ def q31_split_gaps(spark, d):
 HALF = 43_200_000
 
 
-@query(f"""WITH {P}, w AS (SELECT track_id, seq, t, (SELECT arg_min(struct_pack(x := q.x, y := q.y, t := q.t), q.t * 1000000 + q.seq) FROM pts q WHERE q.track_id = p.track_id AND q.t BETWEEN p.t - {HALF} AND p.t + {HALF}) AS a,
+SPEEDS = f"""{P}, w AS (SELECT track_id, seq, t, (SELECT arg_min(struct_pack(x := q.x, y := q.y, t := q.t), q.t * 1000000 + q.seq) FROM pts q WHERE q.track_id = p.track_id AND q.t BETWEEN p.t - {HALF} AND p.t + {HALF}) AS a,
  (SELECT arg_max(struct_pack(x := q.x, y := q.y, t := q.t), q.t * 1000000 + q.seq) FROM pts q WHERE q.track_id = p.track_id AND q.t BETWEEN p.t - {HALF} AND p.t + {HALF}) AS b FROM pts p),
-v AS (SELECT track_id, seq, CASE WHEN b.t > a.t THEN sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) / ((b.t - a.t) / 1000e0) ELSE 0e0 END AS s FROM w)
+v AS (SELECT track_id, seq, CASE WHEN b.t > a.t THEN sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) / ((b.t - a.t) / 1000e0) ELSE 0e0 END AS s FROM w)"""
+
+
+@query(f"""WITH {SPEEDS}
 SELECT track_id, seq, round(s, 9) AS speed, CASE WHEN s < 0.15e0 THEN 'stationary' WHEN s > 3e0 THEN 'vehicle' ELSE 'foot' END AS kind FROM v""")
 def q32_classify(spark, d):
     return tracks.classify(points(spark, d), HALF).select("track_id", "seq", F.round("speed", 9).alias("speed"), "kind")
 
 
-@query()
+def _runs_sql(rows: str, name: str) -> str:
+    return f"""{name}f AS (SELECT *, CASE WHEN kind = lag(kind) OVER w THEN 0 ELSE 1 END AS nw FROM {rows} WINDOW w AS (PARTITION BY track_id ORDER BY fs)), {name}g AS (SELECT *, sum(nw) OVER (PARTITION BY track_id ORDER BY fs) AS rn FROM {name}f),
+{name}h AS (SELECT track_id, any_value(kind) AS kind, min(fs) AS fs, max(te) AS te, arg_min(t0, fs) AS t0, arg_max(t1, te) AS t1, sum(n) AS n FROM {name}g GROUP BY track_id, rn), {name} AS (SELECT *, (coalesce(lead(t0) OVER w, t1) - t0) / 1000e0 AS s, lag(kind) OVER w AS bf, lead(kind) OVER w AS af FROM {name}h WINDOW w AS (PARTITION BY track_id ORDER BY fs))"""
+
+
+RUN_S = 100_000.0
+
+
+@query(f"""WITH {SPEEDS}, k0 AS (SELECT v.track_id, CASE WHEN s < 0.15e0 THEN 'stationary' WHEN s > 3e0 THEN 'vehicle' ELSE 'foot' END AS kind, v.seq AS fs, v.seq AS te, t AS t0, t AS t1, 1 AS n FROM v JOIN pts ON pts.track_id = v.track_id AND pts.seq = v.seq),
+{_runs_sql("k0", "ra")}, k1 AS (SELECT track_id, CASE WHEN s < {RUN_S}e0 THEN 'foot' ELSE kind END AS kind, fs, te, t0, t1, n FROM ra), {_runs_sql("k1", "rb")},
+k2 AS (SELECT track_id, CASE WHEN kind = 'foot' AND s < {RUN_S}e0 AND bf IS NOT NULL AND af IS NOT NULL THEN bf ELSE kind END AS kind, fs, te, t0, t1, n FROM rb), {_runs_sql("k2", "rc")}
+SELECT track_id, (row_number() OVER (PARTITION BY track_id ORDER BY fs) - 1)::INTEGER AS segment, kind, fs AS from_seq, te AS to_seq, n::INTEGER AS n, s AS seconds FROM rc WHERE n >= 2""")
 def q33_segment(spark, d):
-    return tracks.segment_tracks(points(spark, d))
+    """Days instead of seconds, as events are: half a day around each point, runs of a day."""
+    return tracks.segment_tracks(points(spark, d), RUN_S, HALF)
 
 
 @query(f"WITH {P}, v AS (SELECT track_id, list_sort(list(dd / dt) FILTER (WHERE dt > 0)) AS v FROM sd GROUP BY 1) SELECT track_id, round(coalesce(v[len(v) // 2 + 1], 0e0), 9) AS median_speed, coalesce(v[len(v) // 2 + 1], 0e0) > 10 AS aircraft FROM v")
