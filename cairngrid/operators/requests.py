@@ -11,6 +11,11 @@ COMMIT = (
     "searchDomainId string, parentSurfaceId string, surfaceType string, valuesBase64 string, normalizationConstant double, modelVersion struct<component:string,version:string>, rationale string, "
     "evidence struct<evidenceType:string,evidenceId:string,method:string,previewHash:string>, adjustment struct<method:string>"
 )
+CREATE_RUN = "incidentId string, informationCutoff string"
+LOCK_RUN = "surfaceId string, baselineSurfaceIds array<string>, modelVersions map<string,string>"
+#: Baselines that one run may name.
+BASELINES = 10
+INSTANT = r"^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])T(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?:Z|[+-](?:[01]\d|2[0-3]):[0-5]\d)$"
 ROLLBACK = "headSurfaceId string, targetSurfaceId string, rationale string"
 
 
@@ -60,3 +65,25 @@ def commit_problems(df: DataFrame, key: str, body: str) -> DataFrame:
 def rollback_problems(df: DataFrame, key: str, body: str) -> DataFrame:
     """(key, path) of what is wrong with bodies that roll a head back to an earlier surface."""
     return _reported(df, key, body, ROLLBACK, lambda c: [("headSurfaceId", ~_guid(c("headSurfaceId"))), ("targetSurfaceId", ~_guid(c("targetSurfaceId"))), ("rationale", ~_text(F.trim(c("rationale")), 10))])
+
+
+def create_run_problems(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, path) of what is wrong with bodies that create an evaluation run: its incident, and a cutoff as a date and time with an offset that exists."""
+
+    def checks(c):
+        at = c("informationCutoff")
+        real = F.coalesce(at.rlike(INSTANT) & F.try_to_timestamp(F.substring(at, 1, 10), F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+        return [("incidentId", ~_guid(c("incidentId"))), ("informationCutoff", ~real)]
+
+    return _reported(df, key, body, CREATE_RUN, checks)
+
+
+def lock_run_problems(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, path) of what is wrong with bodies that lock a run: its surface, up to ten baselines, and named model versions; both may be left out."""
+
+    def checks(c):
+        baselines, models = c("baselineSurfaceIds"), c("modelVersions")
+        bad = F.coalesce((F.size(baselines) > BASELINES) | F.exists(baselines, lambda b: ~_guid(b)), F.lit(False))
+        return [("surfaceId", ~_guid(c("surfaceId"))), ("baselineSurfaceIds", bad), ("modelVersions", F.coalesce(F.exists(F.map_values(models), lambda v: v.isNull()), F.lit(False)))]
+
+    return _reported(df, key, body, LOCK_RUN, checks)

@@ -118,3 +118,40 @@ def seal_location(text: Column, incident_id: Column, key: Column) -> Column:
 
 def open_location(sealed: Column, incident_id: Column, key: Column) -> Column:
     return F.aes_decrypt(F.unbase64(sealed), key, F.lit("GCM"), F.lit("DEFAULT"), incident_id).cast("string")
+
+
+def _url64(c: Column) -> Column:
+    return F.rtrim(F.translate(F.base64(c), "+/\r\n", "-_"), F.lit("="))
+
+
+def _from_url64(c: Column) -> Column:
+    return F.unbase64(F.rpad(F.translate(c, "-_", "+/"), F.ceil(F.length(c) / 4).cast("int") * 4, "="))
+
+
+def _ring(keys: dict[str, bytes]) -> Column:
+    """Keys by their id; a session has a handful of them."""
+    if not keys or any(not i or ":" in i or len(k) != 32 for i, k in keys.items()):
+        raise ValueError("a key ring needs keys of 32 bytes, each with an id")
+    return F.create_map(*[x for i, k in keys.items() for x in (F.lit(i), F.lit(bytearray(k)))])
+
+
+def seal_token(text: Column, incident_id: Column, keys: dict[str, bytes], nonce: Column | None = None) -> Column:
+    """``v1:key id:nonce:tag:ciphertext`` of a text under the first key of the ring, AES-GCM with the incident as additional data; ``nonce`` (12 bytes) is random if left out."""
+    first = next(iter(keys))
+    key, aad = F.try_element_at(_ring(keys), F.lit(first)), incident_id.cast("string").cast("binary")
+    extra = (nonce, aad) if nonce is not None else (F.lit(bytearray()), aad)
+    sealed = F.aes_encrypt(text.cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), *extra)
+    n = F.octet_length(sealed)
+    part = lambda at, size: _url64(F.substring(sealed, at, size))
+    return F.concat_ws(":", F.lit("v1"), F.lit(first), part(F.lit(1), F.lit(12)), part(n - 15, F.lit(16)), part(F.lit(13), n - 28))
+
+
+def open_token(token: Column, incident_id: Column, keys: dict[str, bytes]) -> Column:
+    """struct<text, problem>: what a token holds, by the key of the ring that it names; a token of another form, key or incident, or one that was changed, has a problem and no text."""
+    p = F.split(token, ":")
+    form = F.coalesce((F.size(p) == 5) & (F.get(p, F.lit(0)) == "v1") & ~F.exists(F.slice(p, 2, 3), lambda x: x == ""), F.lit(False))
+    key = F.try_element_at(_ring(keys), F.get(p, F.lit(1)))
+    whole = F.concat(_from_url64(F.get(p, F.lit(2))), _from_url64(F.get(p, F.lit(4))), _from_url64(F.get(p, F.lit(3))))
+    text = F.when(form & key.isNotNull(), F.try_aes_decrypt(whole, key, F.lit("GCM"), F.lit("DEFAULT"), incident_id.cast("string").cast("binary")).cast("string"))
+    problem = F.when(~form, "unrecognised outcome ciphertext").when(key.isNull(), F.concat(F.lit("outcome key "), F.get(p, F.lit(1)), F.lit(" is not configured"))).when(text.isNull(), "outcome ciphertext does not open")
+    return F.struct(text.alias("text"), problem.alias("problem"))

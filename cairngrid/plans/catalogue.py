@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairngrid.plans import compositions, intake, maps, surfaces, tracks_plans  # noqa: F401
+from cairngrid.plans import compositions, intake, maps, stored, surfaces, tracks_plans  # noqa: F401
 from cairngrid.plans.base import ORACLE, QUERIES
 
 FLAGSHIP = "q10_mixture"

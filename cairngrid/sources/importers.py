@@ -141,13 +141,58 @@ def parse_behaviour_csv(lines: DataFrame, miles: bool = False) -> tuple[DataFram
 
 def lookup_behaviour(wanted: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """``wanted`` (key, category, terrain) with the entry of its terrain, else of "any" (``fallback`` true), else nulls."""
-    e = entries.select(F.col("category").alias("c"), F.col("terrain").alias("t"), *[f"ring{p}" for p in PERCENTS])
+    e = entries.select(F.col("category").alias("c"), F.col("terrain").alias("t"), *[f"{k}{p}" for k in ("ring", "disp") for p in PERCENTS])
     c, t = F.lower(F.trim("category")), F.lower(F.trim("terrain"))
     j = wanted.select(key, c.alias("c"), t.alias("want")).join(F.broadcast(e), "c").where((F.col("t") == F.col("want")) | (F.col("t") == "any"))
-    best = j.groupBy(key).agg(F.min(F.struct((F.col("t") != F.col("want")).alias("fallback"), *[f"ring{p}" for p in PERCENTS])).alias("b"))
+    best = j.groupBy(key).agg(F.min(F.struct((F.col("t") != F.col("want")).alias("fallback"), *[f"{k}{p}" for k in ("ring", "disp") for p in PERCENTS])).alias("b"))
     return wanted.join(best, key, "left").select(*wanted.columns, "b.*")
 
 
+# The subject categories of the exercise table.
+EXERCISE_CATEGORIES = "hiker,hunter,climber,skier,snowshoer,mountain biker,angler,gatherer,runner,camper,child,youth,other".split(",")
+
+
+def exercise_table(spark: SparkSession) -> DataFrame:
+    """Invented round values for training, the same for every category and terrain; no research data."""
+    rows = [(c, t) for c in EXERCISE_CATEGORIES for t in ("mountainous", "flat")]
+    values = {f"ring{p}": v for p, v in zip(PERCENTS, (1.0, 2.0, 4.0, 10.0), strict=True)} | {f"disp{p}": v for p, v in zip(PERCENTS, (30.0, 60.0, 90.0, 150.0), strict=True)}
+    return spark.createDataFrame(rows, "category string, terrain string").withColumn("n", F.lit(None).cast("int")).withColumns({k: F.lit(v) for k, v in values.items()})
+
+
+def categories(entries: DataFrame) -> DataFrame:
+    return entries.select("category").distinct()
+
+
+def terrains(entries: DataFrame, category: str | None = None) -> DataFrame:
+    """The terrains of a table, or of one of its categories whatever its case."""
+    rows = entries if category is None else entries.where(F.col("category") == category.lower())
+    return rows.select("terrain").distinct()
+
+
+def saved_table_problems(entries: DataFrame, by: list[str] = ("file",)) -> DataFrame:
+    """(by, category, terrain, problem) of behaviour tables read from storage: what a table may not hold is refused again, whoever wrote it.
+
+    Names of 1 to 40 characters, case counts above zero, increasing distances above zero, all dispersions or none, increasing up to 360 degrees, no
+    category and terrain twice. A table with one problem is not to be used.
+    """
+    by = list(by)
+    name = lambda c: F.coalesce(F.length(F.trim(c)).between(1, 40), F.lit(False))
+    rising = lambda p: F.coalesce((F.col(f"{p}25") > 0) & (F.col(f"{p}25") < F.col(f"{p}50")) & (F.col(f"{p}50") < F.col(f"{p}75")) & (F.col(f"{p}75") < F.col(f"{p}95")), F.lit(False))
+    given = sum((F.col(f"disp{p}").isNotNull().cast("int") for p in PERCENTS), F.lit(0))
+    low = lambda c: F.lower(F.trim(c))
+    twice = entries.groupBy(*by, low("category").alias("c_"), low("terrain").alias("t_")).agg((F.count("*") > 1).alias("twice_"))
+    rows = entries.withColumns({"c_": low("category"), "t_": low("terrain")}).join(twice, [*by, "c_", "t_"], "left")
+    checks = [
+        F.when(~name("category") | ~name("terrain"), "category and terrain must be 1 to 40 characters"),
+        F.when(F.col("n") <= 0, "case counts must be above zero"),
+        F.when(~rising("ring"), "ring distances must increase"),
+        F.when((given > 0) & (given < 4), "all four dispersions or none"),
+        F.when((given == 4) & (~rising("disp") | (F.col("disp95") > 360)), "dispersion angles must increase up to 360"),
+        F.when(F.col("twice_"), "category and terrain occur twice"),
+    ]
+    return rows.select(*by, "category", "terrain", F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+
+
 def doc_kind(name: Column, mime: Column | None = None) -> Column:
     """pdf, docx, text or unsupported, by extension and type."""
     ext = F.lower(F.when(name.contains("."), F.substring_index(name, ".", -1)))
