@@ -80,4 +80,5 @@ def running_before(df: DataFrame, by: list[str], order: list[Column], value: str
     carried = F.sum("sum_").over(W.partitionBy(*by).orderBy("range_").rowsBetween(W.unboundedPreceding, -1))
     base = totals.select(*by, "range_", F.coalesce(carried, F.lit(0)).alias("base_"))
     inside = F.sum(value).over(W.partitionBy(*by, "range_").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    return ranges.withColumn("in_", F.coalesce(inside, F.lit(0))).join(F.broadcast(base), [*by, "range_"]).withColumn(name, F.col("base_") + F.col("in_")).drop("range_", "in_", "base_")
+    # without keys there is one row per range; with many surfaces Spark chooses by size
+    return ranges.withColumn("in_", F.coalesce(inside, F.lit(0))).join(base if by else F.broadcast(base), [*by, "range_"]).withColumn(name, F.col("base_") + F.col("in_")).drop("range_", "in_", "base_")

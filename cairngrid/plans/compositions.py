@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairngrid.functions import spherical as sph
@@ -177,7 +178,10 @@ def q76b_gpx_of_events(spark, d):
     return imp.import_gpx(e.groupBy("file").agg(text.alias("text")))[0].select("file", "seq", "x", "y", "t")
 
 
-@query("""SELECT s_nationkey AS file, s_suppkey::VARCHAR AS source_id, CASE WHEN s_suppkey % 3 = 2 THEN 'track' ELSE 'assignment' END AS kind, CASE WHEN s_suppkey % 3 <> 2 THEN 'B' || s_suppkey || ' ' || s_name END AS label, CASE s_suppkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 2 END AS n FROM supplier""")
+@query("""WITH s AS (SELECT s_nationkey AS file, s_suppkey::VARCHAR AS source_id, s_suppkey % 3 AS k, s_suppkey + 1e0 AS n, 'B' || s_suppkey || ' ' || s_name AS name FROM supplier)
+SELECT file, source_id, 'assignment' AS kind, name AS label, i::INTEGER AS i, [0e0, n, n, 0e0][i + 1] AS x, [0e0, 0e0, 9e0, 9e0][i + 1] AS y, NULL::BIGINT AS t FROM (SELECT *, unnest(range(4)) AS i FROM s WHERE k = 0)
+UNION ALL SELECT file, source_id, 'assignment', name, i::INTEGER, [0e0, n, n][i + 1], [0e0, 0e0, 9e0][i + 1], NULL FROM (SELECT *, unnest(range(3)) AS i FROM s WHERE k = 1)
+UNION ALL SELECT file, source_id, 'track', NULL, i::INTEGER, [0e0, n][i + 1], [0e0, n][i + 1], 1700000000000 + i * 60000 FROM (SELECT *, unnest(range(2)) AS i FROM s WHERE k = 2)""")
 def q75b_geojson_of_suppliers(spark, d):
     k = F.col("s_suppkey")
     square, triangle = "[[[0,0],[%d,0],[%d,9],[0,9],[0,0]]]", "[[[0,0],[0,0],[%d,0],[%d,9]]]"
@@ -188,5 +192,7 @@ def q75b_geojson_of_suppliers(spark, d):
     text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}"))
     files = table(spark, d, "supplier").select(F.col("s_nationkey").alias("file"), f.alias("f")).groupBy("file").agg(text.alias("text"))
     a, t, _ = imp.import_geojson(files)
-    rows = a.select("file", "source_id", F.lit("assignment").alias("kind"), "label", F.size("points").alias("n"))
-    return rows.unionByName(t.groupBy("file", "source_id").agg(F.count("*").cast("int").alias("n")).select("file", "source_id", F.lit("track").alias("kind"), F.lit(None).cast("string").alias("label"), "n"))
+    none = F.lit(None)
+    rows = a.select("file", "source_id", "label", F.posexplode("points").alias("i", "p")).select("file", "source_id", F.lit("assignment").alias("kind"), "label", "i", "p.x", "p.y", none.cast("long").alias("t"))
+    place = F.row_number().over(W.partitionBy("file", "source_id").orderBy("t")) - 1
+    return rows.unionByName(t.select("file", "source_id", F.lit("track").alias("kind"), none.cast("string").alias("label"), place.alias("i"), "x", "y", "t"))

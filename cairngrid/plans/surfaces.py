@@ -320,11 +320,11 @@ def q27_filter_available(spark, d):
     return evaluation.filter_available(table(spark, d, "events"), CUTOFF, "ts").select("event_id", "user_id")
 
 
-LEAK = "CASE WHEN event_type = 'error' THEN '{\"Found_at\": {\"x\": 1, \"findings\": 2}, \"ok\": 3}' WHEN event_type = 'view' THEN 'no json' ELSE props END"
+LEAK = "CASE WHEN event_type = 'error' THEN '{\"Found_at\": {\"x\": 1, \"findings\": 2}, \"ok\": [3, [{\"a.b\": {\"found_by\": [1]}}, {\"deep\": [[{\"findings\": null}]]}]]}' WHEN event_type = 'view' THEN 'no json' ELSE props END"
 
 
 @query(f"""SELECT event_id, 'late' AS problem FROM events WHERE ts > TIMESTAMP '{CUTOFF}'
-UNION ALL SELECT event_id, '$.Found_at' FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, '$.Found_at.findings' FROM events WHERE event_type = 'error'""")
+UNION ALL SELECT event_id, '$.Found_at' FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, unnest(['$.Found_at.findings', '$.ok[1][0].a.b.found_by', '$.ok[1][1].deep[0][0].findings']) FROM events WHERE event_type = 'error'""")
 def q28_leakage(spark, d):
     e = table(spark, d, "events")
     late = evaluation.late_items(e, CUTOFF, "ts").select("event_id", F.lit("late").alias("problem"))
