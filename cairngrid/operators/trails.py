@@ -56,6 +56,24 @@ def clip_to_band(lines: DataFrame, inner: float, outer: float, key: str = "line_
     return start.unionByName(first.select(key, "part", F.col("n").alias("seq"), F.col("bx").alias("x"), F.col("by").alias("y")))
 
 
+def walk_lines(lines: DataFrame, start_ms: int, speed: float, gaps: list[tuple[float, float]] = (), step: float = 20.0, key: str = "line_id") -> DataFrame:
+    """(key, seq, x, y, t): recorded walks along lines at constant speed, a point every ``step`` metres at most.
+
+    Points whose way along the line lies inside a gap (metres from, to) are left out, as where a receiver was off. A point where two legs meet comes once.
+    """
+    w = W.partitionBy(key).orderBy("leg")
+    e = legs(lines, key).withColumn("len", F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0"))))
+    e = e.withColumns({"from": F.coalesce(F.sum("len").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)), "n": F.greatest(F.lit(1), F.ceil(F.col("len") / step)).cast("int"), "first": F.row_number().over(w) == 1})
+    p = e.withColumn("k", F.explode(F.sequence(F.when(F.col("first"), 0).otherwise(1), F.col("n")))).withColumn("f", F.col("k") / F.col("n"))
+    way = F.col("from") + F.col("f") * F.col("len")
+    on = F.lit(True)
+    for a, b in gaps:
+        on = on & ~((way > a) & (way < b))
+    place = lambda p0, p1: F.col(p0) + F.col("f") * (F.col(p1) - F.col(p0))
+    p = p.where(on).select(key, "leg", "k", place("x0", "x1").alias("x"), place("y0", "y1").alias("y"), F.floor(start_ms + way * 1000 / speed + 0.5).alias("t"))
+    return p.select(key, F.row_number().over(W.partitionBy(key).orderBy("leg", "k")).cast("long").alias("seq"), "x", "y", "t")
+
+
 def split_evenly(lines: DataFrame, target: float, key: str = "line_id") -> DataFrame:
     """(key, piece, length, x0, y0, x1, y1): n = max(1, round(length / target)) pieces of equal length, with their ends."""
     w = W.partitionBy(key).orderBy("leg")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cairngrid.functions import geometry as geo
 from cairngrid.functions import terrain
 from cairngrid.functions import text as txt
-from cairngrid.operators import requests, security, versions
+from cairngrid.operators import requests, security, trails, versions
+from cairngrid.plans import maps, surfaces
 from cairngrid.plans.base import CELLS, cells, query, rounded, table
 from cairngrid.sources import importers as imp
 from cairngrid.streaming import feeds
@@ -106,6 +107,34 @@ def q92_exercise_terrain(spark, d):
     return cells(spark, d).select("cell_id", F.round(terrain.value_noise(x / 900, y / 900), 9).alias("noise"), terrain.land_mask(x, y).alias("land"))
 
 
+def _noise_sql(x: str, y: str) -> str:
+    i, j = f"floor({x})::BIGINT", f"floor({y})::BIGINT"
+    ease = lambda t: f"(({t}) * ({t}) * (3 - 2 * ({t})))"
+    u, v = ease(f"({x}) - {i}"), ease(f"({y}) - {j}")
+    a, b, c, d = _hash_sql(i, j), _hash_sql(f"{i} + 1", j), _hash_sql(i, f"{j} + 1"), _hash_sql(f"{i} + 1", f"{j} + 1")
+    return f"({a} + ({b} - {a}) * {u} + ({c} - {a}) * {v} + ({a} - {b} - {c} + {d}) * {u} * {v})"
+
+
+def _far_sql(line) -> str:
+    return surfaces._line_sql([(float(x), float(y)) for x, y in line])
+
+
+@query(f"""WITH {CELLS}, d AS (SELECT cell_id, cx, cy, {_far_sql(terrain.CREEK)} AS creek, {_far_sql(terrain.CLIFF)} AS cliff, {_far_sql(terrain.TRAIL)} AS trail FROM cells)
+SELECT cell_id, round(1450 + cy * 0.12e0 + abs(cx - 3000) * 0.05e0 + 160 * {_noise_sql("cx / 900e0", "cy / 900e0")} + 60 * {_noise_sql("cx / 300e0 + 7", "cy / 300e0 + 3")} - 70 * exp(-creek / 220e0) + CASE WHEN cliff < 60 THEN 40 ELSE 0 END, 6) AS elevation,
+cliff < 45 AS cliff, CASE WHEN trail < 200 THEN 0 WHEN creek < 250 THEN 1 WHEN cy > 3000 THEN 2 WHEN cx > 3000 THEN 3 ELSE 4 END AS zone FROM d""")
+def q92b_elevation_zones(spark, d):
+    x, y = F.col("cx"), F.col("cy")
+    return cells(spark, d).select("cell_id", F.round(terrain.elevation(x, y), 6).alias("elevation"), terrain.on_cliff(x, y).alias("cliff"), terrain.zone(x, y).alias("zone"))
+
+
+@query(f"""WITH {maps.TL}, lf AS (SELECT line_id, seq - 1 AS leg, x0, y0, x, y, len, coalesce(sum(len) OVER (PARTITION BY line_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before, greatest(1, ceil(len / 20e0))::BIGINT AS n, row_number() OVER (PARTITION BY line_id ORDER BY seq) AS i FROM le),
+pk AS (SELECT *, unnest(range(CASE WHEN i = 1 THEN 0 ELSE 1 END, n + 1)) AS k FROM lf), pw AS (SELECT *, before + k / n::DOUBLE * len AS way FROM pk), kp AS (SELECT * FROM pw WHERE NOT (way > 2600 AND way < 3400) AND NOT (way > 5000 AND way < 5100))
+SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY leg, k) AS seq, round(x0 + k / n::DOUBLE * (x - x0), 6) AS x, round(y0 + k / n::DOUBLE * (y - y0), 6) AS y, floor(1784399400000 + way * 1000 / 1.2e0 + 0.5e0)::BIGINT AS t FROM kp""")
+def q92c_walks(spark, d):
+    """Walks along the suppliers' lines with the receiver off in two places."""
+    return rounded(trails.walk_lines(maps.trail_lines(spark, d), 1_784_399_400_000, 1.2, [(2600.0, 3400.0), (5000.0, 5100.0)]), 6)
+
+
 @query("SELECT s_suppkey AS id, 100e0 * (1 + s_suppkey % 3) + s_suppkey AS x, 250e0 * (1 + s_suppkey % 3) AS y, 180000e0 * (1 + s_suppkey % 3) * (1 + s_suppkey % 3) AS area_m2 FROM supplier")
 def q93_label_points(spark, d):
     k = F.col("s_suppkey")
