@@ -189,11 +189,6 @@ def q45_behaviour_lookup(spark, d):
     return imp.lookup_behaviour(want, good, "id").select("id", "category", "terrain", "fallback", "ring25", "ring95")
 
 
-@query("SELECT * FROM (VALUES ('bad', 1, 'fewer than 7 cells'), ('bad', 2, 'ring distances must increase'), ('bad', 3, 'all four dispersions or none'), ('bad', 4, 'category and terrain occur twice'), ('bad', 5, 'category and terrain occur twice')) AS t(file, line_no, problem)")
-def q46_behaviour_csv(spark, d):
-    return imp.parse_behaviour_csv(csv_lines(spark))[1]
-
-
 @query("SELECT doc_id, len(regexp_extract_all(text, '[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+(?:\\.[0-9A-Za-z_-]+)+')) AS email, len(regexp_extract_all(text, '\\b(?:Mr|Mrs|Ms|Miss|Dr)\\.?\\s+[A-Z]')) AS titled FROM documents")
 def q59_redact_counts(spark, d):
     c = txt.contact_counts(F.col("text"))
