@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairngrid.llm.arrow_text import parts
 from cairngrid.llm.common import shared_dir
 
 END_ID = 1
 MEMO_WORDS = 400_000
-BATCH = 256
-PIECE = 1 << 20
+#: Bytes of text encoded at once.
+PART = 2 << 20
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
 #: The parts of a tokenizers file that the shortcuts below hold for, as its JSON states them; fixed values.
@@ -40,7 +41,9 @@ SPLITTER = {
 #: Where a text holds nothing else than these letters, ASCII without an apostrophe, and plain white space, its runs of letters
 #: and its runs of other signs are encoded apart by this tokenizer: cutting there changes no id.
 _PLAIN = re.compile("[\x00-\x08\x0e-\x1b\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ\t\n\r ]*")
-_RUNS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+|[^a-zA-ZÀ-ÖØ-öø-ÿ\t\n\r ]+").findall
+#: For the Latin-1 bytes of such a text: their lower case, and their kind, white space 0, a letter 1, another sign 2.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 or 192 <= b <= 222 and b != 215 else b for b in range(256))
+_KIND = np.array([0 if b in b"\t\n\r " else 1 if chr(b).isascii() and chr(b).isalpha() or b >= 192 and b not in (215, 247) else 2 for b in range(256)], np.uint8)
 _WORD = re.compile("[a-zà-öø-ÿ]+")
 #: The byte-level tokenizer's signs for bytes without a printable one: the code points from 256 on, in byte order.
 _BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b < 256))}
@@ -61,19 +64,30 @@ class Encoder:
         form = json.loads(self.tokenizer.to_str())
         self.known = form["normalizer"] == NORMALIZER and form["pre_tokenizer"] == SPLITTER and form["post_processor"] is None and not form["model"].get("dropout")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _chunks(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return _RUNS(text.lower())
-        return [x for x in _SPACE.split(text) if x]
+        self.memo: dict[str | bytes, bytes] = {}
+        self.older: dict[str | bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.known:
             return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [self._chunks(t) for t in texts]
-        seen = set().union(*parts)
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        rest = [[] if ok else [x for x in _SPACE.split(t) if x] for t, ok in zip(texts, plain, strict=True)]
+        runs, owner = _plain_runs([t if ok else "" for t, ok in zip(texts, plain, strict=True)])
+        coded = runs.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._look_up(set(words).union(*rest))
+        # every run's ids are gathered from those of the different words
+        ids = [self.memo[w] for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        code = coded.indices.to_numpy()
+        length = size[code]
+        place = np.repeat((np.cumsum(size) - size)[code] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        flat = np.frombuffer(b"".join(ids), np.int32)[place]
+        ends = np.r_[0, np.cumsum(length)][np.searchsorted(owner, np.arange(len(texts) + 1))]
+        return [flat[a:e] if ok else np.frombuffer(b"".join(map(self.memo.__getitem__, p)), np.int32) for a, e, ok, p in zip(ends[:-1], ends[1:], plain, rest, strict=True)]
+
+    def _look_up(self, seen: set) -> None:
+        """Bring the ids of all chunks of ``seen`` into ``memo``: Latin-1 bytes of plain texts, strings of others."""
         if len(self.memo) > MEMO_WORDS // 2:  # the older half goes, what is still in use moves over word by word
             self.older, self.memo = self.memo, {}
         memo, older = self.memo, self.older
@@ -83,13 +97,26 @@ class Encoder:
             memo[w] = older[w]
         merge, other = self.tokenizer.model.tokenize, []
         for w in new - known:
-            if _WORD.fullmatch(w):  # the normaliser and the splitter leave such a word as it is: only merging is left
-                memo[w] = array("i", [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
+            text = w.decode("latin-1") if isinstance(w, bytes) else w
+            if _WORD.fullmatch(text):  # the normaliser and the splitter leave such a word as it is: only merging is left
+                memo[w] = array("i", [t.id for t in merge(text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
             else:
-                other.append(w)
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+                other.append((w, text))
+        for (w, _), e in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
             memo[w] = array("i", e.ids).tobytes()
-        return [np.frombuffer(b"".join(map(memo.__getitem__, p)), np.int32) for p in parts]
+
+
+def _plain_runs(texts: list[str]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The runs of letters and of other signs of plain texts in lower case, as Latin-1 bytes one after the other, and the text that each comes from."""
+    raw = [t.encode("latin-1") for t in texts]
+    data = np.frombuffer(b"\n".join(raw).translate(_LOWER), np.uint8)
+    kind = _KIND[data]
+    change = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(kind) else np.zeros(0, np.int64)
+    ink = kind[change] > 0
+    start, size = change[ink], np.diff(np.r_[change, len(kind)])[ink]
+    offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
+    runs = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[kind > 0].tobytes())])
+    return runs, np.searchsorted(np.cumsum([len(x) + 1 for x in raw]), start, side="right")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -113,13 +140,11 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         enc, seq = encoder(tokenizer_path), 0
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH):
-                ids, n = b.column(0).slice(at, BATCH), min(BATCH, b.num_rows - at)
-                coded = [np.append(x, np.int32(end_id)) for x in enc.encode([t or "" for t in b.column(1).slice(at, BATCH).to_pylist()])]
-                offsets = np.cumsum([0, *map(len, coded)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(seq, seq + n)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded)))], names=["doc_id", "seq", "ids"])
-                seq += n
+        for b in parts(batches, 1, PART):
+            coded = [np.append(x, np.int32(end_id)) for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
+            offsets = np.cumsum([0, *map(len, coded)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(seq, seq + b.num_rows)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded)))], names=["doc_id", "seq", "ids"])
+            seq += b.num_rows
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # ranges and files have one order: id, hash of the text, text
