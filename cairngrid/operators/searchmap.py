@@ -31,8 +31,8 @@ STYLES = {"ring": ("#00FF00", 4, 0.8, None), "wedge": ("#FFAA00", 2, 1.0, 0.15),
 # Words that make two capitalised words a place and not a person.
 PLACES = "Lake Canyon Creek River Mountain Mount Peak Pass Valley Trail Glacier Falls Ridge Park".split()
 SECTOR_COUNTS = (4, 8, 12, 16)
-VERSION = "search-map@0.4.0"
-MODE_NOTE = "Generated by the Lost-Person Probability Mapper in training/research mode. Not approved for operational use."
+VERSION = "search maps 1"
+MODE_NOTE = "Generated in training and research mode. Not approved for operational use."
 RING, WEDGE, POD = "array<struct<percent:double,km:double>>", "array<struct<percent:double,degrees:double>>", "map<string,struct<resource:string,responsive:string,unresponsive:string,clue:string>>"
 COLUMNS = {
     "request_id": None, "label": "string", "kind": "string", "lat": "double", "lng": "double", "rings": RING, "ring_source": "string", "category": "string", "bearing": "double", "dispersion": WEDGE,

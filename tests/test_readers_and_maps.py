@@ -103,5 +103,5 @@ def test_whole_map_with_areas_and_trails(spark):
     assert lines[0]["geometry"] is None and lines[8]["geometry"] == {"type": "Point", "coordinates": [-115.8, 51.2, 0.0, 0.0]} and len(lines[9]["geometry"]["coordinates"]) == 73
     note = searchmap.provenance(df).first().provenance
     assert note.startswith(searchmap.MODE_NOTE + " Case: Test Lake 2026-07-18. Rings: test values Dispersion around 90° true: d Segment PODs are planned, not achieved: planned Area segments follow ridges, creeks and lakes: test polygons Trail segments: 50 m either side")
-    assert note.endswith("about 1 km long. (search-map@0.4.0)")
+    assert note.endswith("about 1 km long. (search maps 1)")
     assert df.select(searchmap.file_name(F.col("label")).alias("n")).first().n == "Test_Lake_2026-07-18_TRAINING_search_map.json"
