@@ -23,9 +23,9 @@ from cairngrid.llm.arrow_text import parts
 from cairngrid.llm.common import shared_dir
 
 END_ID = 1
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 #: Bytes of text encoded at once.
-PART = 2 << 20
+PART = 1 << 20
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
 #: The parts of a tokenizers file that the shortcuts below hold for, as its JSON states them; fixed values.
