@@ -133,9 +133,8 @@ def corridor_cells(cells: DataFrame, lines: DataFrame, half_width: float, key: s
     return c.join(e, ["sx", "sy"]).where(d <= half_width).select(key, "cell_id").distinct()
 
 
-def _relax(mult: np.ndarray, cost: np.ndarray, own: np.ndarray, seeds: list[int], cell_size: float) -> None:
-    """Lower ``cost`` of the cells ``own`` of a window (its rows one after the other), starting from the cells ``seeds``."""
-    width = int(math.isqrt(len(mult)))
+def _relax(mult: np.ndarray, cost: np.ndarray, own: np.ndarray, seeds: list[int], cell_size: float, width: int) -> None:
+    """Lower ``cost`` of the cells ``own`` of a window (its rows of ``width`` cells one after the other), starting from the cells ``seeds``."""
     steps = [(a * width + b, cell_size * (math.sqrt(2) if a and b else 1.0)) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
     m, best, free = mult.tolist(), cost.tolist(), (own & (mult >= 0) & (mult < np.inf)).tolist()
     heap = [(best[i], i) for i in seeds]
@@ -154,16 +153,18 @@ def _relax(mult: np.ndarray, cost: np.ndarray, own: np.ndarray, seeds: list[int]
     cost[:] = best
 
 
-def cost_distance(cells: DataFrame, start: DataFrame, cols: int, cell_size: float, by: str = "grid_id", tile: int = 128) -> DataFrame:
+def cost_distance(cells: DataFrame, start: DataFrame, cols: int, cell_size: float, by: str = "grid_id", tile: int = 512) -> DataFrame:
     """(by, cell_id, cost) from start cells over cells (by, cell_id, mult): 8 neighbours, a step costs its length times the mean multiplier.
 
     A negative, null or infinite multiplier cannot be entered; from a start of infinite cost, or without one, nothing is reached. A grid is cut into
-    tiles of ``tile`` cells a side, one row each. A tile that hears of lower costs at its edge settles its own cells with a queue and
+    tiles of ``tile`` cells a side, one row each; where the grid is narrower, a tile is as wide as the grid and holds as many cells, so a long strip takes few rounds. A tile that hears of lower costs at its edge settles its own cells with a queue and
     tells its neighbours which of its edge cells became cheaper, until nobody has news; only tiles with news are worked on.
     """
     keys = [by, "ty", "tx"]
     row, col = F.floor(F.col("cell_id") / cols), F.col("cell_id") % cols
-    place = {"ty": F.floor(row / tile).cast("int"), "tx": F.floor(col / tile).cast("int")}
+    across = min(tile, cols)
+    down = tile * tile // across
+    place = {"ty": F.floor(row / down).cast("int"), "tx": F.floor(col / across).cast("int")}
     whole = cells.select(by, F.col("cell_id").cast("long").alias("cell_id"), F.col("mult").cast("double").alias("mult")).withColumns(place)
     each = F.array_sort(F.collect_list(F.struct("cell_id", "mult")))
     state = whole.groupBy(*keys).agg(each.alias("c")).select(*keys, F.col("c.cell_id").alias("ids"), F.col("c.mult").alias("mult"), F.transform("c", lambda x: F.lit(float("inf"))).alias("cost"), F.lit(None).cast("array<struct<cell_id:bigint,mult:double,cost:double>>").alias("news"))
@@ -179,22 +180,23 @@ def cost_distance(cells: DataFrame, start: DataFrame, cols: int, cell_size: floa
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
-                ty, tx, width = int(r.ty), int(r.tx), tile + 2
-                spot = lambda ids, ty=ty, tx=tx, width=width: (ids // cols - ty * tile + 1) * width + ids % cols - tx * tile + 1
-                mult, cost, own = np.full(width * width, np.nan), np.full(width * width, np.inf), np.zeros(width * width, bool)
-                ids = np.asarray(r.ids, np.int64)
+                ids, said = np.asarray(r.ids, np.int64), np.array([h["cell_id"] for h in r.heard], np.int64)
+                ty, tx, width = int(r.ty), int(r.tx), across + 2
+                height = int(max(ids.max(), said.max()) // cols) - ty * down + 3
+                spot = lambda ids, ty=ty, tx=tx, width=width: (ids // cols - ty * down + 1) * width + ids % cols - tx * across + 1
+                mult, cost, own = np.full(height * width, np.nan), np.full(height * width, np.inf), np.zeros(height * width, bool)
                 mine = spot(ids)
                 mult[mine], cost[mine], own[mine] = np.array(r.mult, float), np.asarray(r.cost, float), True
-                told = spot(np.array([h["cell_id"] for h in r.heard], np.int64))
+                told = spot(said)
                 value, around = np.array([h["cost"] for h in r.heard], float), np.array([h["mult"] for h in r.heard], float)
                 beside = ~own[told] & ~np.isnan(around)
                 mult[told[beside]] = around[beside]
                 ok = mult[told] < np.inf
                 before = cost[mine]
                 np.minimum.at(cost, told[ok], value[ok])
-                _relax(mult, cost, own, np.unique(told[ok]).tolist(), cell_size)
-                y, x = ids // cols - ty * tile, ids % cols - tx * tile
-                edge = (cost[mine] < before) & ((y == 0) | (x == 0) | (y == tile - 1) | (x == tile - 1))
+                _relax(mult, cost, own, np.unique(told[ok]).tolist(), cell_size, width)
+                y, x = ids // cols - ty * down, ids % cols - tx * across
+                edge = (cost[mine] < before) & ((y == 0) | (y == down - 1) | (x == 0) & (tx > 0) | (x == across - 1) & ((tx + 1) * across < cols))
                 news = [{"cell_id": int(i), "mult": float(m), "cost": float(c)} for i, m, c in zip(ids[edge], mult[mine][edge], cost[mine][edge], strict=True)]
                 out.append((r[0], ty, tx, r.ids, r.mult, cost[mine], news))
             yield pd.DataFrame(out, columns=schema.names)
@@ -204,7 +206,7 @@ def cost_distance(cells: DataFrame, start: DataFrame, cols: int, cell_size: floa
         worked = state.join(messages, keys).select(*state.columns, "heard").mapInPandas(settle, schema)
         state = checkpointed(state.join(messages, keys, "left_anti").withColumn("news", F.lit(None).cast(schema["news"].dataType)).unionByName(worked))
         said = state.where(F.size("news") > 0).select(*keys, F.explode("news").alias("n")).select(F.col(by), F.col("ty").alias("y0"), F.col("tx").alias("x0"), "n.*")
-        around = F.array_distinct(F.array(*[F.struct(F.floor((row + a) / tile).cast("int").alias("ty"), F.floor((col + b) / tile).cast("int").alias("tx")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+        around = F.array_distinct(F.array(*[F.struct(F.floor((row + a) / down).cast("int").alias("ty"), F.floor((col + b) / across).cast("int").alias("tx")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
         sent = said.withColumn("t", F.explode(around)).select(by, "cell_id", "mult", "cost", "t.*", "y0", "x0").where("ty <> y0 or tx <> x0").drop("y0", "x0")
         if sent.isEmpty():
             break

@@ -222,10 +222,10 @@ e AS (SELECT x.cell_id AS i, y.cell_id AS k, 100e0 * (CASE WHEN a <> 0 AND b <>
 r(cell_id, cost) USING KEY (cell_id) AS (SELECT min(cell_id), 0e0 FROM m WHERE mult IS NOT NULL UNION SELECT e.k, min(r.cost + e.w) FROM r JOIN e ON e.i = r.cell_id LEFT JOIN recurring.r AS o ON o.cell_id = e.k WHERE o.cost IS NULL OR r.cost + e.w < o.cost GROUP BY e.k)
 SELECT m.cell_id, round(coalesce(r.cost, 'inf'::DOUBLE), 9) AS cost FROM m LEFT JOIN r ON m.cell_id = r.cell_id""")
 def q12_cost_distance(spark, d):
-    """The whole part raster as one grid in tiles of 32 cells a side, from its first cell that can be entered."""
+    """The whole part raster as one grid, from its first cell that can be entered."""
     c = cells(spark, d).select(F.lit(0).alias("grid_id"), "cell_id", F.when(F.col("p_size") < 48, F.col("p_size") / 10.0).alias("mult"))
     start = c.where("mult is not null").groupBy("grid_id").agg(F.min("cell_id").alias("cell_id"))
-    return rounded(trails.cost_distance(c, start, 50, 100.0, tile=32).select("cell_id", "cost"))
+    return rounded(trails.cost_distance(c, start, 50, 100.0).select("cell_id", "cost"))
 
 
 FOLDER_ROWS = ", ".join(f"({i}, '{t}', '{u}')" for i, (t, u) in enumerate(searchmap.FOLDERS.items()))
