@@ -80,9 +80,21 @@ def sector_name(i: Column, sectors: int) -> Column:
     return F.get(F.array(*map(F.lit, names)), i.cast("int")) if names else F.concat(F.lit("S"), (i + 1).cast("string"))
 
 
+def _nearest(v: Column, digits: int) -> Column:
+    """``v`` to one or two decimals by its exact binary value, exact halves to the even digit, as C's printf rounds (Java rounds the shortest decimal up)."""
+    unit = 10**digits
+    n = F.floor(F.abs(v) * unit + 0.5)
+    # the product may have been rounded up to a half: 2 * unit * v - (2 * n - 1) from multiples of v by powers of two, none of whose differences is rounded before the last
+    past = F.abs(v) * {1: 16, 2: 128}[digits] - (2 * n - 1)
+    for power in {1: (4,), 2: (64, 8)}[digits]:
+        past = past + F.abs(v) * power
+    n = F.when((past < 0) | ((past == 0) & (n % 2 == 1)), n - 1).otherwise(n)
+    return F.when(F.abs(v) < 1e12, F.signum(v) * n / unit).otherwise(v)
+
+
 def format_km(km: Column) -> Column:
-    """Two decimals below 10 km, one from there on, without trailing zeros."""
-    text = F.when(km < 10, F.format_string("%.2f", km)).otherwise(F.format_string("%.1f", km))
+    """Two decimals below 10 km, one from there on, without trailing zeros; rounded by the exact value, exact halves to even."""
+    text = F.when(km < 10, F.format_string("%.2f", _nearest(km, 2))).otherwise(F.format_string("%.1f", _nearest(km, 1)))
     return F.regexp_replace(text, r"\.?0+$", "")
 
 

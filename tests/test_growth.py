@@ -3,6 +3,9 @@
 import random
 
 
+from pyspark.sql import functions as F
+
+from cairngrid.functions import spherical as sph
 from cairngrid.operators import trails
 from tests.test_distributed_lines import cheapest
 
@@ -16,3 +19,21 @@ def test_cost_distance_of_a_long_strip_takes_few_rounds(spark, monkeypatch):
     got = {x.cell_id: x.cost for x in trails.cost_distance(cells, spark.createDataFrame([(0, 0)], "grid_id int, cell_id long"), cols, 10.0, tile=16).collect()}
     assert got == cheapest(mult, cols, [0], 10.0)
     assert len(rounds) < 20  # tiles of 16 x 16 took a round for every 16 of the 600 rows
+
+
+def tasks(df):
+    return df.rdd.getNumPartitions()
+
+
+def test_rows_that_become_many_are_dealt_out(spark):
+    """A small table is one file and one task; what is made of its rows is not."""
+    places = spark.range(40).coalesce(1).select("id", F.lit(50.0).alias("lat"), F.lit(10.0).alias("lng"), F.lit(9000.0).alias("radius_m"))
+    assert tasks(sph.tiles_for(places, "id", 0.25, 0.4, 40.0, -130.0)) >= 8
+
+
+def test_format_km_rounds_by_the_exact_value(spark):
+    """10.85 is stored below its half, 10.25 and 0.125 are halves and go to the even digit."""
+    values = [10.85, 10.25, 10.75, 0.125, 0.375, 1.005, 9.995, 9.994, 0.0, 20.0, 100.04, 12345.65, *(0.5 + 0.09 * k for k in range(2000))]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", sph.format_km(F.col("v")).alias("t")).collect()
+    text = lambda v: f"{v:.2f}".rstrip("0").rstrip(".") if v < 10 else f"{v:.1f}".removesuffix(".0")
+    assert [x.t for x in got] == [text(x.v) for x in got]
