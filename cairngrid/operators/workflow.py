@@ -27,7 +27,11 @@ def judged_events(events: DataFrame, members: DataFrame, surfaces: DataFrame, tr
     """
     run = W.partitionBy("run_id")
     e = events.withColumn("pos", F.row_number().over(run.orderBy("at", "event_id")))
-    belongs = lambda df, incident, name: df.join(members.select(F.col("incident_id").alias("mi_"), F.col("user_id").alias("mu_")).distinct().withColumn(name, F.lit(True)), (F.col(incident) == F.col("mi_")) & (F.col("user_id") == F.col("mu_")), "left").drop("mi_", "mu_").withColumn(name, F.coalesce(name, F.lit(False)) | F.col("role").isin(*PRIVILEGED))
+    # most events have no incident or surface of their own: these go by their ids, since all nulls of a join's key meet in one task
+    keyed = lambda c: F.struct(F.col(c).cast("long").alias("k"), F.when(F.col(c).isNull(), F.col("event_id")).alias("none"))
+    known = lambda c, name: F.struct(F.col(c).cast("long").alias("k"), F.lit(None).cast("long").alias("none")).alias(name)
+    allowed = members.where("incident_id is not null").select(known("incident_id", "mi_"), F.col("user_id").alias("mu_")).distinct()
+    belongs = lambda df, incident, name: df.withColumn("by_", keyed(incident)).join(allowed.withColumn(name, F.lit(True)), (F.col("by_") == F.col("mi_")) & (F.col("user_id") == F.col("mu_")), "left").drop("by_", "mi_", "mu_").withColumn(name, F.coalesce(name, F.lit(False)) | F.col("role").isin(*PRIVILEGED))
     may = F.coalesce(F.col("role").isin(*EVALUATORS), F.lit(False))
     kind = lambda k: F.col("kind") == k
     first = lambda ok: F.min(F.when(ok, F.col("pos"))).over(run)
@@ -36,12 +40,14 @@ def judged_events(events: DataFrame, members: DataFrame, surfaces: DataFrame, tr
     e = e.withColumn("incident", F.max(F.when(F.col("pos") == F.col("created_"), F.col("incident_id"))).over(run))
     e = belongs(e, "incident", "seen_").withColumn("visible_", F.col("seen_") & after("created_"))
     place = surfaces.select(F.col("surface_id").alias("s_"), F.col("incident_id").alias("si_")).distinct()
-    e = e.join(place, F.col("surface_id") == F.col("s_"), "left").withColumn("fits_", F.coalesce(F.col("si_") == F.col("incident"), F.lit(False))).drop("s_", "si_")
+    named = place.where("s_ is not null").select(known("s_", "sk_"), "si_")
+    e = e.withColumn("by_", keyed("surface_id")).join(named, F.col("by_") == F.col("sk_"), "left").withColumn("fits_", F.coalesce(F.col("si_") == F.col("incident"), F.lit(False))).drop("sk_", "si_", "by_")
     wanted = e.where(kind("lock")).select("event_id", "incident", F.explode("baselines").alias("b_"))
     lost = wanted.join(place, (F.col("b_") == F.col("s_")) & (F.col("incident") == F.col("si_")), "left_anti").select("event_id").distinct().withColumn("lost_", F.lit(True))
     e = e.join(lost, "event_id", "left").withColumn("lost_", F.coalesce("lost_", F.lit(False)))
     if training is not None:
-        e = e.join(training.select(F.col("incident_id").alias("incident")).distinct().withColumn("training_", F.lit(True)), "incident", "left")
+        trained = training.where("incident_id is not null").select(known("incident_id", "t_")).distinct().withColumn("training_", F.lit(True))
+        e = e.withColumn("by_", keyed("incident")).join(trained, F.col("by_") == F.col("t_"), "left").drop("t_", "by_")
     else:
         e = e.withColumn("training_", F.lit(True))
     opens = F.col("role").isin(*PRIVILEGED) | ((F.col("role") == "instructor") & F.coalesce("training_", F.lit(False)))

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from cairngrid.functions import spherical as sph
-from cairngrid.operators import trails
+from cairngrid.operators import trails, workflow
 from tests.test_distributed_lines import cheapest
 
 
@@ -37,3 +37,16 @@ def test_format_km_rounds_by_the_exact_value(spark):
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", sph.format_km(F.col("v")).alias("t")).collect()
     text = lambda v: f"{v:.2f}".rstrip("0").rstrip(".") if v < 10 else f"{v:.1f}".removesuffix(".0")
     assert [x.t for x in got] == [text(x.v) for x in got]
+
+
+def test_events_without_a_surface_do_not_meet_in_one_task(spark):
+    """All nulls of a join's key have one hash; most events have neither a surface nor an incident."""
+    rows = [(i, 1, 1, "lock" if i % 9 == 0 else "reveal", i % 5, "evaluator", 7 if i % 9 == 0 else None) for i in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, t long, run_id long, kind string, user_id long, role string, surface_id long").selectExpr("event_id", "timestamp_seconds(t) AS at", "run_id", "kind", "user_id", "role", "CAST(NULL AS long) AS incident_id", "CAST(NULL AS timestamp) AS information_cutoff", "surface_id", "array(surface_id) AS baselines", "CAST(NULL AS string) AS metrics")
+    members, surfaces = spark.createDataFrame([(1, 1)], "incident_id long, user_id long"), spark.createDataFrame([(7, 1)], "surface_id long, incident_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = workflow.judged_events(events, members, surfaces, members)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(by_#" in plan and not any(f"hashpartitioning({c}#" in plan for c in ("surface_id", "incident_id", "incident"))
