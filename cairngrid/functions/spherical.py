@@ -39,15 +39,28 @@ def to_lnglat(x: Column, y: Column, lat0: Column, lng0: Column) -> tuple[Column,
     return lat0 + F.degrees(y / RADIUS), lng0 + F.degrees(x / (RADIUS * F.cos(F.radians(lat0))))
 
 
-def arc(lat: Column, lng: Column, metres: Column, start: Column, end: Column) -> Column:
-    """Array of (lat, lng) along a circle, both ends included, in steps of 5 degrees at most."""
-    n = F.greatest(F.lit(1), F.ceil((end - start) / STEP_DEG)).cast("int")
+def _on_circle(lat: Column, lng: Column, metres: Column, start: Column, end: Column, places) -> Column:
+    """Array of (lat, lng) at ``places(n)`` of the n steps of an arc: ``destination`` of each, with what all points share worked out once a row."""
+    a, p = metres / RADIUS, F.radians(lat)
+    fixed = {"sa": F.sin(a), "ca": F.cos(a), "sp": F.sin(p), "cp": F.cos(p), "g": F.radians(lng), "from": start, "turn": end - start, "n": F.greatest(F.lit(1), F.ceil((end - start) / STEP_DEG)).cast("int")}
+
+    def along(c: Column) -> Column:
+        def spot(i):
+            t = F.radians(c["from"] + c["turn"] * i / c["n"])
+            return F.struct(t.alias("t"), F.asin(c["sp"] * c["ca"] + c["cp"] * c["sa"] * F.cos(t)).alias("p"))
+
+        def point(q):
+            b = F.degrees(c["g"] + F.atan2(F.sin(q["t"]) * c["sa"] * c["cp"], c["ca"] - c["sp"] * F.sin(q["p"])))
+            return F.struct(round_half_up(F.degrees(q["p"])).alias("lat"), round_half_up((b + 540) % 360 - 180).alias("lng"))
 
-    def point(i):
-        a, b = destination(lat, lng, start + (end - start) * i / n, metres)
-        return F.struct(round_half_up(a).alias("lat"), round_half_up(b).alias("lng"))
+        return F.transform(F.transform(places(c["n"]), spot), point)
 
-    return F.transform(F.sequence(F.lit(0), n), point)
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in fixed.items()])), along), F.lit(0))
+
+
+def arc(lat: Column, lng: Column, metres: Column, start: Column, end: Column) -> Column:
+    """Array of (lat, lng) along a circle, both ends included, in steps of 5 degrees at most."""
+    return _on_circle(lat, lng, metres, start, end, lambda n: F.sequence(F.lit(0), n))
 
 
 def _point(lat: Column, lng: Column) -> Column:
@@ -56,8 +69,7 @@ def _point(lat: Column, lng: Column) -> Column:
 
 def ring_line(lat: Column, lng: Column, metres: Column) -> Column:
     """A closed circle of 73 points, the last equal to the first."""
-    a = arc(lat, lng, metres, F.lit(0.0), F.lit(360.0))
-    return F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(1), F.lit(1)))
+    return _on_circle(lat, lng, metres, F.lit(0.0), F.lit(360.0), lambda n: F.concat(F.sequence(F.lit(0), n - 1), F.array(F.lit(0))))
 
 
 def wedge_polygon(lat: Column, lng: Column, metres: Column, bearing: Column, angle: Column) -> Column:
@@ -68,9 +80,8 @@ def wedge_polygon(lat: Column, lng: Column, metres: Column, bearing: Column, ang
 
 def sector_polygon(lat: Column, lng: Column, inner: Column, outer: Column, start: Column, end: Column) -> Column:
     """Outer arc, inner arc backwards (or the centre), and the first point again."""
-    out = arc(lat, lng, outer, start, end)
-    back = F.when(inner > 0, F.reverse(arc(lat, lng, inner, start, end))).otherwise(_point(lat, lng))
-    return F.concat(out, back, F.slice(out, F.lit(1), F.lit(1)))
+    back = F.when(inner > 0, _on_circle(lat, lng, inner, start, end, lambda n: F.sequence(n, F.lit(0)))).otherwise(_point(lat, lng))
+    return F.concat(arc(lat, lng, outer, start, end), back, _on_circle(lat, lng, outer, start, end, lambda n: F.array(F.lit(0))))
 
 
 def sector_name(i: Column, sectors: int) -> Column:

@@ -52,7 +52,7 @@ RING_LINES = f"WITH {PT}, k AS (SELECT unnest(range(73))::INTEGER AS i) SELECT i
 
 @query(RING_LINES)
 def q49_ring_line(spark, d):
-    return _all(places(spark, d), sph.ring_line(F.col("lat"), F.col("lng"), F.col("m")))
+    return _all(sph.spread(places(spark, d), "id"), sph.ring_line(F.col("lat"), F.col("lng"), F.col("m")))
 
 
 WA, WO = _dest("lat", "lng", "bearing - 45e0 + 5e0 * (i - 1)", "m")
@@ -63,7 +63,7 @@ WEDGES = f"WITH {PT}, k AS (SELECT unnest(range(21))::INTEGER AS i) SELECT id, i
 
 @query(WEDGES)
 def q50_wedge(spark, d):
-    return _all(places(spark, d), sph.wedge_polygon(F.col("lat"), F.col("lng"), F.col("m"), F.col("bearing"), F.lit(90.0)))
+    return _all(sph.spread(places(spark, d), "id"), sph.wedge_polygon(F.col("lat"), F.col("lng"), F.col("m"), F.col("bearing"), F.lit(90.0)))
 
 
 SA, SO = _dest("lat", "lng", "s * 45e0 - 22.5e0 + 5e0 * (CASE WHEN i < 10 THEN i WHEN i < 20 THEN 19 - i ELSE 0 END)", "CASE WHEN i < 10 OR i = 20 THEN m ELSE m / 2e0 END")
@@ -74,7 +74,7 @@ SECTORS = f"WITH {PT}, k AS (SELECT unnest(range(21))::INTEGER AS i), s AS (SELE
 
 @query(SECTORS)
 def q51_sectors(spark, d):
-    s = places(spark, d).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    s = sph.spread(places(spark, d), "id").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(7))))
     poly = sph.sector_polygon(F.col("lat"), F.col("lng"), F.col("m") / 2, F.col("m"), F.col("s") * 45 - 22.5, F.col("s") * 45 + 22.5)
     return _all(s.withColumn("sector", sph.sector_name(F.col("s"), 8)), poly, "sector")
 
