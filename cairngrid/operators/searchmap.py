@@ -209,7 +209,7 @@ def search_maps(requests: DataFrame, shapes: DataFrame | None = None) -> DataFra
     the same ids. A request with problems raises an error that names them; ``map_problems`` tells them beforehand.
     """
     told = map_problems(requests).where(F.size("problems") > 0).select(F.col("request_id").alias("r_"), "problems")
-    df = _complete(requests).join(told, F.col("request_id") == F.col("r_"), "left")
+    df = sph.spread(_complete(requests), "request_id").join(told, F.col("request_id") == F.col("r_"), "left")
     bad = F.raise_error(F.concat(F.lit("request "), F.col("request_id").cast("string"), F.lit(": "), F.array_join("problems", "; "))).cast("string")
     df = df.withColumn("seed", F.when(F.col("problems").isNotNull(), bad).otherwise(F.sha2(_canonical(), 256)))
 
@@ -234,7 +234,7 @@ def search_maps(requests: DataFrame, shapes: DataFrame | None = None) -> DataFra
     wedge = F.concat(spot, sph.arc(lat, lng, F.col("outer"), F.col("a"), F.col("b")), spot)
     line = F.when(F.col("type") == "point", spot).when(F.col("type") == "ring", sph.ring_line(lat, lng, F.col("outer"))).when(F.col("type") == "wedge", wedge).when(F.col("type") == "segment", sph.sector_polygon(lat, lng, F.col("inner"), F.col("outer"), F.col("a"), F.col("b")))
     four = lambda c: F.transform(c, lambda p: F.array(p["lng"], p["lat"], F.lit(0.0), F.lit(0.0)))
-    rows = rows.select("request_id", "seed", "pods", "type", "key", "title", "folder", F.col("no").cast("long").alias("no"), F.when(line.isNotNull(), F.array(four(line))).alias("coordinates"))
+    rows = rows.select("request_id", "seed", "pods", "type", "key", "title", "folder", F.col("no").cast("long").alias("no"), F.when(F.col("type") != "folder", F.array(four(line))).alias("coordinates"))
     if shapes is not None:
         base = F.size("rings") + F.coalesce(F.size("dispersion"), F.lit(0)) + F.coalesce(F.size("in_rings") * F.col("sectors"), F.lit(0)) + len(FOLDERS) + 1
 

@@ -273,10 +273,13 @@ CASE WHEN m > 0 THEN floor({MA} * 1e7 + 0.5e0) / 1e7 WHEN m = 0 THEN lat END AS
 def q56b_geojson(spark, d):
     """The suppliers' search maps as GeoJSON text, read again: some properties and a first point on each outer arc."""
     m = searchmap.to_geojson(searchmap.search_maps(map_requests(spark, d)))
-    f = lambda path: F.get_json_object("value", f"$.{path}")
-    ring = F.when(f("geometry.type") == "Polygon", f("geometry.coordinates[0]")).when(f("geometry.type") == "LineString", f("geometry.coordinates")).when(f("geometry.type") == "Point", F.concat(F.lit("["), f("geometry.coordinates"), F.lit("]")))
-    at = F.when(f("properties.title").contains("dispersion") & (f("geometry.type") == "Polygon"), 1).otherwise(0)
-    p = F.get(F.from_json(ring, "array<array<double>>"), at)
+    read = F.from_json("value", "geometry struct<type:string,coordinates:string>, properties struct<title:string,class:string,resourceType:string,folderId:string>")
+    m = m.select("request_id", "no", read.alias("v"))
+    f = lambda path: F.col(f"v.{path}")
+    text, kind = f("geometry.coordinates"), f("geometry.type")
+    ring = F.when(kind == "Polygon", F.get(F.from_json(text, "array<array<array<double>>>"), F.lit(0))).when(kind == "LineString", F.from_json(text, "array<array<double>>")).when(kind == "Point", F.array(F.from_json(text, "array<double>")))
+    at = F.when(f("properties.title").contains("dispersion") & (kind == "Polygon"), 1).otherwise(0)
+    p = F.get(ring, at)
     return m.select("request_id", "no", f("properties.title").alias("title"), f("properties.class").alias("class"), f("properties.resourceType").alias("resource"), f("properties.folderId").alias("folder_id"), F.get(p, F.lit(1)).alias("lat"), F.get(p, F.lit(0)).alias("lng"))
 
 
