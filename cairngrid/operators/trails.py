@@ -7,10 +7,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairngrid.functions.spherical import spread
 from cairngrid.operators.chains import chain_order
 from cairngrid.operators.surface import checkpointed
 
@@ -62,16 +63,22 @@ def walk_lines(lines: DataFrame, start_ms: int, speed: float, gaps: list[tuple[f
     Points whose way along the line lies inside a gap (metres from, to) are left out, as where a receiver was off. A point where two legs meet comes once.
     """
     w = W.partitionBy(key).orderBy("leg")
-    e = legs(lines, key).withColumn("len", F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0"))))
+    e = legs(spread(lines, key), key).withColumn("len", F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0"))))
     e = e.withColumns({"from": F.coalesce(F.sum("len").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)), "n": F.greatest(F.lit(1), F.ceil(F.col("len") / step)).cast("int"), "first": F.row_number().over(w) == 1})
-    p = e.withColumn("k", F.explode(F.sequence(F.when(F.col("first"), 0).otherwise(1), F.col("n")))).withColumn("f", F.col("k") / F.col("n"))
-    way = F.col("from") + F.col("f") * F.col("len")
-    on = F.lit(True)
-    for a, b in gaps:
-        on = on & ~((way > a) & (way < b))
+    way = lambda k: F.col("from") + k / F.col("n") * F.col("len")
+
+    def on(k: Column) -> Column:
+        out = F.lit(True)
+        for a, b in gaps:
+            out = out & ~((way(k) > a) & (way(k) < b))
+        return out
+
+    # points are numbered by their legs' counts, so that legs are sorted and not points
+    e = e.withColumn("ks", F.filter(F.sequence(F.when(F.col("first"), 0).otherwise(1), F.col("n")), on) if gaps else F.sequence(F.when(F.col("first"), 0).otherwise(1), F.col("n")))
+    e = e.withColumn("before", F.coalesce(F.sum(F.size("ks")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    p = e.select("*", F.posexplode("ks").alias("i", "k")).withColumn("f", F.col("k") / F.col("n"))
     place = lambda p0, p1: F.col(p0) + F.col("f") * (F.col(p1) - F.col(p0))
-    p = p.where(on).select(key, "leg", "k", place("x0", "x1").alias("x"), place("y0", "y1").alias("y"), F.floor(start_ms + way * 1000 / speed + 0.5).alias("t"))
-    return p.select(key, F.row_number().over(W.partitionBy(key).orderBy("leg", "k")).cast("long").alias("seq"), "x", "y", "t")
+    return p.select(key, (F.col("before") + F.col("i") + 1).cast("long").alias("seq"), place("x0", "x1").alias("x"), place("y0", "y1").alias("y"), F.floor(start_ms + way(F.col("k")) * 1000 / speed + 0.5).alias("t"))
 
 
 def split_evenly(lines: DataFrame, target: float, key: str = "line_id") -> DataFrame:
