@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairngrid.functions.geometry import distance, polyline_distance
+from cairngrid.functions.spherical import spread
 from cairngrid.operators.surface import normalize
 
 
@@ -80,25 +81,26 @@ def distance_ring_prior(spark: SparkSession, cells: DataFrame, point: tuple[floa
     area, k = cell_size * cell_size, len(rings)
     offsets = gaussian_offsets(sigma, cell_size)
 
-    points = F.array(*[F.struct(F.lit(float(point[0] + x)).alias("x"), F.lit(float(point[1] + y)).alias("y")) for x, y, _ in offsets])
-
-    def slot(o: Column, n: Column) -> Column:
+    def slot(n: int, x: float, y: float) -> Column:
         """offset * rings + ring of a cell, null beyond the last ring."""
-        d = distance(F.col("cx"), F.col("cy"), o["x"], o["y"])
+        d = distance(F.col("cx"), F.col("cy"), F.lit(float(point[0] + x)), F.lit(float(point[1] + y)))
         out = F.lit(None).cast("int")
         for r in range(k - 1, -1, -1):
-            out = F.when(d < rings[r][1], n * k + r).otherwise(out)
+            out = F.when(d < rings[r][1], F.lit(n * k + r)).otherwise(out)
         return out
 
     valid = F.coalesce(mask, F.lit(False)) if mask is not None else F.lit(True)
-    placed = cells.select("cell_id", valid.alias("valid"), F.transform(points, slot).alias("slots"))
+    placed = spread(cells, "cell_id").select("cell_id", valid.alias("valid"), F.array(*[slot(n, x, y) for n, (x, y, _) in enumerate(offsets)]).alias("slots"))
     table = spark.createDataFrame([(n * k + r, float(w), float(p), math.pi * (o * o - i * i)) for n, (_, _, w) in enumerate(offsets) for r, (i, o, p) in enumerate(rings)], "slot int, w double, prob double, annulus double")
     each = placed.select("valid", F.explode("slots").alias("slot")).where("slot is not null")
     count = each.groupBy("slot").agg(F.sum(F.col("valid").cast("long")).alias("nv"), F.sum((~F.col("valid")).cast("long")).alias("nm")).join(F.broadcast(table), "slot")
     usable = F.greatest(F.col("annulus") - F.col("nm") * area, F.col("nv") * area)
     share = count.where("nv > 0").select("slot", "nv", (F.col("w") * F.col("prob") * F.least(1 / F.col("nv"), area / usable)).alias("share"))
     one = share.agg(F.map_from_entries(F.collect_list(F.struct("slot", "share"))).alias("shares"), F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum(F.col("share") * F.col("nv")), F.lit(0.0))).alias("outside"))
-    p = F.aggregate("slots", F.lit(0.0), lambda total, s: total + F.coalesce(F.col("shares")[s], F.lit(0.0)))
+    one = one.select(F.transform(F.sequence(F.lit(0), F.lit(len(offsets) * k - 1)), lambda s: F.coalesce(F.col("shares")[s], F.lit(0.0))).alias("shares"), "outside")
+    p = F.lit(0.0)
+    for n in range(len(offsets)):
+        p = p + F.coalesce(F.get("shares", F.get("slots", F.lit(n))), F.lit(0.0))
     return placed.crossJoin(F.broadcast(one)).select("cell_id", F.when(F.col("valid"), p).otherwise(0.0).alias("p"), "outside")
 
 
