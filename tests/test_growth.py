@@ -3,9 +3,11 @@
 import random
 
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cairngrid.functions import spherical as sph
+from cairngrid.functions import text
 from cairngrid.operators import trails, workflow
 from tests.test_distributed_lines import cheapest
 
@@ -35,8 +37,8 @@ def test_format_km_rounds_by_the_exact_value(spark):
     """10.85 is stored below its half, 10.25 and 0.125 are halves and go to the even digit."""
     values = [10.85, 10.25, 10.75, 0.125, 0.375, 1.005, 9.995, 9.994, 0.0, 20.0, 100.04, 12345.65, *(0.5 + 0.09 * k for k in range(2000))]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", sph.format_km(F.col("v")).alias("t")).collect()
-    text = lambda v: f"{v:.2f}".rstrip("0").rstrip(".") if v < 10 else f"{v:.1f}".removesuffix(".0")
-    assert [x.t for x in got] == [text(x.v) for x in got]
+    shown = lambda v: f"{v:.2f}".rstrip("0").rstrip(".") if v < 10 else f"{v:.1f}".removesuffix(".0")
+    assert [x.t for x in got] == [shown(x.v) for x in got]
 
 
 def test_events_without_a_surface_do_not_meet_in_one_task(spark):
@@ -50,3 +52,15 @@ def test_events_without_a_surface_do_not_meet_in_one_task(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(by_#" in plan and not any(f"hashpartitioning({c}#" in plan for c in ("surface_id", "incident_id", "incident"))
+
+
+def test_redaction_hands_its_texts_on_in_parts(spark, monkeypatch):
+    """A task holds a bounded part of its texts, nulls and empty texts included."""
+    frames = spark.createDataFrame([(1, "write to jane@x.org"), (2, None), (3, "")], "id long, t string")
+    assert [tuple(r) for r in text.redact(frames, "id", "t").orderBy("id").collect()] == [(i, *text.redact_text(t)) for i, t in ((1, "write to jane@x.org"), (2, None), (3, ""))]
+    seen = []
+    monkeypatch.setattr(type(frames), "mapInArrow", lambda df, run, ddl: seen.append(run))
+    text.redact(frames, "id", "t")
+    batch = pa.record_batch({"id": list(range(60)), "t": ["word " * 40_000] * 60})
+    parts = [b.num_rows for b in seen[0]([batch])]
+    assert sum(parts) == 60 and max(parts) <= 21
