@@ -3,11 +3,12 @@
 A classifier fitted on the labelled table gives every document a posterior over domains. Rates r >= 0 per
 document are fitted so that the expected tokens of each domain, sum of r * tokens * posterior, match their
 targets: projected gradient descent on the least squares of the differences, each step one pass over
-(tokens, posterior) whose partial sums are added up in Spark. Only sums per domain reach the driver.
+(tokens, posterior), kept for that in few partitions, with no shuffle. Only a partition's sums per domain reach the driver.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass, field
 
@@ -23,6 +24,8 @@ MAX_TRAIN_ROWS = 4000
 SPARE = 2
 MAX_STEPS = 200
 TOLERANCE = 1e-4
+#: Documents of a partition of (tokens, posterior), about: the fit passes over them up to MAX_STEPS times.
+PART_ROWS = 250_000
 
 #: Domains of the labels table, and their shares of the mixed tokens. A share of zero could not be met: every posterior is above zero, so only ever
 #: fewer documents would keep a rate; with these, documents that look toxic get rate 0, junk about a seventh, and good ones 1.2.
@@ -114,11 +117,10 @@ def fit_rates(tokens_and_p: DataFrame, targets: np.ndarray, max_steps: int = MAX
                 s += (_rates(p, steps) * n) @ p
                 if not steps:
                     m += (p * n[:, None]).T @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + k * k)), pa.array(np.concatenate([s, m.ravel()]))], names=["at", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([s, m.ravel()]).tolist()], pa.list_(pa.float64()))], names=["v"])
 
-        out = np.zeros(k + k * k)
-        for r in tokens_and_p.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
-            out[r["at"]] = r["v"]
+        parts = [r.v for r in tokens_and_p.mapInArrow(run, "v array<double>").collect()]  # one short row per partition
+        out = np.array([math.fsum(v) for v in zip(*parts, strict=True)]) if parts else np.zeros(k + k * k)  # exact, so in any order
         return out[:k], out[k:].reshape(k, k)
 
     steps: list[tuple[float, np.ndarray]] = []
@@ -162,9 +164,10 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_co
     model = train(docs, labels, domains, id_col, text_col, max_train_rows)
     scored = score(docs, model, text_col, prefix)
     tokens = f"{prefix}tokens"
-    total = float(total_tokens if total_tokens is not None else scored.agg(F.coalesce(F.sum(tokens), F.lit(0))).first()[0])
+    n, there = scored.agg(F.count("*"), F.coalesce(F.sum(tokens), F.lit(0))).first()
+    total = float(total_tokens if total_tokens is not None else there)
     wanted = weight / weight.sum() * total
-    fit = fit_rates(scored.select(tokens, f"{prefix}p"), wanted, max_steps)
+    fit = fit_rates(stored(scored.select(tokens, f"{prefix}p").coalesce(max(1, -(-n // PART_ROWS)))), wanted, max_steps)
 
     def make(columns):
         p = np.array(columns[0], float).reshape(len(columns[0]), -1)

@@ -75,3 +75,16 @@ def test_targets_change_the_mix_and_what_is_reached_is_told(spark):
     assert rate["good"] > 1 and rate["junk"] < 0.4 and rate["toxic"] < 0.3
     with __import__("pytest").warns(UserWarning):
         mixing.mix(docs, labels, {"good": 1, "toxic": 0}, max_steps=1)
+
+
+def test_a_step_of_the_fit_is_one_stage(spark):
+    """No shuffle: a fit takes dozens of steps, and each stage of many tasks is kept by the driver."""
+    df = spark.createDataFrame([(k, [0.2 + k % 3 / 5, 0.8 - k % 3 / 5]) for k in range(60)], "mix_tokens long, mix_p array<double>").repartition(3).localCheckpoint()
+    sc = spark.sparkContext
+    sc.setJobGroup("fit", "fit")
+    try:
+        mixing.fit_rates(df, np.array([600.0, 900.0]))
+        jobs = sc.statusTracker().getJobIdsForGroup("fit")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs and all(len(sc.statusTracker().getJobInfo(j).stageIds) == 1 for j in jobs)
