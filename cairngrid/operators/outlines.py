@@ -29,6 +29,8 @@ SIDES = 720
 #: The circles' corners are turned by this angle, so that none lies on a line through the origin along an axis.
 TURN = 1.7e-8
 POINT = "struct<x:double,y:double>"
+#: Points meet the spans of keys in boxes as high as a strip and so many times as wide.
+WIDE = 16
 
 
 def _cells(x0: Column, y0: Column, x1: Column, y1: Column, side: float, reach: float | None = None) -> dict[str, Column]:
@@ -184,15 +186,27 @@ def corridor_outlines(lines: DataFrame, half_width: float, key: str = "line_id",
 
 
 def in_rings(points: DataFrame, rings: DataFrame, key: str, point_id: str, x: str, y: str, side: float = 200.0) -> DataFrame:
-    """(key, point_id) of the points inside a key's rings (key, points), even-odd. Edges and points meet in strips of ``side`` metres along y."""
+    """(key, point_id) of the points inside a key's rings (key, points), even-odd.
+
+    Edges lie in strips of ``side`` metres along y. A point meets the keys whose edges in its strip reach from its left to its right, one short row per key and
+    strip, and then these edges alone: no task holds the edges of all keys in a strip.
+    """
     p, q = F.col("e.p"), F.col("e.q")
     edges = rings.select(key, F.explode(F.arrays_zip(F.slice("points", 1, F.size("points") - 1).alias("p"), F.slice("points", 2, F.size("points") - 1).alias("q"))).alias("e"))
-    edges = edges.select(key, p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1"))
-    strips = edges.withColumn("strip", F.explode(F.sequence(F.floor(F.least("y0", "y1") / side), F.floor(F.greatest("y0", "y1") / side))))
+    edges = edges.select(F.col(key).alias("key_"), p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1")).where("y0 <> y1")
+    strips = checkpointed(edges.withColumn("strip", F.explode(F.sequence(F.floor(F.least("y0", "y1") / side), F.floor(F.greatest("y0", "y1") / side)))))
     px, py = F.col("px_"), F.col("py_")
-    spots = points.select(F.col(point_id), F.col(x).alias("px_"), F.col(y).alias("py_"), F.floor(F.col(y) / side).alias("strip"))
+    within = lambda v: F.greatest(F.least("y0", "y1"), F.least(F.greatest("y0", "y1"), v))
+    at = lambda v: F.col("x0") + (within(v) - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    ends = [at(F.col("strip") * side), at((F.col("strip") + 1) * side)]
+    spans = strips.groupBy("key_", "strip").agg((F.min(F.least(*ends)) - 1e-3).alias("from_"), (F.max(F.greatest(*ends)) + 1e-3).alias("to_"))
+    wide = lambda v: F.floor(v / (side * WIDE))
+    spans = spans.withColumn("wide", F.explode(F.sequence(wide(F.col("from_")), wide(F.col("to_")))))
+    spots = points.select(F.col(point_id), F.col(x).alias("px_"), F.col(y).alias("py_"), F.floor(F.col(y) / side).alias("strip"), wide(F.col(x)).alias("wide"))
+    close = spots.join(spans, ["strip", "wide"]).where(px.between(F.col("from_"), F.col("to_"))).select(F.col("key_").alias(key), point_id, "px_", "py_", F.col("strip").alias("strip_"))
     crossed = ((F.col("y0") > py) != (F.col("y1") > py)) & (px < F.col("x0") + (py - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0")))
-    return spots.join(strips, "strip").where(crossed).groupBy(key, point_id).agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, point_id)
+    met = close.join(strips, F.col(key).eqNullSafe(F.col("key_")) & (F.col("strip") == F.col("strip_")) & crossed)
+    return met.groupBy(key, point_id).agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, point_id)
 
 
 def _corner(radius: Column, k: Column) -> Column:

@@ -144,3 +144,14 @@ def test_in_rings(spark):
     points = spark.range(0, 36).select("id", (F.col("id") % 6 * 100.0 + 3).alias("x"), (F.floor(F.col("id") / 6) * 100.0 + 1).alias("y"))
     got = {r.id for r in outlines.in_rings(points, rings, "k", "id", "x", "y").collect()}
     assert got == {r.id for r in points.collect() if r.x < 500 and r.y < r.x}
+
+
+def test_in_rings_joins_edges_by_their_key(spark):
+    """Edges meet points by key and strip, never by the strip alone, which would bring the edges of all keys to one task; a null key counts as one."""
+    ring = lambda a: [(a, 0.0), (a + 500.0, 0.0), (a + 500.0, 500.0), (a, 500.0), (a, 0.0)]
+    rings = spark.createDataFrame([("a", ring(0.0)), ("b", ring(250.0)), (None, ring(-7000.0))], "k string, points array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 10.0, 10.0), (2, 300.0, 499.0), (3, 600.0, 250.0), (4, -6800.0, 130.0), (5, 900.0, 10.0)], "id int, x double, y double")
+    out = outlines.in_rings(points, rings, "k", "id", "x", "y")
+    assert {tuple(r) for r in out.collect()} == {("a", 1), ("a", 2), ("b", 2), ("b", 3), (None, 4)}
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line and "y0#" in line]
+    assert joins and all("<=>" in line for line in joins)
