@@ -8,15 +8,17 @@ inside on its left, so every end is one other's start, and one line's or polygon
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairngrid.functions.geometry import segment_distance
-from cairngrid.operators.surface import checkpointed, running_before
+from cairngrid.operators.surface import checkpointed, running_before, stored
 from cairngrid.operators.trails import legs
 
 #: Largest gap between a rounded end or bend and the true circle, in metres.
@@ -29,6 +31,8 @@ SIDES = 720
 #: The circles' corners are turned by this angle, so that none lies on a line through the origin along an axis.
 TURN = 1.7e-8
 POINT = "struct<x:double,y:double>"
+#: Points of finished rings that a task hands on at once.
+HANDED_ON = 200_000
 #: Points meet the spans of keys in boxes as high as a strip and so many times as wide.
 WIDE = 16
 
@@ -57,19 +61,19 @@ def _along_squares(df: DataFrame, side: float, reach: float) -> DataFrame:
     return df.withColumn("gy", F.explode(F.sequence(low, high)))
 
 
-def _walk_rings(starts: list, ends: list, points: list) -> list[np.ndarray]:
-    """Rings of one shape: an element's end is the start of exactly one other."""
+def _walk_rings(starts: list, ends: list) -> list[list[int]]:
+    """Rings of one shape, as the numbers of their elements in order: an element's end is the start of exactly one other."""
     at = {s: k for k, s in enumerate(starts)}
     left, rings = dict.fromkeys(range(len(starts))), []
     while left:
         k, ring = next(iter(left)), []
         while k in left:
             del left[k]
-            ring += [(p["x"], p["y"]) for p in points[k]]
+            ring.append(k)
             if ends[k] not in at:
                 raise ValueError("an outline does not close")
             k = at[ends[k]]
-        rings.append(np.array(ring))
+        rings.append(ring)
     return rings
 
 
@@ -178,7 +182,9 @@ def corridor_outlines(lines: DataFrame, half_width: float, key: str = "line_id",
     kept = parts.join(covered, [key, "leg", "e", "i"], "left_anti").select(F.col(key), "n0", "n1", points.alias("points"))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = sorted(((_area(r), r) for r in _walk_rings(pdf["n0"].tolist(), pdf["n1"].tolist(), pdf["points"].tolist())), key=lambda x: -abs(x[0]))
+        points = pdf["points"].tolist()
+        walked = (np.array([(p["x"], p["y"]) for k in ring for p in points[k]]) for ring in _walk_rings(pdf["n0"].tolist(), pdf["n1"].tolist()))
+        rings = sorted(((_area(r), r) for r in walked), key=lambda x: -abs(x[0]))
         rings = [x for k, x in enumerate(rings) if not k or (x[0] > 0) != (rings[0][0] > 0)]
         return pd.DataFrame([(pdf[key].iloc[0], k, k > 0, a, _closed(r)) for k, (a, r) in enumerate(rings)], columns=[key, "ring", "hole", "area_m2", "points"])
 
@@ -227,7 +233,7 @@ def areas_in_bands(polygons: DataFrame, bands: list[tuple[float, float]], key: s
     ``polygons`` has (key, ring, seq, x, y) in local metres; rings of one polygon do not cross, and what lies in an even number of them is outside. Touching
     bands count as one. Circles are polygons of 720 sides. A part's rings are closed, the outer one (counter-clockwise) first; parts smaller than ``crumb_m2`` are left out.
     ``nearness`` is 0 where a part holds the origin, else the distance of its nearest edge. Each polygon's cuts are found in squares of the plane; its pieces are
-    linked to rings by polygon.
+    linked to rings by polygon, where an arc is its start and its range of corners, and no point of a circle is a row or a Python object.
     """
     merged: list[list[float]] = []
     for a, b in sorted((float(a), float(b)) for a, b in bands if b > a):  # as many as bands were asked for
@@ -267,7 +273,7 @@ def areas_in_bands(polygons: DataFrame, bands: list[tuple[float, float]], key: s
     edges = edges.join(turned, [key, "ring"]).select(key, "ring", F.col("i").alias("edge"), *[swap(a, b).alias(n) for n, a, b in (("i", "i", "j"), ("j", "j", "i"), ("x0", "x0", "x1"), ("y0", "y0", "y1"), ("x1", "x1", "x0"), ("y1", "y1", "y0"))])
     edges = checkpointed(edges)
 
-    table = spark.createDataFrame(circles, "circle int, radius double, way int")
+    table = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).alias("circle"), F.lit(r).alias("radius"), F.lit(w).alias("way")) for c, r, w in circles])))
     sides = table.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SIDES - 1)))).withColumns({"a": _corner(F.col("radius"), F.col("k")), "b": _corner(F.col("radius"), F.col("k") + 1)})
     sides = _spread(sides.withColumns(_cells(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"), side))).select("circle", "k", "a", "b", "gx", "gy")
     met = _along_squares(edges, side, reach + side).join(F.broadcast(sides), ["gx", "gy"])
@@ -286,7 +292,7 @@ def areas_in_bands(polygons: DataFrame, bands: list[tuple[float, float]], key: s
     inside = F.lit(False)
     for a, b in merged:
         inside = inside | (_in_circle(F.col("m"), b) & (~_in_circle(F.col("m"), a) if a > 0 else F.lit(True)))
-    parts = parts.where(inside).select(key, F.col("r.a.node").alias("n0"), F.col("r.b.node").alias("n1"), F.array(at(F.col("r.a.t"))).alias("points"))
+    parts = parts.where(inside).select(key, F.col("r.a.node").alias("n0"), F.col("r.b.node").alias("n1"), at(F.col("r.a.t")).alias("p"), F.lit(-1).alias("circle"), F.lit(0).cast("long").alias("low"), F.lit(-1).cast("long").alias("high"))
 
     # the circles between their cuts, and whole circles that are not cut
     c = W.partitionBy(key, "circle").orderBy("s")
@@ -299,11 +305,20 @@ def areas_in_bands(polygons: DataFrame, bands: list[tuple[float, float]], key: s
     arcs = checkpointed(arcs.withColumn("id", F.monotonically_increasing_id()).withColumn("m", on((F.col("s0") + F.col("s1")) / 2)))
     tests = arcs.select(key, "id", F.col("m.x").alias("tx"), F.col("m.y").alias("ty"), strip(F.col("m.y")).alias("strip"))
     within = tests.join(strips, [key, "strip"]).where(crossed).groupBy(key, "id").agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, "id")
-    low, high = F.floor("s0") + 1, F.ceil("s1") - 1
-    corners = F.when(low <= high, F.transform(F.sequence(low, high), lambda k: _corner(F.col("radius"), k))).otherwise(F.array().cast(f"array<{POINT}>"))
     outer = F.col("way") == 1
-    points = F.when(outer, F.concat(F.array(on(F.col("s0"))), corners)).otherwise(F.concat(F.array(on(F.col("s1"))), F.reverse(corners)))
-    arcs = arcs.join(within, [key, "id"]).select(key, F.when(outer, F.col("m0")).otherwise(F.col("m1")).alias("n0"), F.when(outer, F.col("m1")).otherwise(F.col("m0")).alias("n1"), points.alias("points"))
+    either = lambda a, b: F.when(outer, a).otherwise(b)
+    arcs = arcs.join(within, [key, "id"]).select(key, either(F.col("m0"), F.col("m1")).alias("n0"), either(F.col("m1"), F.col("m0")).alias("n1"), either(on(F.col("s0")), on(F.col("s1"))).alias("p"), "circle", (F.floor("s0") + 1).alias("low"), (F.ceil("s1") - 1).alias("high"))
+
+    def ring_of(elements: list[tuple]) -> np.ndarray:
+        """Each element's start and, on a circle, the corners from ``low`` to ``high``, backwards on an inner circle."""
+        runs = []
+        for _, _, _, x, y, circle, low, high in elements:
+            runs.append([[x, y]])
+            if high >= low:
+                _, radius, way = circles[circle]
+                a = np.arange(low, high + 1)[::way] * (2 * math.pi / SIDES) + TURN
+                runs.append(radius * np.column_stack([np.cos(a), np.sin(a)]))
+        return np.concatenate(runs)
 
     def holds(ring: np.ndarray, x: float, y: float) -> bool:
         a, b = ring, np.roll(ring, -1, 0)
@@ -316,8 +331,9 @@ def areas_in_bands(polygons: DataFrame, bands: list[tuple[float, float]], key: s
         t = np.clip(-(ring * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
         return float(np.sqrt(((ring + t[:, None] * d) ** 2).sum(1)).min())
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [(_area(r), r) for r in _walk_rings(pdf["n0"].tolist(), pdf["n1"].tolist(), pdf["points"].tolist())]
+    def parts_of(elements: list[tuple]) -> list[tuple]:
+        """(part, area, nearness, rings) of one polygon."""
+        found = [(_area(r), r) for r in (ring_of([elements[k] for k in order]) for order in _walk_rings([e[1] for e in elements], [e[2] for e in elements]))]
         outers = sorted(([a, [r]] for a, r in found if a > 0), key=lambda o: (o[0], o[1][0].tolist()))
         for a, r in found:
             if a < 0:  # a hole belongs to the smallest ring around it
@@ -326,12 +342,40 @@ def areas_in_bands(polygons: DataFrame, bands: list[tuple[float, float]], key: s
                 if home:
                     home[0] += a
                     home[1].append(r)
-        rows = []
-        for k, (a, rs) in enumerate(outers):
-            covers = holds(rs[0], 0.0, 0.0) and not any(holds(r, 0.0, 0.0) for r in rs[1:])
-            rows.append((pdf[key].iloc[0], k, a, 0.0 if covers else min(map(nearest, rs)), [_closed(r) for r in rs]))
-        return pd.DataFrame(rows, columns=[key, "part", "area_m2", "nearness", "rings"])
-
-    out = parts.unionByName(arcs).groupBy(key).applyInPandas(link, f"{key} {dict(polygons.dtypes)[key]}, part int, area_m2 double, nearness double, rings array<array<{POINT}>>")
-    out = running_before(out.where(F.col("area_m2") >= crumb_m2).withColumn("one", F.lit(1)), [], [F.col("nearness"), F.col(key), F.col("part")], "one", "before")
+        covers = lambda rs: holds(rs[0], 0.0, 0.0) and not any(holds(r, 0.0, 0.0) for r in rs[1:])
+        return [(k, a, 0.0 if covers(rs) else min(map(nearest, rs)), rs) for k, (a, rs) in enumerate(outers)]
+
+    def handed_on(kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+        keys, part, area, near, rings = zip(*rows, strict=True)
+        closed = [np.concatenate([r, r[:1]]) for rs in rings for r in rs]
+        x, y = np.ascontiguousarray(np.concatenate(closed).T)
+        ends = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+        points = pa.ListArray.from_arrays(ends(map(len, closed)), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(part, pa.int32()), pa.array(area, pa.float64()), pa.array(near, pa.float64()), pa.ListArray.from_arrays(ends(map(len, rings)), points)], names=[key, "part", "area_m2", "nearness", "rings"])
+
+    def link(batches):
+        """The rows of a polygon's elements stand together; what is made of them is handed on in bounded batches."""
+        kind, rows, n = [], [], 0
+
+        def elements():
+            for b in batches:
+                kind[:] = [b.schema.field(0).type]
+                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+        for k, own in groupby(elements(), key=lambda e: e[0]):
+            made = parts_of(list(own))
+            rows += [(k, *p) for p in made]
+            n += sum(len(r) for p in made for r in p[-1])
+            if n >= HANDED_ON:
+                yield handed_on(kind[0], rows)
+                rows, n = [], 0
+        if rows:
+            yield handed_on(kind[0], rows)
+
+    elements = parts.unionByName(arcs).select(key, "n0", "n1", "p.x", "p.y", "circle", "low", "high")
+    made = elements.repartition(key).sortWithinPartitions(key, "n0").mapInArrow(link, f"{key} {dict(polygons.dtypes)[key]}, part int, area_m2 double, nearness double, rings array<array<{POINT}>>")
+    made = stored(made.where(F.col("area_m2") >= crumb_m2))
+    # ranges are sampled and sorted without the rings
+    places = running_before(made.select(key, "part", "nearness").withColumn("one", F.lit(1)), [], [F.col("nearness"), F.col(key), F.col("part")], "one", "before")
+    out = made.join(places.select(key, "part", "before"), [key, "part"])
     return out.select(F.concat(F.lit("A-"), (F.col("before") + 1).cast("string")).alias("name"), key, "part", "area_m2", "nearness", "rings")

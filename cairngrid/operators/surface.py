@@ -7,8 +7,9 @@ thin set of rows, so the sums behind a normalisation are partial aggregates and
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,16 +60,30 @@ def in_domain_probability(surface: DataFrame, by: list[str] = ()) -> DataFrame:
     return surface.groupBy(*by).agg(agg) if by else surface.agg(agg)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` evaluated once, in the checkpoint folder that the session names (``spark.checkpoint.dir``); a temporary one only in local sessions without it."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+def _shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names (``spark.checkpoint.dir``); a temporary one only in local sessions without it."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not given:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairngrid-checkpoint-"))
+        given = tempfile.mkdtemp(prefix="cairngrid-checkpoint-")
+        spark.sparkContext.setCheckpointDir(given)
+    return given.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once, in the shared checkpoint folder."""
+    _shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once, as Parquet below the shared checkpoint folder: columns can be read alone."""
+    path = f"{_shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def running_before(df: DataFrame, by: list[str], order: list[Column], value: str, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the rows before each one in the given order, per key.
 

@@ -155,3 +155,23 @@ def test_in_rings_joins_edges_by_their_key(spark):
     assert {tuple(r) for r in out.collect()} == {("a", 1), ("a", 2), ("b", 2), ("b", 3), (None, 4)}
     joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line and "y0#" in line]
     assert joins and all("<=>" in line for line in joins)
+
+
+def test_polygons_are_linked_once_without_a_row_or_object_per_point(spark, monkeypatch):
+    """A ring around the origin has some 1500 points; numbering the parts by ranges reads what is numbered twice."""
+    r, polygons, seen = random.Random(11), {}, []
+    for k in range(40):
+        x, y = r.uniform(-900, 900), r.uniform(-900, 900)
+        polygons[f"{k:02}"] = [rect(x - 300, y - 300, x + 300, y + 300)]
+    inner = outlines.running_before
+    monkeypatch.setattr(outlines, "running_before", lambda df, *a: seen.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or inner(df, *a))
+    got = areas(spark, polygons, [(0, 400), (600, 1000)], crumb_m2=0.0)
+    columns, plan = seen[0]
+    assert "rings" not in columns and "MapIn" not in plan and "InPandas" not in plan
+    monkeypatch.setattr(outlines, "HANDED_ON", 1)  # one polygon at a time
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # polygons go on in the next batch
+    try:
+        assert areas(spark, polygons, [(0, 400), (600, 1000)], crumb_m2=0.0) == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [g[0] for g in got] == list(range(1, len(got) + 1)) and [g[3] for g in got] == sorted(g[3] for g in got)
