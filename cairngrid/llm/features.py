@@ -15,6 +15,8 @@ BUCKETS = 4096
 ORDERS = (2, 3)
 CHUNK = 1 << 20
 HISTOGRAM_WEIGHT = 4
+#: Parts in which sampled vectors come to the driver.
+GATHERED_PARTS = 16
 
 
 def _buckets(b: np.ndarray, n: int, buckets: int) -> np.ndarray:
@@ -131,6 +133,11 @@ def text_vectors(texts, words: dict[str, int]) -> np.ndarray:
     return np.concatenate(parts) if parts else Texts([]).vectors(words)
 
 
+def gathered(vectors: DataFrame, most: int):
+    """At most ``most`` rows, part by part: the driver's JVM holds a task's whole result several times over while it takes it in."""
+    return vectors.limit(most).repartition(GATHERED_PARTS).toLocalIterator()
+
+
 def sampled_vectors(rows: DataFrame, words: dict[str, int], most: int) -> tuple[list[tuple], np.ndarray]:
     """The columns of ``rows`` but ``text``, and the vectors of their texts (half precision on the way), of at most ``most`` rows, in the order of the columns.
 
@@ -146,7 +153,7 @@ def sampled_vectors(rows: DataFrame, words: dict[str, int], most: int) -> tuple[
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, BATCH) for k in range(1, b.num_columns)), pa.array([v.tobytes() for v in x], pa.binary())], names=[*(f.name for f in others), "x"])
 
     made = rows.select("text", *[f.name for f in others]).mapInArrow(run, T.StructType([*others, T.StructField("x", T.BinaryType())]))
-    got = [(tuple(r)[:-1], bytes(r.x)) for r in made.limit(most).toLocalIterator()]
+    got = [(tuple(r)[:-1], bytes(r.x)) for r in gathered(made, most)]
     got.sort(key=lambda g: (repr(g[0]), g[1]))
     x = np.zeros((len(got), 1024 + len(words)), np.float32)
     for k, (_, v) in enumerate(got):

@@ -87,7 +87,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 x = features.matrix(b.column(0).slice(at, BATCH).to_pylist()).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1).slice(at, BATCH)], names=["x", "lang"])
 
-    got = sorted((r.lang, bytes(r.x)) for r in sample.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(vectors, "x binary, lang string").limit(SPARE * max_rows).toLocalIterator())
+    made = sample.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(vectors, "x binary, lang string")
+    got = sorted((r.lang, bytes(r.x)) for r in features.gathered(made, SPARE * max_rows))
     lang = np.searchsorted(languages, [k for k, _ in got])
     x = np.empty((len(got), features.BUCKETS), np.float32)
     for k in range(len(got)):

@@ -58,3 +58,17 @@ def test_decoding_against_brute_force():
             order = sorted(range(k), key=lambda j: loss[j])
             assert order[0] == i and np.isclose(q, np.exp(-loss[i]) / sum(np.exp(-v) for v in loss))
             assert np.isclose(g, loss[order[1]] - loss[i]) if k > 1 else np.isinf(g)
+
+
+def test_vectors_come_to_the_driver_in_parts(spark):
+    """No task's result holds all of them, and not more rows come than are asked for."""
+    from cairngrid.llm import features
+
+    made = spark.range(500).selectExpr("id", "repeat('x', 100) AS x").coalesce(1)
+    sc = spark.sparkContext
+    sc.setJobGroup("gathered", "gathered")
+    try:
+        assert len({r.id for r in features.gathered(made, 300)}) == 300
+        assert len(sc.statusTracker().getJobIdsForGroup("gathered")) >= features.GATHERED_PARTS
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)

@@ -92,3 +92,22 @@ def test_hot_fingerprints_are_broadcast_and_lose_nothing(spark):
     for hot in (10**6, 99, 0):
         got = sorted((r.id, r.c) for r in join_named(rows, named, "fp", "size", hot).collect())
         assert got == sorted([(i, [5, 6, 8][i % 3]) for i in range(300)] + [(1000, 9)])
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    """Every step is some stages, and the driver keeps a record of each of their tasks."""
+    from cairngrid.llm.common import connected_components
+
+    sc, edges = spark.sparkContext, spark.createDataFrame([(k, k + 1) for k in range(40) if k % 8 != 7], "a long, b long")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc.setJobGroup("components", "components")
+    try:
+        got = {r.id: r.component_id for r in connected_components(edges, "a", "b").collect()}
+        stages = {s: i.numTasks for j in sc.statusTracker().getJobIdsForGroup("components") for s in sc.statusTracker().getJobInfo(j).stageIds if (i := sc.statusTracker().getStageInfo(s))}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {k: k // 8 * 8 for k in range(40)}
+    assert sum(n == 64 for n in stages.values()) < 10
