@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairngrid.llm import substring_dedup as sd
@@ -245,3 +246,39 @@ def test_many_pairs_are_matched_as_single_ones():
                 want.append((k, own[0], own[-1] + 1))
             at = end + 1
     assert want and sorted(zip(*(v.tolist() for v in sd.matched_all(xs, ys, 5, 0.5)), strict=True)) == want
+
+
+@pytest.mark.parametrize("few, chunk, blocks", [(2, 2048, 1), (2, 16, 1), (2, 16, 2), (100, 2048, 1)])
+def test_no_agreeing_class_is_left_out(monkeypatch, few, chunk, blocks):
+    """The partners passed on cover all that any earlier class that agrees covers; the best one of each part does not."""
+    monkeypatch.setattr(sd, "FEW", few)
+    monkeypatch.setattr(sd, "CHUNK", chunk)
+    rnd, least, enough, similarity, rows = np.random.default_rng(7), 5, 3, 0.6, []
+    for key, size in enumerate((2, 3, 9, 30, 70)):
+        template = rnd.integers(0, 1 << 30, 9).astype(np.uint32)
+        for _ in range(size):
+            v, (left, right) = template.copy(), rnd.integers(0, 5, 2)
+            if rnd.random() < 0.7:
+                left, right = 4, 4
+            edits = rnd.choice([0, 1, 2, 3, 5, 6, 7, 8], 3, replace=False)
+            v[edits] = rnd.integers(0, 6, 3)
+            n = len(rows)
+            rows.append({"key": key, "f": 0, "n": n, "c": 50, "l": 50 - int(left), "r": 50 + int(right), "classes": size, "sketch": rnd.integers(0, 3, 24).astype(np.uint8).tobytes(), "reach": v[4 - left : 5 + right].tobytes() if size > few else None, "v": v[4 - left : 5 + right]})
+    table = [r | {"block": b, "own": r["n"] % k == b} for r in rows for k in [blocks if r["classes"] > few else 1] for b in range(k)]
+    table.sort(key=lambda r: (r["key"], r["block"], -r["n"]))
+    names = ["key", "f", "n", "c", "l", "r", "classes", "sketch", "reach", "block", "own"]
+    batches = pa.table({k: [r[k] for r in table] for k in names}).to_batches(7)
+    got = {(a, b) for out in sd._partners(least, 4, enough)(iter(batches)) for a, b in zip(out.column("n").to_pylist(), out.column("m").to_pylist(), strict=True)}
+
+    def cover(x, y):
+        el, er = min(50 - x["l"], 50 - y["l"]), min(x["r"] - 50, y["r"] - 50)
+        part = lambda q: q["v"][50 - q["l"] - el : 50 - q["l"] + er + 1]
+        return {s + 50 - el for a, e in sd.matched(part(x), part(y), least, similarity) for s in range(a, e)} if el + er + 1 >= least else set()
+
+    words = [np.frombuffer(r["sketch"], np.uint8).reshape(3, 8) for r in rows]
+    agree = {(x["n"], y["n"]) for x in rows for y in rows if x["key"] == y["key"] and x["n"] > y["n"] and ((words[x["n"]] == words[y["n"]]).sum(axis=1) >= enough).any()}
+    start = np.array([0, 2, 5, 14, 44])
+    best = set(zip(*(v.tolist() for v in sd._agreeing(np.stack(words).reshape(len(rows), 24).view(np.uint64), start, np.array([2, 3, 9, 30, 70]), enough)), strict=True))
+    union = lambda pairs: {r["n"]: set().union(*[cover(r, rows[m]) for n, m in pairs if n == r["n"]]) for r in rows}
+    assert got <= agree and best < agree
+    assert union(got) == union(agree) != union(best)
