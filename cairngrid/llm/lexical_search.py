@@ -58,7 +58,7 @@ def impacts(tf: np.ndarray, n: np.ndarray, n_docs: int, n_terms: int) -> np.ndar
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Two passes over the texts: the corpus' size, then the shards, which are stored in the shared folder.
+    """Two passes over the texts: the corpus' size, then the shards, which are stored in the shared folder, each as a row group of its own.
 
     Columns of a shard: ``ids`` in ascending order (missing ones last), ``terms``, ``dfs`` (documents of each term), and as
     32-bit integers in bytes ``docs`` (places in ``ids``) and ``impacts`` of all terms' documents, one after the other.
@@ -80,7 +80,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return Index(stored(rows.mapInArrow(run, f"ids array<{kind}>, terms array<string>, dfs array<int>, docs binary, impacts binary")), n_docs, n_terms)
+    return Index(stored(rows.mapInArrow(run, f"ids array<{kind}>, terms array<string>, dfs array<int>, docs binary, impacts binary"), group=1), n_docs, n_terms)
 
 
 def item_terms(items: DataFrame, number: str, text_col: str) -> DataFrame:

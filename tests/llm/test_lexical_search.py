@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 from cairngrid.llm import arrow_text, lexical_search
 
@@ -81,3 +82,12 @@ def test_parts_keep_all_rows_in_order():
         got = list(arrow_text.parts(batches, 0, size))
         assert [x for b in got for x in b.column(0).to_pylist()] == rows
         assert all(b.num_rows == 1 or sum(len(x or "") for x in b.column(0).to_pylist()) <= size for b in got)
+
+
+def test_a_shard_is_a_row_group(spark, monkeypatch):
+    """Parquet's writer and reader hold a row group at once: shards of megabytes must not share one."""
+    monkeypatch.setattr(lexical_search, "SHARD", 400)
+    index = lexical_search.build_index(spark.createDataFrame([(i, "some words " * 20, "x") for i in range(30)], DOCS).coalesce(1))
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.shards.inputFiles()]
+    rows = [m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)]
+    assert len(rows) == index.shards.count() > 10 and set(rows) == {1}
