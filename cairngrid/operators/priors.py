@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairngrid.functions.geometry import distance, polyline_distance
-from cairngrid.functions.spherical import spread
 from cairngrid.operators.surface import normalize
 
 
@@ -76,7 +75,7 @@ def distance_ring_prior(spark: SparkSession, cells: DataFrame, point: tuple[floa
     Each offset of the point counts its rings' cells; a ring's probability spreads over its analytic area, at most all
     of it over its unmasked cells, and what falls off the grid or on no valid cell goes outside. The offsets, 49 at most, are an array
     inside each cell's row: the counts per (offset, ring) are a partial aggregate of at most 49 x rings rows, their shares come back as one
-    broadcast row, and no cell is shuffled.
+    broadcast row, and no cell is shuffled: a small table of many cells is dealt out by the caller.
     """
     area, k = cell_size * cell_size, len(rings)
     offsets = gaussian_offsets(sigma, cell_size)
@@ -90,7 +89,7 @@ def distance_ring_prior(spark: SparkSession, cells: DataFrame, point: tuple[floa
         return out
 
     valid = F.coalesce(mask, F.lit(False)) if mask is not None else F.lit(True)
-    placed = spread(cells, "cell_id").select("cell_id", valid.alias("valid"), F.array(*[slot(n, x, y) for n, (x, y, _) in enumerate(offsets)]).alias("slots"))
+    placed = cells.select("cell_id", valid.alias("valid"), F.array(*[slot(n, x, y) for n, (x, y, _) in enumerate(offsets)]).alias("slots"))
     table = spark.createDataFrame([(n * k + r, float(w), float(p), math.pi * (o * o - i * i)) for n, (_, _, w) in enumerate(offsets) for r, (i, o, p) in enumerate(rings)], "slot int, w double, prob double, annulus double")
     each = placed.select("valid", F.explode("slots").alias("slot")).where("slot is not null")
     count = each.groupBy("slot").agg(F.sum(F.col("valid").cast("long")).alias("nv"), F.sum((~F.col("valid")).cast("long")).alias("nm")).join(F.broadcast(table), "slot")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairngrid.functions import geometry as geo
+from cairngrid.functions.spherical import spread
 from cairngrid.operators import evaluation, pod, priors, surface, updates
 from cairngrid.plans.base import CELL, CELLS, cells, grid, literal, query, rounded, table
 
@@ -67,7 +68,7 @@ def uniform(spark, d):
 
 
 def rings(spark, d, sigma=0.0):
-    return priors.distance_ring_prior(spark, cells(spark, d), POINT, RINGS, CELL, sigma, F.col("ok"))
+    return priors.distance_ring_prior(spark, spread(cells(spark, d), "cell_id"), POINT, RINGS, CELL, sigma, F.col("ok"))
 
 
 def corridor(spark, d):
